@@ -145,7 +145,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None =
                     path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
                     fs, name = location(path)
                     fs.create_dir(name.rpartition("/")[0], recursive=True)
-                    out = fs.open_output_stream(name)
+                    out = fs.open_output_stream(name, compression=None)
                     writer = Writer(out, frame_bytes)
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist(), end_id), strict=True):
                     writer.add(doc, ids)
