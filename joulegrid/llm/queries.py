@@ -16,6 +16,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 
 
+def op4_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.llm.lexicon_bpe import round_trip_digests
+
+    return round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 32_768)
+
+
+def op5_gray_order_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.llm.simhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), 2, 3)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joulegrid.llm.seekable import token_files
 
@@ -24,6 +36,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_lexicon_bpe": op4_lexicon_bpe,
+    "op5_gray_order_simhash": op5_gray_order_simhash,
     "op8_token_files": op8_token_files,
 }
 
