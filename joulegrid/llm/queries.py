@@ -16,6 +16,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.llm.langid import identify
+
+    return identify(read_table(spark, sf_dir, "documents"), 5, 0)
+
+
 def op4_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joulegrid.llm.lexicon_bpe import round_trip_digests
 
@@ -28,6 +34,12 @@ def op5_gray_order_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), 2, 3)
 
 
+def op7_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.llm.toxicity import classify
+
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), 0.3, 4, 2)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joulegrid.llm.seekable import token_files
 
@@ -36,8 +48,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_id": op3_language_id,
     "op4_lexicon_bpe": op4_lexicon_bpe,
     "op5_gray_order_simhash": op5_gray_order_simhash,
+    "op7_boosted_toxicity": op7_boosted_toxicity,
     "op8_token_files": op8_token_files,
 }
 
