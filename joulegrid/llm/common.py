@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,14 +34,14 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, size_of: str | None = None
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, size_of: str | None = None, most: int = 4 << 20
 ) -> DataFrame:
-    """Run ``make()`` once in each task and its result on every Arrow batch, cut to about 4 MB of ``size_of``."""
+    """Run ``make()`` once in each task and its result on every Arrow batch, cut to about ``most`` bytes of ``size_of``."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in it:
-            for part in sliced(batch, size_of):
+            for part in sliced(batch, size_of, most):
                 out = work(part)
                 if out is not None:
                     yield out

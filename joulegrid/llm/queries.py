@@ -34,6 +34,12 @@ def op5_gray_order_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), 2, 3)
 
 
+def op6_weakly_supervised_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.llm.privacy import find_personal_data
+
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op7_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joulegrid.llm.toxicity import classify
 
@@ -46,13 +52,21 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.llm.quality import classify
+
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), 0.5, 3, 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
     "op4_lexicon_bpe": op4_lexicon_bpe,
     "op5_gray_order_simhash": op5_gray_order_simhash,
+    "op6_weakly_supervised_privacy": op6_weakly_supervised_privacy,
     "op7_boosted_toxicity": op7_boosted_toxicity,
     "op8_token_files": op8_token_files,
+    "op9_attention_quality": op9_attention_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
