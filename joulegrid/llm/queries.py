@@ -64,6 +64,12 @@ def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), 0.5, 3, 1)
 
 
+def op10_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.llm.pruned_graph import graph_search
+
+    return graph_search(read_table(spark, sf_dir, "embeddings"), 20, 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dual_tree_top_k": op1_dual_tree_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_boosted_toxicity": op7_boosted_toxicity,
     "op8_token_files": op8_token_files,
     "op9_attention_quality": op9_attention_quality,
+    "op10_robust_pruned_graph": op10_robust_pruned_graph,
 }
 
 ORACLE_SQL: dict[str, str] = {
