@@ -1,0 +1 @@
+"""Power samples, firmware events and budgets as Spark DataFrames."""

@@ -1,2 +1,549 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Registered queries over the given tables, each beside the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from joulegrid.functions import text, units
+from joulegrid.operators import buckets, distribution, gaps, names, occurrences, pairing, regions, rules, timebase
+from joulegrid.operators.ordered import DAY_NS, HOUR_NS
+from joulegrid.plans import capture
+from joulegrid.sinks import export
+from joulegrid.sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The span of the window queries: 2024-01-08 to 2024-01-22.
+FROM_NS, TO_NS = 1_704_672_000_000_000_000, 1_705_881_600_000_000_000
+RATE_HZ = 1 / 3600
+
+SAMPLES = """samples AS (
+  SELECT CAST(user_id AS VARCHAR) AS capture_id, event_id AS seq, epoch_us(ts) * 1000 AS t_ns,
+         CAST(round(value * 1000) AS INTEGER) AS current_ua, 3300000 - event_id % 17 AS voltage_uv
+  FROM events)"""
+EVENTS = """ev AS (
+  SELECT CAST(user_id AS VARCHAR) AS capture_id, event_id AS seq, epoch_us(ts) * 1000 AS t_ns,
+         CASE event_type WHEN 'click' THEN 257 WHEN 'purchase' THEN 258 WHEN 'error' THEN 272 WHEN 'view' THEN 513 WHEN 'signup' THEN 514 END AS id,
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS value
+  FROM events)"""
+DEFS = """defs(name, start_id, stop_id, category, value_units) AS (
+  VALUES ('CLICK_TO_PURCHASE', 257, 258, 'shop', NULL), ('VIEW_TO_SIGNUP', 513, 514, 'account', 'k'), ('ERROR', 272, NULL, NULL, NULL))"""
+
+
+def registered(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def region_sql(where: str = "", energy: str = "(i0*v0 + i1*v1) * dt", charge: str = "(i0 + i1) * dt", voltage: str = "voltage_uv", tail: str = "SELECT * FROM stats") -> str:
+    return f"""WITH {SAMPLES}, chosen AS (SELECT capture_id, seq, t_ns, current_ua, {voltage} AS voltage_uv FROM samples {where}),
+pairs AS (
+  SELECT *, current_ua::HUGEINT AS i0, voltage_uv::HUGEINT AS v0,
+         (lead(current_ua) OVER w)::HUGEINT AS i1, (lead(voltage_uv) OVER w)::HUGEINT AS v1,
+         (lead(t_ns) OVER w - t_ns)::HUGEINT AS dt
+  FROM chosen WINDOW w AS (PARTITION BY capture_id ORDER BY t_ns, seq)),
+sums AS (
+  SELECT capture_id, count(*) AS samples, min(t_ns) AS first_ns, max(t_ns) AS last_ns, min(current_ua) AS min_ua, max(current_ua) AS max_ua,
+         sum(i0) AS si, sum(i0*i0) AS sii, sum(v0) AS sv, max(i0*v0) AS peak,
+         sum(coalesce({energy}, 0)) AS e2, sum(coalesce({charge}, 0)) AS c2
+  FROM pairs GROUP BY capture_id),
+scaled AS (
+  SELECT *, CASE WHEN samples > 1 THEN (last_ns - first_ns)::DOUBLE / 1e9 ELSE 0.0 END AS duration_s,
+         (e2 // 2000000000000)::DOUBLE / 1000.0 AS energy_uj, (c2 // 2000)::DOUBLE / 1000000.0 AS charge_uc
+  FROM sums),
+stats AS (
+  SELECT capture_id, samples, first_ns, last_ns, duration_s, min_ua, max_ua,
+         round(si::DOUBLE / samples, 6) AS mean_ua, round(sqrt(sii::DOUBLE / samples), 4) AS rms_ua, round(sv::DOUBLE / samples, 4) AS mean_uv,
+         charge_uc, round(charge_uc / 3600000.0, 9) AS charge_mah, energy_uj,
+         CASE WHEN duration_s > 0 THEN round(energy_uj / duration_s, 6) ELSE 0.0 END AS mean_power_uw,
+         greatest(round(peak::DOUBLE / 1e6, 3), 0.0) AS peak_power_uw
+  FROM scaled)
+{tail}"""
+
+
+@registered(region_sql())
+def region_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.region_stats(tables.samples(spark, sf_dir))
+
+
+@registered(region_sql(energy="2*i0*v0*dt", charge="2*i0*dt"))
+def region_stats_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.region_stats(tables.samples(spark, sf_dir), method="rectangular")
+
+
+# The span's length stands for the duration of a single sample.
+@registered(region_sql(where=f"WHERE t_ns >= {FROM_NS} AND t_ns < {TO_NS}").replace("ELSE 0.0 END AS duration_s", f"ELSE {TO_NS - FROM_NS}::DOUBLE / 1e9 END AS duration_s"))
+def region_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.region_stats(tables.samples(spark, sf_dir), start_ns=FROM_NS, end_ns=TO_NS)
+
+
+@registered(region_sql(voltage="1800000"))
+def region_supply_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.region_stats(tables.samples(spark, sf_dir), supply_uv=1_800_000)
+
+
+@registered(region_sql(voltage="CASE WHEN seq % 3 = 0 THEN 3300000 ELSE voltage_uv END"))
+def region_voltage_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    partly = tables.samples(spark, sf_dir).withColumn("voltage_uv", F.when(F.col("seq") % 3 != 0, F.col("voltage_uv")))
+    return regions.region_stats(partly)
+
+
+@registered(region_sql(energy="CASE WHEN dt <= 10800000000000 THEN (i0*v0 + i1*v1) * dt END", charge="CASE WHEN dt <= 10800000000000 THEN (i0 + i1) * dt END"))
+def region_skip_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = tables.samples(spark, sf_dir)
+    return regions.region_stats(samples, gaps=gaps.time_gaps(samples, RATE_HZ), gap_policy="skip")
+
+
+@registered(region_sql(tail="SELECT capture_id, charge_uc, charge_mah FROM stats"))
+def charge_mah(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.region_stats(tables.samples(spark, sf_dir)).select("capture_id", "charge_uc", "charge_mah")
+
+
+@registered(region_sql(tail="SELECT capture_id, mean_ua, CASE WHEN mean_ua > 0 THEN round(220.0 / (mean_ua / 1000), 6) END AS battery_hours FROM stats"))
+def battery_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.battery_hours(regions.region_stats(tables.samples(spark, sf_dir))).select("capture_id", "mean_ua", "battery_hours")
+
+
+@registered(f"""WITH {SAMPLES} SELECT capture_id, seq, current_ua::HUGEINT * voltage_uv::HUGEINT / 1000000.0::DOUBLE AS power_uw FROM samples""")
+def sample_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.samples(spark, sf_dir).select("capture_id", "seq", regions.power_uw().alias("power_uw"))
+
+
+def distribution_sql(source: str, key: str, value: str) -> str:
+    rank = lambda q: f"coalesce(max(CASE WHEN rn = greatest(CAST(ceil({q}::DOUBLE * cnt) AS BIGINT), 1) THEN x END), 0)"
+    return f"""{source}, r AS (
+  SELECT {key}, {value} AS x, row_number() OVER (PARTITION BY {key} ORDER BY {value}) AS rn, count(*) OVER (PARTITION BY {key}) AS cnt FROM d)
+SELECT {key}, count(*) AS n, round(sum(x)::DOUBLE / count(*), 6) AS mean, min(x) AS min, max(x) AS max,
+       CASE WHEN count(*) > 1 THEN round(sqrt((count(*)::HUGEINT * sum(x::HUGEINT * x) - sum(x::HUGEINT) * sum(x::HUGEINT))::DOUBLE / (count(*) * (count(*) - 1))::DOUBLE), 6) ELSE 0.0 END AS stddev,
+       {rank(0.5)} AS p50, {rank(0.95)} AS p95, {rank(0.99)} AS p99, CAST(sum(x) AS BIGINT) AS total
+FROM r GROUP BY {key}"""
+
+
+@registered(distribution_sql(f"WITH {EVENTS}, d AS (SELECT * FROM ev)", "id", "value"))
+def distribution_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distribution.describe(tables.events(spark, sf_dir), ["id"], "value")
+
+
+@registered(distribution_sql("WITH d AS (SELECT l_returnflag, CAST(l_quantity AS BIGINT) AS q FROM lineitem)", "l_returnflag", "q"))
+def distribution_of_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").cast("bigint").alias("q"))
+    return distribution.describe(rows, ["l_returnflag"], "q")
+
+
+@registered(f"""WITH {SAMPLES}, r AS (
+  SELECT capture_id, current_ua, row_number() OVER (PARTITION BY capture_id ORDER BY current_ua) AS rn, count(*) OVER (PARTITION BY capture_id) AS n FROM samples)
+SELECT capture_id, max(CASE WHEN rn = greatest(ceil(0.5::DOUBLE * n), 1) THEN current_ua END) AS p50,
+       max(CASE WHEN rn = greatest(ceil(0.95::DOUBLE * n), 1) THEN current_ua END) AS p95,
+       max(CASE WHEN rn = greatest(ceil(0.99::DOUBLE * n), 1) THEN current_ua END) AS p99
+FROM r GROUP BY capture_id""")
+def percentiles_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.samples(spark, sf_dir).groupBy("capture_id").agg(*(distribution.nearest_rank("current_ua", q).alias(f"p{round(100 * q)}") for q in distribution.QUANTILES))
+
+
+VARIATION = distribution_sql(f"WITH {EVENTS}, d AS (SELECT * FROM ev)", "id", "value")
+
+
+@registered(f"SELECT id, CASE WHEN mean <> 0 THEN round(stddev / abs(mean), 6) END AS variation FROM ({VARIATION}) t")
+def coefficient_of_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distribution.describe(tables.events(spark, sf_dir), ["id"], "value").select("id", distribution.variation().alias("variation"))
+
+
+# Brackets in SQL: a stop belongs to the latest start before it after which sums never fall below the start's own.
+PAIRS = f"""WITH {SAMPLES}, {EVENTS}, {DEFS},
+marks AS (
+  SELECT d.name, e.*, CASE WHEN e.id = d.start_id THEN 1 ELSE -1 END AS step
+  FROM ev e JOIN defs d ON d.stop_id IS NOT NULL AND e.id IN (d.start_id, d.stop_id)),
+walk AS (SELECT *, sum(step) OVER (PARTITION BY capture_id, name ORDER BY t_ns, seq) AS total FROM marks),
+low AS (
+  SELECT *, least(0, min(total) OVER (PARTITION BY capture_id, name ORDER BY t_ns, seq)) AS m,
+         least(0, coalesce(min(total) OVER (PARTITION BY capture_id, name ORDER BY t_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS pm
+  FROM walk),
+kept AS (SELECT *, total - m + CASE WHEN step = -1 THEN 1 ELSE 0 END AS level FROM low WHERE NOT (step = -1 AND total < pm)),
+nexts AS (SELECT *, lead(step) OVER w AS next_step, lead(t_ns) OVER w AS next_ns FROM kept WINDOW w AS (PARTITION BY capture_id, name, level ORDER BY t_ns, seq)),
+pairs AS (
+  SELECT capture_id, name, seq, value, CASE WHEN next_step = -1 THEN 'paired' ELSE 'unterminated' END AS status, t_ns AS start_ns, CASE WHEN next_step = -1 THEN next_ns END AS end_ns
+  FROM nexts WHERE step = 1
+  UNION ALL SELECT capture_id, name, seq, value, 'orphaned', NULL, t_ns FROM low WHERE step = -1 AND total < pm)"""
+
+
+@registered(PAIRS + " SELECT * FROM pairs")
+def pair_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.paired(tables.events(spark, sf_dir), tables.event_defs(spark))
+
+
+@registered(PAIRS + """ SELECT capture_id, name, count(*) FILTER (status = 'paired') AS paired, count(*) FILTER (status = 'unterminated') AS unterminated,
+count(*) FILTER (status = 'orphaned') AS orphaned FROM pairs GROUP BY capture_id, name""")
+def orphans_unterminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.pairing_counts(pairing.paired(tables.events(spark, sf_dir), tables.event_defs(spark)))
+
+
+@registered(PAIRS + """ SELECT capture_id, name, seq, value, status, CASE WHEN start_ns IS NOT NULL THEN greatest(start_ns - 5000000000, 0) END AS start_ns, CASE WHEN end_ns IS NOT NULL THEN greatest(end_ns - 5000000000, 0) END AS end_ns FROM pairs""")
+def latency_compensation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.paired(tables.events(spark, sf_dir), tables.event_defs(spark).withColumn("latency_compensation_ns", F.lit(5_000_000_000).cast("bigint")))
+
+
+OCCURRENCES = PAIRS + """,
+steps AS (
+  SELECT capture_id, t_ns, current_ua, lead(t_ns) OVER w AS next_ns,
+         (current_ua::HUGEINT * voltage_uv + (lead(current_ua) OVER w)::HUGEINT * lead(voltage_uv) OVER w) * (lead(t_ns) OVER w - t_ns)::HUGEINT AS e2
+  FROM samples WINDOW w AS (PARTITION BY capture_id ORDER BY t_ns, seq)),
+occ AS (
+  SELECT p.capture_id, p.name, p.seq, any_value(p.value) AS value, any_value(p.start_ns) AS start_ns, any_value(p.end_ns) AS end_ns,
+         count(s.t_ns) AS samples, sum(s.current_ua) AS sum_i, max(s.current_ua) AS max_ua,
+         CASE WHEN count(s.t_ns) > 0 THEN (sum(CASE WHEN s.next_ns < p.end_ns THEN s.e2 ELSE 0 END) // 2000000000000)::DOUBLE / 1000.0 END AS energy_uj
+  FROM pairs p LEFT JOIN steps s ON s.capture_id = p.capture_id AND s.t_ns >= p.start_ns AND s.t_ns < p.end_ns
+  WHERE p.status = 'paired' GROUP BY p.capture_id, p.name, p.seq)"""
+
+
+@registered(OCCURRENCES + " SELECT capture_id, name, seq, value, start_ns, end_ns, samples, CAST(sum_i AS BIGINT) AS sum_i, max_ua, energy_uj FROM occ")
+def occurrence_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pairing.occurrences(tables.events(spark, sf_dir), tables.event_defs(spark))
+    return occurrences.occurrence_energy(tables.samples(spark, sf_dir), found).select("capture_id", "name", "seq", "value", "start_ns", "end_ns", "samples", "sum_i", "max_ua", "energy_uj")
+
+
+def nine(prefix: str, x: str) -> str:
+    pick = lambda q: f"coalesce(max(CASE WHEN {prefix}_rn = greatest(CAST(ceil({q}::DOUBLE * cnt) AS BIGINT), 1) THEN {x} END), 0)"
+    return f"""count({x}) AS {prefix}_n, round(sum({x})::DOUBLE / count(*), 0) AS {prefix}_mean, min({x}) AS {prefix}_min, max({x}) AS {prefix}_max,
+  CASE WHEN count(*) > 1 THEN round(sqrt((count(*)::HUGEINT * sum({x}::HUGEINT * {x}) - sum({x}::HUGEINT) * sum({x}::HUGEINT))::DOUBLE / (count(*) * (count(*) - 1))::DOUBLE), 0) ELSE 0.0 END AS {prefix}_stddev,
+  {pick(0.5)} AS {prefix}_p50, {pick(0.95)} AS {prefix}_p95, {pick(0.99)} AS {prefix}_p99, CAST(sum({x}) AS BIGINT) AS {prefix}_total"""
+
+
+# Every pair of this table holds its own start sample, so no energy is missing and both counts are alike.
+STATS = OCCURRENCES + f""",
+meas AS (SELECT name, samples, sum_i, max_ua, end_ns - start_ns AS d, CAST(round(energy_uj * 1000) AS BIGINT) AS e FROM occ),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d) AS duration_ns_rn, row_number() OVER (PARTITION BY name ORDER BY e) AS energy_nj_rn, count(*) OVER (PARTITION BY name) AS cnt FROM meas),
+dist AS (SELECT name, {nine("duration_ns", "d")}, {nine("energy_nj", "e")},
+  round(sum(sum_i)::DOUBLE / sum(samples)::DOUBLE, 6) AS mean_ua, max(max_ua) AS peak_ua,
+  count(*) FILTER (samples = 0) AS unsampled, count(*) FILTER (samples = 1) AS single_sample FROM numbered GROUP BY name),
+counts AS (SELECT name, count(*) FILTER (status = 'paired') AS occurrences, count(*) FILTER (status = 'unterminated') AS unterminated, count(*) FILTER (status = 'orphaned') AS orphaned FROM pairs GROUP BY name),
+span AS (SELECT sum(w) AS w FROM (SELECT max(t_ns) + 1 - min(t_ns) AS w FROM samples GROUP BY capture_id) t),
+stats AS (SELECT d.category, d.value_units, c.*, x.* EXCLUDE (name), round(x.duration_ns_total::DOUBLE / (SELECT w::DOUBLE FROM span), 9) AS duty_cycle
+  FROM defs d JOIN counts c USING (name) JOIN dist x USING (name) WHERE d.stop_id IS NOT NULL)"""
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrences.event_stats(tables.samples(spark, sf_dir), tables.events(spark, sf_dir), tables.event_defs(spark))
+
+
+@registered(STATS + " SELECT * FROM stats")
+def event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir)
+
+
+@registered(STATS + " SELECT name, occurrences, energy_nj_total FROM stats ORDER BY energy_nj_total DESC, name LIMIT 1")
+def top_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrences.top_events(_stats(spark, sf_dir), 1).select("name", "occurrences", "energy_nj_total")
+
+
+@registered(STATS + " SELECT name, duty_cycle, unterminated > 0 OR orphaned > 0 OR unsampled > 0 AS has_warnings FROM stats")
+def duty_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).select("name", "duty_cycle", occurrences.has_warnings().alias("has_warnings"))
+
+
+@registered(STATS + " SELECT name, mean_ua, peak_ua FROM stats")
+def weighted_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).select("name", "mean_ua", "peak_ua")
+
+
+GAPS = f"""WITH {SAMPLES}, {EVENTS}, nx AS (SELECT capture_id, t_ns, lead(t_ns) OVER (PARTITION BY capture_id ORDER BY t_ns, seq) AS n FROM samples),
+gaps AS (SELECT capture_id, t_ns AS start_ns, n AS end_ns, 'timestamp_jump' AS cause, greatest((n - t_ns) // 3600000000000 - 1, 0) AS lost_estimate FROM nx WHERE n - t_ns > 10800000000000)"""
+
+
+@registered(GAPS + " SELECT * FROM gaps")
+def time_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.time_gaps(tables.samples(spark, sf_dir), RATE_HZ)
+
+
+@registered(GAPS + f""", spans AS (SELECT capture_id, t_ns AS a, t_ns + {HOUR_NS} AS b FROM ev WHERE id = 272)
+SELECT * FROM gaps g WHERE EXISTS (SELECT 1 FROM spans s WHERE s.capture_id = g.capture_id AND g.start_ns < s.b AND g.end_ns > s.a)""")
+def gap_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = tables.events(spark, sf_dir).where("id = 272").select("capture_id", F.col("t_ns").alias("start_ns"), (F.col("t_ns") + HOUR_NS).alias("end_ns"))
+    return gaps.overlapping(gaps.time_gaps(tables.samples(spark, sf_dir), RATE_HZ), errors)
+
+
+@registered(GAPS + """, r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY start_ns) AS k FROM gaps)
+SELECT capture_id, count(*) AS gaps, CAST(sum(end_ns - start_ns) AS BIGINT) AS missing_ns, CAST(sum(lost_estimate) AS BIGINT) AS lost_estimate,
+       string_agg(start_ns || '-' || end_ns, ';' ORDER BY start_ns) FILTER (k <= 5) AS first_gaps, greatest(count(*) - 5, 0) AS not_shown
+FROM r GROUP BY capture_id""")
+def gap_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.gap_totals(gaps.time_gaps(tables.samples(spark, sf_dir), RATE_HZ))
+
+
+BUCKET = """min(current_ua) AS min_ua, max(current_ua) AS max_ua, CASE WHEN count(current_ua) > 0 THEN round(sum(current_ua)::DOUBLE / count(current_ua), 6) END AS mean_ua, count(current_ua) AS count"""
+DOWNSAMPLED = f"""WITH {SAMPLES}, sp AS (SELECT capture_id, min(t_ns) AS s, max(t_ns) + 1 AS e FROM samples GROUP BY capture_id),
+w AS (SELECT *, (e - s + 63) // 64 AS w FROM sp), spine AS (SELECT w.*, b AS bucket FROM w, range(64) t(b)),
+f AS (SELECT s.capture_id, least((s.t_ns - w.s) // w.w, 63) AS bucket, current_ua FROM samples s JOIN w USING (capture_id)),
+down AS (SELECT capture_id, bucket, any_value(s + bucket * w) AS t_ns, {BUCKET} FROM spine LEFT JOIN f USING (capture_id, bucket) GROUP BY capture_id, bucket)"""
+
+
+@registered(DOWNSAMPLED + " SELECT * FROM down")
+def downsample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.downsample(tables.samples(spark, sf_dir), 64)
+
+
+@registered(DOWNSAMPLED + """, hi AS (SELECT *, greatest(max(max_ua) OVER (PARTITION BY capture_id), 1) AS top FROM down)
+SELECT capture_id, string_agg(CASE WHEN count = 0 THEN ' ' ELSE substring('▁▂▃▄▅▆▇█', CAST(least(greatest(floor(greatest(max_ua, 0)::DOUBLE / top::DOUBLE * 8.0), 0), 7) AS INTEGER) + 1, 1) END, '' ORDER BY bucket) AS line
+FROM hi GROUP BY capture_id""")
+def sparkline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.sparkline(buckets.downsample(tables.samples(spark, sf_dir), 64))
+
+
+def level_sql(width: int) -> str:
+    return f"SELECT capture_id, t_ns // {width} AS bucket, (t_ns // {width}) * {width} AS t_ns, {BUCKET} FROM samples GROUP BY capture_id, t_ns // {width}"
+
+
+@registered(f"WITH {SAMPLES} {level_sql(HOUR_NS)}")
+def summary_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.with_mean(buckets.summary_level(tables.samples(spark, sf_dir), HOUR_NS))
+
+
+@registered(f"WITH {SAMPLES} {level_sql(DAY_NS)}")
+def summary_coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fine = buckets.summary_level(tables.samples(spark, sf_dir), HOUR_NS)
+    return buckets.with_mean(buckets.rolled_up(fine, DAY_NS))
+
+
+@registered(f"""WITH {SAMPLES}, e AS (SELECT capture_id, min(t_ns // {DAY_NS}) AS a, max(t_ns // {DAY_NS}) AS b FROM samples GROUP BY capture_id),
+spine AS (SELECT capture_id, unnest(range(a, b + 1)) AS bucket FROM e)
+SELECT capture_id, bucket, bucket * {DAY_NS} AS t_ns, {BUCKET} FROM spine LEFT JOIN (SELECT capture_id, t_ns // {DAY_NS} AS bucket, current_ua FROM samples) s USING (capture_id, bucket) GROUP BY capture_id, bucket""")
+def summary_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.with_mean(buckets.summary_level(tables.samples(spark, sf_dir), DAY_NS, dense=True))
+
+
+@registered(f"WITH {SAMPLES}, l AS ({level_sql(DAY_NS)}) SELECT * FROM l WHERE t_ns + {DAY_NS} > {FROM_NS + HOUR_NS} AND t_ns < {TO_NS + HOUR_NS}")
+def bucket_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = buckets.with_mean(buckets.summary_level(tables.samples(spark, sf_dir), DAY_NS))
+    return buckets.bucket_range(level, DAY_NS, FROM_NS + HOUR_NS, TO_NS + HOUR_NS)
+
+
+@registered(f"""WITH {SAMPLES}, s AS (SELECT * FROM samples WHERE t_ns >= {FROM_NS} AND t_ns < {TO_NS})
+SELECT capture_id, (t_ns - {FROM_NS}) // {2 * DAY_NS} AS bucket, {FROM_NS} + ((t_ns - {FROM_NS}) // {2 * DAY_NS}) * {2 * DAY_NS} AS t_ns, {BUCKET} FROM s GROUP BY capture_id, (t_ns - {FROM_NS}) // {2 * DAY_NS}""")
+def overview_from_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = tables.samples(spark, sf_dir)
+    levels = {w: buckets.summary_level(samples, w) for w in buckets.SLOW_LEVELS_NS}
+    return buckets.overview(samples, levels, FROM_NS, TO_NS, 7)
+
+
+@registered(f"""WITH {SAMPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY t_ns, seq) - 1 AS k FROM samples)
+SELECT capture_id, seq, t_ns, current_ua, voltage_uv FROM r WHERE k % 7 = 0""")
+def decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.decimated(tables.samples(spark, sf_dir), 7)
+
+
+NAMED = f"""WITH {EVENTS}, {DEFS}, ids AS (SELECT start_id AS id, name FROM defs UNION ALL SELECT stop_id, name || ':stop' FROM defs WHERE stop_id IS NOT NULL)"""
+
+
+@registered(NAMED + " SELECT e.*, coalesce(i.name, printf('0x%04X', e.id)) AS name FROM ev e LEFT JOIN ids i USING (id)")
+def event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.with_names(tables.events(spark, sf_dir), tables.event_defs(spark))
+
+
+@registered(NAMED + " SELECT id, count(*) AS n, printf('0x%04X', id) AS name FROM ev WHERE id NOT IN (SELECT id FROM ids WHERE id <> 272) GROUP BY id")
+def undeclared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.undeclared(tables.events(spark, sf_dir), tables.event_defs(spark).where("name <> 'ERROR'"))
+
+
+@registered(f"WITH {EVENTS} SELECT capture_id, id, min(t_ns) AS first_ns FROM ev GROUP BY capture_id, id")
+def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.first_seen(tables.events(spark, sf_dir))
+
+
+@registered(f"WITH {EVENTS}, s AS (SELECT *, (value * 517 + seq) % 65536 AS st FROM ev) SELECT capture_id, seq, (st >> 3) & 1 AS pin3, (st >> 12) & 1 AS pin12 FROM s")
+def gpio_pin_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.gpio(spark, sf_dir).select("capture_id", "seq", names.pin_level(F.col("state"), 3).alias("pin3"), names.pin_level(F.col("state"), 12).alias("pin12"))
+
+
+@registered(f"WITH {EVENTS} SELECT DISTINCT value * 700 AS id, value * 700 <> 0 AS valid, value * 700 >= 65280 AS internal, (value * 700) >> 8 AS category, printf('0x%04X', value * 700) AS hex FROM ev")
+def id_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = tables.events(spark, sf_dir).select((F.col("value") * 700).alias("id")).distinct()
+    return ids.select("id", *(c.alias(n) for n, c in names.id_properties(F.col("id")).items()), names.hex_id(F.col("id")).alias("hex"))
+
+
+@registered("""WITH d AS (SELECT p_name AS name, CAST(p_partkey % 4096 AS INTEGER) AS start_id, CAST((p_partkey * 7 + 1) % 4096 AS INTEGER) AS stop_id FROM part),
+c AS (SELECT start_id AS id, name FROM d UNION ALL SELECT stop_id, name FROM d)
+SELECT min(name) AS name, 'id claimed twice' AS problem FROM c GROUP BY id HAVING count(DISTINCT name) > 1
+UNION ALL SELECT name, 'id 0' FROM d WHERE start_id = 0 OR stop_id = 0
+UNION ALL SELECT name, 'start is stop' FROM d WHERE start_id = stop_id
+UNION ALL SELECT name, 'duplicate name' FROM d GROUP BY name HAVING count(*) > 1""")
+def definition_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    defs = tables.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), (key % 4096).cast("int").alias("start_id"), ((key * 7 + 1) % 4096).cast("int").alias("stop_id"))
+    return names.problems(defs)
+
+
+TICKS = f"""ticks AS (SELECT capture_id AS device, row_number() OVER (PARTITION BY capture_id ORDER BY t_ns, seq) - 1 AS arrival, (t_ns // 1000000) % 4294967296 AS ticks FROM samples)"""
+
+
+def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.operators.ordered import numbered
+
+    rows = numbered(tables.samples(spark, sf_dir), ("capture_id",), ("t_ns", "seq"), name="arrival")
+    millis = F.call_function("div", F.col("t_ns"), F.lit(1_000_000).cast("bigint"))
+    return rows.select(F.col("capture_id").alias("device"), F.col("arrival").cast("bigint").alias("arrival"), (millis % (1 << 32)).alias("ticks"))
+
+
+UNWRAPPED = f"""WITH {SAMPLES}, {TICKS}, b AS (SELECT *, lag(ticks) OVER (PARTITION BY device ORDER BY arrival) - ticks AS back FROM ticks),
+s AS (SELECT *, CASE WHEN back IS NULL OR (back <= 0 AND back >= -2147483648) THEN 'ok' WHEN back > 2147483648 THEN 'wrap' WHEN back > 0 THEN 'backwards' ELSE 'implausible' END AS step FROM b),
+u AS (SELECT device, arrival, ticks, step, CAST(sum(CASE WHEN step = 'wrap' THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY arrival) AS BIGINT) AS epoch FROM s)"""
+
+
+@registered(UNWRAPPED + " SELECT *, epoch * 4294967296 + ticks AS full_ticks FROM u")
+def tick_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timebase.unwrapped(_ticks(spark, sf_dir), slice_rows=64)
+
+
+@registered(UNWRAPPED + """, x AS (SELECT * FROM u WHERE arrival % 5 <> 0), e AS (SELECT *, (ticks + 1000) % 4294967296 AS et FROM u WHERE arrival % 5 = 0),
+a AS (SELECT e.device, e.arrival, e.et AS ticks, coalesce((SELECT max_by(x.epoch * 4294967296 + x.ticks, x.arrival) FROM x WHERE x.device = e.device AND x.arrival < e.arrival), 0) AS near FROM e),
+f AS (SELECT *, (near // 4294967296) * 4294967296 + ticks AS base FROM a)
+SELECT device, arrival, ticks, CASE WHEN base - near > 2147483648 AND base >= 4294967296 THEN base - 4294967296 WHEN near - base > 2147483648 THEN base + 4294967296 ELSE base END AS full_ticks FROM f""")
+def resolve_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = timebase.unwrapped(_ticks(spark, sf_dir), slice_rows=64)
+    late = times.where("arrival % 5 = 0").select("device", "arrival", ((F.col("ticks") + 1000) % (1 << 32)).alias("ticks"))
+    return timebase.resolved(late, times.where("arrival % 5 <> 0"), slice_rows=64)
+
+
+@registered(f"""WITH {SAMPLES} SELECT capture_id, seq, CAST((t_ns::HUGEINT // 30517) * 1000000000 // 32768 AS BIGINT) AS ns,
+CAST(t_ns::HUGEINT * 32768 // 1000000000 AS BIGINT) AS ticks, CAST(((current_ua - 120)::HUGEINT * 1009) // 1000 AS BIGINT) AS calibrated_ua FROM samples""")
+def time_and_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hz = F.lit(32768).cast("bigint")
+    ticks = F.call_function("div", F.col("t_ns"), F.lit(30517).cast("bigint"))
+    one = timebase.calibrated(F.col("current_ua"), F.lit(120), F.lit(1009), F.lit(1000))
+    return tables.samples(spark, sf_dir).select("capture_id", "seq", timebase.ticks_to_ns(ticks, hz).alias("ns"), timebase.ns_to_ticks(F.col("t_ns"), hz).alias("ticks"), one.alias("calibrated_ua"))
+
+
+SYNC = f"""sync AS (SELECT capture_id, t_ns AS s, t_ns + 20000 + (seq * 7919) % 50000 + CASE WHEN seq % 5 = 0 THEN 4000000 ELSE 0 END AS r, t_ns // 1000 AS x FROM samples)"""
+
+
+@registered(f"""WITH {SAMPLES}, {SYNC}, m AS (SELECT *, r - s AS rtt, s + (r - s) // 2 AS y, row_number() OVER (PARTITION BY capture_id ORDER BY r - s) - 1 AS k, count(*) OVER (PARTITION BY capture_id) AS n FROM sync),
+l AS (SELECT capture_id, min(rtt) AS lim FROM m WHERE k = least(greatest(n // 5, 2), n - 1) AND n >= 3 GROUP BY capture_id),
+kept AS (SELECT capture_id, (x - min(x) OVER (PARTITION BY capture_id))::DOUBLE AS x, (y - min(y) OVER (PARTITION BY capture_id))::DOUBLE AS y FROM m JOIN l USING (capture_id) WHERE rtt <= lim)
+SELECT capture_id, count(*) AS samples, round(regr_slope(y, x), 6) AS a FROM kept GROUP BY capture_id HAVING var_pop(x) > 0""")
+def clock_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jitter = 20000 + (F.col("seq") * 7919) % 50000 + F.when(F.col("seq") % 5 == 0, 4_000_000).otherwise(0)
+    rows = tables.samples(spark, sf_dir).select("capture_id", F.col("t_ns").alias("host_send_ns"), (F.col("t_ns") + jitter).alias("host_recv_ns"), F.call_function("div", F.col("t_ns"), F.lit(1000).cast("bigint")).alias("device_ticks"))
+    return timebase.clock_fit(rows).select("capture_id", "samples", F.round("a", 6).alias("a"))
+
+
+@registered(f"""WITH {EVENTS}, p AS (SELECT capture_id, seq, t_ns AS a, t_ns + value * 60000000000 AS b, lead(t_ns) OVER w AS c, lead(t_ns + value * 60000000000) OVER w AS d FROM ev WINDOW w AS (PARTITION BY capture_id ORDER BY t_ns, seq))
+SELECT capture_id, seq, a < d AND c < b AS overlaps, CASE WHEN a < d AND c < b THEN greatest(a, c) END AS from_ns, CASE WHEN a < d AND c < b THEN least(b, d) END AS to_ns, least(a, c) AS hull_from_ns, greatest(b, d) AS hull_to_ns FROM p WHERE c IS NOT NULL""")
+def span_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.operators.ordered import with_next
+
+    rows = tables.events(spark, sf_dir).withColumn("b", F.col("t_ns") + F.col("value") * 60_000_000_000)
+    pairs = with_next(rows, ("capture_id",), ("t_ns", "seq"), ("b",)).where("next IS NOT NULL")
+    return pairs.select("capture_id", "seq", *(c.alias(n) for n, c in timebase.overlap(F.col("t_ns"), F.col("b"), F.col("next.t_ns"), F.col("next.b")).items()))
+
+
+@registered(f"""WITH {EVENTS}, f AS (SELECT capture_id AS device, row_number() OVER (PARTITION BY capture_id ORDER BY t_ns, seq) - 1 AS arrival, CAST(seq % 256 AS INTEGER) AS seq, value <> 13 AS accepted FROM ev),
+n AS (SELECT *, lead(seq) OVER (PARTITION BY device ORDER BY arrival) AS nx FROM f WHERE accepted)
+SELECT device, count(*) AS accepted, count(*) FILTER (nx <> (seq + 1) % 256) AS gaps, CAST(coalesce(sum(CASE WHEN nx <> (seq + 1) % 256 THEN ((nx - seq - 1) % 256 + 256) % 256 ELSE 0 END), 0) AS BIGINT) AS missing FROM n GROUP BY device""")
+def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.operators.ordered import numbered
+
+    rows = numbered(tables.events(spark, sf_dir), ("capture_id",), ("t_ns", "seq"), name="arrival")
+    frames = rows.select(F.col("capture_id").alias("device"), "arrival", (F.col("seq") % 256).cast("int").alias("seq"), (F.col("value") != 13).alias("accepted"))
+    return gaps.sequence_gaps(frames, slice_rows=64)
+
+
+RULES = [
+    ("CLICK_TO_PURCHASE", "mean_energy_uj", "<=", 2.0e8), ("CLICK_TO_PURCHASE", "peak_current_ua", "<=", 1.0e9),
+    ("VIEW_TO_SIGNUP", "max_duration_ns", "<=", 1.0), ("VIEW_TO_SIGNUP", "occurrences", ">=", 1.0), ("NOT_DECLARED", "mean_energy_uj", "<=", 1.0),
+]
+CHECKED = STATS + """, rules(event, metric, comparison, lim) AS (VALUES ('CLICK_TO_PURCHASE', 'mean_energy_uj', '<=', 2.0e8::DOUBLE), ('CLICK_TO_PURCHASE', 'peak_current_ua', '<=', 1.0e9),
+  ('VIEW_TO_SIGNUP', 'max_duration_ns', '<=', 1.0), ('VIEW_TO_SIGNUP', 'occurrences', '>=', 1.0), ('NOT_DECLARED', 'mean_energy_uj', '<=', 1.0)),
+vals AS (SELECT r.*, s.name, CASE r.metric WHEN 'mean_energy_uj' THEN round(s.energy_nj_mean * 1e-3, 6) WHEN 'peak_current_ua' THEN s.peak_ua::DOUBLE WHEN 'max_duration_ns' THEN s.duration_ns_max::DOUBLE ELSE s.occurrences::DOUBLE END AS value,
+  concat_ws(', ', CASE WHEN s.unterminated > 0 THEN s.unterminated || ' unterminated' END, CASE WHEN s.orphaned > 0 THEN s.orphaned || ' orphaned' END, CASE WHEN s.unsampled > 0 THEN s.unsampled || ' unsampled' END) AS warnings
+  FROM rules r LEFT JOIN stats s ON s.name = r.event),
+checked AS (SELECT event, metric, comparison, lim AS "limit", value, coalesce(CASE comparison WHEN '<=' THEN value <= lim ELSE value >= lim END, false) AS passed,
+  CASE WHEN name IS NULL THEN 'unknown_event' WHEN CASE comparison WHEN '<=' THEN value <= lim ELSE value >= lim END THEN 'passed' WHEN comparison = '<=' THEN 'over_budget' ELSE 'under_budget' END AS outcome, warnings FROM vals)"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.evaluate(spark.createDataFrame(RULES, "event string, metric string, comparison string, limit double"), _stats(spark, sf_dir))
+
+
+@registered(CHECKED + " SELECT * FROM checked")
+def assert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).select("event", "metric", "comparison", "limit", "value", "passed", "outcome", "warnings")
+
+
+@registered(CHECKED + " SELECT count(*) AS rules, count(*) FILTER (NOT passed) AS failures, bool_and(passed) AS all_passed FROM checked")
+def assertion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.report(_checked(spark, sf_dir))
+
+
+@registered(STATS + """ SELECT name AS event, 'mean_energy_uj' AS metric, round(round(energy_nj_mean * 1e-3, 6) * (1 + 5.0 / 100), 6) AS "limit", round(energy_nj_mean * 1e-3, 6) AS value, true AS passed, 0.0::DOUBLE AS change_percent FROM stats""")
+def regression_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = _stats(spark, sf_dir)
+    return rules.evaluate(rules.regression_rules(now, now, 5.0), now, now).select("event", "metric", "limit", "value", "passed", "change_percent")
+
+
+@registered(f"""WITH {EVENTS} SELECT capture_id, seq, value::DOUBLE / 1000.0 AS milli, value::DOUBLE * 1000.0 AS kilo, value::DOUBLE AS plain, CAST(value * 1000000 AS BIGINT) AS duration_ns, value::DOUBLE / 100 AS ratio, CASE WHEN value >= 1 THEN value * 1000 END AS rate_hz, CAST(NULL AS DOUBLE) AS refused FROM ev""")
+def parse_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value").cast("string")
+    said = lambda s: F.concat(v, F.lit(s))
+    return tables.events(spark, sf_dir).select(
+        "capture_id", "seq", units.parse_quantity(said("mA"), "A").alias("milli"), units.parse_quantity(said(" k"), "J").alias("kilo"), units.parse_quantity(said("V"), "V").alias("plain"),
+        units.parse_duration_ns(said(" ms")).alias("duration_ns"), units.parse_ratio(said("%")).alias("ratio"), units.parse_rate_hz(said("kHz")).alias("rate_hz"), units.parse_quantity(said("e3A"), "A").alias("refused"),
+    )
+
+
+@registered(f"""WITH {EVENTS} SELECT capture_id, seq, CASE WHEN value = 0 THEN '0.000 A' WHEN value * 37 >= 1000 THEN printf('%d.%03d kA', value * 37 // 1000, value * 37 % 1000) ELSE printf('%d.000 A', value * 37) END AS quantity,
+CASE WHEN value < 1024 THEN value || ' B' END AS bytes FROM ev""")
+def format_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.events(spark, sf_dir).select("capture_id", "seq", units.format_quantity((F.col("value") * 37).cast("double"), "A").alias("quantity"), units.human_bytes(F.col("value")).alias("bytes"))
+
+
+@registered("""SELECT p_partkey, upper(regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g')) AS identifier, replace(replace(replace(replace('<' || p_name || '&"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
+CASE p_partkey % 20 WHEN 0 THEN 'NONE' WHEN 1 THEN 'UNSUPPORTED_FRAME' WHEN 2 THEN 'BAD_CONFIG' WHEN 3 THEN 'NOT_CONFIGURED' WHEN 4 THEN 'ALREADY_CAPTURING' WHEN 5 THEN 'NOT_CAPTURING' WHEN 16 THEN 'BUFFER_OVERFLOW' WHEN 17 THEN 'ADC_FAULT' WHEN 18 THEN 'OVERCURRENT' ELSE printf('0x%04X', p_partkey % 20) END AS error, p_partkey AS mask FROM part""")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return tables.table(spark, sf_dir, "part").select(
+        "p_partkey", text.c_identifier(F.col("p_name")).alias("identifier"), text.xml_escape(F.concat(F.lit("<"), "p_name", F.lit('&"'))).alias("escaped"),
+        text.error_name((key % 20).cast("int")).alias("error"), text.gpio_mask(F.concat(F.lit("0x"), F.hex(key))).alias("mask"),
+    )
+
+
+@registered(f"""WITH {SAMPLES} SELECT capture_id, min(t_ns) AS first_ns, max(t_ns) + 1 AS end_ns, count(*) AS samples, CASE WHEN count(*) > 1 THEN round((count(*) - 1)::DOUBLE * 1e9 / (max(t_ns) - min(t_ns))::DOUBLE, 9) ELSE 0.0 END AS rate_hz FROM samples GROUP BY capture_id""")
+def capture_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.spans(tables.samples(spark, sf_dir))
+
+
+@registered(f"WITH {SAMPLES} SELECT capture_id, k.code, k.kind, count(*) AS rows FROM samples, (VALUES (1, 'samples'), (2, 'events'), (3, 'gpio')) k(code, kind) GROUP BY capture_id, k.code, k.kind")
+def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture.chunk_counts(samples=tables.samples(spark, sf_dir), events=tables.events(spark, sf_dir), gpio=tables.gpio(spark, sf_dir))
+
+
+@registered(GAPS + """, s AS (SELECT capture_id, min(t_ns) AS first_ns, max(t_ns) + 1 AS end_ns, count(*) AS samples, CASE WHEN count(*) > 1 THEN round((count(*) - 1)::DOUBLE * 1e9 / (max(t_ns) - min(t_ns))::DOUBLE, 9) ELSE 0.0 END AS rate_hz FROM samples GROUP BY capture_id),
+e AS (SELECT capture_id, count(*) AS events, count(DISTINCT id) AS distinct_ids FROM ev GROUP BY capture_id), g AS (SELECT capture_id, count(*) AS gaps, CAST(sum(end_ns - start_ns) AS BIGINT) AS missing_ns FROM gaps GROUP BY capture_id)
+SELECT s.*, coalesce(events, 0) AS events, coalesce(distinct_ids, 0) AS distinct_ids, coalesce(gaps, 0) AS gaps, coalesce(missing_ns, 0) AS missing_ns, true AS has_voltage, coalesce(gaps, 0) = 0 AS is_clean, round(rate_hz / (1.0::DOUBLE / 3600), 6) AS rate_ratio
+FROM s LEFT JOIN e USING (capture_id) LEFT JOIN g USING (capture_id)""")
+def capture_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = tables.samples(spark, sf_dir)
+    return capture.info(samples, tables.events(spark, sf_dir), gaps.time_gaps(samples, RATE_HZ), RATE_HZ)
+
+
+@registered(f"""WITH {SAMPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY t_ns, seq) - 1 AS k, (current_ua::BIGINT * voltage_uv + 500) // 1000 AS p FROM samples)
+SELECT capture_id, seq, printf('%d.%09d', t_ns // 1000000000, t_ns % 1000000000) AS time_s, CAST(current_ua AS VARCHAR) AS "current_uA", CAST(voltage_uv AS VARCHAR) AS "voltage_uV", printf('%d.%03d', p // 1000, p % 1000) AS "power_uW" FROM r WHERE k % 10 = 0""")
+def export_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.sample_rows(tables.samples(spark, sf_dir), 10)
+
+
+@registered(NAMED + """ SELECT capture_id, seq, printf('%d.%09d', t_ns // 1000000000, t_ns % 1000000000) AS time_s, printf('0x%04X', e.id) AS event_id, coalesce(i.name, printf('0x%04X', e.id)) AS name, coalesce(CAST(value AS VARCHAR), '') AS value FROM ev e LEFT JOIN ids i USING (id)""")
+def export_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.event_rows(tables.events(spark, sf_dir), tables.event_defs(spark))
+
+
+@registered(f"""WITH {EVENTS} SELECT capture_id, seq, printf('%d.%09d', t_ns // 1000000000, t_ns % 1000000000) AS time_s, printf('0x%04X', (value * 517 + seq) % 65536) AS state FROM ev""")
+def export_gpio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.gpio_rows(tables.gpio(spark, sf_dir))
