@@ -547,3 +547,83 @@ def export_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"""WITH {EVENTS} SELECT capture_id, seq, printf('%d.%09d', t_ns // 1000000000, t_ns % 1000000000) AS time_s, printf('0x%04X', (value * 517 + seq) % 65536) AS state FROM ev""")
 def export_gpio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.gpio_rows(tables.gpio(spark, sf_dir))
+
+
+# Bytes, files and streams: the result must be what went in, or what the batch operator gives.
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.operators.ordered import numbered
+
+    rows = numbered(tables.samples(spark, sf_dir), ("capture_id",), ("t_ns", "seq"))
+    return rows.withColumn("device", F.col("capture_id")).withColumn("ticks", F.call_function("div", F.col("t_ns"), F.lit(1000).cast("bigint")) % (1 << 32))
+
+
+def _halves(frames: DataFrame) -> DataFrame:
+    """Each frame in two chunks, as a line might deliver it."""
+    cut = F.floor(F.length("bytes") / 3).cast("int")
+    parts = F.array(F.struct((2 * F.col("chunk")).alias("chunk"), F.substring(F.col("bytes"), F.lit(1), cut).alias("bytes")), F.struct((2 * F.col("chunk") + 1).alias("chunk"), F.substring(F.col("bytes"), cut + 1, F.lit(1 << 20)).alias("bytes")))
+    return frames.select("device", F.explode(parts).alias("p")).select("device", "p.chunk", "p.bytes")
+
+
+@registered(f"WITH {SAMPLES} SELECT capture_id AS device, (t_ns // 1000) % 4294967296 AS ticks, current_ua, voltage_uv FROM samples")
+def wire_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.sources import wire
+
+    chunks = _halves(wire.encoded_samples(_numbered(spark, sf_dir)))
+    return wire.samples(wire.frames(chunks)).select("device", "ticks", "current_ua", "voltage_uv")
+
+
+@registered(f"""WITH {SAMPLES}, b AS (SELECT capture_id AS device, generate_series AS chunk FROM (SELECT capture_id, (count(*) - 1) // 8 AS last FROM samples GROUP BY capture_id) t, generate_series(0, last)),
+k AS (SELECT *, lead(chunk) OVER (PARTITION BY device ORDER BY chunk) AS nx FROM b WHERE chunk % 5 <> 2)
+SELECT device, count(*) AS frames, count(*) FILTER (nx <> chunk + 1) AS seq_gaps, (SELECT count(*) FROM b WHERE b.device = k.device AND b.chunk % 5 = 2) AS cobs_errors, count(*) FILTER (chunk % 5 = 3) AS resyncs FROM k GROUP BY device""")
+def wire_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth frame gives way to a region that no encoder makes."""
+    from joulegrid.sources import wire
+
+    frames = wire.encoded_samples(_numbered(spark, sf_dir), 8)
+    torn = frames.withColumn("bytes", F.when(F.col("chunk") % 5 == 2, F.unhex(F.lit("090100"))).otherwise(F.col("bytes")))
+    return wire.counters(wire.frames(_halves(torn))).select("device", "frames", "seq_gaps", "cobs_errors", "resyncs")
+
+
+@registered(f"WITH {SAMPLES} SELECT capture_id, t_ns, current_ua, voltage_uv FROM samples")
+def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.shared import new_folder
+    from joulegrid.sinks.capture_writer import write_captures
+    from joulegrid.sources.capture_file import register
+
+    register(spark)
+    folder = new_folder(spark, "captures")
+    write_captures(tables.samples(spark, sf_dir), folder, 10 * DAY_NS)
+    rows = spark.read.format("powercapture").option("kind", "samples").load(folder)
+    return rows.select(F.regexp_extract("capture_id", r"^(.*)-[0-9]+$", 1).alias("capture_id"), "t_ns", "current_ua", "voltage_uv")
+
+
+def _live(spark: SparkSession, sf_dir: str, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    from joulegrid.streaming.run import replay
+
+    return read(replay(spark, f"{sf_dir}/events.parquet"))
+
+
+@registered(GAPS + " SELECT capture_id, start_ns, end_ns, lost_estimate FROM gaps")
+def stream_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.streaming import devices, run
+
+    return run.drained(devices.time_gaps(_live(spark, sf_dir, tables.as_samples), RATE_HZ))
+
+
+@registered(UNWRAPPED.replace("row_number() OVER (PARTITION BY capture_id ORDER BY t_ns, seq) - 1 AS arrival", "seq AS arrival") + " SELECT *, epoch * 4294967296 + ticks AS full_ticks FROM u")
+def stream_tick_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.streaming import devices, run
+
+    millis = F.call_function("div", F.col("t_ns"), F.lit(1_000_000).cast("bigint"))
+    rows = _live(spark, sf_dir, tables.as_samples).select(F.col("capture_id").alias("device"), F.col("seq").alias("arrival"), (millis % (1 << 32)).alias("ticks"))
+    return run.drained(devices.unwrapped(rows))
+
+
+@registered(PAIRS + " SELECT capture_id, name, seq, start_ns, end_ns, status FROM pairs WHERE status <> 'unterminated'")
+def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.streaming import devices, run
+
+    marks = pairing.marks(_live(spark, sf_dir, tables.as_events), tables.event_defs(spark))
+    return run.drained(devices.pairs(marks.select("capture_id", "name", "seq", "t_ns", "step")))

@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def as_samples(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.col("user_id").cast("string").alias("capture_id"),
         F.col("event_id").alias("seq"),
         F.expr(NANOS).alias("t_ns"),
@@ -31,9 +31,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_events(rows: DataFrame) -> DataFrame:
     ids = F.create_map(*[F.lit(x) for pair in TYPE_IDS.items() for x in pair])
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         F.col("user_id").cast("string").alias("capture_id"),
         F.col("event_id").alias("seq"),
         F.expr(NANOS).alias("t_ns"),
@@ -42,6 +42,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_samples(table(spark, sf_dir, "events"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_events(table(spark, sf_dir, "events"))
+
+
 def event_defs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DEFINITIONS, EVENT_DEFS)
 
