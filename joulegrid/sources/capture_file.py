@@ -35,7 +35,7 @@ UNIFORM, VOLTAGE, CURRENT_DELTA = 1, 2, 4
 NO_TIME = 2**64 - 1
 HEADER = struct.Struct("<8sHHIQQIIII16s16sQiiIIQIQ")
 CHUNK = struct.Struct("<4sHHIIQQI")
-ENTRY = struct.Struct("<HHQIIQ")
+ENTRY = struct.Struct("<HHQIIQI")
 
 SCHEMAS = {
     "samples": "capture_id string, seq long, t_ns long, current_ua int, voltage_uv long",
@@ -324,7 +324,7 @@ def capture_bytes(chunks: list[tuple[int, bytes, int, int, int]], compression: i
     body, entries, at = [], [], HEADER_LEN
     for kind, content, first, last, records in chunks:
         raw = packed_chunk(kind, content, first, last, compression)
-        entries.append(ENTRY.pack(kind, 0, at, len(raw) - CHUNK_LEN, records, first))
+        entries.append(ENTRY.pack(kind, 0, at, len(raw) - CHUNK_LEN, records, first, 0))
         body.append(raw)
         at += len(raw)
     footer = 0
