@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense text features, with isotonic calibration.
 
-A lexicon of words and word beginnings is learned on one part of a bounded sample of labelled documents, trees on
-another and the calibration on a third. Features are densities and rates of whole texts; features are computed in
+A lexicon of words and word beginnings, the trees and the calibration are learned on a bounded sample of labelled
+documents, cross-fitted in two halves. Features are densities and rates of whole texts; features are computed in
 Arrow batches, trees and calibration are Spark ML's.
 """
 
@@ -152,19 +152,37 @@ def with_features(rows: DataFrame, text: str, lexicon: dict[str, float], name: s
     return batches(rows, make, schema, text)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, folds: int = 4, fold: int = 2, rounds: int = 25, depth: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, folds: int = 4, fold: int = 2, rounds: int = 20, depth: int = 4) -> Model:
+    """Cross-fitted in two halves, so that few labels go far and nothing is fitted to what it was made from.
+
+    Each half's features come from the other half's lexicon, and its raw scores for the calibration from trees of the
+    other half; the final lexicon and trees are learned from both. With labels of one kind the score is their mean.
+    """
     sample = labelled_sample(docs, labels, sample_rows, folds, fold)
     base = sample.agg(F.avg("label")).first()[0] or 0.0
-    lexicon = learn_lexicon(sample.where("part < 4"))
-    rows = settle(with_features(sample.where("part >= 4").select("label", "part", "text"), "text", lexicon).select("label", "part", array_to_vector("features").alias("features")))
-    fitted, calibrating = rows.where("part < 8"), rows.where("part >= 8")
-    if fitted.select("label").distinct().count() < 2:
-        return Model(lexicon, None, None, base)
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, minInstancesPerNode=5, seed=1).fit(fitted.coalesce(4))
-    raw = trees.transform(calibrating).select("label", vector_to_array("probability")[1].alias("raw"))
-    if calibrating.select("label").distinct().count() < 2:
-        return Model(lexicon, trees, None, base)
-    return Model(lexicon, trees, IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw), base)
+    half = [sample.where(F.col("part") % 2 == k) for k in (0, 1)]
+    lexicons = [learn_lexicon(h) for h in half]
+    made = [with_features(h.select("label", "part", "text"), "text", lexicons[1 - k]) for k, h in enumerate(half)]
+    rows = settle(made[0].union(made[1]).select("label", "part", array_to_vector("features").alias("features")).coalesce(4))
+
+    def trees(known: DataFrame) -> GBTClassificationModel | None:
+        if known.select("label").distinct().count() < 2:
+            return None
+        return GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.2, subsamplingRate=0.8, minInstancesPerNode=4, seed=1).fit(known)
+
+    final = trees(rows)
+    if final is None:
+        return Model({}, None, None, base)
+    raw = None
+    for k in (0, 1):
+        other = trees(rows.where(F.col("part") % 2 == 1 - k))
+        if other is not None:
+            some = other.transform(rows.where(F.col("part") % 2 == k)).select("label", vector_to_array("probability")[1].alias("raw"))
+            raw = some if raw is None else raw.union(some)
+    lexicon = learn_lexicon(sample)
+    if raw is None or raw.select("label").distinct().count() < 2:
+        return Model(lexicon, final, None, base)
+    return Model(lexicon, final, IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw), base)
 
 
 def scored(model: Model, rows: DataFrame, text: str, score: str) -> DataFrame:
