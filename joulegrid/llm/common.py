@@ -34,7 +34,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, size_of: str | None = None, most: int = 4 << 20
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, size_of: str | None = None, most: int = 2 << 20
 ) -> DataFrame:
     """Run ``make()`` once in each task and its result on every Arrow batch, cut to about ``most`` bytes of ``size_of``."""
 
@@ -49,7 +49,7 @@ def batches(
     return df.mapInArrow(run, schema)
 
 
-def sliced(batch: pa.RecordBatch, column: str | None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: str | None, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     if column is None or batch.num_rows == 0:
         yield batch
         return

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from joulegrid.llm.common import batches, id_crc
 
 UNKNOWN = "und"
+#: Bytes of text in a batch: numbers for each character take some hundred times as much.
+SMALL = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -80,7 +82,7 @@ def train(docs: DataFrame, may_learn: Column, buckets: int = 1 << 16, sample_row
 
         return work
 
-    counts = batches(sample, make, "lang string, bucket int, n long", "text").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = batches(sample, make, "lang string, bucket int, n long", "text", SMALL).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     table = np.zeros((buckets + 1, len(languages)))
     table[counts["bucket"], np.searchsorted(languages, counts["lang"])] = counts["n"]
@@ -131,7 +133,7 @@ def identify(docs: DataFrame, folds: int = 5, fold: int = 0, **options) -> DataF
         return work
 
     rows = docs.select(F.col("doc_id").cast("long"), is_held_out(folds, fold).alias("held_out"), F.col("text").cast("string"))
-    return batches(rows, make, "doc_id long, held_out boolean, lang_pred string, score double", "text")
+    return batches(rows, make, "doc_id long, held_out boolean, lang_pred string, score double", "text", SMALL)
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5, **options) -> DataFrame:
@@ -145,4 +147,4 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, **options) -> Dat
 
         return work
 
-    return batches(docs, make, docs.schema, "text")
+    return batches(docs, make, docs.schema, "text", SMALL)
