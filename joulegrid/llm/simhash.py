@@ -20,7 +20,6 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from joulegrid.llm.common import batches, settle
 
@@ -270,34 +269,3 @@ def near_duplicates(docs: DataFrame, most: int = 2, shingle: int = 3) -> DataFra
     marked = settle(fingerprints(docs, shingle))
     held = classes(marked, most)
     return marked.join(held, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one_of_each(docs: DataFrame, most: int = 2, shingle: int = 3) -> DataFrame:
-    """Rows of ``docs``, all columns as they are: of each component the row with its least doc_id.
-
-    Where several rows have that id (repeated rows, or a component without ids), one of them stays.
-    """
-
-    def make():
-        def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            f = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
-            return pa.record_batch([b.column("row"), b.column("doc_id"), pa.array(f.view(np.int64))], ["row", "doc_id", "fingerprint"])
-
-        return work
-
-    marked = settle(fingerprints(docs, shingle))
-    held = classes(marked, most)
-    # Ids and fingerprints of the rows that stay are known before any text is moved.
-    first = marked.join(held, "fingerprint").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = settle(first.groupBy("root", F.col("doc_id").alias("keep_id")).agg(F.min("fingerprint").alias("keep_print")))
-    repeated = settle(marked.groupBy(F.col("doc_id").alias("again")).agg(F.count("*").alias("n")).where("n > 1"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    if repeated.isEmpty():
-        return rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi").select("row.*")
-    # An id that stands in several rows does not tell which of them stays; their fingerprints do.
-    is_again = F.col("doc_id").eqNullSafe(F.col("again"))
-    once = rows.join(repeated, is_again, "left_anti").join(chosen, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    schema = T.StructType([rows.schema["row"], T.StructField("doc_id", T.LongType()), T.StructField("fingerprint", T.LongType())])
-    several = batches(rows.join(repeated, is_again, "left_semi"), make, schema, "text")
-    same = (F.col("fingerprint") == F.col("keep_print")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return once.select("row.*").union(several.join(chosen, same).dropDuplicates(["root"]).select("row.*"))

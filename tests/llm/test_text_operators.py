@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from joulegrid.llm import langid, lexicon_bpe, packing, privacy, quality, seekable, simhash, toxicity
+from joulegrid.llm import langid, lexicon_bpe, near_copies, packing, privacy, quality, seekable, simhash, toxicity
 from joulegrid.llm.common import shared_dir
 from joulegrid.llm.tokens import WordIds
 from tests.conftest import DATA
@@ -182,12 +182,59 @@ def test_simhash_components(spark, docs, empty):
         got = simhash.near_duplicates(data).collect()
         assert sorted(map(tuple, got), key=repr) == sorted(((i, f"{f:016x}", c) for (i, f), c in zip(held, want, strict=True)), key=repr)
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.keep_one_of_each(df).collect()
-    held = [(r["doc_id"], brute_fingerprint(r["text"])) for r in df.collect()]
-    assert len(kept) == len(set(brute_components([f for _, f in held], list(range(len(held))))))
-    again = df.union(df)
-    assert len(simhash.keep_one_of_each(again).collect()) == len(kept)
-    assert simhash.keep_one_of_each(df).columns == df.columns
+
+
+def changed(text, share, seed):
+    r = random.Random(seed)
+    return " ".join(w + "x" if r.random() < share else w for w in text.split())
+
+
+def test_near_copies_are_found_and_others_stay(spark, empty):
+    texts = []
+    for k in range(12):
+        words = PROSE.split()
+        random.Random(k).shuffle(words)
+        base = " ".join(words[:400])
+        texts += [base, base, changed(base, 0.01, k), changed(base, 0.02, k + 50)]
+    texts += [None, "", "a", "a b", "one two three four five six", "six five four three two one seven"]
+    df = spark.createDataFrame([(k, t, "en", None, 0, "f", 1, 2) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    for block in (4, 1024):
+        marked = near_copies.wide_fingerprints(df)
+        got = {(r["high"], r["low"]): r["component_id"] for r in near_copies.near_copy_classes(marked, block=block).collect()}
+        of = {r["doc_id"]: got[r["high"], r["low"]] for r in marked.collect()}
+        for k in range(0, 48, 4):
+            assert [of[k + j] for j in range(4)] == [k] * 4
+        assert len({of[k] for k in range(48, 54)}) == 5  # null and empty texts are alike
+    kept = near_copies.keep_one_of_each(df)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(0, 49, 4), 50, 51, 52, 53]
+    assert kept.columns == df.columns and near_copies.keep_one_of_each(empty).count() == 0
+    assert near_copies.keep_one_of_each(df.union(df)).count() == kept.count()
+
+
+def test_rotation_keeps_all_bits():
+    r = np.random.default_rng(1)
+    high, low = (r.integers(0, 2**64, 9, dtype=np.uint64) for _ in range(2))
+    whole = [(int(a) << 64) | int(b) for a, b in zip(high, low, strict=True)]
+    for n in (0, 8, 63, 64, 72, 120):
+        got = [(int(a) << 64) | int(b) for a, b in zip(*near_copies.rotated(high, low, n), strict=True)]
+        assert got == [((w << n) | (w >> (128 - n))) & (2**128 - 1) for w in whole]
+
+
+def test_slice_links_equal_brute_force():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**64, (40, 2), dtype=np.uint64)
+    rows = [tuple(x) for x in base.tolist()]
+    for h, w in rows[:]:
+        for _ in range(3):
+            flips = r.choice(128, r.integers(0, 30), replace=False)
+            m = sum(1 << int(f) for f in flips)
+            rows.append((h ^ (m >> 64), w ^ (m & (2**64 - 1))))
+    t = np.array(rows, np.uint64)
+    t = t[np.argsort(simhash.gray_rank(t[:, 0]))]
+    top = np.uint64(0xFFFF << 48)
+    got = set(zip(*(x.tolist() for x in near_copies.links(t, t, top, 1, 26)), strict=True))
+    want = {(i, j) for i in range(len(t)) for j in range(len(t)) if np.bitwise_count(t[i] ^ t[j]).sum() <= 26 and np.bitwise_count((t[i, 0] ^ t[j, 0]) & top) <= 1}
+    assert got == want
 
 
 def test_blocks_find_every_link(spark):
