@@ -1,0 +1,97 @@
+"""Simulated devices of any length: each row is a function of its own number and a seed, so rows are made in parallel.
+
+A device idles and goes through its states once a cycle. Current approaches a state's level exponentially, carries
+Gaussian noise and is rounded to the converter's step; the supply droops with the current. Noise comes from hashes of
+(seed, row), so equal seeds give equal rows however they are partitioned.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class State:
+    name: str
+    current_ua: float
+    sigma_ua: float
+    duration_us: float
+    tau_us: float
+    start_id: int
+    stop_id: int
+
+
+@dataclass(frozen=True)
+class Profile:
+    idle: State
+    states: tuple[State, ...]
+    cycle_us: float
+    supply_uv: int = 3_300_000
+    esr_milliohm: float = 150.0
+
+
+def _sensor(tx_us: float) -> Profile:
+    idle = State("IDLE", 3000.0, 50.0, 0.0, 200.0, 0x0501, 0x0502)
+    return Profile(idle, (State("SENSOR_READ", 27_000.0, 400.0, 2000.0, 30.0, 0x0201, 0x0202), State("BLE_TX", 78_000.0, 1500.0, tx_us, 50.0, 0x0101, 0x0102)), 100_000.0)
+
+
+#: Fixed values (microamperes, microseconds, ids): a radio sensor node, and the same after its transmission became longer.
+PROFILES = {"ble-sensor": _sensor(950.0), "ble-sensor-regressed": _sensor(1150.0)}
+FIRST_STATE_US = 20_000.0
+
+
+def uniform(seed: int, *by: Column) -> Column:
+    """A number above 0 and at most 1 that depends on the seed and these columns alone."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 52)).cast("double") + 1) / F.lit(float(1 << 52))
+
+
+def gaussian(seed: int, *by: Column) -> Column:
+    return F.sqrt(-2 * F.ln(uniform(seed, *by))) * F.cos(2 * F.pi() * uniform(seed + 1, *by))
+
+
+def _windows(profile: Profile) -> list[tuple[float, float, State]]:
+    out, at = [], FIRST_STATE_US
+    for s in profile.states:
+        out.append((at, at + s.duration_us, s))
+        at += s.duration_us + 1000
+    return out
+
+
+def samples(spark: SparkSession, profile: str, seconds: float, rate_hz: int = 50_000, seed: int = 0, capture_id: str = "sim", step_ua: float = 10.0) -> DataFrame:
+    p = PROFILES[profile]
+    rows = spark.range(int(seconds * rate_hz)).withColumnRenamed("id", "seq")
+    t_ns = F.call_function("div", F.col("seq") * 1_000_000_000, F.lit(rate_hz).cast("bigint"))
+    us = (t_ns % int(p.cycle_us * 1000)).cast("double") / 1000
+    level, sigma = F.lit(p.idle.current_ua), F.lit(p.idle.sigma_ua)
+    for begin, end, s in _windows(p):
+        rise = s.current_ua - (s.current_ua - p.idle.current_ua) * F.exp(-(us - begin) / s.tau_us)
+        reached = s.current_ua - (s.current_ua - p.idle.current_ua) * F.exp(F.lit(-s.duration_us / s.tau_us))
+        fall = p.idle.current_ua + (reached - p.idle.current_ua) * F.exp(-(us - end) / p.idle.tau_us)
+        level = F.when((us >= begin) & (us < end), rise).when((us >= end) & (us < end + 1000), fall).otherwise(level)
+        sigma = F.when((us >= begin) & (us < end), s.sigma_ua).otherwise(sigma)
+    current = F.round((level + sigma * gaussian(seed, F.col("seq"))) / step_ua) * step_ua
+    voltage = F.lit(p.supply_uv) - F.round(current * p.esr_milliohm / 1000)
+    return rows.select(F.lit(capture_id).alias("capture_id"), "seq", t_ns.alias("t_ns"), current.cast("int").alias("current_ua"), voltage.cast("bigint").alias("voltage_uv"))
+
+
+def events(spark: SparkSession, profile: str, seconds: float, capture_id: str = "sim") -> DataFrame:
+    """Start and stop of every state of every whole cycle."""
+    p = PROFILES[profile]
+    marks = [m for a, b, s in _windows(p) for m in ((a, s.start_id), (b, s.stop_id))]
+    cycles = spark.range(int(seconds * 1e6 // p.cycle_us))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(int(us * 1000)).alias("at"), F.lit(i).alias("id")) for k, (us, i) in enumerate(marks)])).alias("m")
+    return cycles.select("id", each).select(
+        F.lit(capture_id).alias("capture_id"), (F.col("id") * len(marks) + F.col("m.k")).alias("seq"), (F.col("id") * int(p.cycle_us * 1000) + F.col("m.at")).alias("t_ns"),
+        F.col("m.id").alias("id"), F.lit(None).cast("bigint").alias("value"),
+    )
+
+
+def with_faults(rows: DataFrame, seed: int = 0, lose: float = 0.001) -> DataFrame:
+    """Samples of which some runs of 50 are lost; the first after a run knows that some are missing."""
+    run = F.floor(F.col("seq") / 50)
+    lost = uniform(seed + 2, run) <= lose
+    after = (F.col("seq") % 50 == 0) & (uniform(seed + 2, run - 1) <= lose) & (run > 0)
+    return rows.where(~lost).withColumn("overflow_before", after)

@@ -38,6 +38,10 @@ TYPES = {
 SIZES = {0x01: 8, 0x02: 72, 0x03: 24, 0x05: 0, 0x06: 0, 0x13: 16, 0x14: 12, 0x7F: 16}
 EXPLICIT_TS, NO_VOLTAGE, OVERFLOW_BEFORE, DELTA16 = 1, 2, 4, 8
 
+#: DEVICE_INFO: its layout, and its whole-number fields in order.
+DEVICE = struct.Struct("<IHH16s16sQIIiIHHHH")
+DEVICE_FIELDS = ("magic", "proto_version", "device_type", "timer_hz", "max_sample_rate_hz", "shunt_micro_ohm", "adc_full_scale_ua", "channel_count", "gpio_count", "caps")
+
 FRAMES = "device string, arrival long, status string, type int, seq int, payload binary"
 
 
@@ -241,6 +245,28 @@ def errors(decoded: DataFrame) -> DataFrame:
     return unpacked(decoded, "ERROR", _fields("<HHIII", ("code", "detail", "dropped_samples", "buffer_overflows", "context")), "code long, detail long, dropped_samples long, buffer_overflows long, context long")
 
 
+def hellos(decoded: DataFrame) -> DataFrame:
+    return unpacked(decoded, "HELLO", _fields("<HHI", ("proto_version", "nonce", "reserved")), "proto_version long, nonce long, reserved long")
+
+
+def configs(decoded: DataFrame) -> DataFrame:
+    names = ("sample_rate_hz", "averaging", "conv_time_code", "gpio_mask", "shunt_micro_ohm", "flags", "reserved")
+    return unpacked(decoded, "CONFIG", _fields("<IHHIiII", names), ", ".join(f"{n} long" for n in names))
+
+
+def _device(payload: bytes) -> dict:
+    v = DEVICE.unpack(payload)
+    out = {n: np.array([x], np.int64) for n, x in zip(DEVICE_FIELDS, (*v[:3], *v[6:-1]), strict=True)}
+    texts = [x.split(b"\0")[0].decode("ascii", "ignore") for x in v[3:5]]
+    return out | {"serial": pa.array([texts[0]]), "fw_version": pa.array([texts[1]]), "fw_build_id": pa.array([str(v[5])])}
+
+
+def device_infos(decoded: DataFrame) -> DataFrame:
+    """What devices say of themselves; a build id uses all 64 bits and so is DECIMAL(20,0)."""
+    schema = ", ".join(f"{n} long" for n in DEVICE_FIELDS) + ", serial string, fw_version string, fw_build_id string"
+    return unpacked(decoded, "DEVICE_INFO", _device, schema).withColumn("fw_build_id", F.col("fw_build_id").cast("decimal(20,0)"))
+
+
 def unknown(decoded: DataFrame) -> DataFrame:
     """Good frames of types that this version does not know, with their payloads."""
     return decoded.where((F.col("status") == "ok") & ~F.col("type").isin(*TYPES.values()))
@@ -254,6 +280,17 @@ def sample_block(ticks: list[int], current: list[int], voltage: list[int] | None
     return struct.pack("<IIHH", ticks[0] if ticks else 0, period, len(current), flags) + rows
 
 
+def event_block(rows: list[tuple[int, int, int | None]]) -> bytes:
+    """Payload of (ticks, id, value) events; ten bytes each if one of them has a value, else six."""
+    valued = any(v is not None for _, _, v in rows)
+    records = b"".join(struct.pack("<IHI", t, i, v or 0) if valued else struct.pack("<IH", t, i) for t, i, v in rows)
+    return struct.pack("<HH", len(rows), 10 if valued else 6) + records
+
+
+def gpio_block(rows: list[tuple[int, int]]) -> bytes:
+    return struct.pack("<HH", len(rows), 0) + b"".join(struct.pack("<IH", t, s) for t, s in rows)
+
+
 def encoded_samples(rows: DataFrame, block: int = 64) -> DataFrame:
     """device, chunk, bytes: frames of up to ``block`` samples out of (device, n, ticks, current_ua, voltage_uv) rows."""
     held = rows.groupBy("device", F.floor(F.col("n") / block).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("n", "ticks", "current_ua", "voltage_uv"))).alias("rows"))

@@ -173,3 +173,79 @@ def test_stream_fans_out(spark, tmp_path):
     run.fan_out(stream, {"low": lambda b: b.where("seq < 4"), "high": lambda b: b.where("seq >= 4")}, str(tmp_path / "out")).awaitTermination()
     assert (spark.read.parquet(str(tmp_path / "out/low")).count(), spark.read.parquet(str(tmp_path / "out/high")).count()) == (4, 6)
     assert pairing.marks(spark.createDataFrame([("c", 0, 1, 9, None)], "capture_id string, seq long, t_ns long, id int, value long"), spark.createDataFrame([("P", 9, None, None, None, 0)], EVENT_DEFS)).count() == 0
+
+
+def test_device_names():
+    from joulegrid.sources.uri import Device, InvalidDevice, parse
+
+    assert parse("") == parse("AUTO") == Device("auto")
+    assert parse("sim://ble-sensor?seed=1_0&rate=5") == Device("sim", "ble-sensor", {"seed": 10, "rate": 5})
+    assert parse("serial:COM7?baud=9600").options == {"baud": 9600} and parse("/dev/ttyACM0").kind == "serial"
+    assert parse("tcp://host:90").place == "host:90" and parse("file://a b").place == "a b"
+    for bad in ("nothing", "sim://x?rate=0", "sim://x?pace=1", "serial:", "tcp://host", "serial:COM1?baud=x"):
+        with pytest.raises(InvalidDevice):
+            parse(bad)
+
+
+def test_simulated_budget(spark):
+    from joulegrid.plans import analysis, budgets
+    from joulegrid.sources import simulate
+
+    defs = spark.createDataFrame([("BLE_TX", 0x0101, 0x0102, "radio", None, 0)], EVENT_DEFS)
+    stats = {}
+    for profile in simulate.PROFILES:
+        tables = analysis.Tables(simulate.samples(spark, profile, 0.5), simulate.events(spark, profile, 0.5), defs)
+        stats[profile] = analysis.event_table(tables).checkpoint()
+    good, worse = (stats[p].first()["energy_nj_mean"] / 1000 for p in simulate.PROFILES)
+    assert good == pytest.approx(232, rel=0.05) and worse == pytest.approx(282, rel=0.05)
+    made = budgets.rules_from_options(spark, stats["ble-sensor"], max_energy="260uJ", min_occurrences=3)
+    assert budgets.exit_code(budgets.judged(made, stats["ble-sensor"])) == 0
+    failed = budgets.judged(made, stats["ble-sensor-regressed"])
+    assert budgets.exit_code(failed) == 1 and "FAIL BLE_TX mean_energy_uj" in budgets.as_text(failed)
+    assert '"passed": false' in budgets.as_json(failed) and 'failures="1"' in budgets.as_junit(failed)
+    drift = budgets.rules_from_options(spark, stats["ble-sensor-regressed"], baseline=stats["ble-sensor"], tolerance="5%")
+    assert not budgets.passed(budgets.judged(drift, stats["ble-sensor-regressed"], stats["ble-sensor"]))
+    with pytest.raises(budgets.NoRules):
+        budgets.rules_from_options(spark, stats["ble-sensor"])
+    assert not budgets.passed([])
+
+
+def test_simulated_faults_are_found(spark):
+    from joulegrid.sources import simulate
+
+    rows = simulate.with_faults(simulate.samples(spark, "ble-sensor", 0.5), lose=0.05)
+    found = gaps.time_gaps(rows, 50_000)
+    assert found.count() > 5 and {r["cause"] for r in found.collect()} == {"device_overflow"}
+    assert found.agg({"lost_estimate": "sum"}).first()[0] <= 25_000 - rows.count()
+
+
+def test_other_frames(spark):
+    info = wire.DEVICE.pack(0x46525050, 0x0100, 1, b"SN1\0x", b"v1", 2**64 - 1, 1_000_000, 50_000, -5, 9, 1, 16, 3, 0)
+    sent = [wire.frame(0x02, 0, info), wire.frame(0x01, 1, struct.pack("<HHI", 256, 7, 0)), wire.frame(0x03, 2, struct.pack("<IHHIiII", 1000, 0, 0, 3, -1, 0, 0)), wire.frame(0x11, 3, wire.event_block([(1, 2, None), (3, 4, None)])), wire.frame(0x12, 4, wire.gpio_block([(5, 6)])), wire.frame(0x14, 5, struct.pack("<III", 1, 2, 3))]
+    decoded = wire.frames(spark.createDataFrame([("d", 0, b"".join(sent))], "device string, chunk long, bytes binary"))
+    d = wire.device_infos(decoded).first()
+    assert (d["serial"], d["fw_version"], d["shunt_micro_ohm"], int(d["fw_build_id"]), d["gpio_count"]) == ("SN1", "v1", -5, 2**64 - 1, 16)
+    assert wire.hellos(decoded).first()["nonce"] == 7 and wire.configs(decoded).first()["shunt_micro_ohm"] == -1
+    assert [(r["ticks"], r["id"], r["value"]) for r in wire.events(decoded).orderBy("record").collect()] == [(1, 2, None), (3, 4, None)]
+    assert wire.gpio(decoded).first()["state"] == 6 and wire.markers(decoded).first()["marker_id"] == 2 and wire.unknown(decoded).count() == 0
+
+
+def test_tables_and_levels(spark, tmp_path):
+    from joulegrid.functions import devices as named
+    from joulegrid.operators import buckets
+    from joulegrid.sinks import tables
+
+    df = spark.createDataFrame([("c", k, k * 10**6, k % 50, 1) for k in range(3000)], SAMPLES)
+    seen_df, seen = tables.counted(df, "passed")
+    tables.write_samples(seen_df, str(tmp_path / "s"), 10**9, 2)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 3000 and seen.get["rows"] == 3000
+    tables.write_levels(df, str(tmp_path / "l"))
+    levels = tables.read_levels(spark, str(tmp_path / "l"))
+    want = buckets.with_mean(buckets.summary_level(df, 10**9)).select("bucket", "max_ua", "mean_ua", "count")
+    assert sorted(map(tuple, buckets.with_mean(levels[10**9]).select("bucket", "max_ua", "mean_ua", "count").collect())) == sorted(map(tuple, want.collect()))
+    rows = spark.createDataFrame([(0x2E8A, 10), (1, 2), (None, 3)], "vid int, pid int")
+    from pyspark.sql import functions as F
+
+    assert [r[0] for r in rows.select(named.likely_profiler(F.col("vid"), F.col("pid"), [(0x2E8A, 10)])).collect()] == [True, False, False]
+    with pytest.raises(named.RateTooHigh):
+        named.checked_rate(60_000, 50_000)
