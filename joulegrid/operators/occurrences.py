@@ -9,6 +9,7 @@ from joulegrid.operators.distribution import distribution
 from joulegrid.operators.ordered import DAY_NS, HOUR_NS, with_next
 from joulegrid.operators.pairing import broadcast_if_small, occurrences, paired, pairing_counts
 from joulegrid.operators.regions import energy_uj, pair_terms, with_voltage
+from joulegrid.shared import settle
 
 OCCURRENCE = ("capture_id", "name", "seq")
 
@@ -55,7 +56,7 @@ def event_stats(samples: DataFrame, events: DataFrame, defs: DataFrame, span_ns:
     Mean and peak current are null where no occurrence holds a sample. The duty cycle is the durations' sum over
     ``span_ns``, by default the sum of all captures' spans; nested occurrences count each.
     """
-    pairs = paired(events, defs)
+    pairs = settle(paired(events, defs))  # read twice below, and much smaller than the samples
     measured = occurrence_energy(samples, pairs.where("status = 'paired'").drop("status"), **options)
     rows = measured.select("name", "samples", "sum_i", "max_ua", (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"), F.round(F.col("energy_uj") * 1000).cast("bigint").alias("energy_nj"))
     stats = rows.groupBy("name").agg(

@@ -23,7 +23,7 @@ def marks(events: DataFrame, defs: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """A broadcast hint for a side of at most ``most`` rows; a larger one is joined as the planner sees fit."""
-    return F.broadcast(df) if len(df.limit(most + 1).collect()) <= most else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def paired(events: DataFrame, defs: DataFrame, keys: tuple[str, ...] = ("capture_id",), slice_ns: int = DAY_NS) -> DataFrame:

@@ -33,7 +33,7 @@ def warnings() -> Column:
 def evaluate(rules: DataFrame, stats: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     """Every rule with its outcome: passed, over_budget, under_budget, unknown_event, never_occurred, unmeasurable.
 
-    ``baseline`` is statistics of another run; change_percent compares with it and is null where it has 0 or nothing.
+    Statistics are read more than once, so they should be stored ones. ``baseline`` is statistics of another run; change_percent compares with it and is null where it has 0 or nothing.
     """
     values = metric_rows(stats)
     known = broadcast_if_small(stats.select(F.col("name").alias("event"), F.lit(True).alias("declared")))

@@ -11,6 +11,7 @@ from joulegrid.functions import text, units
 from joulegrid.operators import buckets, distribution, gaps, names, occurrences, pairing, regions, rules, timebase
 from joulegrid.operators.ordered import DAY_NS, HOUR_NS
 from joulegrid.plans import capture
+from joulegrid.shared import settle
 from joulegrid.sinks import export
 from joulegrid.sources import tables
 
@@ -469,7 +470,7 @@ checked AS (SELECT event, metric, comparison, lim AS "limit", value, coalesce(CA
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evaluate(spark.createDataFrame(RULES, "event string, metric string, comparison string, limit double"), _stats(spark, sf_dir))
+    return rules.evaluate(spark.createDataFrame(RULES, "event string, metric string, comparison string, limit double"), settle(_stats(spark, sf_dir)))
 
 
 @registered(CHECKED + " SELECT * FROM checked")
@@ -484,7 +485,7 @@ def assertion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(STATS + """ SELECT name AS event, 'mean_energy_uj' AS metric, round(round(energy_nj_mean * 1e-3, 6) * (1 + 5.0 / 100), 6) AS "limit", round(energy_nj_mean * 1e-3, 6) AS value, true AS passed, 0.0::DOUBLE AS change_percent FROM stats""")
 def regression_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = _stats(spark, sf_dir)
+    now = settle(_stats(spark, sf_dir))
     return rules.evaluate(rules.regression_rules(now, now, 5.0), now, now).select("event", "metric", "limit", "value", "passed", "change_percent")
 
 
