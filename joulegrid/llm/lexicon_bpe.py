@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joulegrid.llm.common import batches, sliced
+from joulegrid.llm.common import batches, settle, sliced
 from joulegrid.llm.tokens import Splitter
 
 #: Longer words are neither compiled nor merged in step with others.
@@ -325,9 +325,21 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, lexicon_words: int = 32_768) -> bytes:
-    """Compile the most frequent words of all documents, ties by word. Only ``lexicon_words`` words reach the driver."""
-    words = word_counts(docs, tokenizer).where(F.octet_length("word") <= LONG).orderBy(F.desc("n"), "word").limit(lexicon_words)
-    return compile_lexicon([r["word"] for r in words.collect()], Merges(tokenizer))
+    """Compile the most frequent words of all documents, at most ``lexicon_words``.
+
+    Words are taken by steps of their frequency (16 to a doubling), whole steps only, so the driver gets a histogram of
+    steps, which is short for any corpus, and the chosen words, but no candidates that are not chosen.
+    """
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    counts = settle(word_counts(docs, tokenizer).where(F.octet_length("word") <= LONG).withColumn("step", step))
+    held, least = 0, None
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), reverse=True):
+        held += r["words"]
+        if held > lexicon_words:
+            break
+        least = r["step"]
+    words = [] if least is None else [r["word"] for r in counts.where(F.col("step") >= least).select("word").collect()]
+    return compile_lexicon(words, Merges(tokenizer))
 
 
 @lru_cache(maxsize=1)
@@ -370,4 +382,4 @@ def round_trip_digests(docs: DataFrame, tokenizer: str, lexicon_words: int = 32_
 
         return work
 
-    return batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "text")
+    return batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "text", 4 << 20)
