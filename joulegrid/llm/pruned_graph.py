@@ -118,17 +118,19 @@ def measured(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.cumsum(q * x, axis=1)[:, -1] if q.shape[1] else np.zeros(len(q))
 
 
-def graph_search(embeddings: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 4096, query_rows: int = 1024, degree: int = 24, beam: int = 64) -> DataFrame:
+def graph_search(embeddings: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 4096, query_rows: int = 1024, degree: int = 24, beam: int = 64, most_shards: int = 1024, most_blocks: int = 32) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose id is divisible by ``every``; repeated rows count once.
 
-    Every distinct vector is in a graph, and every query searches all graphs, keeping ``beam`` places in each.
+    Every distinct vector is in a graph, and every query searches all graphs, keeping ``beam`` places in each. Beyond
+    ``most_shards`` shards and ``most_blocks`` blocks these grow instead of their number, so that the pairs of both
+    stay few however large the table is.
     """
     rows = settle(parsed(embeddings, lambda a: a, True))
     vectors = settle(distinct_vectors(rows, k + 1))
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    shards = max(1, -(-vectors.count() // shard_rows))
+    shards = max(1, min(most_shards, -(-vectors.count() // shard_rows)))
     asked = queries.select("v").distinct()
-    blocks = max(1, -(-asked.count() // query_rows))
+    blocks = max(1, min(most_blocks, -(-asked.count() // query_rows)))
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v")
