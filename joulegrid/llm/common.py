@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -27,6 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def give_back() -> None:
+    """Let the C library return freed memory at a task's end: workers live on, beside each other and the JVM."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Texts can be long, so a session that runs these operators sends at most ``rows`` of them to Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from there, so that a lost executor repeats nothing before it."""
     shared_dir(df.sparkSession)
@@ -37,6 +54,7 @@ def batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, size_of: str | None = None, most: int = 2 << 20
 ) -> DataFrame:
     """Run ``make()`` once in each task and its result on every Arrow batch, cut to about ``most`` bytes of ``size_of``."""
+    small_batches(df.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -45,6 +63,7 @@ def batches(
                 out = work(part)
                 if out is not None:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -35,12 +35,13 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter, and its lower case (space for what is no letter)."""
     known = np.zeros(0x110000, bool)
     lower = np.full(0x110000, 0x20, np.uint32)
-    for c in (*range(0xD800), *range(0xE000, 0x33480), *range(0xE0000, 0xE0200)):
-        ch = chr(c)
-        if ch.isalpha():
-            known[c] = True
-            low = ch.lower()
-            lower[c] = ord(low) if len(low) == 1 else c
+    for begin, end in ((0, 0xD800), (0xE000, 0x33480), (0xE0000, 0xE0200)):
+        for c in range(begin, end):
+            ch = chr(c)
+            if ch.isalpha():
+                known[c] = True
+                low = ch.lower()
+                lower[c] = ord(low) if len(low) == 1 else c
     return known, lower
 
 
