@@ -9,8 +9,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from joulegrid.llm import langid, lexicon_bpe, near_copies, packing, privacy, quality, seekable, simhash, toxicity
 from joulegrid.llm.common import shared_dir
 from joulegrid.llm.tokens import WordIds
@@ -211,6 +213,40 @@ def test_near_copies_are_found_and_others_stay(spark, empty):
     assert near_copies.keep_one_of_each(df.union(df)).count() == kept.count()
 
 
+def test_near_copies_share_their_shingles(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    texts = []
+    for share in (0.5, 0.6, 0.7, 0.75, 0.85, 0.9, 0.95):  # a changed tail leaves that similarity
+        for _ in range(12):
+            base = prose(300).split()
+            same = round(300 * 2 * share / (1 + share))
+            texts += [" ".join(base), " ".join(base[:same]) + " " + prose(300 - same)]
+    boilerplate = prose(204)
+    texts += [boilerplate + " " + prose(100) for _ in range(150)]  # a similarity of 0.5 to each other
+    start = prose(5)
+    texts += [start + " " + prose(1) for _ in range(12)]  # two shingles, of which one is shared
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for j in range(len(sets)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                label = [label[i] if x == label[j] else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {x["doc_id"] for x in corpus_pipeline.near_copies(spark, df, DATA).collect()}
+    want = set(label)
+    assert not want - kept  # no document goes without a copy that stays
+    assert len(kept - want) <= 2  # fingerprints are estimates: some pairs just above 0.8 may stay
+    marked = near_copies.wide_fingerprints(df)
+    one = df.agg(F.lit(1).cast("long").alias("root"))
+    all_ = marked.select("high", "low").distinct().crossJoin(one)
+    for members, most_bytes in ((256, 1 << 18), (7, 1 << 30), (1000, 9000)):
+        got = near_copies.verified_classes(df, marked, all_, members=members, most_bytes=most_bytes)
+        of = {x["doc_id"]: x["component_id"] for x in marked.join(got, near_copies.MARKS).collect()}
+        assert [of[k] for k in range(len(texts))] == label
+
+
 def test_rotation_keeps_all_bits():
     r = np.random.default_rng(1)
     high, low = (r.integers(0, 2**64, 9, dtype=np.uint64) for _ in range(2))
