@@ -200,17 +200,30 @@ def estimate(patterns: list[tuple[str, str, int]], rounds: int = 50) -> tuple[di
     return posterior, reliability
 
 
-def fit_classifier(x: np.ndarray, target: np.ndarray, rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression on probabilities, by Newton steps."""
+def fit_classifier(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression on probabilities, by Newton steps; a row counts ``weight`` times."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - target) + ridge * w)
+        w -= np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (p - target)) + ridge * w)
     return w
 
 
+def quotas(sizes: dict[str, int], most: int) -> dict[str, int]:
+    """How many rows of each kind to take, about ``most`` in all: small kinds whole, the rest in equal parts."""
+    out: dict[str, int] = {}
+    for left, (kind, n) in zip(range(len(sizes), 0, -1), sorted(sizes.items(), key=lambda s: (s[1], s[0])), strict=True):
+        out[kind] = min(n, max(1, (most - sum(out.values())) // left))
+    return out
+
+
+def rejecting(width: int) -> np.ndarray:
+    """Weights under which no candidate is accepted, where there is nothing to learn from."""
+    return np.array([-30.0] + [0.0] * (width - 1))
+
+
 def train(docs: DataFrame, sample_rows: int = 20_000) -> Model:
-    """Votes of all candidates of all documents, counted by pattern; the classifier sees about ``sample_rows`` of them."""
+    """Votes of all candidates of all documents, counted by pattern; the classifier sees all that differ, or about ``sample_rows``."""
 
     def make():
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -228,21 +241,24 @@ def train(docs: DataFrame, sample_rows: int = 20_000) -> Model:
     found = settle(batches(docs.select(F.col("text").cast("string")), make, "kind string, votes string, features array<double>", "text"))
     patterns = [(r["kind"], r["votes"], r["n"]) for r in found.groupBy("kind", "votes").agg(F.count("*").alias("n")).orderBy("kind", "votes").collect()]
     posterior, reliability = estimate(patterns)
-    n, width = sum(p[2] for p in patterns), len(features("card", (2,) * VOTERS, 1, 0, 0.0))
-    if not n:
-        return Model({}, np.zeros(width))
+    width = len(features("card", (2,) * VOTERS, 1, 0, 0.0))
+    if not patterns:
+        return Model({}, rejecting(width))
+    # Equal candidates are one row that knows how many they are; the bound is on such rows, not on candidates.
+    equal = settle(found.groupBy("kind", "votes", "features").agg(F.count("*").alias("n")))
+    sizes = {r["kind"]: r["count"] for r in equal.groupBy("kind").count().collect()}
     parts = 1_000_000
-    share = parts if n <= sample_rows else max(1, parts * sample_rows // n)
-    # Equal candidates share a hash, so they come weighted by how many they are.
-    equal = found.groupBy("kind", "votes", "features").agg(F.count("*").alias("n")).where(F.pmod(F.xxhash64("features", "votes"), F.lit(parts)) < share)
-    rows = equal.orderBy("kind", "votes", "features").limit(sample_rows).collect()
+    taken = F.lit(False)
+    for kind, most in quotas(sizes, sample_rows).items():
+        share = parts if most >= sizes[kind] else max(1, parts * most // sizes[kind])
+        taken = taken | ((F.col("kind") == kind) & (F.pmod(F.xxhash64("features", "votes"), F.lit(parts)) < share))
+    rows = equal.where(taken).orderBy("kind", "votes", "features").collect()
     if not rows:
-        return Model(reliability, np.zeros(width))
-    times = np.sqrt([[min(r["n"], 1000)] for r in rows])
+        return Model(reliability, rejecting(width))
+    weight = np.ceil(np.sqrt([min(r["n"], 1000) for r in rows]))
     x = np.array([r["features"] for r in rows])
     target = np.array([posterior[(r["kind"], r["votes"])] for r in rows])
-    keep = np.repeat(np.arange(len(rows)), np.ceil(times[:, 0]).astype(int))
-    return Model(reliability, fit_classifier(x[keep], target[keep]))
+    return Model(reliability, fit_classifier(x, target, weight))
 
 
 def spans(text: str | None, model: Model, threshold: float = 0.5) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
