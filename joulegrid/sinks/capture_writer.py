@@ -21,16 +21,17 @@ def write_captures(samples: DataFrame, folder: str, slice_ns: int = DAY_NS, comp
     """path and rows of each file. A slice, not a capture, is the unit, so a long capture is many files of many tasks.
 
     Content depends on the rows alone and a file appears under its name once it is whole, so a task may run again. A
-    step of 2^32 ns or more starts a new chunk, as steps are stored in 32 bits.
+    step of 2^32 ns or more starts a new chunk, as steps are stored in 32 bits; so does a voltage that becomes known or
+    unknown, as a chunk has voltages for all of its samples or none.
     """
 
     def work(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t_ns", "seq"])
         t, i = pdf["t_ns"].to_numpy(), pdf["current_ua"].to_numpy()
-        v = None if pdf["voltage_uv"].isna().any() else pdf["voltage_uv"].to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(t) >= 2**32) + 1).tolist(), len(t)]
+        v, unknown = pdf["voltage_uv"].to_numpy(), pdf["voltage_uv"].isna().to_numpy()
+        edges = [0, *(np.flatnonzero((np.diff(t) >= 2**32) | (unknown[1:] != unknown[:-1])) + 1).tolist(), len(t)]
         cuts = [(c, min(c + CHUNK_ROWS, b)) for a, b in zip(edges, edges[1:], strict=False) for c in range(a, b, CHUNK_ROWS)]
-        raw = capture_bytes([sample_chunk(t[a:b], i[a:b], None if v is None else v[a:b]) for a, b in cuts], compression)
+        raw = capture_bytes([sample_chunk(t[a:b], i[a:b], None if unknown[a] else v[a:b]) for a, b in cuts], compression)
         path = f"{folder}/{key[0]}-{key[1]}.pprof"
         fs, name = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
         fs.create_dir(name.rpartition("/")[0], recursive=True)

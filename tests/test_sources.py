@@ -91,6 +91,16 @@ def test_capture_files(source, tmp_path, compression):
     assert read("samples").where("t_ns >= 4000000").count() == 100
 
 
+def test_written_captures_keep_known_voltages(source, tmp_path):
+    from joulegrid.sinks.capture_writer import write_captures
+
+    rows = [("c", k, 1000 * k, 5 * k, None if k in (3, 7, 8, 19) else 3_000_000 + k) for k in range(20)] + [("d", 0, 0, 1, None), ("d", 1, 10, 2, None)]
+    samples = source.createDataFrame(rows, "capture_id string, seq long, t_ns long, current_ua int, voltage_uv long").repartition(3)
+    write_captures(samples, str(tmp_path / "out"))
+    got = source.read.format("powercapture").option("kind", "samples").load(str(tmp_path / "out"))
+    assert sorted(((r["capture_id"][0], r["t_ns"], r["current_ua"], r["voltage_uv"]) for r in got.collect()), key=repr) == sorted(((c, t, i, v) for c, _, t, i, v in rows), key=repr)
+
+
 def test_damage_costs_a_chunk_and_no_more(source, tmp_path):
     whole = capture(4)
     raw = bytearray(whole)
