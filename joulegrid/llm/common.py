@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,20 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from joulegrid.shared import stored as settle
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["batches", "give_back", "id_crc", "read_table", "settle", "sliced"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one for tests where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        configured = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def give_back() -> None:
@@ -37,21 +29,19 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts can be long, so a session that runs these operators sends at most ``rows`` of them to Python at once."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "4m") -> None:
+    """Texts can be long, so a session that runs these operators sends at most so many rows and bytes to Python at once.
+
+    Spark reads both settings when a query starts, so they stay set in the session.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from there, so that a lost executor repeats nothing before it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, size_of: str | None = None, most: int = 2 << 20
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType, size_of: str | None = None, most: int = 4 << 20
 ) -> DataFrame:
     """Run ``make()`` once in each task and its result on every Arrow batch, cut to about ``most`` bytes of ``size_of``."""
     small_batches(df.sparkSession)
@@ -68,7 +58,7 @@ def batches(
     return df.mapInArrow(run, schema)
 
 
-def sliced(batch: pa.RecordBatch, column: str | None, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batch: pa.RecordBatch, column: str | None, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     if column is None or batch.num_rows == 0:
         yield batch
         return

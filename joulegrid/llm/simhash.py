@@ -18,14 +18,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joulegrid.llm.common import batches, settle
+from joulegrid.llm.common import batches, give_back, settle
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-BLOCK = "cell long, block long, mask long, pattern long, fingerprints binary"
+BLOCK = "cell long, block long, mask long, pattern long, words binary"
 
 
 def shingle_hashes(text: str, shingle: int = 3) -> np.ndarray:
@@ -74,171 +75,231 @@ def gray_rank(bits: np.ndarray) -> np.ndarray:
     return r
 
 
+def gray_order(word: Column) -> Column:
+    """The same place as a signed long that sorts alike."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        word = word.bitwiseXOR(F.shiftrightunsigned(word, shift))
+    return word.bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def shared_bits(f: np.ndarray) -> tuple[int, int]:
     """Mask of the bits in which all values agree, and the values' bits under it."""
     mask = ~(np.bitwise_or.reduce(f) ^ np.bitwise_and.reduce(f))
     return int(mask), int(f[0] & mask)
 
 
-def blocks(distinct: DataFrame, bits: int, size: int = 1024) -> DataFrame:
-    """Leaves of the index: runs of at most ``size`` fingerprints in Gray order with equal leading ``bits``."""
+def blocks(each: DataFrame, words: list[str], bits: int, size: int = 1024) -> DataFrame:
+    """Leaves of the index: runs of at most ``size`` fingerprints in Gray order with equal leading ``bits``.
 
-    def ranks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            f = b.column("fingerprint").to_numpy()
-            yield pa.record_batch([b.column("fingerprint"), pa.array((gray_rank(f.view(np.uint64)) ^ np.uint64(1 << 63)).view(np.int64))], ["fingerprint", "gray"])
+    ``each`` has turn (which of several orders), gray (the place in it) and the words of 64 bits, the leading one first.
+    """
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         held: list[np.ndarray] = []
-        rows: list[tuple[int, int, int, int, bytes]] = []
-
-        def leaf(f: np.ndarray) -> None:
-            mask, pattern = shared_bits(f)
-            signed = np.array([mask, pattern, f[0]], np.uint64).view(np.int64).tolist()
-            rows.append((int(f[0] >> np.uint64(64 - bits)) if bits else 0, signed[2], signed[0], signed[1], f.tobytes()))
+        rows: list[tuple] = []
 
-        def flush(end: bool) -> Iterator[pa.RecordBatch]:
-            f = np.concatenate(held)
+        def flush(end: bool) -> None:
+            nonlocal number
+            t = np.concatenate(held)
             held.clear()
-            cells = f >> np.uint64(64 - bits) if bits else f * np.uint64(0)
-            edges = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(f)]
+            key = (t[:, 0] << np.uint64(48)) | (t[:, 1] >> np.uint64(64 - bits) if bits else np.uint64(0))
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(t)]
             for a, b in zip(edges, edges[1:], strict=False):
-                while a < b and (end or b < len(f) or b - a >= size):
-                    leaf(f[a : min(a + size, b)])
+                while a < b and (end or b < len(t) or b - a >= size):
+                    part = np.ascontiguousarray(t[a : min(a + size, b), 1:])
+                    signed = np.array(shared_bits(part[:, 0]), np.uint64).view(np.int64).tolist()
+                    rows.append((int(key[a]), number, *signed, part.tobytes()))
+                    number += 1
                     a = min(a + size, b)
                 if a < b:
-                    held.append(f[a:b])
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["cell", "block", "mask", "pattern", "fingerprints"])
-                rows.clear()
+                    held.append(t[a:b])
+
+        def out() -> pa.RecordBatch:
+            types = (*[pa.int64()] * 4, pa.binary())
+            batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["cell", "block", "mask", "pattern", "words"])
+            rows.clear()
+            return batch
 
         for b in it:
             if b.num_rows:
-                held.append(b.column("fingerprint").to_numpy().view(np.uint64).copy())
-                yield from flush(False)
+                held.append(np.stack([b.column("turn").to_numpy().astype(np.uint64), *(b.column(c).to_numpy().view(np.uint64) for c in words)], axis=1))
+                flush(False)
+                if rows:
+                    yield out()
         if held:
-            yield from flush(True)
+            flush(True)
+        if rows:
+            yield out()
 
-    ordered = distinct.mapInArrow(ranks, "fingerprint long, gray long").repartitionByRange("gray").sortWithinPartitions("gray")
-    return settle(ordered.select("fingerprint").mapInArrow(cut, BLOCK))
+    ordered = each.repartitionByRange("turn", "gray").sortWithinPartitions("turn", "gray")
+    return settle(ordered.select("turn", *words).mapInArrow(cut, BLOCK))
 
 
-def block_pairs(leaves: DataFrame, bits: int, most: int = 2) -> DataFrame:
+def block_pairs(leaves: DataFrame, bits: int, most: int = 2, flips: int | None = None, lead: int = 64) -> DataFrame:
     """Pairs of blocks that can hold fingerprints within ``most`` bits, each pair once, a block with itself included.
 
-    Cells are equal up to ``most`` flipped leading bits; then the differing bits under both masks are counted.
+    Cells are equal up to ``flips`` flipped leading bits (by default ``most``); then the differing bits under both masks
+    are counted, in the first ``lead`` bits at most ``flips`` and in the whole word at most ``most``.
     """
-    flips = [0, *(sum(1 << b for b in c) for k in range(1, most + 1) for c in combinations(range(bits), k))]
+    flips = most if flips is None else flips
+    moves = [0, *(sum(1 << b for b in c) for k in range(1, flips + 1) for c in combinations(range(bits), k))]
     node = leaves.select("cell", "block", "mask", "pattern")
     probe = node.select(
-        F.explode(F.transform(F.array(*map(F.lit, flips)), lambda x: F.col("cell").bitwiseXOR(x.cast("long")))).alias("cell"),
+        F.explode(F.transform(F.array(*map(F.lit, moves)), lambda x: F.col("cell").bitwiseXOR(x.cast("long")))).alias("cell"),
         F.col("block").alias("one"), F.col("mask").alias("one_mask"), F.col("pattern").alias("one_pattern"),
     )
     differ = F.col("pattern").bitwiseXOR(F.col("one_pattern")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("one_mask"))
     near = (F.col("one") <= F.col("block")) & (F.bit_count(differ) <= most)
-    return probe.join(node, "cell").where(near).select("one", F.col("block").alias("two"))
-
-
-def groups(f: np.ndarray, size: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Masks and patterns of runs of ``size`` fingerprints."""
-    starts = np.arange(0, len(f), size)
-    mask = ~(np.bitwise_or.reduceat(f, starts) ^ np.bitwise_and.reduceat(f, starts))
-    return mask, f[starts] & mask
+    if lead < 64:
+        near = near & (F.bit_count(differ.bitwiseAND(F.lit(-(1 << (64 - lead))).cast("long"))) <= flips)
+    return probe.join(node, "cell").where(near).select("one", F.col("block").alias("two"), "cell")
 
 
-def links_between(a: np.ndarray, b: np.ndarray, most: int = 2, size: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of fingerprints of two blocks that differ in at most ``most`` bits; groups are dropped whole first."""
-    (am, ap), (bm, bp) = groups(a, size), groups(b, size)
-    near = np.bitwise_count((ap[:, None] ^ bp[None, :]) & am[:, None] & bm[None, :]) <= most
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for i in np.flatnonzero(near.any(axis=1)).tolist():
-        js = np.flatnonzero(near[i])
-        columns = (js[:, None] * size + np.arange(size)).ravel()
-        columns = columns[columns < len(b)]
-        x, y = np.nonzero(np.bitwise_count(a[i * size : (i + 1) * size, None] ^ b[None, columns]) <= most)
-        found.append((x + i * size, columns[y]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-
-
-def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The least connected place of each of n places, by hooking roots to lesser ones and halving paths."""
-    label = np.arange(n)
+def join_up(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Give all connected places their least label, by hooking roots to lesser ones and halving paths."""
     while True:
         lx, ly = label[x], label[y]
         open_ = lx != ly
         if not open_.any():
-            return label
+            return
         x, y, lx, ly = x[open_], y[open_], lx[open_], ly[open_]
         np.minimum.at(label, np.maximum(lx, ly), np.minimum(lx, ly))
         while (label[label] != label).any():
-            label = label[label]
+            label[:] = label[label]
 
 
-def forest(pairs: DataFrame, leaves: DataFrame, most: int = 2) -> DataFrame:
-    """Links of all pairs of blocks, thinned to a spanning forest of each pair: one and two, two < one by Gray order."""
+def roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least connected place of each of n places."""
+    label = np.arange(n)
+    join_up(label, x, y)
+    return label
 
-    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), strict=True):
-                a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = a if p == q else np.concatenate([a, b])
-                x, y = links_between(a, b, most)
-                label = roots(len(both), x, y if p == q else y + len(a))
-                tied = np.flatnonzero(label != np.arange(len(both)))
-                if len(tied):
-                    yield pa.record_batch([pa.array(both[tied].view(np.int64)), pa.array(both[label[tied]].view(np.int64))], ["one", "two"])
-
-    content = leaves.select("block", "fingerprints")
-    with_one = pairs.join(content.select(F.col("block").alias("one"), F.col("fingerprints").alias("p")), "one")
-    with_both = with_one.join(content.select(F.col("block").alias("two"), F.col("fingerprints").alias("q")), "two")
-    return with_both.select("p", "q").mapInArrow(search, "one long, two long")
-
-
-def thinned(edges: DataFrame) -> DataFrame:
-    """A spanning forest of each partition's edges; a task holds only the edges of its own partition."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in it]
-        if not parts:
-            return
-        x, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+class Forest:
+    """A spanning forest of named links as they come: what is held grows with the names, not with the links."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.one, self.two, self.held, self.most = [], [], 0, most
+
+    def add(self, one: np.ndarray, two: np.ndarray) -> None:
+        self.one.append(one)
+        self.two.append(two)
+        self.held += len(one)
+        if self.held > self.most:
+            self.thin()
+            self.most = max(self.most, 2 * self.held)
+
+    def thin(self) -> None:
+        x, y = np.concatenate(self.one), np.concatenate(self.two)
         names, place = np.unique(np.concatenate([x, y]), return_inverse=True)
         label = roots(len(names), place[: len(x)], place[len(x) :])
         tied = np.flatnonzero(label != np.arange(len(names)))
-        yield pa.record_batch([pa.array(names[tied]), pa.array(names[label[tied]])], ["one", "two"])
+        self.one, self.two, self.held = [names[tied]], [names[label[tied]]], len(tied)
+
+    def links(self, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+        """one and two, two < one."""
+        if self.held:
+            self.thin()
+            for k in range(0, self.held, rows):
+                yield pa.record_batch([pa.array(self.one[0][k : k + rows]), pa.array(self.two[0][k : k + rows])], ["one", "two"])
+
+
+def groups(t: np.ndarray, size: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Masks and patterns of runs of ``size`` fingerprints, rows of words."""
+    starts = np.arange(0, len(t), size)
+    mask = ~(np.bitwise_or.reduceat(t, starts, axis=0) ^ np.bitwise_and.reduceat(t, starts, axis=0))
+    return mask, t[starts] & mask
 
-    return edges.mapInArrow(run, "one long, two long")
+
+def tied(a: np.ndarray, b: np.ndarray, most: int = 2, top: int = 0, flips: int = 0, size: int = 32) -> np.ndarray:
+    """The least place linked to each place of both blocks, b's after a's (of one block, if they are the same object).
+
+    Rows of words are linked at ``most`` differing bits, of which ``flips`` may be under ``top`` in the leading word.
+    Groups are dropped whole first; links of a group are folded in at once, so that dense blocks need no more room.
+    """
+    after = 0 if a is b else len(a)
+    label = np.arange(len(b) + after)
+    (am, ap), (bm, bp) = groups(a, size), groups(b, size)
+    differ = (ap[:, None] ^ bp[None]) & am[:, None] & bm[None]
+    near = np.bitwise_count(differ).sum(axis=2) <= most
+    if top:
+        near &= np.bitwise_count(differ[:, :, 0] & np.uint64(top)) <= flips
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        columns = (np.flatnonzero(near[i])[:, None] * size + np.arange(size)).ravel()
+        columns = columns[columns < len(b)]
+        rows = np.arange(i * size, min((i + 1) * size, len(a)))
+        apart = label[rows][:, None] != label[columns + after][None]
+        if not apart.any():
+            continue
+        differ_lead = a[rows, None, 0] ^ b[None, columns, 0]
+        hit = apart & (np.bitwise_count(differ_lead & np.uint64(top)) <= flips) if top else apart
+        x, y = np.nonzero(hit)
+        whole = np.bitwise_count(a[rows[x]] ^ b[columns[y]]).sum(axis=1) <= most
+        join_up(label, rows[x[whole]], columns[y[whole]] + after)
+    return label
+
+
+def names_of(t: np.ndarray, turned: int = 0) -> np.ndarray:
+    """A name for each fingerprint that is the same in every order: its one word, or its two words' difference turned back."""
+    if t.shape[1] == 1:
+        return t[:, 0].view(np.int64) if t.flags.c_contiguous else t[:, 0].copy().view(np.int64)
+    mixed, n = t[:, 0] ^ t[:, 1], turned % 64
+    return ((mixed >> np.uint64(n)) | (mixed << np.uint64(64 - n)) if n else mixed).view(np.int64)
+
+
+def forest(pairs: DataFrame, leaves: DataFrame, words: int = 1, most: int = 2, top: int = 0, flips: int = 0, stride: int = 0) -> DataFrame:
+    """Links of all pairs of blocks, thinned to a spanning forest in each task: one and two, two < one."""
+
+    def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Forest()
+        for batch in it:
+            for k in range(batch.num_rows):
+                a = b = np.frombuffer(batch.column("p")[k].as_buffer(), np.uint64).reshape(-1, words)
+                if batch.column("one")[k] != batch.column("two")[k]:
+                    b = np.frombuffer(batch.column("q")[k].as_buffer(), np.uint64).reshape(-1, words)
+                label = tied(a, b, most, top, flips)
+                linked = np.flatnonzero(label != np.arange(len(label)))
+                if len(linked):
+                    names = names_of(a if a is b else np.concatenate([a, b]), (batch.column("cell")[k].as_py() >> 48) * stride)
+                    trees.add(names[linked], names[label[linked]])
+        yield from trees.links()
+        give_back()
+
+    content = leaves.select("block", "words")
+    with_one = pairs.join(content.select(F.col("block").alias("one"), F.col("words").alias("p")), "one")
+    with_both = with_one.join(content.select(F.col("block").alias("two"), F.col("words").alias("q")), "two")
+    return settle(with_both.select("one", "two", "cell", "p", "q").mapInArrow(search, "one long, two long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (its component's least node) for every node with an edge, by large-star and small-star rounds.
+    """node and root (its component's least node) for every node of settled links, by large-star and small-star rounds.
 
-    Least neighbours are summed up before the shuffle and written out, so the join with them can split hot nodes.
+    Least neighbours are summed up before the shuffle, and the join with them can split hot nodes.
     """
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
-        around = pairs if not large else pairs.union(pairs.select("two", "one"))
-        around = around.toDF("u", "v")
-        if not large:
+        around = pairs.select(F.col("one").alias("u"), F.col("two").alias("v"))
+        if large:
+            around = around.union(around.select("v", "u"))
+        else:
             around = around.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = settle(around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+        least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         joined = around.join(least, "u")
         if large:
-            out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("one"), F.col("m").alias("two"))
+            out = joined.where("v > u").select(F.col("v").alias("one"), F.col("m").alias("two"))
         else:
-            out = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("one"), F.col("m").alias("two")).union(least.where(F.col("u") != F.col("m")).select(F.col("u").alias("one"), F.col("m").alias("two")))
-        return settle(out.where(F.col("one") != F.col("two")).distinct())
+            out = joined.select(F.explode(F.array(F.struct(F.col("v").alias("one"), F.col("m").alias("two")), F.struct(F.col("u").alias("one"), F.col("m").alias("two")))).alias("e")).select("e.*")
+        return settle(out.where("one <> two").distinct())
 
     def sums(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count("*"), F.sum(F.col("one").cast("decimal(38,0)")), F.sum(F.col("two").cast("decimal(38,0)")), F.sum(F.xxhash64("one", "two").cast("decimal(38,0)"))).first())
+        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("one", "two").cast("decimal(38,0)"))).first())
 
-    pairs = settle(thinned(edges).distinct())
-    before: tuple = ()
-    while (now := sums(pairs)) != before:
+    pairs, before, now = edges, (), sums(edges)
+    while now != before and now[0]:
         before = now
         pairs = star(star(pairs, True), False)
+        now = sums(pairs)
     return pairs.select(F.col("one").alias("node"), F.col("two").alias("root"))
 
 
@@ -248,11 +309,10 @@ def classes(marked: DataFrame, most: int = 2, block: int = 1024) -> DataFrame:
     root is the component's least fingerprint and names the class; component_id is its least doc_id, null if all are.
     """
     distinct = settle(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc")))
-    n = distinct.count()
-    bits = min(26, max(0, int(np.ceil(np.log2(max(1, n / block))))))
-    leaves = blocks(distinct.select("fingerprint"), bits, block)
-    pairs = block_pairs(leaves, bits, most)
-    found = components(forest(pairs, leaves, most))
+    bits = cell_bits(distinct.count(), block)
+    each = distinct.select(F.lit(0).alias("turn"), gray_order(F.col("fingerprint")).alias("gray"), "fingerprint")
+    leaves = blocks(each, ["fingerprint"], bits, block)
+    found = components(forest(block_pairs(leaves, bits, most), leaves, 1, most))
     rooted = settle(
         distinct.join(found, distinct["fingerprint"] == found["node"], "left")
         .select("fingerprint", "first_doc", F.coalesce("root", "fingerprint").alias("root"))
@@ -261,6 +321,11 @@ def classes(marked: DataFrame, most: int = 2, block: int = 1024) -> DataFrame:
     return settle(rooted.join(least, "root").select("fingerprint", "root", "component_id"))
 
 
+def cell_bits(n: int, block: int, most: int = 48) -> int:
+    """So many leading bits that an evenly filled cell holds about a block of n fingerprints."""
+    return min(most, max(0, int(np.ceil(np.log2(max(1, n / block))))))
+
+
 def near_duplicates(docs: DataFrame, most: int = 2, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row.
 
