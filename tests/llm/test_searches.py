@@ -41,8 +41,8 @@ def test_top_k_is_exact(spark):
         if q % 50 == 0:
             scored = sorted((-int(held[q] @ v), i) for i, v in held.items() if i != q)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
-    for size in (64, 1024):
-        got = dual_tree.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), 5, 50, size)
+    for size, query_rows in ((64, 8), (1024, 1024)):
+        got = dual_tree.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), 5, 50, size, query_rows)
         assert got.columns[:4] == ["query_id", "rank", "vec_id", "score"]
         assert sorted(map(tuple, got.collect())) == sorted(want)
 
@@ -56,14 +56,54 @@ def test_few_and_no_rows(spark):
         assert f(few.where("vec_id = 0")).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, 30, 500])
-def test_cover_tree_covers(n):
-    x = np.random.default_rng(n).integers(-50, 50, (n, 5)).astype(float)
+@pytest.mark.parametrize("n", [0, 1, 2, 30, 500])
+def test_cover_tree_keeps_its_invariants(n):
+    x = np.unique(np.random.default_rng(n).integers(-50, 50, (n, 5)).astype(float), axis=0)
+    n = len(x)
     tree = dual_tree.build(x)
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    points = lambda k: tree.order[tree.low[k] : tree.high[k]]
+    kids = lambda k: tree.kids[tree.first[k] : tree.last[k]]
     assert sorted(tree.order.tolist()) == list(range(n))
     for k in range(len(tree.centre)):
-        points = tree.order[tree.low[k] : tree.high[k]]
-        assert np.sqrt(((x[points] - x[tree.centre[k]]) ** 2).sum(axis=1)).max() <= tree.radius[k] + 1e-9
+        assert apart[tree.centre[k], points(k)].max() == pytest.approx(tree.radius[k])
+        below = kids(k)
+        assert (len(below) == 0) == (len(points(k)) == 1)
+        if len(below):
+            # Nesting: the centre goes on, and the children share the points among them.
+            assert tree.centre[k] in tree.centre[below]
+            assert sorted(p for c in below for p in points(c)) == sorted(points(k))
+            # Covering: a child is within 2^i of its parent of level i.
+            assert (apart[tree.centre[k], tree.centre[below]] <= 2.0 ** tree.level[k] + 1e-9).all()
+    # Separation: the centres that enter at a level, and all above, are more than 2^i apart.
+    enters = {p: np.inf for p in tree.centre[:1].tolist()}
+    for k in range(len(tree.centre)):
+        enters |= {c: tree.level[k] - 1 for c in tree.centre[kids(k)].tolist() if c != tree.centre[k]}
+    for level in set(enters.values()) - {np.inf}:
+        net = [p for p, i in enters.items() if i >= level]
+        assert apart[np.ix_(net, net)][np.triu_indices(len(net), 1)].min() > 2.0**level - 1e-9
+
+
+def test_node_pairs_are_pruned_where_data_has_clusters():
+    r = np.random.default_rng(5)
+    x = np.unique(np.floor(256 * (r.normal(size=(60, 16))[r.integers(0, 60, 4000)] + 0.03 * r.normal(size=(4000, 16)))), axis=0)
+    r.shuffle(x)
+    q, d = x[:800], x[800:]
+    best = dual_tree.search(dual_tree.build(q), dual_tree.build(d), np.arange(len(d)), 6, np.full(len(q), -np.inf))
+    assert (best.score == -np.sort(-(q @ d.T), axis=1)[:, :6]).all()
+    assert best.compared < 0.4 * len(q) * len(d)
+
+
+def test_large_components_stay_exact(spark):
+    rows = [(0, [2.0**30 + 1, 9.0, 0.5]), (1, [2.0**30 + 1, 9.0, -0.5]), (2, [2.0**30 + 1, 9.0 - 2**-8, 0.5]), (50, [1e20, 0.0, 1.0]), (51, [-1e20, 0.0, 1.0]), (52, [0.0, 0.0, 0.0])]
+    held = {i: [math.floor(256 * c) for c in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        # A score that a long does not hold is the nearest long.
+        scored = [(max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(held[q], v, strict=True)))), i) for i, v in held.items() if i != q]
+        want += [(q, k + 1, i, s) for k, (s, i) in enumerate(sorted(scored, key=lambda t: (-t[0], t[1])))]
+    got = dual_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 50).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_graph_search_recall(spark):
