@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joulegrid.llm.common import settle
+from joulegrid.llm.common import give_back, settle
 from joulegrid.llm.vectors import distinct_vectors, fit_width, matrix, nearest_rows, parsed
 
 
@@ -118,19 +118,19 @@ def measured(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.cumsum(q * x, axis=1)[:, -1] if q.shape[1] else np.zeros(len(q))
 
 
-def graph_search(embeddings: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 4096, query_rows: int = 1024, degree: int = 24, beam: int = 64, most_shards: int = 1024, most_blocks: int = 32) -> DataFrame:
+def graph_search(embeddings: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 4096, query_rows: int = 1024, degree: int = 24, beam: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose id is divisible by ``every``; repeated rows count once.
 
-    Every distinct vector is in a graph, and every query searches all graphs, keeping ``beam`` places in each. Beyond
-    ``most_shards`` shards and ``most_blocks`` blocks these grow instead of their number, so that the pairs of both
-    stay few however large the table is.
+    Every distinct vector is in a graph, and every query searches all graphs, keeping ``beam`` places in each. Shards and
+    blocks of queries have a bounded size, so their numbers grow with the table; ``shard_rows`` may be raised for large
+    ones, as a search of a larger graph costs little more.
     """
     rows = settle(parsed(embeddings, lambda a: a, True))
     vectors = settle(distinct_vectors(rows, k + 1))
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    shards = max(1, min(most_shards, -(-vectors.count() // shard_rows)))
+    shards = max(1, -(-vectors.count() // shard_rows))
     asked = queries.select("v").distinct()
-    blocks = max(1, min(most_blocks, -(-asked.count() // query_rows)))
+    blocks = max(1, -(-asked.count() // query_rows))
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("v")
@@ -142,13 +142,17 @@ def graph_search(embeddings: DataFrame, k: int = 20, every: int = 20, shard_rows
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "queries": [pickle.dumps(sorted(pdf["v"].tolist()), protocol=5)]})
 
     graphs = settle(vectors.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(index, "shard int, index binary"))
-    asking = asked.withColumn("block", F.pmod(F.xxhash64("v", F.lit(2)), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(block, "block int, queries binary")
+    asking = settle(asked.withColumn("block", F.pmod(F.xxhash64("v", F.lit(2)), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(block, "block int, queries binary"))
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = (None, None)
         for b in it:
-            for packed, names in zip(b.column("index").to_pylist(), b.column("queries").to_pylist(), strict=True):
-                x, graph, entry, ids = pickle.loads(packed)
-                vs = pickle.loads(names)
+            for row in range(b.num_rows):
+                shard = b.column("shard")[row].as_py()
+                if known[0] != shard:
+                    known = (shard, pickle.loads(b.column("index")[row].as_py()))
+                x, graph, entry, ids = known[1]
+                vs = pickle.loads(b.column("queries")[row].as_py())
                 q = matrix(vs, np.float64)
                 width = max(x.shape[1], q.shape[1])
                 x, q = fit_width(x, width), fit_width(q, width)
@@ -162,8 +166,10 @@ def graph_search(embeddings: DataFrame, k: int = 20, every: int = 20, shard_rows
                 rank = np.arange(len(r)) - np.searchsorted(r, r)
                 keep = rank <= k
                 yield pa.record_batch([pa.array([vs[i] for i in r[keep]], pa.binary()), pa.array(score[keep]), pa.array([ids[i] for i in at[keep]], pa.list_(pa.int64()))], ["q", "score", "ids"])
+        give_back()
 
-    # Every block meets every shard: the block's row is repeated for each shard and joined on the shard.
-    spread = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = spread.join(graphs, "shard").repartition("shard", "block")
-    return nearest_rows(pairs.select("index", "queries").mapInArrow(search, "q binary, score double, ids array<long>"), queries, k)
+    # Every block meets every shard: a block's row goes to each, and a shard moves once, however many blocks there are.
+    wide = max(1, min(8192, shards))
+    spread = asking.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition(wide, "shard")
+    pairs = spread.join(graphs.repartition(wide, "shard"), "shard")
+    return nearest_rows(pairs.select("shard", "index", "queries").mapInArrow(search, "q binary, score double, ids array<long>"), queries, k)
