@@ -74,7 +74,7 @@ class Splitter:
 class WordIds:
     """Ids of whole texts; at most about ``most`` distinct words are remembered, then memory starts afresh."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 400_000):
         self.split, self.most = Splitter(path), most
         self.known: dict[str | bytes, bytes] = {}
         vocabulary = self.split.library.get_vocab()
