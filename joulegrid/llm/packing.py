@@ -88,13 +88,16 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 
 
 def ranked(pieces: DataFrame, total: int, per_bucket: int = 50_000) -> DataFrame:
-    """Rank of each piece within its length, from 0. A length may hold most rows, so ranks are counted in buckets."""
+    """Rank of each piece within its length, from 0. A length may hold most rows, so ranks are counted in buckets.
+
+    ``row`` numbers the settled pieces, so that equal ones fall in different buckets.
+    """
     buckets = max(64, -(-total // per_bucket))
-    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    spread = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     sizes = spread.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     by_length = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     base = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(by_length), F.lit(0)).alias("base"))
-    within = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = W.partitionBy("length", "bucket").orderBy("row")
     return (
         spread.withColumn("local", F.row_number().over(within) - 1)
         .join(base, ["length", "bucket"])
@@ -103,20 +106,21 @@ def ranked(pieces: DataFrame, total: int, per_bucket: int = 50_000) -> DataFrame
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, most_broadcast: int = 100_000) -> DataFrame:
     """Pack every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     The histogram and the plan have at most a few thousand rows for any input (lengths are bounded by ``capacity``),
-    so they pass through the driver and the plan is broadcast.
+    so they pass through the driver and the plan is broadcast, up to ``most_broadcast`` rows.
     """
     spark = docs.sparkSession
-    pieces = settle(tokenised_pieces(docs, tokenizer, capacity, end_id))
+    pieces = settle(tokenised_pieces(docs, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = spark.createDataFrame(best_fit_plan(histogram, capacity), PLAN)
+    runs = best_fit_plan(histogram, capacity)
+    plan = spark.createDataFrame(runs, PLAN)
     slot = (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n"))
     return (
         ranked(pieces, sum(histogram.values()))
-        .join(F.broadcast(plan), slot)
+        .join(F.broadcast(plan) if len(runs) <= most_broadcast else plan, slot)
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_bin") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
     )
 
