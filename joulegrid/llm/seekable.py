@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from joulegrid.llm.common import settle, shared_dir, sliced
+from joulegrid.llm.common import give_back, settle, sliced
 from joulegrid.llm.tokens import word_ids
+from joulegrid.shared import new_folder
 
 #: Fixed values of the public zstd seekable format.
 SKIPPABLE, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -38,7 +39,7 @@ class DamagedFrame(ValueError):
 
 
 class Writer:
-    """Appends documents; a data frame closes once it holds ``frame_bytes``. A longer document has a frame of its own."""
+    """Appends documents; a data frame closes once it holds ``frame_bytes``. A document as long as that has a frame of its own."""
 
     def __init__(self, out, frame_bytes: int = 1 << 20, level: int = 3):
         self.out, self.frame_bytes = out, frame_bytes
@@ -54,6 +55,8 @@ class Writer:
         self.table.append((len(packed), len(content), xxhash.xxh64_intdigest(content) & 0xFFFFFFFF))
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
+        if len(ids) >= self.frame_bytes:
+            self.flush()
         self.docs.append((doc_id or 0, doc_id is None, len(self.table), len(ids) // 4))
         self.held.append(ids)
         self.size += len(ids)
@@ -120,19 +123,20 @@ def location(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
-def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, files: int | None = None, frame_bytes: int = 1 << 20) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, file_bytes: int = 64 << 20, frame_bytes: int = 1 << 20) -> DataFrame:
     """Encode whole texts and write them in ascending doc_id order; a row of the manifest for each file.
 
-    Texts are range-partitioned by doc_id before they are encoded, and a task writes one file. A task that runs again
-    writes under a new name; only the names that the manifest gives are part of the result. A null or empty text is
-    the end id alone, null ids come first, and rows with one doc_id stand side by side.
+    Texts are range-partitioned by doc_id before they are encoded, about ``file_bytes`` of them for each task, and a task
+    writes one file. Rows with one doc_id stand side by side, by a hash of their texts, and may go on in the next file.
+    A task that runs again writes under a new name; only the names that the manifest gives are part of the result. A
+    null or empty text is the end id alone, and null ids come first.
     """
-    spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange(files, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        rows.withColumn("mark", F.xxhash64("text"))
+        .repartitionByRange(max(1, -(-size // file_bytes)), "doc_id", "mark")
+        .sortWithinPartitions("doc_id", "mark")
         .select(F.spark_partition_id().alias("part"), "doc_id", "text")
     )
 
@@ -153,6 +157,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None =
         if writer is not None:
             size = writer.close()
             out.close()
+            give_back()
             yield pa.record_batch([pa.array([x], t) for x, t in ((part, pa.int32()), (path, pa.string()), (len(writer.docs), pa.int64()), (total, pa.int64()), (size, pa.int64()))], ["part", "path", "n_documents", "n_tokens", "bytes"])
 
     return settle(ordered.mapInArrow(run, MANIFEST))
@@ -198,5 +203,4 @@ def lookup(manifest: DataFrame, wanted: list[int]) -> DataFrame:
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write the ids of ``docs`` under the shared folder and read the files back."""
-    folder = f"{shared_dir(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
-    return read_ids(write_ids(docs, tokenizer, folder, end_id))
+    return read_ids(write_ids(docs, tokenizer, new_folder(docs.sparkSession, "ids"), end_id))
