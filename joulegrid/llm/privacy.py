@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,13 +39,20 @@ DIGIT = re.compile(r"[0-9]")
 LOOSE_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|0?[0-9]{2,4})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
 NATIONAL = re.compile(r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,200}[0-9])[A-Za-z0-9_/+-]{20,}+(?![A-Za-z0-9_/+-])")
-WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{2,63}){1,4}+")
+SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+")
+WRITTEN_AT = re.compile(r" ?[\[(]at[\])] ?")
+WRITTEN_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++")
 NAME = re.compile(r"\.? [A-ZÀ-Þ][a-zß-ÿ]+(?: [A-ZÀ-Þ][a-zß-ÿ]+)?")
 
 #: Gazetteers.
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora")
-FIRST_NAMES = frozenset("James Mary John Anna Robert Linda Michael Maria Peter Julia Thomas Laura Hans Greta Klaus Jean Pierre Claire Louis José Juan Carmen Luis Pablo Sofia David Sarah Paul Emma".split())
+FIRST_NAMES = frozenset(
+    """James Mary John Anna Robert Linda Michael Maria Peter Julia Thomas Laura William Elizabeth Richard Susan Joseph Jessica Charles Karen Daniel Nancy
+    Matthew Lisa Anthony Margaret Mark Sandra Steven Ashley Andrew Emily George Donna Kenneth Michelle Kevin Carol Brian Amanda Edward Helen David Sarah Paul Emma
+    Alice Henry Grace Jack Lucy Oliver Sophie Hans Greta Klaus Jürgen Ursula Wolfgang Monika Stefan Sabine Andreas Petra Dieter Renate Karl Ingrid Heike Uwe Birgit
+    Jean Pierre Claire Louis Michel Marie Philippe Nathalie Alain Isabelle Jacques Sylvie Nicolas Camille Antoine Chloé François Hélène
+    José Juan Carmen Luis Pablo Sofia Antonio Dolores Manuel Pilar Javier Lucía Miguel Teresa Carlos Rosa Pedro Elena Diego Marta""".split()
+)
 CUES = {
     "email": frozenset("mail email e-mail contact write".split()),
     "card": frozenset("card visa mastercard amex credit debit payment cc karte carte tarjeta".split()),
@@ -80,6 +88,19 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", at + 1)
 
 
+def written_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with words for the at sign and the dots, found from the former."""
+    last = 0
+    for m in WRITTEN_AT.finditer(text):
+        begin = m.start()
+        while begin > last and text[begin - 1] in LOCAL_CHARS:
+            begin -= 1
+        found = WRITTEN_DOMAIN.match(text, m.end()) if begin < m.start() else None
+        if found:
+            last = found.end()
+            yield begin, last
+
+
 def small(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) <= 3 and int(part or 0) <= 255
@@ -144,10 +165,11 @@ def votes(kind: str, text: str, a: int, b: int) -> tuple[int, ...]:
 def candidates(text: str, failed: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     found = [("card", a, b) for a, b in failed]
     if DIGIT.search(text):
-        for kind, pattern in (("phone", LOOSE_PHONE), ("national", NATIONAL), ("account", ACCOUNT), ("secret", SECRET)):
+        for kind, pattern in (("phone", LOOSE_PHONE), ("national", NATIONAL), ("account", ACCOUNT)):
             found += [(kind, *m.span()) for m in pattern.finditer(text)]
+        found += [("secret", *m.span()) for m in SECRET.finditer(text) if DIGIT.search(m.group())]
     if "at]" in text or "at)" in text:
-        found += [("email", *m.span()) for m in WRITTEN.finditer(text)]
+        found += [("email", a, b) for a, b in written_addresses(text)]
     for title in TITLES:
         at = text.find(title)
         while at >= 0:
@@ -255,7 +277,7 @@ def train(docs: DataFrame, sample_rows: int = 20_000) -> Model:
     rows = equal.where(taken).orderBy("kind", "votes", "features").collect()
     if not rows:
         return Model(reliability, rejecting(width))
-    weight = np.ceil(np.sqrt([min(r["n"], 1000) for r in rows]))
+    weight = np.sqrt([float(r["n"]) for r in rows])
     x = np.array([r["features"] for r in rows])
     target = np.array([posterior[(r["kind"], r["votes"])] for r in rows])
     return Model(reliability, fit_classifier(x, target, weight))
@@ -270,12 +292,23 @@ def spans(text: str | None, model: Model, threshold: float = 0.5) -> tuple[list[
     more = candidates(text, failed)
     if not more:
         return base, base
-    taken = sorted((a, b) for _, a, b in base)
+    # What is taken already, as disjoint stretches in order.
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
     accepted = []
     for kind, a, b in sorted(more, key=lambda c: (KINDS.index(c[0]), c[1])):
-        if 1 / (1 + math.exp(-float(np.dot(model.weights, describe(kind, text, a, b)[1])))) >= threshold and not any(x < b and a < y for x, y in taken):
-            accepted.append((KINDS.index(kind), a, b))
-            taken.append((a, b))
+        at = bisect_left(begins, b)
+        if (at and ends[at - 1] > a) or 1 / (1 + math.exp(-float(np.dot(model.weights, describe(kind, text, a, b)[1])))) < threshold:
+            continue
+        accepted.append((KINDS.index(kind), a, b))
+        begins.insert(at, a)
+        ends.insert(at, b)
     return base, sorted(base + accepted)
 
 
@@ -304,7 +337,10 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.5, **options) -> Da
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets, and n_chars (if there) as long as the new text."""
+    """``docs`` with every span replaced by its kind in brackets, and n_chars (if there) as long as the new text.
+
+    Null and empty texts stay as they are, as do all other columns and the number of rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, **options))
 
     def cover(text: str | None) -> str | None:
