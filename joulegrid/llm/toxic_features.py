@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +23,9 @@ SECOND = frozenset("you your yours yourself du dich dir dein deine ihr euch tu t
 OBFUSCATED = re.compile(r"[A-Za-z][0-9@$*!]+[A-Za-z]")
 LONG_RUN = re.compile(r"([a-z])\1\1")
 PUNCTUATION = re.compile(r"[!?.,;:*#%$&]{2,}")
-UPPER = bytes(range(65, 91)) + bytes(c for c in range(0xC0, 0xDF) if c != 0xD7)
-LOWER = bytes(range(97, 123)) + bytes(c for c in range(0xDF, 0x100) if c != 0xF7)
-PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
+#: Classes of characters by their Unicode categories: capitals, small letters, marks (punctuation and symbols), digits.
+KINDS = (("Lu", "Lt"), ("Ll",), ("Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk", "So"), ("Nd",))
+LATIN = tuple(bytes(c for c in range(256) if unicodedata.category(chr(c)) in kind) for kind in KINDS)
 HEAD, STEMS = 4, (4, 5, 6, 7)
 NAMES = (
     "hit_rate", "hit_weight_rate", "strongest", "hits", "weight", "distinct_hits", "strong_hits", "second_rate", "second_near", "capitals", "capital_words",
@@ -30,6 +33,23 @@ NAMES = (
 )
 
 
+@lru_cache(maxsize=1)
+def class_of() -> np.ndarray:
+    """Which of the classes each code point has, 4 for none."""
+    place = {c: k for k, kind in enumerate(KINDS) for c in kind}
+    return np.array([place.get(unicodedata.category(chr(c)), 4) for c in range(0x110000)], np.uint8)
+
+
+def class_counts(text: str) -> list[int]:
+    """Numbers of capitals, small letters, marks and digits."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.bincount(class_of()[codes], minlength=5)[:4].tolist()
+    return [len(raw) - len(raw.translate(None, kind)) for kind in LATIN]
+
+
 def terms(text: str) -> set[str]:
     """Distinct lower-cased words of a text, and their beginnings with a hyphen."""
     words = set(WORD.findall(text.lower()))
@@ -49,7 +69,6 @@ class Features:
 
     def of(self, text: str | None) -> list[float]:
         text = text or ""
-        raw = text.encode("latin-1", "replace")
         low = text.lower()
         words = WORD.findall(low)
         n, chars = max(1, len(words)), max(1, len(text))
@@ -60,10 +79,7 @@ class Features:
         weight = sum(x for _, _, x in hits)
         beside = set(second)
         close = sum(any(k + d in beside for d in range(-5, 6)) for k, _, _ in hits)
-        upper = len(raw) - len(raw.translate(None, UPPER))
-        lower = len(raw) - len(raw.translate(None, LOWER))
-        marks = len(raw) - len(raw.translate(None, PUNCT))
-        digits = len(raw) - len(raw.translate(None, b"0123456789"))
+        upper, lower, marks, digits = class_counts(text)
         capital = [w for w in WORD.findall(text) if len(w) > 1 and w.isupper()] if upper else []
         return [
             len(hits) / n, weight / n, max((x for _, _, x in hits), default=0.0), float(len(hits)), weight, float(len({w for _, w, _ in hits})), float(sum(x >= 2 for _, _, x in hits)),

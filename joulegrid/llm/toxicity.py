@@ -105,14 +105,17 @@ def scored(model: Model, rows: DataFrame, text: str, score: str) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, fold: int = 2, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted. Null texts score as empty ones; a null doc_id is not held out."""
+    """doc_id, held_out, score, predicted. Null texts score as empty ones; a null doc_id is not held out.
+
+    Every row is scored by its own text, so repeated rows score alike.
+    """
     model = train(docs, labels, folds=folds, fold=fold, **options)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.pmod(id_crc(), F.lit(folds)) == fold, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return scored(model, rows, "text", "score").select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """Rows of ``docs`` that score below the threshold, all columns as they are."""
+    """Rows of ``docs`` that score below the threshold, all columns as they are. Null texts score as empty ones."""
     model = train(docs, labels, **options)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("body"))
     return scored(model, rows, "body", "score").where(F.col("score") < threshold).select("row.*")
