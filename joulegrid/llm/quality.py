@@ -130,10 +130,12 @@ def learn(x: np.ndarray, counts: np.ndarray, y: np.ndarray, epochs: int = 12, hi
     return Model(mean, scale, w)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, folds: int = 3, fold: int = 1) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, folds: int = 3, fold: int = 1, bag_passages: int = 32) -> Model | float:
     """Learn from about ``sample_rows`` labelled documents; only their encoded passages reach the driver.
 
-    With labels of one kind, or none, the result is their mean (0.5 with none). Ids whose labels disagree count as 0.
+    Of a longer document ``bag_passages`` passages, evenly spread, are learned from (scores are of all). An id that
+    stands in several rows is one document, with the least of its texts. With labels of one kind, or none, the result
+    is their mean (0.5 with none). Ids whose labels disagree count as 0.
     """
     known = labels.where(F.col("quality").isNotNull() & (F.pmod(id_crc(), F.lit(folds)) != fold))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("double")).alias("label"))
@@ -141,15 +143,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, folds: in
     share = parts if n <= sample_rows else max(1, parts * sample_rows // n)
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(parts)) < share)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def make():
         table = class_table()
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
             x, counts = encode(b.column("text").to_pylist(), table)
-            stops = np.cumsum(counts)
-            return pa.record_batch([b.column("doc_id"), b.column("label"), pa.array([x[s - c : s].tobytes() for s, c in zip(stops, counts, strict=True)], pa.binary())], ["doc_id", "label", "passages"])
+            begin = np.cumsum(counts) - counts
+            some = [np.unique(np.linspace(0, c - 1, min(c, bag_passages)).round().astype(int)) for c in counts]
+            return pa.record_batch([b.column("doc_id"), b.column("label"), pa.array([x[a + s].tobytes() for a, s in zip(begin, some, strict=True)], pa.binary())], ["doc_id", "label", "passages"])
 
         return work
 
@@ -169,7 +172,10 @@ def score(model: Model | float, texts: list[str | None], table: np.ndarray) -> n
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int = 3, fold: int = 1, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted. Null texts score as empty ones; a null doc_id is not held out."""
+    """doc_id, held_out, score, predicted. Null texts score as empty ones; a null doc_id is not held out.
+
+    Every row is scored by its own text, so repeated rows score alike.
+    """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds=folds, fold=fold, **options))
 
     def make():
