@@ -327,18 +327,22 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 def build_lexicon(docs: DataFrame, tokenizer: str, lexicon_words: int = 32_768) -> bytes:
     """Compile the most frequent words of all documents, at most ``lexicon_words``.
 
-    Words are taken by steps of their frequency (16 to a doubling), whole steps only, so the driver gets a histogram of
-    steps, which is short for any corpus, and the chosen words, but no candidates that are not chosen.
+    Words are taken by steps of their frequency (16 to a doubling): whole steps as far as they fit, and of the next one
+    the words that a hash puts first. So the driver gets a histogram of steps, which is short for any corpus, and the
+    chosen words, but no candidates that are not chosen.
     """
     step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
     counts = settle(word_counts(docs, tokenizer).where(F.octet_length("word") <= LONG).withColumn("step", step))
-    held, least = 0, None
+    room, partly = lexicon_words, None
     for r in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), reverse=True):
-        held += r["words"]
-        if held > lexicon_words:
+        if r["words"] > room:
+            partly = r["step"]
             break
-        least = r["step"]
-    words = [] if least is None else [r["word"] for r in counts.where(F.col("step") >= least).select("word").collect()]
+        room -= r["words"]
+    whole = counts if partly is None else counts.where(F.col("step") > partly)
+    words = [r["word"] for r in whole.select("word").collect()]
+    if partly is not None:
+        words += [r["word"] for r in counts.where(F.col("step") == partly).orderBy(F.xxhash64("word"), "word").limit(room).select("word").collect()]
     return compile_lexicon(words, Merges(tokenizer))
 
 
@@ -370,7 +374,10 @@ def decode_documents(encoded: DataFrame, tokenizer: str, compiled: bytes) -> Dat
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str, lexicon_words: int = 32_768) -> DataFrame:
-    """Encode and decode every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256. Repeated rows stay repeated."""
+    """Encode and decode every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null texts count as empty ones, without ids. Repeated rows stay repeated.
+    """
     held = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, tokenizer, lexicon_words))
 
     def make():
