@@ -138,7 +138,10 @@ def identify(docs: DataFrame, folds: int = 5, fold: int = 0, **options) -> DataF
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5, **options) -> DataFrame:
-    """Rows of ``docs``, all columns as they are, whose text has a language with at least this posterior."""
+    """Rows of ``docs``, all columns as they are, whose text has a language with at least this posterior.
+
+    Null and empty texts, and those without a letter, have none.
+    """
     held = fit(docs, **options)
 
     def make():

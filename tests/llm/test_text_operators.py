@@ -14,8 +14,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from joulegrid.llm import langid, lexicon_bpe, near_copies, packing, privacy, quality, seekable, simhash, toxicity
-from joulegrid.llm.common import shared_dir
 from joulegrid.llm.tokens import WordIds
+from joulegrid.shared import shared_dir
 from tests.conftest import DATA
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -202,7 +202,8 @@ def test_near_copies_are_found_and_others_stay(spark, empty):
     df = spark.createDataFrame([(k, t, "en", None, 0, "f", 1, 2) for k, t in enumerate(texts)], SCHEMA).repartition(3)
     for block in (4, 1024):
         marked = near_copies.wide_fingerprints(df)
-        got = {(r["high"], r["low"]): r["component_id"] for r in near_copies.near_copy_classes(marked, block=block).collect()}
+        first = marked.join(near_copies.near_copy_classes(marked, block=block), ["high", "low"]).groupBy("root").agg(F.min("doc_id").alias("component_id"), F.collect_set(F.struct("high", "low")).alias("of"))
+        got = {(x["high"], x["low"]): r["component_id"] for r in first.collect() for x in r["of"]}
         of = {r["doc_id"]: got[r["high"], r["low"]] for r in marked.collect()}
         for k in range(0, 48, 4):
             assert [of[k + j] for j in range(4)] == [k] * 4
@@ -247,13 +248,19 @@ def test_near_copies_share_their_shingles(spark):
         assert [of[k] for k in range(len(texts))] == label
 
 
-def test_rotation_keeps_all_bits():
+def test_rotation_keeps_all_bits(spark):
     r = np.random.default_rng(1)
     high, low = (r.integers(0, 2**64, 9, dtype=np.uint64) for _ in range(2))
     whole = [(int(a) << 64) | int(b) for a, b in zip(high, low, strict=True)]
-    for n in (0, 8, 63, 64, 72, 120):
-        got = [(int(a) << 64) | int(b) for a, b in zip(*near_copies.rotated(high, low, n), strict=True)]
-        assert got == [((w << n) | (w >> (128 - n))) & (2**128 - 1) for w in whole]
+    turns = (0, 8, 63, 64, 72, 120)
+    df = spark.createDataFrame(list(zip(high.view(np.int64).tolist(), low.view(np.int64).tolist(), strict=True)), "high long, low long")
+    got = df.select(*[c.alias(f"{part}{n}") for n in turns for part, c in zip("hl", near_copies.turned(F.col("high"), F.col("low"), n), strict=True)]).collect()
+    for w, row in zip(whole, got, strict=True):
+        for n in turns:
+            pair = np.array([[row[f"h{n}"], row[f"l{n}"]]], np.int64).view(np.uint64)
+            assert (int(pair[0, 0]) << 64) | int(pair[0, 1]) == ((w << n) | (w >> (128 - n))) & (2**128 - 1)
+            plain = np.array([(w >> 64) ^ (w & (2**64 - 1))], np.uint64).view(np.int64)
+            assert simhash.names_of(pair, n)[0] == plain[0]
 
 
 def test_slice_links_equal_brute_force():
@@ -267,10 +274,23 @@ def test_slice_links_equal_brute_force():
             rows.append((h ^ (m >> 64), w ^ (m & (2**64 - 1))))
     t = np.array(rows, np.uint64)
     t = t[np.argsort(simhash.gray_rank(t[:, 0]))]
-    top = np.uint64(0xFFFF << 48)
-    got = set(zip(*(x.tolist() for x in near_copies.links(t, t, top, 1, 26)), strict=True))
-    want = {(i, j) for i in range(len(t)) for j in range(len(t)) if np.bitwise_count(t[i] ^ t[j]).sum() <= 26 and np.bitwise_count((t[i, 0] ^ t[j, 0]) & top) <= 1}
-    assert got == want
+    top = 0xFFFF << 48
+    links = lambda x, y: np.nonzero((np.bitwise_count(x[:, None] ^ y[None]).sum(axis=2) <= 26) & (np.bitwise_count((x[:, None, 0] ^ y[None, :, 0]) & np.uint64(top)) <= 1))
+    assert (simhash.tied(t, t, 26, top, 1) == simhash.roots(len(t), *links(t, t))).all()
+    a, b = t[:90], t[90:]
+    i, j = links(a, b)
+    assert (simhash.tied(a, b, 26, top, 1) == simhash.roots(len(t), i, j + 90)).all()
+
+
+def test_forest_ties_what_its_links_tie():
+    r = np.random.default_rng(4)
+    x, y = r.integers(0, 500, (2, 3000))
+    trees = simhash.Forest(100)
+    for k in range(0, 3000, 50):
+        trees.add(x[k : k + 50], y[k : k + 50])
+    found = list(trees.links(64))
+    one, two = (np.concatenate([b.column(c).to_numpy() for b in found]) for c in ("one", "two"))
+    assert len(one) < 500 and (simhash.roots(500, one, two) == simhash.roots(500, x, y)).all()
 
 
 def test_blocks_find_every_link(spark):
@@ -457,7 +477,7 @@ def test_token_files(spark, docs, empty, tmp_path):
         at += len(ids)
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert seekable.token_files(empty, WORD).count() == 0
-    manifest = seekable.write_ids(docs, WORD, f"{shared_dir(spark)}/files-test", 1, 3, frame_bytes=256)
+    manifest = seekable.write_ids(docs, WORD, f"{shared_dir(spark)}/files-test", 1, 2000, frame_bytes=256)
     found = {r["doc_id"]: r["ids"] for r in seekable.lookup(manifest, [7, 19, 99]).collect()}
     assert found[7] == library.encode(ODD[7], add_special_tokens=False).ids + [1] and set(found) == {7, 19}
 
