@@ -55,8 +55,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``settle``, as Parquet: small parts are read together, and sizes are known to the planner."""
-    path = new_folder(df.sparkSession, "stored")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, tasks_per_core: int = 4) -> DataFrame:
+    """Like ``settle``, as Parquet: small parts are read together, and sizes are known to the planner.
+
+    Neighbouring partitions are written together by ``tasks_per_core`` tasks for each core of the cluster at most, as
+    every file costs its creation, and empty or tiny ones cost no less.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "stored")
+    df.coalesce(tasks_per_core * spark.sparkContext.defaultParallelism).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
