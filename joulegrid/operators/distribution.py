@@ -1,41 +1,78 @@
-"""Distributions of a value: count, mean, extremes, sample deviation, nearest-rank percentiles, total."""
+"""Distributions of a value: count, mean, extremes, sample deviation, nearest-rank percentiles, total.
+
+Equal values are counted first. Ranks are found over those counts in stretches of the value, so that neither a group
+with most rows nor one with very many different values is held by one task.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUANTILES = (0.5, 0.95, 0.99)
+STRETCHES = 4096
+
+
+def column_name(q: float) -> str:
+    return f"p{round(100 * q)}"
+
+
+def counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, x and n: how often each value stands; a group without values has a row with a null."""
+    return df.groupBy(*keys, F.col(value).cast("bigint").alias("x")).agg(F.count("*").alias("n"))
+
+
+def ranked_values(counts: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """keys and a column for each quantile: the value at rank ceil(q n), at least 1, of each group with values.
+
+    The range of a group is cut into equal stretches; counts of stretches tell which of them hold the wanted ranks, and
+    only these are gone through value by value.
+    """
+    known = counts.where("x IS NOT NULL")
+    ends = known.groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.sum("n").alias("_all"))
+    width = (F.col("_hi").cast("double") - F.col("_lo").cast("double") + 1) / F.lit(float(STRETCHES))
+    placed = known.join(ends, list(keys)).withColumn("_stretch", F.floor((F.col("x").cast("double") - F.col("_lo").cast("double")) / width))
+    upto = W.partitionBy(*keys).orderBy("_stretch").rowsBetween(W.unboundedPreceding, 0)
+    sums = placed.groupBy(*keys, "_stretch", "_all").agg(F.sum("n").alias("_here")).withColumn("_upto", F.sum("_here").over(upto))
+    ranks = F.array(*[F.struct(F.lit(column_name(q)).alias("q"), F.greatest(F.ceil(F.lit(float(q)) * F.col("_all")), F.lit(1)).cast("bigint").alias("rank")) for q in quantiles])
+    wanted = sums.select(*keys, "_stretch", (F.col("_upto") - F.col("_here")).alias("_before"), "_upto", F.explode(ranks).alias("_r"))
+    wanted = wanted.where((F.col("_r.rank") > F.col("_before")) & (F.col("_r.rank") <= F.col("_upto")))
+    wanted = wanted.select(*keys, "_stretch", F.col("_r.q").alias("_q"), (F.col("_r.rank") - F.col("_before")).alias("_rank"))
+    inside = W.partitionBy(*keys, "_stretch", "_q").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
+    walked = placed.select(*keys, "_stretch", "x", "n").join(wanted, [*keys, "_stretch"]).withColumn("_sum", F.sum("n").over(inside))
+    found = walked.where((F.col("_sum") >= F.col("_rank")) & (F.col("_sum") - F.col("n") < F.col("_rank")))
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("_q") == column_name(q), F.col("x"))).alias(column_name(q)) for q in quantiles))
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    """The value at rank ceil(q n); ``percentile`` would interpolate. Exact for integers up to 2^53."""
-    return F.expr(f"CAST(percentile_disc({q}) WITHIN GROUP (ORDER BY {value}) AS BIGINT)")
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """Nearest-rank percentiles of each group with values."""
+    return ranked_values(counted(df, keys, value), keys, quantiles)
 
 
-def distribution(value: str, digits: int = 6) -> list[Column]:
-    """Aggregates of an integer column. Without values all are 0; the deviation of one value is 0.
+def describe(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6) -> DataFrame:
+    """The distribution of an integer column by group. Without values all are 0; the deviation of one value is 0.
 
     Sums and sums of squares are exact, so that neither order nor partitioning changes a result.
     """
-    x = F.col(value).cast("decimal(19,0)")
-    n = F.count(value)
-    total, squares = F.coalesce(F.sum(x), F.lit(0)), F.coalesce(F.sum((x * x).cast("decimal(38,0)")), F.lit(0))
-    some = F.greatest(n, F.lit(1)).cast("double")
-    spread = (n * squares - total * total).cast("double")
-    return [
-        n.alias("n"),
-        F.round(total.cast("double") / some, digits).alias("mean"),
-        F.coalesce(F.min(value), F.lit(0)).alias("min"),
-        F.coalesce(F.max(value), F.lit(0)).alias("max"),
-        F.when(n > 1, F.round(F.sqrt(spread / (n * (n - 1)).cast("double")), digits)).otherwise(F.lit(0.0)).alias("stddev"),
-        *(F.coalesce(nearest_rank(value, q), F.lit(0)).alias(f"p{round(100 * q)}") for q in QUANTILES),
-        total.cast("bigint").alias("total"),
-    ]
-
-
-def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(*distribution(value))
+    counts = counted(df, keys, value)
+    x, times = F.col("x").cast("decimal(19,0)"), F.col("n").cast("decimal(19,0)")
+    n = F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("n"))), F.lit(0))
+    sums = counts.groupBy(*keys).agg(
+        n.alias("n"), F.coalesce(F.min("x"), F.lit(0)).alias("min"), F.coalesce(F.max("x"), F.lit(0)).alias("max"),
+        F.coalesce(F.sum((x * times).cast("decimal(38,0)")), F.lit(0)).alias("_total"), F.coalesce(F.sum((x * x * times).cast("decimal(38,0)")), F.lit(0)).alias("_squares"),
+    )
+    some = F.greatest("n", F.lit(1)).cast("double")
+    spread = (F.col("n") * F.col("_squares") - F.col("_total") * F.col("_total")).cast("double")
+    ranks = ranked_values(counts, keys)
+    return sums.join(ranks, list(keys), "left").select(
+        *keys, "n", F.round(F.col("_total").cast("double") / some, digits).alias("mean"), "min", "max",
+        F.when(F.col("n") > 1, F.round(F.sqrt(spread / (F.col("n") * (F.col("n") - 1)).cast("double")), digits)).otherwise(F.lit(0.0)).alias("stddev"),
+        *(F.coalesce(column_name(q), F.lit(0)).alias(column_name(q)) for q in QUANTILES),
+        F.col("_total").cast("bigint").alias("total"),
+    )
 
 
 def variation(mean: str = "mean", stddev: str = "stddev") -> Column:

@@ -11,7 +11,7 @@ from joulegrid.operators.ordered import DAY_NS, with_next
 CAUSES = ("device_overflow", "sequence_gap", "timestamp_jump", "host_overrun", "truncation")
 
 
-def time_gaps(samples: DataFrame, rate_hz: float, periods: int = 3, slice_ns: int = DAY_NS) -> DataFrame:
+def time_gaps(samples: DataFrame, rate_hz: float, periods: int = 3, slice_ns: int | None = None) -> DataFrame:
     """Gaps between consecutive samples further apart than ``periods`` nominal periods; every pair is checked.
 
     ``overflow_before`` and ``seq_gap_before`` of the later sample, where there, give the cause; else it is a jump. The

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joulegrid.operators.distribution import distribution
-from joulegrid.operators.ordered import DAY_NS, HOUR_NS, with_next
+from joulegrid.operators.distribution import describe
+from joulegrid.operators.ordered import slice_length, with_next
 from joulegrid.operators.pairing import broadcast_if_small, occurrences, paired, pairing_counts
 from joulegrid.operators.regions import energy_uj, pair_terms, with_voltage
 from joulegrid.shared import settle
@@ -14,28 +14,37 @@ from joulegrid.shared import settle
 OCCURRENCE = ("capture_id", "name", "seq")
 
 
-def in_windows(samples: DataFrame, windows: DataFrame, bin_ns: int = HOUR_NS) -> DataFrame:
+def in_windows(samples: DataFrame, windows: DataFrame, widest_ns: int | None = None) -> DataFrame:
     """Every sample of every half-open window of its capture: rows of ``windows`` beside rows of ``samples``.
 
-    Times are cut into bins and the join is one of equality on the bin, so neither side is broadcast and a long capture
-    spreads over many tasks. Empty windows (end at or before start) match nothing.
+    The join is one of equality on time bins. A window's bins are as wide as itself, up to the next power of 4, so it
+    touches two, and a sample meets few windows that it is not in; a sample stands once for each width that its capture
+    has. Bins are no wider than ``widest_ns`` (by default as ``slice_length`` has it), so that a long window spreads over
+    many tasks. Empty windows (end at or before start) match nothing.
     """
-    bins = F.sequence(F.floor(F.col("start_ns") / F.lit(bin_ns)), F.floor((F.col("end_ns") - 1) / F.lit(bin_ns)))
-    spread = windows.where("end_ns > start_ns").withColumn("_bin", F.explode(bins))
-    binned = samples.withColumn("_bin", F.floor(F.col("t_ns") / F.lit(bin_ns)))
-    return spread.join(binned.drop("seq"), ["capture_id", "_bin"]).where("t_ns >= start_ns AND t_ns < end_ns").drop("_bin")
-
-
-def occurrence_energy(samples: DataFrame, found: DataFrame, method: str = "trapezoid", supply_uv: int | None = None, slice_ns: int = DAY_NS, bin_ns: int = HOUR_NS) -> DataFrame:
+    widest_ns = widest_ns or slice_length(samples, ["capture_id"])
+    length = (F.col("end_ns") - F.col("start_ns")).cast("double")
+    width = F.least(F.pow(F.lit(4.0), F.ceil(F.log2(length) / 2)), F.lit(float(widest_ns))).cast("bigint")
+    wide = windows.where("end_ns > start_ns").withColumn("_width", F.greatest(width, F.lit(1).cast("bigint")))
+    bins = F.sequence(F.call_function("div", F.col("start_ns"), F.col("_width")), F.call_function("div", F.col("end_ns") - 1, F.col("_width")))
+    spread = wide.withColumn("_bin", F.explode(bins))
+    widths = wide.select("capture_id", "_width").distinct()
+    binned = samples.drop("seq").join(widths, "capture_id").withColumn("_bin", F.call_function("div", F.col("t_ns"), F.col("_width")))
+    same = ["capture_id", "_width", "_bin"]
+    return spread.join(binned, same).where("t_ns >= start_ns AND t_ns < end_ns").drop("_bin", "_width")
+
+
+def occurrence_energy(samples: DataFrame, found: DataFrame, method: str = "trapezoid", supply_uv: int | None = None, slice_ns: int | None = None) -> DataFrame:
     """samples, sum_i, max_ua and energy_uj of every occurrence; samples is 0 where none falls inside.
 
     Samples next to each other inside an occurrence are next to each other in the capture, so each sample carries the
     step to its next one, which counts if that is inside as well. An interval's last partial step is not integrated.
     """
+    slice_ns = slice_ns or slice_length(samples, ["capture_id"])
     steps = with_next(with_voltage(samples, supply_uv), ("capture_id",), ("t_ns", "seq"), ("current_ua", "voltage_uv"), slice_ns)
     energy, _ = pair_terms(method)
     steps = steps.select("capture_id", "seq", "t_ns", "current_ua", F.col("next.t_ns").alias("next_ns"), energy.alias("step2"))
-    joined = in_windows(steps, found.select(*OCCURRENCE, "start_ns", "end_ns"), bin_ns)
+    joined = in_windows(steps, found.select(*OCCURRENCE, "start_ns", "end_ns"), slice_ns)
     inside = F.when(F.col("next_ns") < F.col("end_ns"), F.col("step2")).otherwise(F.lit(0).cast("decimal(38,0)"))
     sums = joined.groupBy(*OCCURRENCE).agg(F.count("*").alias("samples"), F.sum(F.col("current_ua").cast("bigint")).alias("sum_i"), F.max("current_ua").alias("max_ua"), F.sum(inside).alias("energy2"))
     return (
@@ -46,10 +55,6 @@ def occurrence_energy(samples: DataFrame, found: DataFrame, method: str = "trape
     )
 
 
-def named(columns: list[Column], prefix: str) -> list[Column]:
-    return [c.alias(f"{prefix}_{name}") for c, name in zip(columns, ("n", "mean", "min", "max", "stddev", "p50", "p95", "p99", "total"), strict=True)]
-
-
 def event_stats(samples: DataFrame, events: DataFrame, defs: DataFrame, span_ns: int | None = None, **options) -> DataFrame:
     """A row for each scoped definition, over all captures: occurrences, distributions of duration (ns) and energy (nJ).
 
@@ -58,12 +63,16 @@ def event_stats(samples: DataFrame, events: DataFrame, defs: DataFrame, span_ns:
     """
     pairs = settle(paired(events, defs))  # read twice below, and much smaller than the samples
     measured = occurrence_energy(samples, pairs.where("status = 'paired'").drop("status"), **options)
-    rows = measured.select("name", "samples", "sum_i", "max_ua", (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"), F.round(F.col("energy_uj") * 1000).cast("bigint").alias("energy_nj"))
-    stats = rows.groupBy("name").agg(
-        *named(distribution("duration_ns", 0), "duration_ns"), *named(distribution("energy_nj", 0), "energy_nj"),
+    rows = settle(measured.select("name", "samples", "sum_i", "max_ua", (F.col("end_ns") - F.col("start_ns")).alias("duration_ns"), F.round(F.col("energy_uj") * 1000).cast("bigint").alias("energy_nj")))
+    currents = rows.groupBy("name").agg(
         F.round(F.sum("sum_i").cast("double") / F.sum(F.when(F.col("samples") > 0, F.col("samples"))).cast("double"), 6).alias("mean_ua"),
         F.max("max_ua").alias("peak_ua"), F.count_if(F.col("samples") == 0).alias("unsampled"), F.count_if(F.col("samples") == 1).alias("single_sample"),
     )
+    both = F.array(*[F.struct(F.lit(what).alias("what"), F.col(what).alias("value")) for what in ("duration_ns", "energy_nj")])
+    described = describe(rows.select("name", F.explode(both).alias("m")).select("name", "m.*"), ["name", "what"], "value", 0)
+    figures = [c for c in described.columns if c not in ("name", "what")]
+    of = [F.max(F.when(F.col("what") == what, F.col(c))).alias(f"{what}_{c}") for what in ("duration_ns", "energy_nj") for c in figures]
+    stats = described.groupBy("name").agg(*of).join(currents, "name")
     counts = pairing_counts(pairs, ("name",)).withColumnRenamed("paired", "occurrences")
     spans = samples.groupBy("capture_id").agg((F.max("t_ns") + 1 - F.min("t_ns")).alias("span")).agg(F.sum("span").alias("span_ns"))
     names = broadcast_if_small(defs.where("stop_id IS NOT NULL").select("name", "category", "value_units"))

@@ -14,14 +14,28 @@ from pyspark.sql import functions as F
 
 HOUR_NS = 3_600_000_000_000
 DAY_NS = 24 * HOUR_NS
+#: About so many rows of a key are in a slice at most.
+SLICE_ROWS = 1_000_000
 
 
-def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = (), slice_ns: int = DAY_NS, name: str = "next") -> DataFrame:
+def slice_length(df: DataFrame, keys: Sequence[str], time: str = "t_ns", rows: int = SLICE_ROWS, most_ns: int = DAY_NS) -> int:
+    """Nanoseconds in which a key has about ``rows`` rows at its fullest hour, at most ``most_ns``.
+
+    At 50,000 samples a second that is 20 seconds. Counted over keys and hours; one number reaches the driver.
+    """
+    hours = df.groupBy(*keys, F.floor(F.col(time) / F.lit(HOUR_NS)).alias("_hour")).agg(F.count("*").alias("n"))
+    most = hours.agg(F.max("n")).first()[0] or 0
+    return min(most_ns, max(1, HOUR_NS * rows // max(1, most)))
+
+
+def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = (), slice_ns: int | None = None, name: str = "next") -> DataFrame:
     """``df`` with a struct of the following row's ``order`` and ``carry`` columns, null for a key's last row.
 
-    The first column of ``order`` is a time; slices are ``slice_ns`` of it. (key, order) must be distinct.
+    The first column of ``order`` is a time; slices are ``slice_ns`` of it, by default as ``slice_length`` has it.
+    (key, order) must be distinct.
     """
     fields = [*order, *carry]
+    slice_ns = slice_ns or slice_length(df, keys, order[0])
     sliced = df.withColumn("_slice", F.floor(F.col(order[0]) / F.lit(slice_ns)))
     here = F.struct(*fields)
     inside = sliced.withColumn(name, F.lead(here).over(W.partitionBy(*keys, "_slice").orderBy(*order)))
@@ -34,11 +48,12 @@ def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: S
     )
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Column, slice_ns: int = DAY_NS) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Column, slice_ns: int | None = None) -> DataFrame:
     """``df`` with ``total``, the running sum of ``step`` in order, and ``low``, its running minimum with 0 at the start.
 
-    ``low_before`` is the minimum over the preceding rows only.
+    ``low_before`` is the minimum over the preceding rows only. Slices are as in ``with_next``.
     """
+    slice_ns = slice_ns or slice_length(df, keys, order[0])
     sliced = df.withColumn("_slice", F.floor(F.col(order[0]) / F.lit(slice_ns))).withColumn("_step", step)
     within = W.partitionBy(*keys, "_slice").orderBy(*order)
     upto, before = within.rowsBetween(W.unboundedPreceding, 0), within.rowsBetween(W.unboundedPreceding, -1)
@@ -56,6 +71,6 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Colu
     )
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_ns: int = DAY_NS, name: str = "n") -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_ns: int | None = None, name: str = "n") -> DataFrame:
     """``df`` with each row's number within its key, from 0."""
     return running(df, keys, order, F.lit(1), slice_ns).withColumn(name, F.col("total") - 1).drop("total", "low", "low_before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joulegrid.operators.ordered import DAY_NS, running, with_next
+from joulegrid.operators.ordered import running, slice_length, with_next
 
 
 def marks(events: DataFrame, defs: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def paired(events: DataFrame, defs: DataFrame, keys: tuple[str, ...] = ("capture_id",), slice_ns: int = DAY_NS) -> DataFrame:
+def paired(events: DataFrame, defs: DataFrame, keys: tuple[str, ...] = ("capture_id",), slice_ns: int | None = None) -> DataFrame:
     """Every start, and every stop without one: status ``paired``, ``unterminated`` or ``orphaned``.
 
     With S the running sum of +1 for starts and -1 for stops, and m its running minimum (0 at first), a stop is an
@@ -35,6 +35,7 @@ def paired(events: DataFrame, defs: DataFrame, keys: tuple[str, ...] = ("capture
     move by the latency and stop at 0. The value is the start's.
     """
     group = (*keys, "name")
+    slice_ns = slice_ns or slice_length(events, keys)
     levels = running(marks(events, defs), group, ("t_ns", "seq"), F.col("step"), slice_ns)
     orphan = (F.col("step") == -1) & (F.col("total") < F.col("low_before"))
     levels = levels.withColumn("orphan", orphan).withColumn("level", F.col("total") - F.col("low") + F.when(F.col("step") == -1, 1).otherwise(0))
@@ -49,7 +50,7 @@ def paired(events: DataFrame, defs: DataFrame, keys: tuple[str, ...] = ("capture
     return found.unionByName(lost)
 
 
-def occurrences(events: DataFrame, defs: DataFrame, keys: tuple[str, ...] = ("capture_id",), slice_ns: int = DAY_NS) -> DataFrame:
+def occurrences(events: DataFrame, defs: DataFrame, keys: tuple[str, ...] = ("capture_id",), slice_ns: int | None = None) -> DataFrame:
     """Paired intervals only."""
     return paired(events, defs, keys, slice_ns).where("status = 'paired'").drop("status")
 

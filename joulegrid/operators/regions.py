@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joulegrid.operators.ordered import DAY_NS, with_next
+from joulegrid.operators.ordered import with_next
 from joulegrid.schemas import DEFAULT_SUPPLY_UV
 
 METHODS = ("trapezoid", "rectangular")
@@ -110,7 +110,7 @@ def finished(totals: DataFrame, keys: list[str], single_span_ns: int | None = No
 
 def region_stats(
     samples: DataFrame, keys: tuple[str, ...] = ("capture_id",), start_ns: int | None = None, end_ns: int | None = None, method: str = "trapezoid",
-    supply_uv: int | None = None, gaps: DataFrame | None = None, gap_policy: str = "strict", slice_ns: int = DAY_NS,
+    supply_uv: int | None = None, gaps: DataFrame | None = None, gap_policy: str = "strict", slice_ns: int | None = None,
 ) -> DataFrame:
     """Statistics of every capture over a span.
 

@@ -40,22 +40,32 @@ def checked(times: DataFrame) -> DataFrame:
     return times
 
 
-def resolved(events: DataFrame, samples: DataFrame, keys: tuple[str, ...] = ("device",), order: tuple[str, ...] = ("arrival",), slice_rows: int = 1 << 20) -> DataFrame:
-    """Events with ``full_ticks``: of the epochs around the last sample that arrived before, the one that is nearest.
+def last_before(rows: DataFrame, marks: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...], slice_rows: int) -> DataFrame:
+    """``rows`` with the ``value`` of the last of ``marks`` at or before each in order, null if there is none.
 
-    An as-of join: both streams are laid into one arrival order, and each event takes the last sample before it. An
-    event before all samples is in epoch 0. Slices without a sample take the last of an earlier slice.
+    An as-of join: both are laid into one order and each row takes the last value before it. Slices without a mark take
+    the last of an earlier slice.
     """
-    both = samples.select(*keys, *order, F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("ticks"), F.col("full_ticks").alias("_sample")).unionByName(
-        events.select(*keys, *order, F.lit(1).alias("_kind"), F.col("ticks").cast("bigint"), F.lit(None).cast("bigint").alias("_sample"))
-    )
-    both = both.withColumn("_slice", F.floor(F.col(order[0]) / F.lit(slice_rows)))
+    names = [c for c in rows.columns if c not in (*keys, *order)]
+    left = rows.select(*keys, *order, F.lit(1).alias("_kind"), F.struct(*names).alias("_row") if names else F.lit(None).alias("_row"), F.lit(None).cast(marks.schema[value].dataType).alias("_value"))
+    right = marks.select(*keys, *order, F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"), F.col(value).alias("_value"))
+    both = left.unionByName(right).withColumn("_slice", F.floor(F.col(order[0]) / F.lit(slice_rows)))
     within = W.partitionBy(*keys, "_slice").orderBy(*order, "_kind").rowsBetween(W.unboundedPreceding, 0)
-    last = both.withColumn("_last", F.last("_sample", True).over(within))
-    ends = both.groupBy(*keys, "_slice").agg(F.max(F.when(F.col("_sample").isNotNull(), F.struct(*order, "_sample"))).alias("_end"))
+    last = both.withColumn("_last", F.last("_value", True).over(within))
+    ends = both.groupBy(*keys, "_slice").agg(F.max(F.when(F.col("_value").isNotNull(), F.struct(*order, "_value"))).alias("_end"))
     past = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select(*keys, "_slice", F.last("_end", True).over(past)["_sample"].alias("_carried"))
-    at = last.where("_kind = 1").join(carried, [*keys, "_slice"]).withColumn("_at", F.coalesce("_last", "_carried", F.lit(0).cast("bigint")))
+    carried = ends.select(*keys, "_slice", F.last("_end", True).over(past)["_value"].alias("_carried"))
+    at = last.where("_kind = 1").join(carried, [*keys, "_slice"])
+    return at.select(*keys, *order, *[F.col(f"_row.{n}").alias(n) for n in names], F.coalesce("_last", "_carried").alias(value))
+
+
+def resolved(events: DataFrame, samples: DataFrame, keys: tuple[str, ...] = ("device",), order: tuple[str, ...] = ("arrival",), slice_rows: int = 1 << 20) -> DataFrame:
+    """Events with ``full_ticks``: of the epochs around the last sample that arrived before, the one that is nearest.
+
+    An event before all samples is in epoch 0.
+    """
+    marks = samples.select(*keys, *order, F.col("full_ticks").alias("_near"))
+    at = last_before(events.select(*keys, *order, F.col("ticks").cast("bigint").alias("ticks")), marks, "_near", keys, order, slice_rows).withColumn("_at", F.coalesce("_near", F.lit(0).cast("bigint")))
     base = F.floor(F.col("_at") / F.lit(WRAP)) * WRAP + F.col("ticks")
     full = F.when((base - F.col("_at") > HALF) & (base >= WRAP), base - WRAP).when(F.col("_at") - base > HALF, base + WRAP).otherwise(base)
     return at.select(*keys, *order, "ticks", full.alias("full_ticks"))
@@ -66,6 +76,24 @@ def wrap_mismatches(sync: DataFrame) -> DataFrame:
     return sync.where(F.col("epoch").bitwiseAND(F.lit(0xFFFF)) != F.col("wrap_count"))
 
 
+def checked_wraps(sync: DataFrame) -> DataFrame:
+    """The same rows; raises TimeError if a device's own count of wraps differs from the epoch."""
+    bad = wrap_mismatches(sync)
+    if not bad.isEmpty():
+        raise TimeError(f"{bad.count()} epochs differ from the device's count of wraps")
+    return sync
+
+
+def resynced(times: DataFrame, sync: DataFrame, keys: tuple[str, ...] = ("device",), order: tuple[str, ...] = ("arrival",), slice_rows: int = 1 << 20) -> DataFrame:
+    """``times`` with epochs and full ticks as the device's last count of wraps has them.
+
+    A sync row that differs from the epoch moves all rows from it on by the difference, until the next one.
+    """
+    marks = sync.select(*keys, *order, (F.col("wrap_count") - F.col("epoch").bitwiseAND(F.lit(0xFFFF))).cast("bigint").alias("_moved"))
+    moved = last_before(times, marks, "_moved", keys, order, slice_rows).withColumn("epoch", F.col("epoch") + F.coalesce("_moved", F.lit(0)))
+    return moved.withColumn("full_ticks", F.col("epoch") * WRAP + F.col("ticks")).select(*times.columns)
+
+
 def ticks_to_ns(ticks: Column, timer_hz: Column) -> Column:
     """Whole nanoseconds, truncated, over a 128-bit product; a timer of 0 Hz counts as 1."""
     product = ticks.cast("decimal(20,0)") * F.lit(1_000_000_000).cast("decimal(10,0)")

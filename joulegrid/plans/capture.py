@@ -15,21 +15,54 @@ def spans(samples: DataFrame) -> DataFrame:
 
 
 def chunk_counts(**tables: DataFrame) -> DataFrame:
-    """Rows by kind and capture, kinds in the order of their codes."""
+    """Rows by kind and capture, kinds in the order of their codes; capture and kind are counted in one pass."""
     codes = {"samples": 0x0001, "events": 0x0002, "gpio": 0x0003, "sync": 0x0005}
-    out = None
-    for kind, df in tables.items():
-        counted = df.groupBy("capture_id").agg(F.count("*").alias("rows")).select("capture_id", F.lit(codes[kind]).alias("code"), F.lit(kind).alias("kind"), "rows")
-        out = counted if out is None else out.unionByName(counted)
-    return out
+    marked = [df.select("capture_id", F.lit(codes[kind]).alias("code"), F.lit(kind).alias("kind")) for kind, df in tables.items()]
+    rows = marked[0]
+    for more in marked[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("capture_id", "code", "kind").agg(F.count("*").alias("rows"))
 
 
-def info(samples: DataFrame, events: DataFrame, gaps: DataFrame, nominal_hz: float) -> DataFrame:
-    """One row for each capture: counts, rates, gaps, whether it is clean (no gap)."""
+def info(samples: DataFrame, events: DataFrame, gaps: DataFrame, nominal_hz: float, gpio: DataFrame | None = None, report: DataFrame | None = None) -> DataFrame:
+    """One row for each capture: counts, duration, rates, gaps, whether a voltage was measured, whether it is clean.
+
+    Clean means no gap and, where ``report`` (as ``integrity`` gives it) is there, an undamaged file.
+    """
     of_events = events.groupBy("capture_id").agg(F.count("*").alias("events"), F.countDistinct("id").alias("distinct_ids"))
     of_gaps = gaps.groupBy("capture_id").agg(F.count("*").alias("gaps"), F.sum(F.col("end_ns") - F.col("start_ns")).alias("missing_ns"))
-    out = spans(samples).join(of_events, "capture_id", "left").join(of_gaps, "capture_id", "left").fillna(0, ["events", "distinct_ids", "gaps", "missing_ns"])
-    return out.withColumn("has_voltage", F.lit(True)).withColumn("is_clean", F.col("gaps") == 0).withColumn("rate_ratio", F.round(F.col("rate_hz") / F.lit(nominal_hz), 6))
+    measured = samples.groupBy("capture_id").agg((F.count("voltage_uv") > 0).alias("has_voltage"))
+    out = spans(samples).join(measured, "capture_id").join(of_events, "capture_id", "left").join(of_gaps, "capture_id", "left")
+    pins = gpio.groupBy("capture_id").agg(F.count("*").alias("gpio")) if gpio is not None else None
+    out = out.join(pins, "capture_id", "left") if pins is not None else out.withColumn("gpio", F.lit(0).cast("bigint"))
+    out = out.fillna(0, ["events", "distinct_ids", "gaps", "missing_ns", "gpio"])
+    clean = F.col("gaps") == 0
+    if report is not None:
+        out = out.join(report.select("capture_id", F.col("is_clean").alias("_whole")), "capture_id", "left")
+        clean = clean & F.coalesce("_whole", F.lit(False))
+    length = F.round((F.col("end_ns") - 1 - F.col("first_ns")).cast("double") / 1e9, 9)
+    return out.withColumn("duration_s", length).withColumn("is_clean", clean).withColumn("rate_ratio", F.round(F.col("rate_hz") / F.lit(nominal_hz), 6)).drop("_whole")
+
+
+def integrity(captures: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row for each capture file: finalized, recovered, truncated_at, corrupt and unknown chunks, gaps, is_clean.
+
+    Both are kinds of the capture-file source. Unknown chunks alone do not make a file unclean.
+    """
+    bad = chunks.groupBy("capture_id").agg(F.count_if(F.col("status") == "corrupt").alias("corrupt_chunks"), F.count_if(F.col("status") == "unknown").alias("unknown_chunks"))
+    lost = lost_spans(captures, chunks).groupBy("capture_id").agg(F.count("*").alias("gaps"))
+    out = captures.select("capture_id", "finalized", "recovered", "truncated_at").join(bad, "capture_id", "left").join(lost, "capture_id", "left")
+    out = out.fillna(0, ["corrupt_chunks", "unknown_chunks", "gaps"])
+    return out.withColumn("is_clean", F.col("finalized") & ~F.col("recovered") & F.col("truncated_at").isNull() & (F.col("corrupt_chunks") == 0) & (F.col("gaps") == 0))
+
+
+def lost_spans(captures: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Gaps by truncation: an open one from the last chunk's first time on, and one over each damaged chunk of samples."""
+    last = chunks.groupBy("capture_id").agg(F.max_by("first_ns", "place").alias("start_ns"))
+    cut = captures.where("truncated_at IS NOT NULL").join(last, "capture_id", "left")
+    open_ = cut.select("capture_id", F.coalesce("start_ns", F.lit(0).cast("bigint")).alias("start_ns"), F.lit(None).cast("bigint").alias("end_ns"), F.lit("truncation").alias("cause"), F.lit(0).cast("bigint").alias("lost_estimate"))
+    holes = chunks.where("status = 'corrupt' AND kind = 1 AND first_ns IS NOT NULL")
+    return open_.unionByName(holes.select("capture_id", F.col("first_ns").alias("start_ns"), (F.col("last_ns") + 1).alias("end_ns"), F.lit("truncation").alias("cause"), F.col("records").alias("lost_estimate")))
 
 
 def compression(uncompressed: str, stored: str):

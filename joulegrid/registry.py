@@ -148,7 +148,7 @@ SELECT capture_id, max(CASE WHEN rn = greatest(ceil(0.5::DOUBLE * n), 1) THEN cu
        max(CASE WHEN rn = greatest(ceil(0.99::DOUBLE * n), 1) THEN current_ua END) AS p99
 FROM r GROUP BY capture_id""")
 def percentiles_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.samples(spark, sf_dir).groupBy("capture_id").agg(*(distribution.nearest_rank("current_ua", q).alias(f"p{round(100 * q)}") for q in distribution.QUANTILES))
+    return distribution.percentiles(tables.samples(spark, sf_dir), ["capture_id"], "current_ua")
 
 
 VARIATION = distribution_sql(f"WITH {EVENTS}, d AS (SELECT * FROM ev)", "id", "value")
@@ -213,18 +213,19 @@ def occurrence_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nine(prefix: str, x: str) -> str:
-    pick = lambda q: f"coalesce(max(CASE WHEN {prefix}_rn = greatest(CAST(ceil({q}::DOUBLE * cnt) AS BIGINT), 1) THEN {x} END), 0)"
-    return f"""count({x}) AS {prefix}_n, round(sum({x})::DOUBLE / count(*), 0) AS {prefix}_mean, min({x}) AS {prefix}_min, max({x}) AS {prefix}_max,
-  CASE WHEN count(*) > 1 THEN round(sqrt((count(*)::HUGEINT * sum({x}::HUGEINT * {x}) - sum({x}::HUGEINT) * sum({x}::HUGEINT))::DOUBLE / (count(*) * (count(*) - 1))::DOUBLE), 0) ELSE 0.0 END AS {prefix}_stddev,
-  {pick(0.5)} AS {prefix}_p50, {pick(0.95)} AS {prefix}_p95, {pick(0.99)} AS {prefix}_p99, CAST(sum({x}) AS BIGINT) AS {prefix}_total"""
+    pick = lambda q: f"coalesce(max(CASE WHEN {prefix}_rn = greatest(CAST(ceil({q}::DOUBLE * {prefix}_cnt) AS BIGINT), 1) THEN {x} END), 0)"
+    n = f"count({x})"
+    return f"""{n} AS {prefix}_n, coalesce(round(sum({x})::DOUBLE / {n}, 0), 0.0) AS {prefix}_mean, coalesce(min({x}), 0) AS {prefix}_min, coalesce(max({x}), 0) AS {prefix}_max,
+  CASE WHEN {n} > 1 THEN round(sqrt(({n}::HUGEINT * sum({x}::HUGEINT * {x}) - sum({x}::HUGEINT) * sum({x}::HUGEINT))::DOUBLE / ({n} * ({n} - 1))::DOUBLE), 0) ELSE 0.0 END AS {prefix}_stddev,
+  {pick(0.5)} AS {prefix}_p50, {pick(0.95)} AS {prefix}_p95, {pick(0.99)} AS {prefix}_p99, CAST(coalesce(sum({x}), 0) AS BIGINT) AS {prefix}_total"""
 
 
-# Every pair of this table holds its own start sample, so no energy is missing and both counts are alike.
-STATS = OCCURRENCES + f""",
+#: Statistics of events take every third row as a sample, so that some occurrences hold none.
+STATS = OCCURRENCES.replace("FROM events)", "FROM events WHERE event_id % 3 = 0)", 1) + f""",
 meas AS (SELECT name, samples, sum_i, max_ua, end_ns - start_ns AS d, CAST(round(energy_uj * 1000) AS BIGINT) AS e FROM occ),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d) AS duration_ns_rn, row_number() OVER (PARTITION BY name ORDER BY e) AS energy_nj_rn, count(*) OVER (PARTITION BY name) AS cnt FROM meas),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d) AS duration_ns_rn, row_number() OVER (PARTITION BY name ORDER BY e) AS energy_nj_rn, count(d) OVER (PARTITION BY name) AS duration_ns_cnt, count(e) OVER (PARTITION BY name) AS energy_nj_cnt FROM meas),
 dist AS (SELECT name, {nine("duration_ns", "d")}, {nine("energy_nj", "e")},
-  round(sum(sum_i)::DOUBLE / sum(samples)::DOUBLE, 6) AS mean_ua, max(max_ua) AS peak_ua,
+  round(sum(sum_i)::DOUBLE / nullif(sum(samples), 0)::DOUBLE, 6) AS mean_ua, max(max_ua) AS peak_ua,
   count(*) FILTER (samples = 0) AS unsampled, count(*) FILTER (samples = 1) AS single_sample FROM numbered GROUP BY name),
 counts AS (SELECT name, count(*) FILTER (status = 'paired') AS occurrences, count(*) FILTER (status = 'unterminated') AS unterminated, count(*) FILTER (status = 'orphaned') AS orphaned FROM pairs GROUP BY name),
 span AS (SELECT sum(w) AS w FROM (SELECT max(t_ns) + 1 - min(t_ns) AS w FROM samples GROUP BY capture_id) t),
@@ -233,7 +234,7 @@ stats AS (SELECT d.category, d.value_units, c.*, x.* EXCLUDE (name), round(x.dur
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occurrences.event_stats(tables.samples(spark, sf_dir), tables.events(spark, sf_dir), tables.event_defs(spark))
+    return occurrences.event_stats(tables.samples(spark, sf_dir).where("seq % 3 = 0"), tables.events(spark, sf_dir), tables.event_defs(spark))
 
 
 @registered(STATS + " SELECT * FROM stats")
@@ -256,20 +257,26 @@ def weighted_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats(spark, sf_dir).select("name", "mean_ua", "peak_ua")
 
 
-GAPS = f"""WITH {SAMPLES}, {EVENTS}, nx AS (SELECT capture_id, t_ns, lead(t_ns) OVER (PARTITION BY capture_id ORDER BY t_ns, seq) AS n FROM samples),
-gaps AS (SELECT capture_id, t_ns AS start_ns, n AS end_ns, 'timestamp_jump' AS cause, greatest((n - t_ns) // 3600000000000 - 1, 0) AS lost_estimate FROM nx WHERE n - t_ns > 10800000000000)"""
+GAPS = f"""WITH {SAMPLES}, {EVENTS}, nx AS (SELECT capture_id, t_ns, lead(t_ns) OVER w AS n, lead(seq) OVER w AS k FROM samples WINDOW w AS (PARTITION BY capture_id ORDER BY t_ns, seq)),
+gaps AS (SELECT capture_id, t_ns AS start_ns, n AS end_ns, CASE WHEN k % 11 = 0 THEN 'device_overflow' WHEN k % 7 = 0 THEN 'sequence_gap' ELSE 'timestamp_jump' END AS cause, greatest((n - t_ns) // 3600000000000 - 1, 0) AS lost_estimate FROM nx WHERE n - t_ns > 10800000000000)"""
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of samples of which some say that the device overflowed or that a frame was lost before them."""
+    flagged = tables.samples(spark, sf_dir).withColumn("overflow_before", F.col("seq") % 11 == 0).withColumn("seq_gap_before", F.col("seq") % 7 == 0)
+    return gaps.time_gaps(flagged, RATE_HZ)
 
 
 @registered(GAPS + " SELECT * FROM gaps")
 def time_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.time_gaps(tables.samples(spark, sf_dir), RATE_HZ)
+    return _gaps(spark, sf_dir)
 
 
 @registered(GAPS + f""", spans AS (SELECT capture_id, t_ns AS a, t_ns + {HOUR_NS} AS b FROM ev WHERE id = 272)
 SELECT * FROM gaps g WHERE EXISTS (SELECT 1 FROM spans s WHERE s.capture_id = g.capture_id AND g.start_ns < s.b AND g.end_ns > s.a)""")
 def gap_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors = tables.events(spark, sf_dir).where("id = 272").select("capture_id", F.col("t_ns").alias("start_ns"), (F.col("t_ns") + HOUR_NS).alias("end_ns"))
-    return gaps.overlapping(gaps.time_gaps(tables.samples(spark, sf_dir), RATE_HZ), errors)
+    return gaps.overlapping(_gaps(spark, sf_dir), errors)
 
 
 @registered(GAPS + """, r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY start_ns) AS k FROM gaps)
@@ -277,7 +284,7 @@ SELECT capture_id, count(*) AS gaps, CAST(sum(end_ns - start_ns) AS BIGINT) AS m
        string_agg(start_ns || '-' || end_ns, ';' ORDER BY start_ns) FILTER (k <= 5) AS first_gaps, greatest(count(*) - 5, 0) AS not_shown
 FROM r GROUP BY capture_id""")
 def gap_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gaps.gap_totals(gaps.time_gaps(tables.samples(spark, sf_dir), RATE_HZ))
+    return gaps.gap_totals(_gaps(spark, sf_dir))
 
 
 BUCKET = """min(current_ua) AS min_ua, max(current_ua) AS max_ua, CASE WHEN count(current_ua) > 0 THEN round(sum(current_ua)::DOUBLE / count(current_ua), 6) END AS mean_ua, count(current_ua) AS count"""
@@ -428,11 +435,13 @@ SYNC = f"""sync AS (SELECT capture_id, t_ns AS s, t_ns + 20000 + (seq * 7919) %
 @registered(f"""WITH {SAMPLES}, {SYNC}, m AS (SELECT *, r - s AS rtt, s + (r - s) // 2 AS y, row_number() OVER (PARTITION BY capture_id ORDER BY r - s) - 1 AS k, count(*) OVER (PARTITION BY capture_id) AS n FROM sync),
 l AS (SELECT capture_id, min(rtt) AS lim FROM m WHERE k = least(greatest(n // 5, 2), n - 1) AND n >= 3 GROUP BY capture_id),
 kept AS (SELECT capture_id, (x - min(x) OVER (PARTITION BY capture_id))::DOUBLE AS x, (y - min(y) OVER (PARTITION BY capture_id))::DOUBLE AS y FROM m JOIN l USING (capture_id) WHERE rtt <= lim)
-SELECT capture_id, count(*) AS samples, round(regr_slope(y, x), 6) AS a FROM kept GROUP BY capture_id HAVING var_pop(x) > 0""")
+SELECT capture_id, count(*) AS samples, round(regr_slope(y, x), 6) AS a, round((regr_slope(y, x) / 1000 - 1) * 1e6, 2) AS drift_ppm,
+       round(sqrt(regr_syy(y, x) * greatest(1 - regr_r2(y, x), 0) / count(*)) / 1e6, 0) AS residual_ms FROM kept GROUP BY capture_id HAVING var_pop(x) > 0""")
 def clock_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     jitter = 20000 + (F.col("seq") * 7919) % 50000 + F.when(F.col("seq") % 5 == 0, 4_000_000).otherwise(0)
     rows = tables.samples(spark, sf_dir).select("capture_id", F.col("t_ns").alias("host_send_ns"), (F.col("t_ns") + jitter).alias("host_recv_ns"), F.call_function("div", F.col("t_ns"), F.lit(1000).cast("bigint")).alias("device_ticks"))
-    return timebase.clock_fit(rows).select("capture_id", "samples", F.round("a", 6).alias("a"))
+    drift = timebase.drift_ppm(F.col("a"), F.lit(1_000_000))
+    return timebase.clock_fit(rows).select("capture_id", "samples", F.round("a", 6).alias("a"), F.round(drift, 2).alias("drift_ppm"), F.round(F.col("residual_ns") / 1e6, 0).alias("residual_ms"))
 
 
 @registered(f"""WITH {EVENTS}, p AS (SELECT capture_id, seq, t_ns AS a, t_ns + value * 60000000000 AS b, lead(t_ns) OVER w AS c, lead(t_ns + value * 60000000000) OVER w AS d FROM ev WINDOW w AS (PARTITION BY capture_id ORDER BY t_ns, seq))
@@ -483,19 +492,28 @@ def assertion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(_checked(spark, sf_dir))
 
 
-@registered(STATS + """ SELECT name AS event, 'mean_energy_uj' AS metric, round(round(energy_nj_mean * 1e-3, 6) * (1 + 5.0 / 100), 6) AS "limit", round(energy_nj_mean * 1e-3, 6) AS value, true AS passed, 0.0::DOUBLE AS change_percent FROM stats""")
+#: The baseline is what lies before 2024-01-16, and what follows is held against it.
+SPLIT_NS = 1_705_363_200_000_000_000
+BEFORE, AFTER = (STATS.replace("WHERE event_id % 3 = 0)", "WHERE event_id % 3 = 0 AND true)").replace("FROM events WHERE event_id % 3 = 0 AND true)", f"FROM events WHERE event_id % 3 = 0 AND epoch_us(ts) * 1000 {sign} {SPLIT_NS})").replace("FROM events),", f"FROM events WHERE epoch_us(ts) * 1000 {sign} {SPLIT_NS}),") for sign in ("<", ">="))
+
+
+@registered(f"""WITH b AS (SELECT * FROM ({BEFORE} SELECT name, occurrences, unsampled, round(energy_nj_mean * 1e-3, 6) AS v FROM stats) t), n AS (SELECT * FROM ({AFTER} SELECT name, occurrences, unsampled, round(energy_nj_mean * 1e-3, 6) AS v FROM stats) t),
+m AS (SELECT b.name AS event, b.v AS before, CASE WHEN n.occurrences > 0 AND n.unsampled < n.occurrences THEN n.v END AS value FROM b JOIN n USING (name) WHERE b.occurrences > 0 AND b.unsampled < b.occurrences)
+SELECT event, 'mean_energy_uj' AS metric, round(before * (1 + 5.0 / 100), 6) AS "limit", value, coalesce(value <= round(before * (1 + 5.0 / 100), 6), false) AS passed,
+       CASE WHEN before <> 0 THEN round((value - before) / before * 100, 4) END AS change_percent FROM m""")
 def regression_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = settle(_stats(spark, sf_dir))
-    return rules.evaluate(rules.regression_rules(now, now, 5.0), now, now).select("event", "metric", "limit", "value", "passed", "change_percent")
+    samples, events, defs = tables.samples(spark, sf_dir).where("seq % 3 = 0"), tables.events(spark, sf_dir), tables.event_defs(spark)
+    before, now = (settle(occurrences.event_stats(samples.where(side), events.where(side), defs)) for side in (f"t_ns < {SPLIT_NS}", f"t_ns >= {SPLIT_NS}"))
+    return rules.evaluate(rules.regression_rules(now, before, 5.0), now, before).select("event", "metric", "limit", "value", "passed", "change_percent")
 
 
-@registered(f"""WITH {EVENTS} SELECT capture_id, seq, value::DOUBLE / 1000.0 AS milli, value::DOUBLE * 1000.0 AS kilo, value::DOUBLE AS plain, CAST(value * 1000000 AS BIGINT) AS duration_ns, value::DOUBLE / 100 AS ratio, CASE WHEN value >= 1 THEN value * 1000 END AS rate_hz, CAST(NULL AS DOUBLE) AS refused FROM ev""")
+@registered(f"""WITH {EVENTS} SELECT capture_id, seq, value::DOUBLE / 1000.0 AS milli, value::DOUBLE * 1000.0 AS kilo, value::DOUBLE AS plain, CAST(value * 1000000 AS BIGINT) AS duration_ns, value::DOUBLE / 100 AS ratio, CASE WHEN value >= 1 THEN value * 1000 END AS rate_hz, CASE WHEN seq % 2 = 0 THEN value::DOUBLE END AS refused FROM ev""")
 def parse_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value").cast("string")
     said = lambda s: F.concat(v, F.lit(s))
     return tables.events(spark, sf_dir).select(
         "capture_id", "seq", units.parse_quantity(said("mA"), "A").alias("milli"), units.parse_quantity(said(" k"), "J").alias("kilo"), units.parse_quantity(said("V"), "V").alias("plain"),
-        units.parse_duration_ns(said(" ms")).alias("duration_ns"), units.parse_ratio(said("%")).alias("ratio"), units.parse_rate_hz(said("kHz")).alias("rate_hz"), units.parse_quantity(said("e3A"), "A").alias("refused"),
+        units.parse_duration_ns(said(" ms")).alias("duration_ns"), units.parse_ratio(said("%")).alias("ratio"), units.parse_rate_hz(said("kHz")).alias("rate_hz"), units.parse_quantity(F.when(F.col("seq") % 2 == 0, said("A")).otherwise(said("e3A")), "A").alias("refused"),
     )
 
 
@@ -527,11 +545,14 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(GAPS + """, s AS (SELECT capture_id, min(t_ns) AS first_ns, max(t_ns) + 1 AS end_ns, count(*) AS samples, CASE WHEN count(*) > 1 THEN round((count(*) - 1)::DOUBLE * 1e9 / (max(t_ns) - min(t_ns))::DOUBLE, 9) ELSE 0.0 END AS rate_hz FROM samples GROUP BY capture_id),
 e AS (SELECT capture_id, count(*) AS events, count(DISTINCT id) AS distinct_ids FROM ev GROUP BY capture_id), g AS (SELECT capture_id, count(*) AS gaps, CAST(sum(end_ns - start_ns) AS BIGINT) AS missing_ns FROM gaps GROUP BY capture_id)
-SELECT s.*, coalesce(events, 0) AS events, coalesce(distinct_ids, 0) AS distinct_ids, coalesce(gaps, 0) AS gaps, coalesce(missing_ns, 0) AS missing_ns, true AS has_voltage, coalesce(gaps, 0) = 0 AS is_clean, round(rate_hz / (1.0::DOUBLE / 3600), 6) AS rate_ratio
+SELECT s.*, coalesce(events, 0) AS events, coalesce(distinct_ids, 0) AS distinct_ids, coalesce(gaps, 0) AS gaps, coalesce(missing_ns, 0) AS missing_ns, capture_id::BIGINT % 7 <> 0 AS has_voltage, coalesce(events, 0) AS gpio, round((end_ns - 1 - first_ns)::DOUBLE / 1e9, 9) AS duration_s,
+       coalesce(gaps, 0) = 0 AND capture_id::BIGINT % 5 <> 0 AS is_clean, round(rate_hz / (1.0::DOUBLE / 3600), 6) AS rate_ratio
 FROM s LEFT JOIN e USING (capture_id) LEFT JOIN g USING (capture_id)""")
 def capture_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = tables.samples(spark, sf_dir)
-    return capture.info(samples, tables.events(spark, sf_dir), gaps.time_gaps(samples, RATE_HZ), RATE_HZ)
+    """Every seventh capture has no voltage, and the files of every fifth are not whole."""
+    samples = tables.samples(spark, sf_dir).withColumn("voltage_uv", F.when(F.col("capture_id").cast("bigint") % 7 != 0, F.col("voltage_uv")))
+    whole = samples.select("capture_id").distinct().withColumn("is_clean", F.col("capture_id").cast("bigint") % 5 != 0)
+    return capture.info(samples, tables.events(spark, sf_dir), _gaps(spark, sf_dir), RATE_HZ, tables.gpio(spark, sf_dir), whole)
 
 
 @registered(f"""WITH {SAMPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY t_ns, seq) - 1 AS k, (current_ua::BIGINT * voltage_uv + 500) // 1000 AS p FROM samples)
@@ -595,7 +616,7 @@ def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     register(spark)
     folder = new_folder(spark, "captures")
-    write_captures(tables.samples(spark, sf_dir), folder, 10 * DAY_NS)
+    write_captures(tables.samples(spark, sf_dir), folder)
     rows = spark.read.format("powercapture").option("kind", "samples").load(folder)
     return rows.select(F.regexp_extract("capture_id", r"^(.*)-[0-9]+$", 1).alias("capture_id"), "t_ns", "current_ua", "voltage_uv")
 
@@ -628,3 +649,332 @@ def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     marks = pairing.marks(_live(spark, sf_dir, tables.as_events), tables.event_defs(spark))
     return run.drained(devices.pairs(marks.select("capture_id", "name", "seq", "t_ns", "step")))
+
+
+# Frames of all types, capture files of all kinds, integrity, reports, exports and more streams.
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records of a device: device, chunk (increasing), ticks, id, value, state."""
+    events = tables.events(spark, sf_dir).withColumn("device", F.col("capture_id")).withColumn("chunk", F.col("seq"))
+    ticks = (F.call_function("div", F.col("t_ns"), F.lit(1000).cast("bigint")) % (1 << 32)).alias("ticks")
+    return events.select("device", "chunk", ticks, "id", F.when(F.col("seq") % 4 != 0, F.col("value")).alias("value"), ((F.col("value") * 517 + F.col("seq")) % 65536).cast("int").alias("state"))
+
+
+RECORDS = f"""WITH {EVENTS}, r AS (SELECT capture_id AS device, seq AS chunk, (t_ns // 1000) % 4294967296 AS ticks, id, CASE WHEN seq % 4 <> 0 THEN value END AS value, (value * 517 + seq) % 65536 AS state, value AS v FROM ev)"""
+
+
+@registered(RECORDS + " SELECT device, ticks, CAST(id AS INTEGER) AS id, value FROM r")
+def wire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.sources import wire
+
+    return wire.events(wire.frames(_halves(wire.encoded_records(_rows(spark, sf_dir), "EVENT")))).select("device", "ticks", "id", "value")
+
+
+@registered(RECORDS + " SELECT device, ticks, CAST(state AS INTEGER) AS state FROM r")
+def wire_gpio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.sources import wire
+
+    return wire.gpio(wire.frames(wire.encoded_records(_rows(spark, sf_dir), "GPIO_EVENT"))).select("device", "ticks", "state")
+
+
+@registered(RECORDS + """ SELECT device, 'SYNC' AS kind, ticks AS a, chunk % 65536 AS b, ticks * 1000 - 7 AS c FROM r WHERE chunk % 5 = 0
+UNION ALL SELECT device, 'MARKER', ticks, id, v FROM r WHERE chunk % 5 = 1 UNION ALL SELECT device, 'ERROR', v % 20, state, chunk % 1000 FROM r WHERE chunk % 5 = 2
+UNION ALL SELECT device, 'HELLO', 256, state, 0 FROM r WHERE chunk % 5 = 3 UNION ALL SELECT device, 'CONFIG', ticks % 100000, state, -v FROM r WHERE chunk % 5 = 4""")
+def wire_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of five types on one line, read back as three numbers each."""
+    from joulegrid.sources import wire
+
+    rows = _rows(spark, sf_dir).withColumn("v", ((F.col("state") - F.col("chunk")) % 65536)).drop("value")
+    value = tables.events(spark, sf_dir).select(F.col("seq").alias("chunk"), F.col("value").alias("v"))
+    rows = rows.drop("v").join(value, "chunk")
+    of = lambda k: rows.where(F.col("chunk") % 5 == k)
+    zero = F.lit(0)
+    sent = {
+        "SYNC": of(0).select("device", "chunk", "ticks", (F.col("chunk") % 65536).alias("wrap_count"), zero.alias("flags"), (F.col("ticks") * 1000 - 7).alias("host_time_ns")),
+        "MARKER": of(1).select("device", "chunk", "ticks", F.col("id").alias("marker_id"), F.col("v").alias("value")),
+        "ERROR": of(2).select("device", "chunk", (F.col("v") % 20).alias("code"), F.col("state").alias("detail"), (F.col("chunk") % 1000).alias("dropped_samples"), zero.alias("buffer_overflows"), zero.alias("context")),
+        "HELLO": of(3).select("device", "chunk", F.lit(256).alias("proto_version"), F.col("state").alias("nonce"), zero.alias("reserved")),
+        "CONFIG": of(4).select("device", "chunk", (F.col("ticks") % 100000).alias("sample_rate_hz"), zero.alias("averaging"), zero.alias("conv_time_code"), F.col("state").alias("gpio_mask"), (-F.col("v")).alias("shunt_micro_ohm"), zero.alias("flags"), zero.alias("reserved")),
+    }
+    line = None
+    for kind, records in sent.items():
+        made = wire.encoded_records(records, kind)
+        line = made if line is None else line.unionByName(made)
+    decoded = settle(wire.frames(line))
+    read = {
+        "SYNC": (wire.sync, ("ticks", "wrap_count", "host_time_ns")), "MARKER": (wire.markers, ("ticks", "marker_id", "value")), "ERROR": (wire.errors, ("code", "detail", "dropped_samples")),
+        "HELLO": (wire.hellos, ("proto_version", "nonce", "reserved")), "CONFIG": (wire.configs, ("sample_rate_hz", "gpio_mask", "shunt_micro_ohm")),
+    }
+    out = None
+    for kind, (decode, columns) in read.items():
+        some = decode(decoded).select("device", F.lit(kind).alias("kind"), *(F.col(c).alias(n) for c, n in zip(columns, "abc", strict=True)))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+@registered("""SELECT s_name AS device, left(s_name, 16) AS serial, 'v' || s_nationkey AS fw_version, CAST(s_suppkey * 1000003 AS DECIMAL(20,0)) AS fw_build_id, 1000000 + s_suppkey AS timer_hz, CAST(-s_nationkey AS BIGINT) AS shunt_micro_ohm FROM supplier""")
+def wire_device_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.sources import wire
+
+    fixed = {"magic": 0x46525050, "proto_version": 256, "device_type": 1, "max_sample_rate_hz": 50_000, "adc_full_scale_ua": 9, "channel_count": 1, "gpio_count": 16, "caps": 3}
+    rows = tables.table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("device"), F.lit(0).alias("chunk"), F.col("s_name").alias("serial"), F.concat(F.lit("v"), F.col("s_nationkey").cast("string")).alias("fw_version"), (F.col("s_suppkey").cast("bigint") * 1_000_003).alias("fw_build_id"),
+        (F.col("s_suppkey") + 1_000_000).alias("timer_hz"), (-F.col("s_nationkey")).alias("shunt_micro_ohm"), *(F.lit(v).alias(n) for n, v in fixed.items()),
+    )
+    return wire.device_infos(wire.frames(wire.encoded_records(rows, "DEVICE_INFO"))).select("device", "serial", "fw_version", "fw_build_id", "timer_hz", "shunt_micro_ohm")
+
+
+def _through_files(spark: SparkSession, rows: DataFrame, kind: str) -> DataFrame:
+    from joulegrid.shared import new_folder
+    from joulegrid.sinks.capture_writer import write_captures
+    from joulegrid.sources.capture_file import register
+
+    register(spark)
+    folder = new_folder(spark, "captures")
+    write_captures(rows, folder, kind=kind)
+    return spark.read.format("powercapture").option("kind", kind).load(folder).withColumn("capture_id", F.regexp_extract("capture_id", r"^(.*)-[0-9]+$", 1))
+
+
+@registered(f"WITH {EVENTS} SELECT capture_id, t_ns, id, CASE WHEN seq % 4 <> 0 THEN value END AS value FROM ev")
+def capture_event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.events(spark, sf_dir).withColumn("value", F.when(F.col("seq") % 4 != 0, F.col("value")))
+    return _through_files(spark, rows, "events").select("capture_id", "t_ns", "id", "value")
+
+
+@registered(f"WITH {EVENTS} SELECT capture_id, t_ns, CAST((value * 517 + seq) % 65536 AS INTEGER) AS state FROM ev")
+def capture_gpio_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _through_files(spark, tables.gpio(spark, sf_dir), "gpio").select("capture_id", "t_ns", "state")
+
+
+@registered(f"WITH {EVENTS} SELECT capture_id, t_ns AS host_send_ns, t_ns + 20000 + seq % 1000 AS host_recv_ns, t_ns // 1000 AS device_ticks FROM ev")
+def capture_sync_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.samples(spark, sf_dir).select("capture_id", F.col("t_ns").alias("host_send_ns"), (F.col("t_ns") + 20_000 + F.col("seq") % 1000).alias("host_recv_ns"), F.call_function("div", F.col("t_ns"), F.lit(1000).cast("bigint")).alias("device_ticks"))
+    return _through_files(spark, rows, "sync")
+
+
+def _damaged(manifest: DataFrame) -> DataFrame:
+    """Files whose last digit leaves 1 over 3 get a wrong byte in their first chunk, those that leave 2 lose their end."""
+
+    def run(parts):
+        import pyarrow.fs as pafs
+
+        for pdf in parts:
+            for path in pdf["path"]:
+                fs, name = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+                with fs.open_input_file(name) as f:
+                    raw = bytearray(f.read())
+                kind = int(name.rpartition("/")[2].partition("-")[0]) % 3
+                if kind == 1:
+                    raw[128 + 40 + 5] ^= 0xFF
+                elif kind == 2:
+                    raw = raw[:-50]
+                with fs.open_output_stream(name) as f:
+                    f.write(bytes(raw))
+            yield pdf
+
+    return settle(manifest.mapInPandas(run, "path string, rows long"))
+
+
+@registered(f"""WITH {SAMPLES}, c AS (SELECT capture_id, capture_id::BIGINT % 3 AS k FROM samples GROUP BY capture_id)
+SELECT capture_id, true AS finalized, k = 2 AS recovered, k = 2 AS truncated, CAST(CASE WHEN k = 1 THEN 1 ELSE 0 END AS BIGINT) AS corrupt_chunks, 0::BIGINT AS unknown_chunks, CAST(CASE WHEN k > 0 THEN 1 ELSE 0 END AS BIGINT) AS gaps, k = 0 AS is_clean FROM c""")
+def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A damaged chunk and a lost end, each in a third of the files."""
+    from joulegrid.shared import new_folder
+    from joulegrid.sinks.capture_writer import write_captures
+    from joulegrid.sources.capture_file import register
+
+    register(spark)
+    folder = new_folder(spark, "captures")
+    _damaged(write_captures(tables.samples(spark, sf_dir), folder, slice_ns=1 << 62))
+    read = lambda kind: spark.read.format("powercapture").option("kind", kind).load(folder)
+    report = capture.integrity(read("captures"), read("chunks"))
+    return report.select(F.regexp_extract("capture_id", r"^(.*)-[0-9]+$", 1).alias("capture_id"), "finalized", "recovered", F.col("truncated_at").isNotNull().alias("truncated"), "corrupt_chunks", "unknown_chunks", "gaps", "is_clean")
+
+
+METADATA = "\n".join(
+    f'[[event]]\nname = "{name}"\nstart_id = {start}\n' + (f"stop_id = {stop}\n" if stop else "") + (f'category = "{category}"\n' if category else "") + (f'value_units = "{units_}"\n' if units_ else "")
+    for name, start, stop, category, units_, _ in tables.DEFINITIONS
+)
+
+
+@registered(NAMED + " SELECT i.name, count(*) AS n FROM ev e JOIN ids i USING (id) GROUP BY i.name")
+def metadata_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the names that a metadata text declares."""
+    from joulegrid.sources import metadata
+
+    defs, _ = metadata.definitions(spark, METADATA)
+    return names.with_names(tables.events(spark, sf_dir), defs).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@registered("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'tcp' WHEN 1 THEN 'serial' WHEN 2 THEN 'file' END AS kind,
+CASE s_suppkey % 4 WHEN 0 THEN 'host:' || s_suppkey WHEN 1 THEN '/dev/tty' || s_suppkey WHEN 2 THEN '/data/' || s_suppkey END AS place FROM supplier""")
+def device_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.sources import uri
+
+    key = F.col("s_suppkey").cast("string")
+    said = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("tcp://host:"), key)).when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("serial:/dev/tty"), key)).when(F.col("s_suppkey") % 4 == 2, F.concat(F.lit("file:///data/"), key)).otherwise(F.concat(F.lit("nowhere"), key))
+    return tables.table(spark, sf_dir, "supplier").withColumn("d", uri.parsed(said)).select("s_suppkey", "d.kind", "d.place")
+
+
+@registered("SELECT s_suppkey, coalesce((s_suppkey % 3 + 11914, s_nationkey % 4 + 9) IN ((11914, 10), (11915, 12)), false) AS likely FROM supplier")
+def likely_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.functions.devices import likely_profiler
+
+    ids = ((F.col("s_suppkey") % 3 + 11914).cast("int"), (F.col("s_nationkey") % 4 + 9).cast("int"))
+    return tables.table(spark, sf_dir, "supplier").select("s_suppkey", likely_profiler(*ids, [(11914, 10), (11915, 12)]).alias("likely"))
+
+
+@registered("""SELECT l_returnflag, l_linestatus, CASE WHEN sum(l_linenumber) > 0 THEN round(sum(CAST(l_quantity AS BIGINT))::DOUBLE / sum(l_linenumber)::DOUBLE, 6) ELSE 1.0 END AS ratio FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities stand for sizes before, line numbers for sizes stored."""
+    sizes = tables.table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("before"), F.sum("l_linenumber").alias("stored"))
+    return sizes.select("l_returnflag", "l_linestatus", capture.compression("before", "stored").alias("ratio"))
+
+
+@registered(STATS + " SELECT name, duration_ns_total FROM stats ORDER BY duration_ns_total DESC, name LIMIT 1")
+def event_table_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.plans import analysis
+
+    held = analysis.Tables(tables.samples(spark, sf_dir).where("seq % 3 = 0"), tables.events(spark, sf_dir), tables.event_defs(spark))
+    return analysis.event_table(held, sort="duration_ns_total", top=1).select("name", "duration_ns_total")
+
+
+@registered("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE left(p_name, 3) END AS field FROM part")
+def ascii_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that end at a NUL, or at a byte beyond ASCII."""
+    name = F.encode("p_name", "ISO-8859-1")
+    padded = F.concat(name, F.unhex(F.lit("0041")))
+    cut = F.concat(F.substring(name, 1, 3), F.unhex(F.lit("E941")))
+    return tables.table(spark, sf_dir, "part").select("p_partkey", text.ascii_field(F.when(F.col("p_partkey") % 2 == 0, padded).otherwise(cut)).alias("field"))
+
+
+LIMITED = STATS + """, l(metric, comparison, lim) AS (VALUES ('peak_current_ua', '<=', 500.0::DOUBLE), ('mean_duration_ns', '<=', 1e15), ('occurrences', '>=', 3.0)),
+v AS (SELECT name AS event, metric, comparison, lim, CASE metric WHEN 'peak_current_ua' THEN peak_ua::DOUBLE WHEN 'mean_duration_ns' THEN duration_ns_mean ELSE occurrences::DOUBLE END AS value FROM stats, l),
+w AS (SELECT event, metric, lim AS "limit", coalesce(CASE comparison WHEN '<=' THEN value <= lim ELSE value >= lim END, false) AS passed FROM v)"""
+
+
+def _limited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from joulegrid.plans import budgets
+
+    stats = settle(_stats(spark, sf_dir))
+    return budgets.rules_from_options(spark, stats, max_peak_current="500 uA", max_duration="1000000 s", min_occurrences=3), stats
+
+
+@registered(LIMITED + ' SELECT event, metric, "limit", passed FROM w')
+def budget_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits as a user writes them, for every declared event."""
+    return rules.evaluate(*_limited(spark, sf_dir)).select("event", "metric", "limit", "passed")
+
+
+@registered(LIMITED + """ SELECT count(*) AS results, count(*) FILTER (NOT passed) AS failures, CASE WHEN bool_and(passed) THEN 0 ELSE 1 END AS exit_code, count(*) FILTER (NOT passed) AS junit_failures FROM w""")
+def budget_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reports of a run say; there is a result for each rule, few for any table."""
+    import json
+    import re
+
+    from joulegrid.plans import budgets
+
+    results = budgets.judged(*_limited(spark, sf_dir))
+    said = json.loads(budgets.as_json(results))
+    junit = len(re.findall("<failure ", budgets.as_junit(results)))
+    return spark.createDataFrame([(len(said["results"]), said["failures"], budgets.exit_code(results), junit)], "results long, failures long, exit_code int, junit_failures long")
+
+
+@registered(STATS + " SELECT name, occurrences, energy_nj_total FROM stats")
+def stored_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.plans import budgets
+    from joulegrid.shared import new_folder
+
+    stats, path = settle(_stats(spark, sf_dir)), new_folder(spark, "baseline")
+    budgets.write_baseline(stats, path)
+    return budgets.read_baseline(spark, path, stats).select("name", "occurrences", "energy_nj_total")
+
+
+@registered(f"WITH {SAMPLES} SELECT count(*) AS rows, max(t_ns) AS last_ns FROM samples")
+def counted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an observation saw while rows were written."""
+    from joulegrid.shared import new_folder
+    from joulegrid.sinks.tables import counted
+
+    rows, seen = counted(tables.samples(spark, sf_dir), "passed")
+    rows.write.parquet(new_folder(spark, "counted"))
+    return spark.createDataFrame([(seen.get["rows"], seen.get["last_ns"])], "rows long, last_ns long")
+
+
+@registered(f"WITH {EVENTS} SELECT f.kind, capture_id, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM ev, (VALUES ('csv'), ('json'), ('parquet')) f(kind) GROUP BY f.kind, capture_id")
+def export_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written in every format and read back."""
+    from joulegrid.shared import new_folder
+
+    rows, out = tables.events(spark, sf_dir), None
+    for kind in export.FORMATS:
+        path = new_folder(spark, f"export-{kind}")
+        export.write(rows.repartition("capture_id"), path, kind)
+        reader = spark.read.schema(rows.schema)
+        back = (reader.option("header", True) if kind == "csv" else reader).format(kind).load(path)
+        some = back.groupBy("capture_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.lit(kind).alias("kind"), "capture_id", "n", "total")
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+@registered("""WITH n AS (SELECT upper(regexp_replace(n_name, '[^A-Za-z0-9]', '_', 'g')) AS name, n_nationkey + 1 AS start_id, n_nationkey + 257 AS stop_id FROM nation)
+SELECT '#define EVENT_' || name || '_START ' || printf('0x%04Xu', start_id) AS line FROM n UNION ALL SELECT '#define EVENT_' || name || '_STOP ' || printf('0x%04Xu', stop_id) FROM n""")
+def c_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    defs = tables.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), (key + 1).cast("int").alias("start_id"), (key + 257).cast("int").alias("stop_id"))
+    lines = [x for x in export.c_header(defs).splitlines() if x.startswith("#define EVENT_") and "0x" in x]
+    return spark.createDataFrame([(x,) for x in lines], "line string")
+
+
+@registered(f"WITH {SAMPLES} SELECT capture_id AS device, (t_ns // 1000) % 4294967296 AS ticks, current_ua, voltage_uv FROM samples")
+def stream_wire_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From landed bytes to samples in one stream, with frames cut across micro-batches."""
+    from joulegrid.sources import wire
+    from joulegrid.streaming import devices, run
+
+    line = settle(_halves(wire.encoded_samples(_numbered(spark, sf_dir))))
+    chunks = run.replayed(line, ["chunk"], [1, 2, 5, 8])
+    return run.drained(wire.samples(devices.frames(chunks)).select("device", "ticks", "current_ua", "voltage_uv"))
+
+
+# Four micro-batches by the rows' numbers modulo 4; what a bucket is too late for depends on the batches before.
+LIVE_BUCKETS = f"""WITH {SAMPLES}, b AS (SELECT *, seq % 4 AS batch, t_ns - t_ns % {HOUR_NS} AS bucket FROM samples),
+m AS (SELECT capture_id, batch, max(t_ns) AS top FROM b GROUP BY capture_id, batch),
+seen AS (SELECT capture_id, batch, coalesce(max(top) OVER (PARTITION BY capture_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before, max(top) OVER (PARTITION BY capture_id) AS last FROM m),
+r AS (SELECT b.*, s.last, b.bucket + {HOUR_NS} + {10 * DAY_NS} <= s.before AS late FROM b JOIN seen s USING (capture_id, batch))
+SELECT capture_id, bucket AS t_ns, min(current_ua)::BIGINT AS min_ua, max(current_ua)::BIGINT AS max_ua, CAST(sum(current_ua) AS BIGINT) AS sum_ua, count(*) AS count, late
+FROM r WHERE late OR bucket + {HOUR_NS} + {10 * DAY_NS} <= last GROUP BY capture_id, bucket, late, CASE WHEN late THEN batch END"""
+
+
+@registered(LIVE_BUCKETS)
+def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed buckets, and late samples counted beside them."""
+    from joulegrid.streaming import devices, run
+
+    rows = tables.samples(spark, sf_dir).withColumn("batch", F.col("seq") % 4)
+    live = run.replayed(rows, ["batch", "seq"], [1, 2, 3])
+    return run.drained(devices.buckets(live, HOUR_NS, 10 * DAY_NS))
+
+
+@registered(f"WITH {EVENTS} SELECT capture_id, count(*) AS samples, count(*) FILTER (id = 272) AS errors FROM ev GROUP BY capture_id")
+def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream written to two tables, and these counted."""
+    from joulegrid.shared import new_folder
+    from joulegrid.streaming import run
+
+    folder = new_folder(spark, "fan-out")
+    live = run.replayed(tables.table(spark, sf_dir, "events"), ["event_id"])
+    run.fan_out(live, {"samples": tables.as_samples, "errors": lambda b: tables.as_events(b).where("id = 272")}, folder).awaitTermination()
+    read = lambda name, as_: spark.read.schema(f"capture_id string, seq bigint, t_ns bigint").parquet(f"{folder}/{name}").groupBy("capture_id").agg(F.count("*").alias(as_))
+    return read("samples", "samples").join(read("errors", "errors"), "capture_id", "left").fillna(0, ["errors"])
+
+
+@registered(UNWRAPPED + """, y AS (SELECT *, arrival % 50 = 7 AS sync, epoch + CASE WHEN arrival % 100 = 7 THEN 2 ELSE 0 END AS told FROM u),
+z AS (SELECT *, last_value(CASE WHEN sync THEN told - epoch END IGNORE NULLS) OVER (PARTITION BY device ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS moved FROM y)
+SELECT device, arrival, ticks, CAST(epoch + coalesce(moved, 0) AS BIGINT) AS epoch, CAST((epoch + coalesce(moved, 0)) * 4294967296 + ticks AS BIGINT) AS full_ticks FROM z""")
+def wrap_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The device's own count of wraps, told now and then, moves the epochs that follow."""
+    times = settle(timebase.unwrapped(_ticks(spark, sf_dir), slice_rows=64))
+    told = times.where("arrival % 50 = 7").withColumn("wrap_count", F.col("epoch") + F.when(F.col("arrival") % 100 == 7, 2).otherwise(0))
+    return timebase.resynced(times, told, slice_rows=64).select("device", "arrival", "ticks", "epoch", "full_ticks")

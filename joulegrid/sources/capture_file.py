@@ -1,7 +1,8 @@
 """Capture files as a Spark data source: ``spark.read.format("powercapture").option("kind", "samples").load(path)``.
 
-A partition is a run of chunks of one file. The driver reads headers and indexes alone; chunks are read, checked and
-decoded by the tasks. A file without a valid index is walked chunk by chunk up to the first that is not valid.
+The driver lists files; tasks read headers and indexes, and check and decode chunks. Small files share a partition; of a
+large one the driver reads the index, and its chunks are dealt to several partitions. A file without a valid index is
+walked chunk by chunk up to the first that is not valid.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ SCHEMAS = {
     "captures": "capture_id string, finalized boolean, recovered boolean, truncated_at long, device_timer_hz long, sample_rate_hz long, flags long, compression string, device_serial string, fw_version string, shunt_micro_ohm int, current_offset_ua int, current_gain_num long, current_gain_den long",
 }
 COMPRESSIONS = ("none", "zstd", "lz4")
+#: Rows of small chunks that go to Spark together.
+BATCH_ROWS = 1 << 16
 
 
 class InvalidCapture(ValueError):
@@ -82,14 +85,15 @@ def open_file(path: str):
     return fs.open_input_file(name)
 
 
-def files(path: str) -> list[str]:
+def files(path: str) -> list[tuple[str, int]]:
+    """Paths and sizes of all capture files below a path."""
     uri = path if "://" in path else "file://" + path
     fs, name = pafs.FileSystem.from_uri(uri)
     info = fs.get_file_info(name)
     if info.type == pafs.FileType.Directory:
         scheme = uri[: len(uri) - len(name)]
-        return sorted(scheme + x.path for x in fs.get_file_info(pafs.FileSelector(name, recursive=True)) if x.path.endswith(".pprof"))
-    return [uri]
+        return sorted((scheme + x.path, x.size) for x in fs.get_file_info(pafs.FileSelector(name, recursive=True)) if x.path.endswith(".pprof"))
+    return [(uri, info.size or 0)]
 
 
 def places(source, header: dict) -> tuple[list[tuple], bool, int | None]:
@@ -182,7 +186,7 @@ def decoded(kind: str, b: bytes) -> list[pa.Array] | None:
 
 
 class Chunks(InputPartition):
-    """Chunks of one or more files: (path, name, compression, entries) of each."""
+    """Chunks of one or more files: (path, name, entries) of each; no entries stands for the whole file."""
 
     def __init__(self, parts: list[tuple]):
         self.parts = parts
@@ -192,7 +196,7 @@ class CaptureReader(DataSourceReader):
     def __init__(self, options: dict):
         self.kind = options.get("kind", "samples")
         self.paths = files(options["path"])
-        self.per_partition = int(options.get("chunksPerPartition", "256"))
+        self.per_partition = int(options.get("bytesPerPartition", str(32 << 20)))
         self.low, self.high = 0, 2**63 - 1
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -205,58 +209,76 @@ class CaptureReader(DataSourceReader):
                     self.high = min(self.high, int(f.value))
             yield f
 
+    def wanted(self, source) -> tuple[dict, list[tuple]]:
+        """A file's header, and what to read of it: numbered chunks of the kind, or its one row."""
+        header = read_header(source.read(HEADER_LEN))
+        entries, recovered, stopped = places(source, header)
+        if self.kind == "captures":
+            return header, [(recovered, stopped)]
+        return header, [(k, *e) for k, e in enumerate(e for e in entries if self.kind == "chunks" or e[1] == KINDS[self.kind])]
+
     def partitions(self) -> list[Chunks]:
-        """Runs of at most ``chunksPerPartition`` chunks; small files share a partition, large ones are many."""
+        """About ``bytesPerPartition`` of files or of a file's chunks."""
         out: list[Chunks] = []
         held, size = [], 0
-        for path in self.paths:
+        for path, n in self.paths:
             name = path.rpartition("/")[2].removesuffix(".pprof")
-            with open_file(path) as source:
-                header = read_header(source.read(HEADER_LEN))
-                entries, recovered, stopped = places(source, header)
-            if self.kind == "captures":
-                wanted = [(header, recovered, stopped)]
-            else:
-                wanted = [(k, *e) for k, e in enumerate(e for e in entries if self.kind == "chunks" or e[1] == KINDS[self.kind])]
-            while wanted:
-                room = self.per_partition - size
-                held.append((path, name, header["compression"], wanted[:room]))
-                size += len(wanted[:room])
-                wanted = wanted[room:]
-                if size >= self.per_partition:
-                    out.append(Chunks(held))
-                    held, size = [], 0
+            if n > self.per_partition and self.kind != "captures":
+                with open_file(path) as source:
+                    part, room = [], 0
+                    for entry in self.wanted(source)[1]:
+                        part.append(entry)
+                        room += entry[3] + CHUNK_LEN
+                        if room >= self.per_partition:
+                            out.append(Chunks([(path, name, part)]))
+                            part, room = [], 0
+                    out += [Chunks([(path, name, part)])] if part else []
+                continue
+            held.append((path, name, None))
+            size += n + (1 << 12)  # opening a file costs about as much as reading so much
+            if size >= self.per_partition:
+                out.append(Chunks(held))
+                held, size = [], 0
         return [*out, Chunks(held)]
 
     def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
         names = [c.strip().split(" ")[0] for c in SCHEMAS[self.kind].split(",")]
-        for path, name, compression, entries in partition.parts:
-            if self.kind == "captures":
-                for header, recovered, stopped in entries:
-                    row = (
-                        name, bool(header["flags"] & FINALIZED), recovered, stopped, header["timer_hz"], header["rate_hz"], header["flags"],
-                        COMPRESSIONS[header["compression"]] if header["compression"] < 3 else "unknown", ascii_field(header["serial"]),
-                        ascii_field(header["firmware"]), header["shunt"], header["offset"], header["num"], header["den"],
-                    )
-                    yield as_batch([row], self.kind)
-                continue
+        rows: list[tuple] = []
+        held: list[list[pa.Array]] = []
+        size = 0
+        for path, name, some in partition.parts:
             with open_file(path) as source:
+                if some is None:
+                    header, entries = self.wanted(source)
+                else:
+                    header, entries = read_header(source.read(HEADER_LEN)), some
+                if self.kind == "captures":
+                    rows.append(capture_row(name, header, *entries[0]))
+                    continue
                 if self.kind == "chunks":
-                    yield as_batch([self.described(source, name, compression, e) for e in entries], self.kind)
+                    rows += [self.described(source, name, header["compression"], e) for e in entries]
                     continue
                 for k, at, *_ in entries:
                     source.seek(at)
                     head = read_chunk_header(source.read(CHUNK_LEN))
                     if head is None or (self.kind != "sync" and head[4] != NO_TIME and (head[5] < self.low or head[4] > self.high)):
                         continue
-                    content = chunk_at(source, at, compression)[1]
+                    content = chunk_at(source, at, header["compression"])[1]
                     columns = decoded(self.kind, content) if content is not None else None
                     if columns is not None:
                         n = len(columns[0])
                         first = [pa.array([name] * n, pa.string())]
                         if self.kind != "sync":
                             first.append(pa.array((k << 32) + np.arange(n, dtype=np.int64)))
-                        yield pa.record_batch([*first, *columns], names)
+                        held.append([*first, *columns])
+                        size += n
+                        if size >= BATCH_ROWS:
+                            yield joined(held, names)
+                            held, size = [], 0
+        if rows:
+            yield as_batch(rows, self.kind)
+        if held:
+            yield joined(held, names)
 
     @staticmethod
     def described(source, name: str, compression: int, entry: tuple) -> tuple:
@@ -266,6 +288,19 @@ class CaptureReader(DataSourceReader):
         return name, at, kind, stored, records, first, last, "corrupt" if content is None else "ok" if kind in KINDS.values() else "unknown"
 
 
+def joined(parts: list[list[pa.Array]], names: list[str]) -> pa.RecordBatch:
+    """One batch out of the columns of many chunks, as chunks may be small."""
+    return pa.record_batch([pa.concat_arrays(c) for c in zip(*parts, strict=True)] if len(parts) > 1 else parts[0], names)
+
+
+def capture_row(name: str, header: dict, recovered: bool, stopped: int | None) -> tuple:
+    return (
+        name, bool(header["flags"] & FINALIZED), recovered, stopped, header["timer_hz"], header["rate_hz"], header["flags"],
+        COMPRESSIONS[header["compression"]] if header["compression"] < 3 else "unknown", ascii_field(header["serial"]),
+        ascii_field(header["firmware"]), header["shunt"], header["offset"], header["num"], header["den"],
+    )
+
+
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from urllib.parse import parse_qsl
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 PARAMETERS = {"sim": ("rate", "seed", "faults"), "serial": ("baud",), "tcp": (), "file": (), "auto": ()}
 WHOLE = ("rate", "seed", "baud")
 
@@ -20,6 +24,23 @@ class Device:
     options: dict[str, int | bool] = field(default_factory=dict)
 
 
+def parsed(text: Column) -> Column:
+    """kind and place of each text, null where it names no device."""
+
+    @F.pandas_udf("kind string, place string")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            try:
+                d = parse(t or "")
+                out.append((d.kind, d.place))
+            except InvalidDevice:
+                out.append((None, None))
+        return pd.DataFrame(out, columns=["kind", "place"])
+
+    return read(text)
+
+
 def parse(text: str) -> Device:
     text = text.strip()
     if not text or text.lower() == "auto":

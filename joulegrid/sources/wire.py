@@ -291,6 +291,30 @@ def gpio_block(rows: list[tuple[int, int]]) -> bytes:
     return struct.pack("<HH", len(rows), 0) + b"".join(struct.pack("<IH", t, s) for t, s in rows)
 
 
+#: How the records of single-record payloads are packed, by type: a function of a row.
+PACKERS = {
+    "EVENT": lambda r: event_block([(r["ticks"], r["id"], r["value"])]),
+    "GPIO_EVENT": lambda r: gpio_block([(r["ticks"], r["state"])]),
+    "SYNC": lambda r: struct.pack("<IHHq", r["ticks"], r["wrap_count"], r["flags"], r["host_time_ns"]),
+    "MARKER": lambda r: struct.pack("<III", r["ticks"], r["marker_id"], r["value"]),
+    "ERROR": lambda r: struct.pack("<HHIII", r["code"], r["detail"], r["dropped_samples"], r["buffer_overflows"], r["context"]),
+    "HELLO": lambda r: struct.pack("<HHI", r["proto_version"], r["nonce"], r["reserved"]),
+    "CONFIG": lambda r: struct.pack("<IHHIiII", *(r[c] for c in ("sample_rate_hz", "averaging", "conv_time_code", "gpio_mask", "shunt_micro_ohm", "flags", "reserved"))),
+    "DEVICE_INFO": lambda r: DEVICE.pack(*(r[c] for c in DEVICE_FIELDS[:3]), r["serial"].encode()[:16], r["fw_version"].encode()[:16], r["fw_build_id"], *(r[c] for c in DEVICE_FIELDS[3:]), 0),
+}
+
+
+def encoded_records(rows: DataFrame, kind: str) -> DataFrame:
+    """device, chunk, bytes: a frame of a type for each (device, chunk, ...) row."""
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = [frame(TYPES[kind], r["chunk"], PACKERS[kind](r)) for r in b.to_pylist()]
+            yield pa.record_batch([b.column("device"), b.column("chunk"), pa.array(out, pa.binary())], ["device", "chunk", "bytes"])
+
+    return rows.withColumn("chunk", F.col("chunk").cast("bigint")).mapInArrow(work, "device string, chunk long, bytes binary")
+
+
 def encoded_samples(rows: DataFrame, block: int = 64) -> DataFrame:
     """device, chunk, bytes: frames of up to ``block`` samples out of (device, n, ticks, current_ua, voltage_uv) rows."""
     held = rows.groupBy("device", F.floor(F.col("n") / block).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("n", "ticks", "current_ua", "voltage_uv"))).alias("rows"))

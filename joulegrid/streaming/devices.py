@@ -1,4 +1,4 @@
-"""State that follows a device's live stream: tick epochs, gaps, open scopes, and buckets.
+"""State that follows a device's live stream: frames, tick epochs, gaps, open scopes, and buckets.
 
 Rows of a device may arrive in any order within a micro-batch and are put in arrival order there; across batches the
 sources keep it. Errors of device time are rows of their own rather than lost.
@@ -10,12 +10,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from joulegrid.sources import wire
+
 WRAP, HALF = 1 << 32, 1 << 31
 UNWRAPPED = "device string, arrival long, ticks long, epoch long, full_ticks long, step string"
 GAPS = "capture_id string, start_ns long, end_ns long, lost_estimate long"
+FIGURES = ("t_ns", "min_ua", "max_ua", "sum_ua", "count")
 PAIRED = "capture_id string, name string, seq long, start_ns long, end_ns long, status string"
 
 
@@ -75,12 +77,53 @@ def pairs(marks: DataFrame) -> DataFrame:
     return marks.groupBy("capture_id", "name").applyInPandasWithState(step, PAIRED, "times array<long>, seqs array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def buckets(samples: DataFrame, width_ns: int, delay: str = "1 hour") -> DataFrame:
-    """Closed buckets of a width; the watermark bounds the state, and rows later than ``delay`` are not in them.
+def buckets(samples: DataFrame, width_ns: int, delay_ns: int) -> DataFrame:
+    """Closed buckets of a width by capture, and what came too late for its bucket as rows of its own (``late``).
 
-    Spark's timestamps are microseconds, so widths are whole microseconds.
+    A bucket closes once a sample ``delay_ns`` or more after its end has been seen in an earlier micro-batch or this one;
+    until then it is in the state, so the state holds what falls within the delay. Late samples are counted, never lost:
+    sums of both kinds of rows are the whole stream, but for buckets still open.
     """
-    timed = samples.withColumn("at", F.timestamp_micros(F.call_function("div", F.col("t_ns"), F.lit(1000).cast("bigint")))).withWatermark("at", delay)
-    width = F.window("at", f"{width_ns // 1000} microseconds")
-    sums = timed.groupBy("capture_id", width).agg(F.min("current_ua").alias("min_ua"), F.max("current_ua").alias("max_ua"), F.sum(F.col("current_ua").cast("bigint")).alias("sum_ua"), F.count("*").alias("count"))
-    return sums.select("capture_id", (F.unix_micros("window.start") * 1000).alias("t_ns"), "min_ua", "max_ua", "sum_ua", "count")
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, *open_ = state.get if state.exists else (-1, [], [], [], [], [])
+        held = pd.DataFrame({c: pd.Series(x, dtype="int64") for c, x in zip(FIGURES, open_, strict=True)})
+        rows = pd.concat(list(pdfs))
+        at, i = rows["t_ns"].to_numpy(), rows["current_ua"].to_numpy().astype("int64")
+        now = pd.DataFrame({"t_ns": at - at % width_ns, "min_ua": i, "max_ua": i, "sum_ua": i, "count": 1})
+        late = now["t_ns"] + width_ns + delay_ns <= seen
+        sums = {"min_ua": "min", "max_ua": "max", "sum_ua": "sum", "count": "sum"}
+        missed = now[late].groupby("t_ns", as_index=False).agg(sums).assign(late=True)
+        every = pd.concat([held, now[~late]]).groupby("t_ns", as_index=False).agg(sums)
+        seen = max(seen, int(at.max()))
+        closed = every["t_ns"] + width_ns + delay_ns <= seen
+        state.update((seen, *(every[~closed][c].tolist() for c in FIGURES)))
+        out = pd.concat([every[closed].assign(late=False), missed])
+        yield out.assign(capture_id=key[0])[["capture_id", *FIGURES, "late"]]
+
+    schema = "capture_id string, t_ns long, min_ua long, max_ua long, sum_ua long, count long, late boolean"
+    held = "seen long, t_ns array<long>, min_ua array<long>, max_ua array<long>, sum_ua array<long>, count array<long>"
+    return samples.select("capture_id", "t_ns", "current_ua").groupBy("capture_id").applyInPandasWithState(step, schema, held, "append", GroupStateTimeout.NoTimeout)
+
+
+def frames(chunks: DataFrame) -> DataFrame:
+    """Frames of a live line, as the batch operator has them, out of (device, chunk, bytes) rows.
+
+    The state is what follows the last delimiter, and at most one byte more than a frame may have: a longer region is
+    refused whatever comes. Within a micro-batch chunks are put in order; across them the source keeps it.
+    """
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tail = bytes(state.get[0]) if state.exists else b""
+        rows = pd.concat(list(pdfs)).sort_values("chunk")
+        out = []
+        for chunk, data in zip(rows["chunk"].tolist(), rows["bytes"].tolist(), strict=True):
+            *regions, tail = (tail + bytes(data or b"")).split(b"\0")
+            tail = tail[: wire.MAX_ENCODED + 1]
+            out += [(key[0], (chunk << 20) + k, *wire.opened(r)) for k, r in enumerate(regions) if r]
+        state.update((tail,))
+        columns = dict(zip(("device", "arrival", "status", "type", "seq", "payload"), zip(*out, strict=True), strict=True)) if out else {c: () for c in ("device", "arrival", "status", "type", "seq", "payload")}
+        columns |= {c: pd.array(columns[c], "Int32") for c in ("type", "seq")}
+        yield pd.DataFrame(columns)
+
+    return chunks.select("device", "chunk", "bytes").groupBy("device").applyInPandasWithState(step, wire.FRAMES, "tail binary", "append", GroupStateTimeout.NoTimeout)

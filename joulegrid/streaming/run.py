@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from joulegrid.shared import new_folder
 
@@ -15,6 +16,25 @@ def replay(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
 
 
+def replayed(rows: DataFrame, order: list[str], cuts: list[int] | None = None, batch_rows: int = 1_000_000) -> DataFrame:
+    """Rows as a stream of micro-batches in order, each a stretch of the first column of ``order``.
+
+    The stretches are cut at ``cuts``, or by the column's quantiles with about ``batch_rows`` in each, and written one
+    after another, so that the stream takes them so.
+    """
+    spark = rows.sparkSession
+    folder = new_folder(spark, "replay")
+    if cuts is None:
+        n = max(1, -(-rows.count() // batch_rows))
+        cuts = rows.approxQuantile(order[0], [k / n for k in range(1, n)], 0.5 / n) if n > 1 else []
+    edges = [None, *sorted({int(c) for c in cuts}), None]
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        part = rows if a is None else rows.where(F.col(order[0]) >= a)
+        part = part if b is None else part.where(F.col(order[0]) < b)
+        part.coalesce(1).sortWithinPartitions(*order).write.parquet(f"{folder}/{k:05d}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for the input there is now, written to the shared folder and read back."""
     spark = stream.sparkSession

@@ -68,9 +68,9 @@ def test_golden_capture(spark):
     samples, marks = golden(spark)
     assert round(region_stats(samples).first()["energy_uj"], 3) == 1702.602
     found = pairing.occurrences(marks, defs(spark))
-    energies = [r["energy_uj"] for r in occurrences.occurrence_energy(samples, found, bin_ns=10**6).collect()]
+    energies = [r["energy_uj"] for r in occurrences.occurrence_energy(samples, found, slice_ns=10**6).collect()]
     assert energies == [241.956] * 3
-    stats = {r["name"]: r for r in occurrences.event_stats(samples, marks, defs(spark), bin_ns=10**6).collect()}
+    stats = {r["name"]: r for r in occurrences.event_stats(samples, marks, defs(spark), slice_ns=10**6).collect()}
     assert stats["TX"]["occurrences"] == 3 and stats["TX"]["duration_ns_mean"] == 950_000 and stats["READ"]["occurrences"] == 0
     assert stats["READ"]["mean_ua"] is None and stats["TX"]["peak_ua"] == 78_000
     assert stats["TX"]["duty_cycle"] == pytest.approx(3 * 950_000 / 99_980_001)
@@ -85,7 +85,7 @@ def test_an_event_between_samples_is_unsampled(spark):
 
 def test_rules_fail_closed(spark):
     samples, marks = golden(spark)
-    stats = occurrences.event_stats(samples, marks, defs(spark), bin_ns=10**6)
+    stats = occurrences.event_stats(samples, marks, defs(spark), slice_ns=10**6)
     held = [("TX", "mean_energy_uj", "<=", 260.0), ("TX", "mean_energy_uj", "<=", 200.0), ("TX", "occurrences", ">=", 9.0), ("READ", "mean_energy_uj", "<=", 1e9), ("NONE", "mean_energy_uj", "<=", 1e9), ("READ", "peak_current_ua", "<=", 1e9)]
     got = rules.evaluate(spark.createDataFrame(held, RULES), stats)
     assert [r["outcome"] for r in sorted(got.collect(), key=lambda r: held.index((r["event"], r["metric"], r["comparison"], r["limit"])))] == ["passed", "over_budget", "under_budget", "never_occurred", "unknown_event", "never_occurred"]
@@ -96,7 +96,7 @@ def test_rules_fail_closed(spark):
 
 def test_regression_and_change(spark):
     samples, marks = golden(spark)
-    now = occurrences.event_stats(samples, marks, defs(spark), bin_ns=10**6)
+    now = occurrences.event_stats(samples, marks, defs(spark), slice_ns=10**6)
     before = now.withColumn("energy_nj_mean", F.col("energy_nj_mean") * 0.9)
     made = rules.regression_rules(now, before, 5.0)
     assert made.count() == 1
