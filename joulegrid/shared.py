@@ -55,13 +55,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, tasks_per_core: int = 4) -> DataFrame:
+def stored(df: DataFrame, tasks_per_core: int | None = 4) -> DataFrame:
     """Like ``settle``, as Parquet: small parts are read together, and sizes are known to the planner.
 
     Neighbouring partitions are written together by ``tasks_per_core`` tasks for each core of the cluster at most, as
-    every file costs its creation, and empty or tiny ones cost no less.
+    every file costs its creation, and tiny ones cost no less. None keeps partitions as they are, for rows that much
+    work goes into.
     """
     spark = df.sparkSession
     path = new_folder(spark, "stored")
-    df.coalesce(tasks_per_core * spark.sparkContext.defaultParallelism).write.parquet(path)
+    kept = df if tasks_per_core is None else df.coalesce(tasks_per_core * spark.sparkContext.defaultParallelism)
+    kept.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
