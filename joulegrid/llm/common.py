@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,7 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def give_back() -> None:
     """Let the C library return freed memory at a task's end: workers live on, beside each other and the JVM."""
-    gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -269,7 +269,7 @@ def forest(pairs: DataFrame, leaves: DataFrame, words: int = 1, most: int = 2, t
     content = leaves.select("block", "words")
     with_one = pairs.join(content.select(F.col("block").alias("one"), F.col("words").alias("p")), "one")
     with_both = with_one.join(content.select(F.col("block").alias("two"), F.col("words").alias("q")), "two")
-    return settle(with_both.select("one", "two", "cell", "p", "q").mapInArrow(search, "one long, two long"))
+    return settle(with_both.select("one", "two", "cell", "p", "q").mapInArrow(search, "one long, two long"), None)
 
 
 def components(edges: DataFrame) -> DataFrame:
