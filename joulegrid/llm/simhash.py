@@ -248,6 +248,17 @@ def names_of(t: np.ndarray, turned: int = 0) -> np.ndarray:
     return ((mixed >> np.uint64(n)) | (mixed << np.uint64(64 - n)) if n else mixed).view(np.int64)
 
 
+def with_contents(pairs: DataFrame, one: DataFrame, two: DataFrame) -> DataFrame:
+    """Pairs (one, two) beside the contents of both blocks.
+
+    Blocks are of bounded size and in no more pairs than their cell has blocks, so hashing deals them out evenly, and
+    partitions need not be split again, which would read the other side once for each part.
+    """
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    with_one = pairs.repartition(n, "one").join(one.repartition(n, "one"), "one")
+    return with_one.repartition(n, "two").join(two.repartition(n, "two"), "two")
+
+
 def forest(pairs: DataFrame, leaves: DataFrame, words: int = 1, most: int = 2, top: int = 0, flips: int = 0, stride: int = 0) -> DataFrame:
     """Links of all pairs of blocks, thinned to a spanning forest in each task: one and two, two < one."""
 
@@ -266,9 +277,7 @@ def forest(pairs: DataFrame, leaves: DataFrame, words: int = 1, most: int = 2, t
         yield from trees.links()
         give_back()
 
-    content = leaves.select("block", "words")
-    with_one = pairs.join(content.select(F.col("block").alias("one"), F.col("words").alias("p")), "one")
-    with_both = with_one.join(content.select(F.col("block").alias("two"), F.col("words").alias("q")), "two")
+    with_both = with_contents(pairs, leaves.select(F.col("block").alias("one"), F.col("words").alias("p")), leaves.select(F.col("block").alias("two"), F.col("words").alias("q")))
     return settle(with_both.select("one", "two", "cell", "p", "q").mapInArrow(search, "one long, two long"), None)
 
 
