@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +25,7 @@ from joulegrid.llm.common import batches, give_back, settle
 
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-BLOCK = "cell long, block long, mask long, pattern long, words binary"
+BLOCK = "cell long, mask long, pattern long, words binary"
 
 
 def shingle_hashes(text: str, shingle: int = 3) -> np.ndarray:
@@ -95,12 +94,10 @@ def blocks(each: DataFrame, words: list[str], bits: int, size: int = 1024) -> Da
     """
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
         held: list[np.ndarray] = []
         rows: list[tuple] = []
 
         def flush(end: bool) -> None:
-            nonlocal number
             t = np.concatenate(held)
             held.clear()
             key = (t[:, 0] << np.uint64(48)) | (t[:, 1] >> np.uint64(64 - bits) if bits else np.uint64(0))
@@ -109,15 +106,14 @@ def blocks(each: DataFrame, words: list[str], bits: int, size: int = 1024) -> Da
                 while a < b and (end or b < len(t) or b - a >= size):
                     part = np.ascontiguousarray(t[a : min(a + size, b), 1:])
                     signed = np.array(shared_bits(part[:, 0]), np.uint64).view(np.int64).tolist()
-                    rows.append((int(key[a]), number, *signed, part.tobytes()))
-                    number += 1
+                    rows.append((int(key[a]), *signed, part.tobytes()))
                     a = min(a + size, b)
                 if a < b:
                     held.append(t[a:b])
 
         def out() -> pa.RecordBatch:
-            types = (*[pa.int64()] * 4, pa.binary())
-            batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["cell", "block", "mask", "pattern", "words"])
+            types = (*[pa.int64()] * 3, pa.binary())
+            batch = pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["cell", "mask", "pattern", "words"])
             rows.clear()
             return batch
 
@@ -133,7 +129,7 @@ def blocks(each: DataFrame, words: list[str], bits: int, size: int = 1024) -> Da
             yield out()
 
     ordered = each.repartitionByRange("turn", "gray").sortWithinPartitions("turn", "gray")
-    return settle(ordered.select("turn", *words).mapInArrow(cut, BLOCK))
+    return settle(ordered.select("turn", *words).mapInArrow(cut, BLOCK).withColumn("block", F.monotonically_increasing_id()))
 
 
 def block_pairs(leaves: DataFrame, bits: int, most: int = 2, flips: int | None = None, lead: int = 64) -> DataFrame:
