@@ -434,14 +434,14 @@ SYNC = f"""sync AS (SELECT capture_id, t_ns AS s, t_ns + 20000 + (seq * 7919) %
 
 @registered(f"""WITH {SAMPLES}, {SYNC}, m AS (SELECT *, r - s AS rtt, s + (r - s) // 2 AS y, row_number() OVER (PARTITION BY capture_id ORDER BY r - s) - 1 AS k, count(*) OVER (PARTITION BY capture_id) AS n FROM sync),
 l AS (SELECT capture_id, min(rtt) AS lim FROM m WHERE k = least(greatest(n // 5, 2), n - 1) AND n >= 3 GROUP BY capture_id),
-kept AS (SELECT capture_id, (x - min(x) OVER (PARTITION BY capture_id))::DOUBLE AS x, (y - min(y) OVER (PARTITION BY capture_id))::DOUBLE AS y FROM m JOIN l USING (capture_id) WHERE rtt <= lim)
-SELECT capture_id, count(*) AS samples, round(regr_slope(y, x), 6) AS a, round((regr_slope(y, x) / 1000 - 1) * 1e6, 2) AS drift_ppm,
-       round(sqrt(regr_syy(y, x) * greatest(1 - regr_r2(y, x), 0) / count(*)) / 1e6, 0) AS residual_ms FROM kept GROUP BY capture_id HAVING var_pop(x) > 0""")
+kept AS (SELECT capture_id, (x - min(x) OVER (PARTITION BY capture_id))::DOUBLE AS x, (y - min(y) OVER (PARTITION BY capture_id))::DOUBLE AS y FROM m JOIN l USING (capture_id) WHERE rtt <= lim),
+line AS (SELECT capture_id, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM kept GROUP BY capture_id HAVING var_pop(x) > 0)
+SELECT capture_id, count(*) AS samples, round(any_value(a), 6) AS a, round((any_value(a) / 1000 - 1) * 1e6, 2) + 0.0 AS drift_ppm, round(sqrt(avg((y - a * x - b) ** 2)) / 1e3, 0) AS residual_us FROM kept JOIN line USING (capture_id) GROUP BY capture_id""")
 def clock_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     jitter = 20000 + (F.col("seq") * 7919) % 50000 + F.when(F.col("seq") % 5 == 0, 4_000_000).otherwise(0)
     rows = tables.samples(spark, sf_dir).select("capture_id", F.col("t_ns").alias("host_send_ns"), (F.col("t_ns") + jitter).alias("host_recv_ns"), F.call_function("div", F.col("t_ns"), F.lit(1000).cast("bigint")).alias("device_ticks"))
     drift = timebase.drift_ppm(F.col("a"), F.lit(1_000_000))
-    return timebase.clock_fit(rows).select("capture_id", "samples", F.round("a", 6).alias("a"), F.round(drift, 2).alias("drift_ppm"), F.round(F.col("residual_ns") / 1e6, 0).alias("residual_ms"))
+    return timebase.clock_fit(rows).select("capture_id", "samples", F.round("a", 6).alias("a"), (F.round(drift, 2) + F.lit(0.0)).alias("drift_ppm"), F.round(F.col("residual_ns") / 1e3, 0).alias("residual_us"))
 
 
 @registered(f"""WITH {EVENTS}, p AS (SELECT capture_id, seq, t_ns AS a, t_ns + value * 60000000000 AS b, lead(t_ns) OVER w AS c, lead(t_ns + value * 60000000000) OVER w AS d FROM ev WINDOW w AS (PARTITION BY capture_id ORDER BY t_ns, seq))
@@ -499,12 +499,12 @@ BEFORE, AFTER = (STATS.replace("WHERE event_id % 3 = 0)", "WHERE event_id % 3 =
 
 @registered(f"""WITH b AS (SELECT * FROM ({BEFORE} SELECT name, occurrences, unsampled, round(energy_nj_mean * 1e-3, 6) AS v FROM stats) t), n AS (SELECT * FROM ({AFTER} SELECT name, occurrences, unsampled, round(energy_nj_mean * 1e-3, 6) AS v FROM stats) t),
 m AS (SELECT b.name AS event, b.v AS before, CASE WHEN n.occurrences > 0 AND n.unsampled < n.occurrences THEN n.v END AS value FROM b JOIN n USING (name) WHERE b.occurrences > 0 AND b.unsampled < b.occurrences)
-SELECT event, 'mean_energy_uj' AS metric, round(before * (1 + 5.0 / 100), 6) AS "limit", value, coalesce(value <= round(before * (1 + 5.0 / 100), 6), false) AS passed,
+SELECT event, 'mean_energy_uj' AS metric, round(before * (1 + 5.0 / 100), 2) AS "limit", value, coalesce(value <= round(before * (1 + 5.0 / 100), 6), false) AS passed,
        CASE WHEN before <> 0 THEN round((value - before) / before * 100, 4) END AS change_percent FROM m""")
 def regression_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, events, defs = tables.samples(spark, sf_dir).where("seq % 3 = 0"), tables.events(spark, sf_dir), tables.event_defs(spark)
     before, now = (settle(occurrences.event_stats(samples.where(side), events.where(side), defs)) for side in (f"t_ns < {SPLIT_NS}", f"t_ns >= {SPLIT_NS}"))
-    return rules.evaluate(rules.regression_rules(now, before, 5.0), now, before).select("event", "metric", "limit", "value", "passed", "change_percent")
+    return rules.evaluate(rules.regression_rules(now, before, 5.0), now, before).select("event", "metric", F.round("limit", 2).alias("limit"), "value", "passed", "change_percent")
 
 
 @registered(f"""WITH {EVENTS} SELECT capture_id, seq, value::DOUBLE / 1000.0 AS milli, value::DOUBLE * 1000.0 AS kilo, value::DOUBLE AS plain, CAST(value * 1000000 AS BIGINT) AS duration_ns, value::DOUBLE / 100 AS ratio, CASE WHEN value >= 1 THEN value * 1000 END AS rate_hz, CASE WHEN seq % 2 = 0 THEN value::DOUBLE END AS refused FROM ev""")

@@ -304,12 +304,17 @@ PACKERS = {
 }
 
 
+def packed(kind: str, row: dict) -> bytes:
+    """The payload of one record."""
+    return PACKERS[kind](row)
+
+
 def encoded_records(rows: DataFrame, kind: str) -> DataFrame:
     """device, chunk, bytes: a frame of a type for each (device, chunk, ...) row."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            out = [frame(TYPES[kind], r["chunk"], PACKERS[kind](r)) for r in b.to_pylist()]
+            out = [frame(TYPES[kind], r["chunk"], packed(kind, r)) for r in b.to_pylist()]
             yield pa.record_batch([b.column("device"), b.column("chunk"), pa.array(out, pa.binary())], ["device", "chunk", "bytes"])
 
     return rows.withColumn("chunk", F.col("chunk").cast("bigint")).mapInArrow(work, "device string, chunk long, bytes binary")
