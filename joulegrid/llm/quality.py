@@ -42,7 +42,7 @@ def first_seen(keys: np.ndarray) -> np.ndarray:
 
 
 def encode(texts: list[str | None], table: np.ndarray, window: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Encoded passages of all texts in order, and how many each text has; an empty text has one, all zero."""
+    """Encoded passages of all texts in order, and how many each text has; an empty text has one, without words."""
     codes = np.frombuffer("".join(f"{t or ''}\n" for t in texts).encode("utf-32-le"), np.uint32)
     sizes = np.fromiter((len(t or "") + 1 for t in texts), np.int64, len(texts))
     begin = np.cumsum(sizes) - sizes
@@ -55,6 +55,8 @@ def encode(texts: list[str | None], table: np.ndarray, window: int = 512) -> tup
     pairs = np.bincount((passage[:-1] * N * N + kind[:-1] * N + kind[1:])[inside], minlength=total * N * N).reshape(total, N * N)
     out = np.zeros((total, WIDTH), np.float32)
     out[:, : N * N] = np.sqrt(pairs / np.maximum(1, pairs.sum(axis=1, keepdims=True)))
+    shape = [np.bincount(passage, minlength=total) / window, np.log1p(np.repeat(counts, counts)) / 3]
+    out[:, N * N :] = np.stack([np.full(total, 0.01), *[np.zeros(total)] * 4, *shape], axis=1)
     gap = kind <= 1
     starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
     if len(starts):
@@ -67,10 +69,11 @@ def encode(texts: list[str | None], table: np.ndarray, window: int = 512) -> tup
         n = np.maximum(1, np.bincount(of, minlength=total))
         same = np.concatenate([[False], (word[1:] == word[:-1]) & (owner[1:] == owner[:-1])])
         new = first_seen(word ^ (of.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
-        three = word + np.roll(word, 1) * np.uint64(3) + np.roll(word, 2) * np.uint64(7)
+        before = [np.where(np.concatenate([np.zeros(k, bool), owner[k:] == owner[:-k]])[: len(word)], np.roll(word, k), np.uint64(0)) for k in (1, 2)]
+        three = word + before[0] * np.uint64(3) + before[1] * np.uint64(7)
         novel = first_seen(three ^ (owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0x165667B19E3779F9))
         mean = lambda x: np.bincount(of, weights=x, minlength=total) / n
-        out[:, N * N :] = np.stack([n / 100, mean(length) / 10, mean(same), mean(~new), mean(~novel), np.bincount(passage, minlength=total) / window, np.log1p(np.repeat(counts, counts)) / 3], axis=1)
+        out[:, N * N :] = np.stack([n / 100, mean(length) / 10, mean(same), mean(~new), mean(~novel), *shape], axis=1)
     return out, counts
 
 
