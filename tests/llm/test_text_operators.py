@@ -109,7 +109,7 @@ def test_best_fit_plan_fills_bins_without_overlap():
 
 
 def test_ranks_are_whole_within_lengths(spark):
-    pieces = spark.range(5000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "if(id % 3 = 0, 7L, id % 5) AS length", "id AS ids_crc32")
+    pieces = spark.range(5000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "if(id % 3 = 0, 7L, id % 5) AS length", "id AS ids_crc32", "id AS row")
     for per in (10, 100_000):
         got = packing.ranked(pieces, 5000, per).groupBy("length").agg({"rank": "max", "*": "count"}).collect()
         assert all(r["max(rank)"] + 1 == r["count(1)"] for r in got)
