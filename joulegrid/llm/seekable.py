@@ -126,16 +126,17 @@ def location(path: str) -> tuple[pafs.FileSystem, str]:
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = 1, file_bytes: int = 64 << 20, frame_bytes: int = 1 << 20) -> DataFrame:
     """Encode whole texts and write them in ascending doc_id order; a row of the manifest for each file.
 
-    Texts are range-partitioned by doc_id before they are encoded, about ``file_bytes`` of them for each task, and a task
-    writes one file. Rows with one doc_id stand side by side, by a hash of their texts, and may go on in the next file.
+    Texts are range-partitioned by doc_id before they are encoded, at most about ``file_bytes`` of them for each task (fewer
+    while cores are idle), and a task writes one file. Rows with one doc_id stand side by side, by a hash of their texts, and may go on in the next file.
     A task that runs again writes under a new name; only the names that the manifest gives are part of the result. A
     null or empty text is the end id alone, and null ids come first.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(-(-size // file_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (file_bytes // 16))), 1)
     ordered = (
         rows.withColumn("mark", F.xxhash64("text"))
-        .repartitionByRange(max(1, -(-size // file_bytes)), "doc_id", "mark")
+        .repartitionByRange(files, "doc_id", "mark")
         .sortWithinPartitions("doc_id", "mark")
         .select(F.spark_partition_id().alias("part"), "doc_id", "text")
     )
