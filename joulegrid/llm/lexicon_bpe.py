@@ -26,21 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joulegrid.llm.common import batches, settle, sliced
-from joulegrid.llm.tokens import Splitter
+from joulegrid.llm.tokens import Splitter, byte_alphabet
 
 #: Longer words are neither compiled nor merged in step with others.
 LONG = 64
 
 
-@lru_cache
-def byte_alphabet() -> tuple[list[str], dict[str, int]]:
-    """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and on."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(0x100, 0x200))
-    chars = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-    return chars, {c: b for b, c in enumerate(chars)}
-
-
 class Merges:
     """The merges of a BPE with word ends, over ids."""
 

@@ -1,7 +1,7 @@
 """Token ids of whole texts with the tokenizers library, a distinct word at a time.
 
 BPE merges never cross the borders of pre-tokens, so a text's ids are its pre-tokens' ids in order. Each distinct
-pre-token of a task is encoded once by the library and remembered as bytes; a text's ids are these bytes joined.
+pre-token of a task is encoded once by the library's model and remembered as bytes; a text's ids are these bytes joined.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from array import array
 from collections.abc import Sequence
 from functools import lru_cache
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -33,6 +32,15 @@ LATIN = {
 UNSETTLED = regex.compile("[Σ\u0530-\u058f\u0860-\u08ff\u0c00-\u0cff\u1c80-\u1c8f\u2080-\u209f\ua7c0-\ua7ff\uab60-\uab6f\U00010000-\U0010ffff]")
 
 
+@lru_cache
+def byte_alphabet() -> tuple[list[str], dict[str, int]]:
+    """The public byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    chars = [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+    return chars, {c: b for b, c in enumerate(chars)}
+
+
 def latin(text: str) -> bool:
     if text.isascii():
         return True
@@ -77,29 +85,15 @@ class WordIds:
     def __init__(self, path: str, most: int = 400_000):
         self.split, self.most = Splitter(path), most
         self.known: dict[str | bytes, bytes] = {}
-        vocabulary = self.split.library.get_vocab()
-        self.feed = vocabulary.get("\u010a")  # the line feed in the byte-level alphabet
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.model, self.chars = self.split.library.model, byte_alphabet()[0]
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.split.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def word_ids(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words, many in a call: a line feed stands between two, which is a pre-token (or none) of its own."""
-        apart = [w for w in words if w.isspace()]
-        words = [w for w in words if not w.isspace()]
-        known = dict(zip(apart, self.library(apart), strict=True))
-        for k in range(0, len(words), 5000):
-            some = words[k : k + 5000]
-            ids = np.frombuffer(self.library(["\n".join(some)])[0], np.uint32)
-            last = np.flatnonzero(self.ends[ids]) if self.split.lower else np.append(np.flatnonzero(ids == self.feed), len(ids))
-            data, skip = ids.tobytes(), int(self.split.lower)
-            begin = 0
-            for w, stop in zip(some, last.tolist(), strict=True):
-                known[w] = data[4 * begin : 4 * (stop + skip)]
-                begin = stop + 1
-        return known
+        """Ids of words by the library's model, which takes them in the byte-level alphabet."""
+        tokenize, chars = self.model.tokenize, self.chars
+        return {w: array("I", [t.id for t in tokenize("".join([chars[b] for b in w.encode()]))]).tobytes() for w in words}
 
     def keys(self, text: str) -> list[str | bytes]:
         """Words of a text; in place of what is no word, its ids."""
