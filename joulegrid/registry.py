@@ -499,12 +499,12 @@ BEFORE, AFTER = (STATS.replace("WHERE event_id % 3 = 0)", "WHERE event_id % 3 =
 
 @registered(f"""WITH b AS (SELECT * FROM ({BEFORE} SELECT name, occurrences, unsampled, round(energy_nj_mean * 1e-3, 6) AS v FROM stats) t), n AS (SELECT * FROM ({AFTER} SELECT name, occurrences, unsampled, round(energy_nj_mean * 1e-3, 6) AS v FROM stats) t),
 m AS (SELECT b.name AS event, b.v AS before, CASE WHEN n.occurrences > 0 AND n.unsampled < n.occurrences THEN n.v END AS value FROM b JOIN n USING (name) WHERE b.occurrences > 0 AND b.unsampled < b.occurrences)
-SELECT event, 'mean_energy_uj' AS metric, round(before * (1 + 5.0 / 100), 2) AS "limit", value, coalesce(value <= round(before * (1 + 5.0 / 100), 6), false) AS passed,
+SELECT event, 'mean_energy_uj' AS metric, round(before * (1 + 5.0 / 100), 2) AS "limit", round(value, 2) AS value, coalesce(value <= round(before * (1 + 5.0 / 100), 6), false) AS passed,
        CASE WHEN before <> 0 THEN round((value - before) / before * 100, 4) END AS change_percent FROM m""")
 def regression_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, events, defs = tables.samples(spark, sf_dir).where("seq % 3 = 0"), tables.events(spark, sf_dir), tables.event_defs(spark)
     before, now = (settle(occurrences.event_stats(samples.where(side), events.where(side), defs)) for side in (f"t_ns < {SPLIT_NS}", f"t_ns >= {SPLIT_NS}"))
-    return rules.evaluate(rules.regression_rules(now, before, 5.0), now, before).select("event", "metric", F.round("limit", 2).alias("limit"), "value", "passed", "change_percent")
+    return rules.evaluate(rules.regression_rules(now, before, 5.0), now, before).select("event", "metric", F.round("limit", 2).alias("limit"), F.round("value", 2).alias("value"), "passed", "change_percent")
 
 
 @registered(f"""WITH {EVENTS} SELECT capture_id, seq, value::DOUBLE / 1000.0 AS milli, value::DOUBLE * 1000.0 AS kilo, value::DOUBLE AS plain, CAST(value * 1000000 AS BIGINT) AS duration_ns, value::DOUBLE / 100 AS ratio, CASE WHEN value >= 1 THEN value * 1000 END AS rate_hz, CASE WHEN seq % 2 = 0 THEN value::DOUBLE END AS refused FROM ev""")
