@@ -70,6 +70,18 @@ def op10_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search(read_table(spark, sf_dir, "embeddings"), 20, 20)
 
 
+def op12_cholesky_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.llm.whitening import whiten
+
+    return whiten(read_table(spark, sf_dir, "embeddings"), 4, 256.0)
+
+
+def op13_splitter_skeleton_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.llm.prefix_trie import trie
+
+    return trie(read_table(spark, sf_dir, "conversations"), 6, 100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_dual_tree_top_k": op1_dual_tree_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -81,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_attention_quality": op9_attention_quality,
     "op10_robust_pruned_graph": op10_robust_pruned_graph,
+    "op12_cholesky_jacobi_whitening": op12_cholesky_jacobi_whitening,
+    "op13_splitter_skeleton_trie": op13_splitter_skeleton_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -97,5 +111,36 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    # crc32 bit by bit: a list of bytes, each followed by eight shifts, is folded into the register.
+    "op13_splitter_skeleton_trie": """
+WITH t AS (
+  SELECT conv_id, turn, left(sha256(strlen(r) || ':' || r || x), 32) || printf('%08x', length(x)) AS token
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL) c
+), own AS (
+  SELECT conv_id, list(token ORDER BY turn NULLS FIRST, token) AS own FROM t GROUP BY conv_id
+), steps AS (
+  SELECT conv_id, own, list_prepend(4294967295::BIGINT, flatten([[ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(conv_id::VARCHAR, '')])) AS s FROM own
+), hashed AS (
+  SELECT conv_id, own, CAST(xor(list_reduce(s, lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295) % 6 AS INTEGER) AS h FROM steps
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(f.own[1:o.h], []), o.own[o.h + 1:]) AS path
+  FROM hashed o LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 100
+), members AS (
+  SELECT conv_id, d AS depth, array_to_string(path[1:d], '') AS node, len(path) AS turns FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM rebuilt) r
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256
+  FROM members GROUP BY node, depth
+), children AS (
+  SELECT left(node, 40 * (depth - 1)::INTEGER) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), each AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * ('0x' || right(node, 8))::BIGINT ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN children USING (node)
+), subtree AS (
+  SELECT left(node, 40 * k::INTEGER) AS node, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS k FROM each) e GROUP BY 1
+)
+SELECT e.conv_id, e.depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children, s.n_leaves, s.saved_tokens, e.ends_sha256
+FROM each e JOIN subtree s USING (node) LEFT JOIN each p ON e.depth > 0 AND p.node = left(e.node, 40 * (e.depth - 1)::INTEGER)
 """,
 }
