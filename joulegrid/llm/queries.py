@@ -70,6 +70,14 @@ def op10_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_search(read_table(spark, sf_dir, "embeddings"), 20, 20)
 
 
+def op11_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fractions import Fraction
+
+    from joulegrid.llm.token_groups import jaccard_join
+
+    return jaccard_join(read_table(spark, sf_dir, "documents"), Fraction(9, 10), 3)
+
+
 def op12_cholesky_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joulegrid.llm.whitening import whiten
 
@@ -93,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_attention_quality": op9_attention_quality,
     "op10_robust_pruned_graph": op10_robust_pruned_graph,
+    "op11_token_group_join": op11_token_group_join,
     "op12_cholesky_jacobi_whitening": op12_cholesky_jacobi_whitening,
     "op13_splitter_skeleton_trie": op13_splitter_skeleton_trie,
 }
@@ -111,6 +120,21 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op11_token_group_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS g FROM w
+), t AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s
+), links AS (
+  SELECT a.doc_id AS i, b.doc_id AS j FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT doc_id AS i, doc_id AS j FROM s UNION SELECT r.i, l.j FROM reached r JOIN links l ON r.j = l.i
+)
+SELECT s.doc_id, len(s.g) AS n_shingles, c.component_id FROM s JOIN (SELECT i, min(j) AS component_id FROM reached GROUP BY i) c ON c.i = s.doc_id
 """,
     # crc32 bit by bit: a list of bytes, each followed by eight shifts, is folded into the register.
     "op13_splitter_skeleton_trie": """
