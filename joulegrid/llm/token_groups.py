@@ -4,9 +4,11 @@ Equal shingle sets are one set. What is left is searched for pairs at or above t
 
 * Candidates lose no pair. Sizes are cut into classes so narrow that partners lie in one class or the next. For a pair of
   classes the largest possible symmetric difference D is known; tokens are dealt to D + 1 + ``SPARE`` parts by hash, so
-  partners agree in 1 + ``SPARE`` parts at least. A set's signatures name its parts' contents; sets without a signature
-  in common with another set are done. A part with no token says nothing and gets no signature, unless a set has more
-  than ``SPARE`` of them, so that one agreeing part always has its signature on both sides.
+  partners agree in 1 + ``SPARE`` parts at least. A set's signatures name its parts' contents. A part with no token says
+  nothing and gets no signature, unless a set has more than ``SPARE`` of them. As partners agree in more parts than one,
+  a set leaves out its most frequent signatures, as many as it has parts to spare: of what two partners have in common
+  the rarest one stays with both. So passages that very many sets share name no candidates. Sets without a remaining
+  signature in common with another set are done.
 * Sets that are left are sorted by their least token, which brings similar ones together, and cut into groups of bounded
   size. A group is stored as a row of the token-group matrix: the union of its tokens, and who has each.
 * A set is a query to the groups in which a signature of it stands. The query's overlap with the union bounds its overlap
@@ -33,7 +35,9 @@ from joulegrid.llm.common import batches, give_back, settle
 from joulegrid.llm.simhash import Forest, components, join_up
 
 U = np.uint64
-SPARE = 2
+SPARE = 8
+#: Bits of the filter of wanted ids that is broadcast: 16 MiB, whatever the number of ids.
+FILTER_BITS = 1 << 27
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -99,11 +103,12 @@ class Signatures:
         most = (a + a * q // p) * (q - p) // (q + p)
         return most + 1 + SPARE if most else 0
 
-    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+    def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures, and of each its level's parity (a set has two levels) times 16 plus how many its level may leave out."""
         if not len(tokens):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int8)
         own = self.class_of(len(tokens))
-        out = []
+        out, of = [], []
         again = mixed(tokens ^ U(0x2545F4914F6CDD1D))
         low, high = (again & U(0xFFFFFFFF)).astype(np.float64), (again >> U(32)).astype(np.float64)
         for level in (own, own - 1):
@@ -118,7 +123,9 @@ class Signatures:
             out.append(mixed(content[held] ^ place[held]))
             if m - len(held) > SPARE:
                 out.append(mixed(place[count == 0]))
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            n = sum(map(len, out)) - sum(map(len, of))
+            of.append(np.full(n, 16 * (level % 2) + max(0, SPARE - (m - len(held))), np.int8))
+        return (np.concatenate(out).view(np.int64), np.concatenate(of)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int8))
 
 
 def marks(docs: DataFrame, shingle: int, least: Fraction, seed: int) -> DataFrame:
@@ -128,53 +135,91 @@ def marks(docs: DataFrame, shingle: int, least: Fraction, seed: int) -> DataFram
         words, sign, seen = Words(seed), Signatures(least), set()
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            sizes, names, signs = [], [], []
+            sizes, names, signs, levels = [], [], [], []
             for text in b.column("text").to_pylist():
                 tokens = tokens_of(text, words, shingle)
                 name = xxhash.xxh3_64_intdigest(tokens.tobytes(), seed)
                 sizes.append(len(tokens))
                 names.append(name)
-                signs.append(None if name in seen else sign(tokens))
+                made = (None, None) if name in seen else sign(tokens)
+                signs.append(made[0])
+                levels.append(made[1])
                 if len(seen) >= 1 << 20:
                     seen.clear()
                 seen.add(name)
-            return pa.record_batch(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(names, U).view(np.int64)), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "name", "signatures"]
-            )
+            columns = [pa.array(sizes, pa.int64()), pa.array(np.array(names, U).view(np.int64)), pa.array(signs, pa.list_(pa.int64())), pa.array(levels, pa.list_(pa.int8()))]
+            return pa.record_batch([b.column("doc_id"), *columns], ["doc_id", "n_shingles", "name", "signatures", "levels"])
 
         return work
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
-    return settle(batches(rows, make, "doc_id long, n_shingles long, name long, signatures array<long>", "text"))
+    return settle(batches(rows, make, "doc_id long, n_shingles long, name long, signatures array<long>, levels array<tinyint>", "text"))
 
 
 def open_postings(marked: DataFrame) -> DataFrame:
-    """(signature, name) of signatures that more than one set has."""
-    each = marked.select(F.explode("signatures").alias("signature"), "name")
+    """(signature, name) of the signatures that sets keep and more than one set has."""
+    each = marked.select(F.explode(F.arrays_zip("signatures", "levels")).alias("s"), "name").select(F.col("s.signatures").alias("signature"), "name", F.col("s.levels").alias("of"))
     once = W.partitionBy("signature")
-    several = each.withColumn("_low", F.min("name").over(once)).withColumn("_high", F.max("name").over(once)).where("_low <> _high")
-    return settle(several.select("signature", "name").distinct())
+    several = each.withColumn("_low", F.min("name").over(once)).withColumn("_high", F.max("name").over(once)).withColumn("times", F.count("*").over(once))
+    several = several.where("_low <> _high").select("signature", "name", "of", "times").distinct()
+    # The order of signatures is one for all sets: by how often they stand, then by themselves.
+    ranked = several.withColumn("_rank", F.row_number().over(W.partitionBy("name", F.col("of") >= 16).orderBy(F.desc("times"), "signature")))
+    kept = settle(ranked.where(F.col("_rank") > F.col("of") % 16).select("signature", "name"))
+    shared = kept.groupBy("signature").agg(F.min("name").alias("_low"), F.max("name").alias("_high")).where("_low <> _high").select("signature")
+    return settle(kept.join(shared, "signature", "left_semi"))
+
+
+def places(ids: np.ndarray) -> list[np.ndarray]:
+    """Two places of each id in the filter."""
+    h = mixed(ids.view(U) ^ U(0x9E3779B97F4A7C15))
+    return [(h % U(FILTER_BITS)).astype(np.int64), (mixed(h) % U(FILTER_BITS)).astype(np.int64)]
+
+
+def wanted_filter(ids: DataFrame) -> np.ndarray:
+    """A filter of bits that every id of the column ``wanted`` passes, and few others: 16 MiB at most, made of ``FILTER_BITS`` / 8 bytes."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            at = np.concatenate(places(b.column("wanted").to_numpy(zero_copy_only=False).astype(np.int64)))
+            byte, inverse = np.unique(at >> 3, return_inverse=True)
+            bits = np.zeros(len(byte), np.int64)
+            np.bitwise_or.at(bits, inverse, np.int64(1) << (at & 7))
+            yield pa.record_batch([pa.array(byte), pa.array(bits)], ["byte", "bits"])
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    held = ids.where("wanted IS NOT NULL").mapInArrow(run, "byte long, bits long").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[held["byte"].to_numpy()] = held["bits"].to_numpy()
+    return out
 
 
 def open_sets(docs: DataFrame, marked: DataFrame, postings: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """name, first (its least token) and tokens of the sets that have a signature in common with another."""
+    """name, first (its least token) and tokens of the sets that have a signature in common with another.
+
+    They are made again from the texts of their least ids. Which ids these are, a filter of fixed size tells; what passes
+    it without being wanted is dropped by its name, so no text is shuffled. A set whose ids are all null is looked for
+    among rows without an id.
+    """
+    spark = docs.sparkSession
     wanted = settle(postings.select("name").distinct().join(marked.groupBy("name").agg(F.min("doc_id").alias("wanted")), "name"))
-    ids = wanted.select("wanted").distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    sent = spark.sparkContext.broadcast(wanted_filter(wanted.select("wanted")))
 
     def make():
         words = Words(seed)
 
         def work(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [tokens_of(t, words, shingle) for t in b.column("text").to_pylist()]
+            ids = b.column("doc_id")
+            one, two = places(ids.fill_null(0).to_numpy())
+            passed = (sent.value[one >> 3] >> (one & 7)) & (sent.value[two >> 3] >> (two & 7)) & 1
+            chosen = np.flatnonzero((passed > 0) | ids.is_null().to_numpy(zero_copy_only=False))
+            sets = [tokens_of(t, words, shingle) for t in b.column("text").take(pa.array(chosen)).to_pylist()]
             names = np.array([xxhash.xxh3_64_intdigest(t.tobytes(), seed) for t in sets], U).view(np.int64)
             firsts = np.array([t[0] if len(t) else 0 for t in sets], U).view(np.int64)
             return pa.record_batch([pa.array(names), pa.array(firsts), pa.array([t.tobytes() for t in sets], pa.binary())], ["name", "first", "tokens"])
 
         return work
 
-    # An id may stand in several rows: their sets tell which are meant.
-    made = batches(texts.select("text"), make, "name long, first long, tokens binary", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text"))
+    made = batches(rows, make, "name long, first long, tokens binary", "text")
     return settle(made.join(wanted.select("name"), "name", "left_semi").dropDuplicates(["name"]))
 
 

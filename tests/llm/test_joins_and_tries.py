@@ -101,16 +101,35 @@ def test_join_of_few_rows(spark):
 
 
 @pytest.mark.parametrize("least", [Fraction(9, 10), Fraction(3, 4), Fraction(1, 2)])
-def test_partners_share_a_signature(least):
-    """Any two sets at the similarity, of any sizes, have one in common: also where many parts are empty."""
+def test_partners_share_a_kept_signature(least):
+    """Any two sets at the similarity have one in common: of any sizes, where many parts are empty, and whichever are the frequent ones."""
     r, sign = np.random.default_rng(2), token_groups.Signatures(least)
-    for _ in range(600):
+
+    def kept(tokens, salt):
+        found, of = sign(tokens)
+        order = sorted(range(len(found)), key=lambda k: hash((int(found[k]), salt)))
+        left = {0: [], 1: []}
+        for k in order:
+            left[int(of[k]) // 16].append((int(of[k]) % 16, int(found[k])))
+        return {x for side in left.values() for n, (drop, x) in enumerate(side) if n >= drop}
+
+    tried = 0
+    for _ in range(900):
         n = int(r.integers(1, 90))
-        a = r.choice(2**40, n, replace=False).astype(np.uint64) * np.uint64(977 if n % 2 else 1 << 20)
+        a = np.unique(r.choice(2**40, n, replace=False).astype(np.uint64) * np.uint64(977 if n % 2 else 1 << 20))
         b = np.unique(np.concatenate([a[int(r.integers(0, n // 4 + 1)) :], r.choice(2**40, int(r.integers(0, n // 4 + 1)), replace=False).astype(np.uint64)]))
         both = len(np.intersect1d(a, b))
         if both and both < max(len(a), len(b)) and both * least.denominator >= least.numerator * (len(a) + len(b) - both):
-            assert set(sign(np.unique(a)).tolist()) & set(sign(b).tolist())
+            tried += 1
+            assert all(kept(a, salt) & kept(b, salt) for salt in range(3))
+    assert tried > 50
+
+
+def test_filter_passes_all_that_is_wanted(spark):
+    ids = [*range(0, 90_000, 7), -(2**63), 2**63 - 1]
+    bits = token_groups.wanted_filter(spark.createDataFrame([(i,) for i in [*ids, None]], "wanted long"))
+    passed = lambda x: np.logical_and.reduce([(bits[at >> 3] >> (at & 7)) & 1 for at in token_groups.places(np.array(x, np.int64))])
+    assert passed(ids).all() and passed([k for k in range(90_000) if k % 7]).sum() < 30
 
 
 def test_group_bound_and_partners():
