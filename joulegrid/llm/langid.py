@@ -94,8 +94,8 @@ def train(docs: DataFrame, may_learn: Column, buckets: int = 1 << 16, sample_row
     return Model(languages, weights, prior)
 
 
-def predict(model: Model, texts: list[str | None], steady: float = 100.0) -> tuple[list[str], np.ndarray]:
-    """Language and posterior of each text. n-grams overlap, so evidence beyond ``steady`` of them counts as that many."""
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language of each text and its posterior among the learned ones; ties go to the first in alphabetical order."""
     found, sizes = grams(texts, len(model.weights))
     scores = np.zeros((len(texts), len(model.languages)))
     full = np.flatnonzero(sizes)
@@ -103,7 +103,6 @@ def predict(model: Model, texts: list[str | None], steady: float = 100.0) -> tup
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     starts = np.cumsum(sizes) - sizes
     scores[full] = np.add.reduceat(model.weights[found], starts[full], axis=0)
-    scores *= np.minimum(1.0, steady / np.maximum(1, sizes))[:, None]
     scores += model.prior
     odds = np.exp(scores - scores.max(axis=1, keepdims=True))
     best = scores.argmax(axis=1)
@@ -123,7 +122,10 @@ def fit(docs: DataFrame, folds: int = 5, fold: int = 0, **options) -> Broadcast:
 
 
 def identify(docs: DataFrame, folds: int = 5, fold: int = 0, **options) -> DataFrame:
-    """doc_id, held_out, lang_pred, score. ``und`` with score 0 where a text is null, empty or without a letter."""
+    """doc_id, held_out, lang_pred, score. ``und`` with score 0 where a text is null, empty or without a letter.
+
+    Every row is judged by its own text alone, so repeated rows get equal results and stay rows of their own.
+    """
     held = fit(docs, folds, fold, **options)
 
     def make():
@@ -140,7 +142,7 @@ def identify(docs: DataFrame, folds: int = 5, fold: int = 0, **options) -> DataF
 def keep_identified(docs: DataFrame, least_score: float = 0.5, **options) -> DataFrame:
     """Rows of ``docs``, all columns as they are, whose text has a language with at least this posterior.
 
-    Null and empty texts, and those without a letter, have none.
+    Null and empty texts, and those without a letter, have none. Repeated rows stay or go together.
     """
     held = fit(docs, **options)
 

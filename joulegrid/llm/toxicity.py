@@ -31,7 +31,8 @@ class Model:
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, folds: int, fold: int) -> DataFrame:
     """text, label and part (0 to 9) of about ``sample_rows`` labelled documents outside the held-out fold.
 
-    Labels of one id that disagree count as toxic. The sample's ids are bounded by ``sample_rows`` and broadcast.
+    Labels of one id that disagree count as toxic; an id in many rows gives one text, the least. The sample's ids are
+    bounded by ``sample_rows`` and broadcast.
     """
     known = labels.where(F.col("toxic").isNotNull() & (F.pmod(id_crc(), F.lit(folds)) != fold))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("double")).alias("label"))
@@ -39,16 +40,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, folds:
     share = parts if n <= sample_rows else max(1, parts * sample_rows // n)
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(parts)) < share)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return settle(texts.join(F.broadcast(chosen), "doc_id").select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(10)).cast("int").alias("part")))
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return settle(once.select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(10)).cast("int").alias("part")))
 
 
-def learn_lexicon(rows: DataFrame, most_terms: int = 4000, least: int = 3, least_weight: float = 1.0) -> dict[str, float]:
-    """Terms by the log ratio of their shares of toxic and of other documents; the ``most_terms`` with most evidence."""
+def learn_lexicon(rows: DataFrame, most_terms: int = 4000, least: int = 3, least_weight: float = 1.0, weighed: int = 80_000) -> dict[str, float]:
+    """Terms by the log ratio of their shares of toxic and of other documents; the ``most_terms`` with most evidence.
+
+    ``rows`` are the labelled sample. Of its terms in toxic documents the ``weighed`` commonest are weighed, which
+    bounds what the driver holds: of 20,000 documents none is left out that has any evidence to speak of.
+    """
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1.0, 0), sizes.get(0.0, 0)
     if not toxic or not other:
         return {}
-    found = document_counts(rows.where("label = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(20 * most_terms)
+    found = document_counts(rows.where("label = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(weighed)
     there = {r["term"]: r["n"] for r in found.collect()}
     elsewhere = {r["term"]: r["n"] for r in document_counts(rows.where("label = 0"), frozenset(there)).collect()}
     weight = {t: math.log((n / toxic) / ((elsewhere.get(t, 0) + 0.5) / other)) for t, n in there.items()}

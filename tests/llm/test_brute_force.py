@@ -64,8 +64,7 @@ def test_language_equals_plain_naive_bayes(spark, tongues):
         if not grams:
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
             continue
-        scale = min(1.0, 100.0 / len(grams))
-        score = {lang: prior[lang] + scale * sum(logs[lang][g] for g in grams) for lang in langs}
+        score = {lang: prior[lang] + sum(logs[lang][g] for g in grams) for lang in langs}
         best = max(langs, key=score.get)
         odds = sum(math.exp(v - score[best]) for v in score.values())
         assert r["score"] == pytest.approx(1 / odds, rel=1e-6)
@@ -263,3 +262,10 @@ def test_long_and_tied_texts(spark):
         found = module.classify(df, labels).collect()
         assert len({r["score"] for r in found if r["doc_id"] < 40}) == 1 and all(0 <= r["score"] <= 1 for r in found) and len(found) == 42
     assert df.where(F.length("text") > 10**6).count() == 2
+
+
+def test_an_id_in_many_rows_is_one_text(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "b"), (None, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, 100, 7, 6).collect()
+    assert sorted((r["text"], r["label"]) for r in got) == [("b", 0.0), ("text 0", 1.0)]
