@@ -28,6 +28,17 @@ def with_names(events: DataFrame, defs: DataFrame) -> DataFrame:
     return events.join(broadcast_if_small(id_names(defs)), "id", "left").withColumn("name", F.coalesce("name", hex_id(F.col("id"))))
 
 
+def with_capture_names(events: DataFrame, defs: DataFrame) -> DataFrame:
+    """Events with the names that their own capture declares, and the category; ids that it does not declare in hex.
+
+    ``defs`` has a row for each definition of each capture, so it grows with captures and is broadcast only while small.
+    """
+    starts = defs.select("capture_id", F.col("start_id").alias("id"), "name", "category")
+    stops = defs.where("stop_id IS NOT NULL").select("capture_id", F.col("stop_id").alias("id"), F.concat("name", F.lit(":stop")).alias("name"), "category")
+    named = events.join(broadcast_if_small(starts.unionByName(stops)), ["capture_id", "id"], "left")
+    return named.withColumn("name", F.coalesce("name", hex_id(F.col("id"))))
+
+
 def undeclared(events: DataFrame, defs: DataFrame) -> DataFrame:
     return events.join(broadcast_if_small(id_names(defs)), "id", "left_anti").groupBy("id").agg(F.count("*").alias("n")).withColumn("name", hex_id(F.col("id")))
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from joulegrid.operators import buckets
+from joulegrid.sources.capture_file import KINDS, register
+
 
 def spans(samples: DataFrame) -> DataFrame:
     """First time, end (1 ns past the last), number and effective rate of each capture's samples; rate 0 below two."""
@@ -14,14 +19,36 @@ def spans(samples: DataFrame) -> DataFrame:
     return out.select("capture_id", "first_ns", (F.col("last_ns") + 1).alias("end_ns"), "samples", rate.alias("rate_hz"))
 
 
-def chunk_counts(**tables: DataFrame) -> DataFrame:
-    """Rows by kind and capture, kinds in the order of their codes; capture and kind are counted in one pass."""
-    codes = {"samples": 0x0001, "events": 0x0002, "gpio": 0x0003, "sync": 0x0005}
-    marked = [df.select("capture_id", F.lit(codes[kind]).alias("code"), F.lit(kind).alias("kind")) for kind, df in tables.items()]
-    rows = marked[0]
-    for more in marked[1:]:
-        rows = rows.unionByName(more)
-    return rows.groupBy("capture_id", "code", "kind").agg(F.count("*").alias("rows"))
+def capture_of(file: str = "capture_id") -> Column:
+    """The capture's name out of that of one of its files, which ends in the number of a slice."""
+    return F.regexp_extract(file, r"^(.*?)(--?[0-9]+)?$", 1)
+
+
+def opened(spark: SparkSession, folder: str) -> Callable[[str], DataFrame]:
+    """A function that gives the rows of a kind of all capture files in a folder, by capture."""
+    register(spark)
+    return lambda kind: spark.read.format("powercapture").option("kind", kind).load(folder).withColumn("capture_id", capture_of())
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """Chunks, their rows and their bytes by capture and kind, kinds in the order of their codes; kinds without a name in hex."""
+    names = F.create_map(*[F.lit(x) for name, code in KINDS.items() for x in (code, name)])
+    named = chunks.withColumn("name", F.coalesce(names[F.col("kind")], F.format_string("0x%04X", "kind")))
+    return named.groupBy("capture_id", F.col("kind").alias("code"), F.col("name").alias("kind")).agg(F.count("*").alias("chunks"), F.sum("records").alias("rows"), F.sum("plain").alias("plain"), F.sum("stored").alias("stored")).orderBy("capture_id", "code")
+
+
+def overview_from_files(read: Callable[[str], DataFrame], start_ns: int, end_ns: int, n: int, widths: Sequence[int] = buckets.LEVELS_NS) -> DataFrame:
+    """``n`` buckets of a span of every capture, from the stored summaries of its files where a level is fine enough.
+
+    A bucket that two files share is in both in part; parts are merged by their weights. No samples are decoded then;
+    without such a level they are read.
+    """
+    level = buckets.coarsest(tuple(widths), end_ns - start_ns, n)
+    levels = {}
+    if level:
+        stored = read("summary").where(F.col("level_ns") == level)
+        levels[level] = stored.withColumn("sum_ua", F.round(F.col("mean_ua") * F.col("count")).cast("bigint"))
+    return buckets.overview(read("samples"), levels, start_ns, end_ns, n)
 
 
 def info(samples: DataFrame, events: DataFrame, gaps: DataFrame, nominal_hz: float, gpio: DataFrame | None = None, report: DataFrame | None = None) -> DataFrame:

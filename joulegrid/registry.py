@@ -126,7 +126,7 @@ def distribution_sql(source: str, key: str, value: str) -> str:
   SELECT {key}, {value} AS x, row_number() OVER (PARTITION BY {key} ORDER BY {value}) AS rn, count(*) OVER (PARTITION BY {key}) AS cnt FROM d)
 SELECT {key}, count(*) AS n, round(sum(x)::DOUBLE / count(*), 6) AS mean, min(x) AS min, max(x) AS max,
        CASE WHEN count(*) > 1 THEN round(sqrt((count(*)::HUGEINT * sum(x::HUGEINT * x) - sum(x::HUGEINT) * sum(x::HUGEINT))::DOUBLE / (count(*) * (count(*) - 1))::DOUBLE), 6) ELSE 0.0 END AS stddev,
-       {rank(0.5)} AS p50, {rank(0.95)} AS p95, {rank(0.99)} AS p99, CAST(sum(x) AS BIGINT) AS total
+       {rank(0.5)} AS p50, {rank(0.95)} AS p95, {rank(0.99)} AS p99, sum(x)::DOUBLE AS total
 FROM r GROUP BY {key}"""
 
 
@@ -217,11 +217,12 @@ def nine(prefix: str, x: str) -> str:
     n = f"count({x})"
     return f"""{n} AS {prefix}_n, coalesce(round(sum({x})::DOUBLE / {n}, 0), 0.0) AS {prefix}_mean, coalesce(min({x}), 0) AS {prefix}_min, coalesce(max({x}), 0) AS {prefix}_max,
   CASE WHEN {n} > 1 THEN round(sqrt(({n}::HUGEINT * sum({x}::HUGEINT * {x}) - sum({x}::HUGEINT) * sum({x}::HUGEINT))::DOUBLE / ({n} * ({n} - 1))::DOUBLE), 0) ELSE 0.0 END AS {prefix}_stddev,
-  {pick(0.5)} AS {prefix}_p50, {pick(0.95)} AS {prefix}_p95, {pick(0.99)} AS {prefix}_p99, CAST(coalesce(sum({x}), 0) AS BIGINT) AS {prefix}_total"""
+  {pick(0.5)} AS {prefix}_p50, {pick(0.95)} AS {prefix}_p95, {pick(0.99)} AS {prefix}_p99, coalesce(sum({x})::DOUBLE, 0.0) AS {prefix}_total"""
 
 
-#: Statistics of events take every third row as a sample, so that some occurrences hold none.
-STATS = OCCURRENCES.replace("FROM events)", "FROM events WHERE event_id % 3 = 0)", 1) + f""",
+#: For statistics, starts come 1 ns after their row's sample and stops 1 ns before, so that some occurrences hold none.
+BETWEEN = EVENTS.replace("epoch_us(ts) * 1000 AS t_ns", "epoch_us(ts) * 1000 + CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE -1 END AS t_ns")
+STATS = OCCURRENCES.replace(EVENTS, BETWEEN) + f""",
 meas AS (SELECT name, samples, sum_i, max_ua, end_ns - start_ns AS d, CAST(round(energy_uj * 1000) AS BIGINT) AS e FROM occ),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY d) AS duration_ns_rn, row_number() OVER (PARTITION BY name ORDER BY e) AS energy_nj_rn, count(d) OVER (PARTITION BY name) AS duration_ns_cnt, count(e) OVER (PARTITION BY name) AS energy_nj_cnt FROM meas),
 dist AS (SELECT name, {nine("duration_ns", "d")}, {nine("energy_nj", "e")},
@@ -233,8 +234,12 @@ stats AS (SELECT d.category, d.value_units, c.*, x.* EXCLUDE (name), round(x.dur
   FROM defs d JOIN counts c USING (name) JOIN dist x USING (name) WHERE d.stop_id IS NOT NULL)"""
 
 
+def _between(events: DataFrame) -> DataFrame:
+    return events.withColumn("t_ns", F.col("t_ns") + F.when(F.col("id").isin(0x0101, 0x0201), 1).otherwise(-1))
+
+
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occurrences.event_stats(tables.samples(spark, sf_dir).where("seq % 3 = 0"), tables.events(spark, sf_dir), tables.event_defs(spark))
+    return occurrences.event_stats(tables.samples(spark, sf_dir), _between(tables.events(spark, sf_dir)), tables.event_defs(spark))
 
 
 @registered(STATS + " SELECT * FROM stats")
@@ -494,7 +499,7 @@ def assertion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The baseline is what lies before 2024-01-16, and what follows is held against it.
 SPLIT_NS = 1_705_363_200_000_000_000
-BEFORE, AFTER = (STATS.replace("WHERE event_id % 3 = 0)", "WHERE event_id % 3 = 0 AND true)").replace("FROM events WHERE event_id % 3 = 0 AND true)", f"FROM events WHERE event_id % 3 = 0 AND epoch_us(ts) * 1000 {sign} {SPLIT_NS})").replace("FROM events),", f"FROM events WHERE epoch_us(ts) * 1000 {sign} {SPLIT_NS}),") for sign in ("<", ">="))
+BEFORE, AFTER = (STATS.replace("FROM events)", f"FROM events WHERE epoch_us(ts) * 1000 {sign} {SPLIT_NS})") for sign in ("<", ">="))
 
 
 @registered(f"""WITH b AS (SELECT * FROM ({BEFORE} SELECT name, occurrences, unsampled, round(energy_nj_mean * 1e-3, 6) AS v FROM stats) t), n AS (SELECT * FROM ({AFTER} SELECT name, occurrences, unsampled, round(energy_nj_mean * 1e-3, 6) AS v FROM stats) t),
@@ -502,8 +507,8 @@ m AS (SELECT b.name AS event, b.v AS before, CASE WHEN n.occurrences > 0 AND n.u
 SELECT event, 'mean_energy_uj' AS metric, round(before * (1 + 5.0 / 100), 2) AS "limit", round(value, 2) AS value, coalesce(value <= round(before * (1 + 5.0 / 100), 6), false) AS passed,
        CASE WHEN before <> 0 THEN round((value - before) / before * 100, 4) END AS change_percent FROM m""")
 def regression_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples, events, defs = tables.samples(spark, sf_dir).where("seq % 3 = 0"), tables.events(spark, sf_dir), tables.event_defs(spark)
-    before, now = (settle(occurrences.event_stats(samples.where(side), events.where(side), defs)) for side in (f"t_ns < {SPLIT_NS}", f"t_ns >= {SPLIT_NS}"))
+    samples, events, defs = tables.samples(spark, sf_dir), tables.events(spark, sf_dir), tables.event_defs(spark)
+    before, now = (settle(occurrences.event_stats(samples.where(side), _between(events.where(side)), defs)) for side in (f"t_ns < {SPLIT_NS}", f"t_ns >= {SPLIT_NS}"))
     return rules.evaluate(rules.regression_rules(now, before, 5.0), now, before).select("event", "metric", F.round("limit", 2).alias("limit"), F.round("value", 2).alias("value"), "passed", "change_percent")
 
 
@@ -538,11 +543,6 @@ def capture_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture.spans(tables.samples(spark, sf_dir))
 
 
-@registered(f"WITH {SAMPLES} SELECT capture_id, k.code, k.kind, count(*) AS rows FROM samples, (VALUES (1, 'samples'), (2, 'events'), (3, 'gpio')) k(code, kind) GROUP BY capture_id, k.code, k.kind")
-def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.chunk_counts(samples=tables.samples(spark, sf_dir), events=tables.events(spark, sf_dir), gpio=tables.gpio(spark, sf_dir))
-
-
 @registered(GAPS + """, s AS (SELECT capture_id, min(t_ns) AS first_ns, max(t_ns) + 1 AS end_ns, count(*) AS samples, CASE WHEN count(*) > 1 THEN round((count(*) - 1)::DOUBLE * 1e9 / (max(t_ns) - min(t_ns))::DOUBLE, 9) ELSE 0.0 END AS rate_hz FROM samples GROUP BY capture_id),
 e AS (SELECT capture_id, count(*) AS events, count(DISTINCT id) AS distinct_ids FROM ev GROUP BY capture_id), g AS (SELECT capture_id, count(*) AS gaps, CAST(sum(end_ns - start_ns) AS BIGINT) AS missing_ns FROM gaps GROUP BY capture_id)
 SELECT s.*, coalesce(events, 0) AS events, coalesce(distinct_ids, 0) AS distinct_ids, coalesce(gaps, 0) AS gaps, coalesce(missing_ns, 0) AS missing_ns, capture_id::BIGINT % 7 <> 0 AS has_voltage, coalesce(events, 0) AS gpio, round((end_ns - 1 - first_ns)::DOUBLE / 1e9, 9) AS duration_s,
@@ -825,18 +825,11 @@ def likely_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "supplier").select("s_suppkey", likely_profiler(*ids, [(11914, 10), (11915, 12)]).alias("likely"))
 
 
-@registered("""SELECT l_returnflag, l_linestatus, CASE WHEN sum(l_linenumber) > 0 THEN round(sum(CAST(l_quantity AS BIGINT))::DOUBLE / sum(l_linenumber)::DOUBLE, 6) ELSE 1.0 END AS ratio FROM lineitem GROUP BY l_returnflag, l_linestatus""")
-def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantities stand for sizes before, line numbers for sizes stored."""
-    sizes = tables.table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("before"), F.sum("l_linenumber").alias("stored"))
-    return sizes.select("l_returnflag", "l_linestatus", capture.compression("before", "stored").alias("ratio"))
-
-
 @registered(STATS + " SELECT name, duration_ns_total FROM stats ORDER BY duration_ns_total DESC, name LIMIT 1")
 def event_table_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joulegrid.plans import analysis
 
-    held = analysis.Tables(tables.samples(spark, sf_dir).where("seq % 3 = 0"), tables.events(spark, sf_dir), tables.event_defs(spark))
+    held = analysis.Tables(tables.samples(spark, sf_dir), _between(tables.events(spark, sf_dir)), tables.event_defs(spark))
     return analysis.event_table(held, sort="duration_ns_total", top=1).select("name", "duration_ns_total")
 
 
@@ -978,3 +971,75 @@ def wrap_resync(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = settle(timebase.unwrapped(_ticks(spark, sf_dir), slice_rows=64))
     told = times.where("arrival % 50 = 7").withColumn("wrap_count", F.col("epoch") + F.when(F.col("arrival") % 100 == 7, 2).otherwise(0))
     return timebase.resynced(times, told, slice_rows=64).select("device", "arrival", "ticks", "epoch", "full_ticks")
+
+
+# Whole captures: files with all kinds of rows, their stored metadata and summaries.
+
+#: Captures with an even number and those with an odd one mean different events by the same ids.
+TOLD = {0: [("CLICK", 257, 258, "shop"), ("VIEW", 513, 514, None)], 1: [("SEEN", 257, None, "page"), ("FAILED", 272, None, None), ("BOUGHT", 258, 513, "shop")]}
+TOLD_IDS = ", ".join(f"({k}, {i}, '{n}', {repr(c) if c else 'NULL'})" for k, defs in TOLD.items() for name, start, stop, c in defs for i, n in ((start, name), (stop, f"{name}:stop")) if i)
+
+
+def _written(spark: SparkSession, sf_dir: str, slice_ns: int) -> Callable[[str], DataFrame]:
+    """All rows of the table written as captures, with names, pins and sync rows, and opened again."""
+    from joulegrid.shared import new_folder
+    from joulegrid.sinks.capture_sink import capture_records
+    from joulegrid.sources.capture_file import register
+
+    register(spark)
+    folder = new_folder(spark, "captures")
+    samples, events = tables.samples(spark, sf_dir), tables.events(spark, sf_dir)
+    sync = samples.select("capture_id", F.col("t_ns").alias("host_send_ns"), (F.col("t_ns") + 20_000 + F.col("seq") % 1000).alias("host_recv_ns"), F.call_function("div", F.col("t_ns"), F.lit(1000).cast("bigint")).alias("device_ticks"))
+    kinds = {k: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("start_id"), F.lit(b).cast("int").alias("stop_id"), F.lit(c).cast("string").alias("category"), F.lit(None).cast("string").alias("value_units"), F.lit(0).cast("bigint").alias("latency_compensation_ns")) for n, a, b, c in defs]) for k, defs in TOLD.items()}
+    told = events.select("capture_id").distinct().select("capture_id", F.when(F.col("capture_id").cast("bigint") % 2 == 0, kinds[0]).otherwise(kinds[1]).alias("event"), F.create_map(F.lit("board"), F.col("capture_id")).alias("notes"), F.lit(1_800_000).cast("bigint").alias("assumed_supply_uv"))
+    records = capture_records(samples, events, tables.gpio(spark, sf_dir), sync, told, slice_ns)
+    records.write.format("powercapture").mode("append").option("levels", f"{HOUR_NS},{DAY_NS}").save(folder)
+    return capture.opened(spark, folder)
+
+
+@registered(f"""WITH {EVENTS}, ids(odd, id, name, category) AS (VALUES {TOLD_IDS})
+SELECT ev.capture_id, ev.t_ns, CAST(ev.id AS INTEGER) AS id, ev.value, coalesce(ids.name, printf('0x%04X', ev.id)) AS name, ids.category FROM ev LEFT JOIN ids ON ids.odd = ev.capture_id::BIGINT % 2 AND ids.id = ev.id""")
+def capture_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the names that their own capture's files declare."""
+    from joulegrid.sources.metadata import capture_definitions
+
+    read = _written(spark, sf_dir, 14 * DAY_NS)
+    return names.with_capture_names(read("events"), capture_definitions(read("metadata"))).select("capture_id", "t_ns", "id", "value", "name", "category")
+
+
+@registered(f"""WITH {EVENTS}, n AS (SELECT capture_id, count(*) AS n, min(t_ns) AS first_ns, max(t_ns) AS last_ns, count(DISTINCT t_ns // {14 * DAY_NS}) AS files FROM ev GROUP BY capture_id)
+SELECT capture_id, k.kind, CAST(CASE WHEN k.kind = 'metadata' THEN files ELSE n END AS BIGINT) AS rows, CASE WHEN k.kind <> 'metadata' THEN first_ns END AS first_ns, CASE WHEN k.kind <> 'metadata' THEN last_ns END AS last_ns, CASE WHEN k.kind = 'metadata' THEN capture_id END AS note
+FROM n, (VALUES ('samples'), ('events'), ('gpio'), ('sync'), ('metadata')) k(kind)""")
+def capture_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each capture's files hold of every kind."""
+    read, out = _written(spark, sf_dir, 14 * DAY_NS), None
+    for kind, time, note in (("samples", "t_ns", None), ("events", "t_ns", None), ("gpio", "t_ns", None), ("sync", "host_send_ns", None), ("metadata", None, "notes.board")):
+        at, said = (F.col(c) if c else F.lit(None).cast(t) for c, t in ((time, "bigint"), (note, "string")))
+        some = read(kind).groupBy("capture_id").agg(F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.min(at).alias("first_ns"), F.max(at).alias("last_ns"), F.max(said).alias("note"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+@registered(f"""WITH {SAMPLES}, s AS (SELECT * FROM samples WHERE t_ns >= {FROM_NS} AND t_ns < {TO_NS})
+SELECT capture_id, (t_ns - {FROM_NS}) // {12 * HOUR_NS} AS bucket, {FROM_NS} + ((t_ns - {FROM_NS}) // {12 * HOUR_NS}) * {12 * HOUR_NS} AS t_ns, {BUCKET} FROM s GROUP BY capture_id, (t_ns - {FROM_NS}) // {12 * HOUR_NS}""")
+def overview_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-day buckets from the hourly summaries that files store; slices of ten and a half days cut buckets."""
+    return capture.overview_from_files(_written(spark, sf_dir, 10 * DAY_NS + HOUR_NS // 2), FROM_NS, TO_NS, 28, buckets.SLOW_LEVELS_NS)
+
+
+# A chunk of samples ends where a step is beyond 32 bits; all chunks end after 8192 rows.
+@registered(f"""WITH {SAMPLES}, d AS (SELECT capture_id, t_ns - lag(t_ns) OVER (PARTITION BY capture_id ORDER BY t_ns, seq) AS dt FROM samples),
+n AS (SELECT capture_id, count(*) AS n, count(*) FILTER (dt IS NULL OR dt >= 4294967296) AS pieces FROM d GROUP BY capture_id)
+SELECT capture_id, k.code, k.kind, CASE k.kind WHEN 'samples' THEN pieces WHEN 'metadata' THEN 1 WHEN 'summary' THEN 1 ELSE (n + 8191) // 8192 END AS chunks, CASE WHEN k.code < 16 THEN n ELSE 1 END AS rows
+FROM n, (VALUES (1, 'samples'), (2, 'events'), (3, 'gpio'), (5, 'sync'), (16, 'metadata'), (32, 'summary')) k(code, kind)""")
+def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of each kind in files that hold a capture each."""
+    return capture.chunk_counts(_written(spark, sf_dir, 1 << 62)("chunks")).select("capture_id", "code", "kind", "chunks", "rows")
+
+
+@registered(f"""WITH {EVENTS}, n AS (SELECT capture_id, count(*) AS n FROM ev GROUP BY capture_id)
+SELECT k.kind, CAST(sum(8 * ((n + 8191) // 8192) + k.size * n) AS BIGINT) AS plain, true AS smaller FROM n, (VALUES ('events', 16), ('gpio', 12), ('sync', 24)) k(kind, size) GROUP BY k.kind""")
+def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all chunks of a kind before compression, and whether they are stored as fewer."""
+    sizes = capture.chunk_counts(_written(spark, sf_dir, 1 << 62)("chunks")).where("kind IN ('events', 'gpio', 'sync')").groupBy("kind").agg(F.sum("plain").alias("plain"), F.sum("stored").alias("stored"))
+    return sizes.select("kind", "plain", (capture.compression("plain", "stored") > 1).alias("smaller"))

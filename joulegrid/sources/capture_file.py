@@ -7,6 +7,7 @@ walked chunk by chunk up to the first that is not valid.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,6 +18,8 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from joulegrid.sources.metadata import STORED, InvalidMetadata, stored_columns
+
 #: Fixed values of the format, version 1.
 HEADER_LEN, CHUNK_LEN, FOOTER_LEN, ENTRY_LEN = 128, 40, 32, 32
 KINDS = {
@@ -43,7 +46,9 @@ SCHEMAS = {
     "events": "capture_id string, seq long, t_ns long, id int, value long",
     "gpio": "capture_id string, seq long, t_ns long, state int",
     "sync": "capture_id string, host_send_ns long, host_recv_ns long, device_ticks long",
-    "chunks": "capture_id string, place long, kind int, stored long, records long, first_ns long, last_ns long, status string",
+    "metadata": STORED,
+    "summary": "capture_id string, level_ns long, t_ns long, min_ua int, max_ua int, mean_ua double, count long",
+    "chunks": "capture_id string, place long, kind int, stored long, plain long, records long, first_ns long, last_ns long, status string",
     "captures": "capture_id string, finalized boolean, recovered boolean, truncated_at long, device_timer_hz long, sample_rate_hz long, flags long, compression string, device_serial string, fw_version string, shunt_micro_ohm int, current_offset_ua int, current_gain_num long, current_gain_den long",
 }
 COMPRESSIONS = ("none", "zstd", "lz4")
@@ -163,10 +168,68 @@ ROWS = {
     "gpio": np.dtype([("t", "<u8"), ("state", "<u2"), ("pad", "<u2")]),
     "sync": np.dtype([("send", "<u8"), ("recv", "<u8"), ("ticks", "<u8")]),
 }
+BUCKET = np.dtype([("t", "<u8"), ("min", "<i4"), ("max", "<i4"), ("mean", "<f8"), ("count", "<u4"), ("pad", "<u4")])
+#: Kinds whose rows have no number of their own.
+UNNUMBERED = ("sync", "metadata", "summary")
+
+
+def summary_columns(b: bytes) -> list[pa.Array] | None:
+    """level_ns and the figures of all buckets of a summary chunk that hold samples; None where it is too short."""
+    if len(b) < 8:
+        return None
+    at, levels, found = 8, struct.unpack_from("<I", b)[0], []
+    for _ in range(levels):
+        if len(b) < at + 16:
+            return None
+        width, n = struct.unpack_from("<QI", b, at)
+        at += 16
+        if len(b) < at + n * BUCKET.itemsize:
+            return None
+        rows = np.frombuffer(b, BUCKET, n, at)
+        rows = rows[rows["count"] > 0]
+        found.append((np.full(len(rows), width, np.int64), rows))
+        at += n * BUCKET.itemsize
+    if not found:
+        return None
+    rows = np.concatenate([r for _, r in found])
+    return [pa.array(np.concatenate([w for w, _ in found])), pa.array(rows["t"].astype(np.int64)), pa.array(rows["min"].astype(np.int32)), pa.array(rows["max"].astype(np.int32)), pa.array(rows["mean"].astype(np.float64)), pa.array(rows["count"].astype(np.int64))]
+
+
+def summary_content(t: np.ndarray, i: np.ndarray, widths: tuple[int, ...]) -> bytes:
+    """Buckets of each width of samples in order, from the first that holds one to the last.
+
+    A capture that begins at 0 has all buckets from there on, the empty ones too; where that would be many more than
+    hold samples, empty ones are left out, as every bucket tells its time.
+    """
+    out = [struct.pack("<II", len(widths), 0)]
+    for width in widths:
+        at = t // width
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(t) else np.zeros(0, np.int64)
+        count = np.diff(np.append(starts, len(t)))
+        rows = np.zeros(len(starts), BUCKET)
+        if len(starts):
+            rows["t"], rows["count"] = at[starts] * width, count
+            rows["min"], rows["max"] = np.minimum.reduceat(i, starts), np.maximum.reduceat(i, starts)
+            rows["mean"] = np.add.reduceat(i.astype(np.int64), starts) / count
+            last = int(at[-1]) + 1
+            if last <= 4 * len(starts) + 1024:
+                dense = np.zeros(last, BUCKET)
+                dense["t"] = np.arange(last) * width
+                dense[at[starts]] = rows
+                rows = dense
+        out += [struct.pack("<QII", width, len(rows), 0), rows.tobytes()]
+    return b"".join(out)
 
 
 def decoded(kind: str, b: bytes) -> list[pa.Array] | None:
-    """Columns after capture_id and seq (sync has no seq)."""
+    """Columns after capture_id and seq (which some kinds have not); None where the content is not what it should be."""
+    if kind == "metadata":
+        try:
+            return stored_columns([b])
+        except (InvalidMetadata, AttributeError, KeyError, OverflowError, TypeError, ValueError, pa.ArrowException):
+            return None
+    if kind == "summary":
+        return summary_columns(b)
     if kind == "samples":
         columns = sample_columns(b)
         if columns is None:
@@ -242,7 +305,7 @@ class CaptureReader(DataSourceReader):
         return [*out, Chunks(held)]
 
     def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
-        names = [c.strip().split(" ")[0] for c in SCHEMAS[self.kind].split(",")]
+        names = columns_of(self.kind)
         rows: list[tuple] = []
         held: list[list[pa.Array]] = []
         size = 0
@@ -261,14 +324,14 @@ class CaptureReader(DataSourceReader):
                 for k, at, *_ in entries:
                     source.seek(at)
                     head = read_chunk_header(source.read(CHUNK_LEN))
-                    if head is None or (self.kind != "sync" and head[4] != NO_TIME and (head[5] < self.low or head[4] > self.high)):
+                    if head is None or (self.kind not in UNNUMBERED and head[4] != NO_TIME and (head[5] < self.low or head[4] > self.high)):
                         continue
                     content = chunk_at(source, at, header["compression"])[1]
                     columns = decoded(self.kind, content) if content is not None else None
                     if columns is not None:
                         n = len(columns[0])
                         first = [pa.array([name] * n, pa.string())]
-                        if self.kind != "sync":
+                        if self.kind not in UNNUMBERED:
                             first.append(pa.array((k << 32) + np.arange(n, dtype=np.int64)))
                         held.append([*first, *columns])
                         size += n
@@ -285,7 +348,15 @@ class CaptureReader(DataSourceReader):
         _, at, kind, stored, records = entry
         head, content = chunk_at(source, at, compression)
         first, last = (None if t == NO_TIME else t for t in head[4:6]) if head else (None, None)
-        return name, at, kind, stored, records, first, last, "corrupt" if content is None else "ok" if kind in KINDS.values() else "unknown"
+        return name, at, kind, stored, head[2] if head else None, records, first, last, "corrupt" if content is None else "ok" if kind in KINDS.values() else "unknown"
+
+
+def columns_of(kind: str) -> list[str]:
+    """Names of a kind's columns; what types hold in angle brackets names none."""
+    flat, before = SCHEMAS[kind], ""
+    while flat != before:
+        flat, before = re.sub(r"<[^<>]*>", "", flat), flat
+    return [c.strip().split(" ")[0] for c in flat.split(",")]
 
 
 def joined(parts: list[list[pa.Array]], names: list[str]) -> pa.RecordBatch:
@@ -313,7 +384,8 @@ def as_batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
 class PowerCapture(DataSource):
     """Rows of one kind of chunk; damaged chunks give none, and stand as corrupt in kind ``chunks``.
 
-    seq is the chunk's number and the place within it, so that order is kept where times are equal.
+    seq is the chunk's number and the place within it, so that order is kept where times are equal. Written rows are
+    records of all kinds, as ``sinks.capture_sink.capture_records`` has them; see there.
     """
 
     @classmethod
@@ -326,6 +398,11 @@ class PowerCapture(DataSource):
     def reader(self, schema) -> CaptureReader:
         return CaptureReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool):
+        from joulegrid.sinks.capture_sink import CaptureSink
+
+        return CaptureSink(dict(self.options), schema, overwrite)
+
 
 def register(spark) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -114,3 +114,30 @@ def test_levels_roll_up(spark):
     want = sorted(map(tuple, buckets.with_mean(buckets.summary_level(df, 10**9)).select("bucket", "min_ua", "max_ua", "mean_ua", "count").collect()))
     assert sorted(map(tuple, buckets.with_mean(buckets.rolled_up(fine, 10**9)).select("bucket", "min_ua", "max_ua", "mean_ua", "count").collect())) == want
     assert buckets.coarsest((10**7, 10**9), 10**10, 10) == 10**9 and buckets.coarsest((10**7, 10**9), 10**9, 1000) is None
+
+
+def test_a_million_long_durations(spark):
+    """Nanoseconds of about a day, a million of them: their squares' sum is far beyond a decimal times the count."""
+    df = spark.range(1_000_000).selectExpr("1 AS k", "86400000000000L + (id * 7919) % 1000003 AS x")
+    r = one(distribution.describe(df, ["k"], "x", 3))
+    values = [86_400_000_000_000 + (k * 7919) % 1_000_003 for k in range(1_000_000)]
+    n, total = len(values), sum(values)
+    assert (r["n"], r["total"]) == (n, float(total))
+    assert r["stddev"] == pytest.approx(math.sqrt((n * sum(v * v for v in values) - total * total) / (n * (n - 1))), rel=1e-8)
+    assert r["p50"] == sorted(values)[n // 2 - 1]
+
+
+def test_extreme_values(spark):
+    df = spark.createDataFrame([("a", -(2**63)), ("a", 2**63 - 1), ("b", 5), (None, 1), (None, 4)], "k string, x long")
+    got = {r["k"]: r for r in distribution.describe(df, ["k"], "x", 0).collect()}
+    assert got["a"]["stddev"] == pytest.approx(2**64 / math.sqrt(2)) and got["b"]["stddev"] == 0.0 and (got[None]["n"], got[None]["p50"], got[None]["p99"]) == (2, 1, 4)
+
+
+def test_ranks_with_a_heavy_tail(spark):
+    """One value far off leaves the others no fewer stretches: no partition has more than a few times its share."""
+    df = spark.range(200_000).selectExpr("1 AS k", "CAST(exp(sqrt(-2 * ln((id + 1) / 200001.0)) * cos(id)) * 1000000 AS BIGINT) AS x").union(spark.createDataFrame([(1, 10**15)], "k int, x long"))
+    values = sorted(r["x"] for r in df.collect())
+    r = one(distribution.percentiles(df, ["k"], "x"))
+    assert (r["p50"], r["p95"], r["p99"]) == tuple(values[math.ceil(q * len(values)) - 1] for q in (0.5, 0.95, 0.99))
+    sizes = [x["n"] for x in distribution.counted(df, ["k"], "x").repartitionByRange("k", "x").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 3 * sum(sizes) / len(sizes)
