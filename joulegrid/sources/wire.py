@@ -42,9 +42,20 @@ EXPLICIT_TS, NO_VOLTAGE, OVERFLOW_BEFORE, DELTA16 = 1, 2, 4, 8
 DEVICE = struct.Struct("<IHH16s16sQIIiIHHHH")
 DEVICE_FIELDS = ("magic", "proto_version", "device_type", "timer_hz", "max_sample_rate_hz", "shunt_micro_ohm", "adc_full_scale_ua", "channel_count", "gpio_count", "caps")
 
+#: A region is numbered within its chunk, of which it takes two bytes at least; a chunk has 2 GiB at most.
+REGIONS = 1 << 30
+MOST_CHUNKS = 1 << 33
+
 FRAMES = "device string, arrival long, status string, type int, seq int, payload binary"
 
 
+def arrival_of(chunk: int, region: int) -> int:
+    """A region's place in a device's line: chunks in order, regions in order within them."""
+    if not 0 <= chunk < MOST_CHUNKS:
+        raise ValueError(f"chunks are numbered from 0 to {MOST_CHUNKS - 1}, not {chunk}")
+    return chunk * REGIONS + region
+
+
 def cobs_encode(data: bytes) -> bytes:
     """Each zero gives way to the distance to the next; runs of 254 bytes without one get a distance of their own."""
     out = bytearray()
@@ -133,7 +144,9 @@ def regions(chunks: DataFrame) -> DataFrame:
             types = (pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["device", "chunk", "whole", "head", "tail", "inner"])
 
-    parts = chunks.select("device", "chunk", "bytes").mapInArrow(split, "device string, chunk long, whole boolean, head binary, tail binary, inner array<binary>")
+    wrong = F.raise_error(F.concat(F.lit(f"chunks are numbered from 0 to {MOST_CHUNKS - 1}, not "), F.col("chunk").cast("string"))).cast("bigint")
+    number = F.when((F.col("chunk") >= 0) & (F.col("chunk") < MOST_CHUNKS), F.col("chunk")).otherwise(wrong)
+    parts = chunks.select("device", number.alias("chunk"), "bytes").mapInArrow(split, "device string, chunk long, whole boolean, head binary, tail binary, inner array<binary>")
     numbered = running(parts, ("device",), ("chunk",), F.when(F.col("whole"), 1).otherwise(0), 1 << 16)
     # A chunk's head ends the group that was open before it; a chunk with a delimiter opens the next with its tail.
     before = F.col("total") - F.when(F.col("whole"), 1).otherwise(0)
@@ -144,9 +157,9 @@ def regions(chunks: DataFrame) -> DataFrame:
     useful = upto.where((F.col("total") - F.length("part") <= MAX_ENCODED) & ((F.length("part") > 0) | F.col("ends")))
     joined = useful.groupBy("device", "group").agg(F.max("ends").alias("ends"), F.array_sort(F.collect_list(F.struct("place", "part"))).alias("parts"))
     ends = heads.where("ends").select("device", "group", F.col("place").alias("end"))
-    stitched = joined.join(ends, ["device", "group"]).select("device", (F.floor(F.col("end") / 2) * (1 << 20)).alias("arrival"), F.array_join(F.transform("parts", lambda p: F.hex(p["part"])), "").alias("digits"))
+    stitched = joined.join(ends, ["device", "group"]).select("device", (F.shiftright("end", 1) * REGIONS).alias("arrival"), F.array_join(F.transform("parts", lambda p: F.hex(p["part"])), "").alias("digits"))
     stitched = stitched.select("device", "arrival", F.unhex("digits").alias("bytes"))
-    inner = numbered.select("device", "chunk", F.posexplode("inner").alias("k", "bytes")).select("device", (F.col("chunk") * (1 << 20) + F.col("k") + 1).alias("arrival"), "bytes")
+    inner = numbered.select("device", "chunk", F.posexplode("inner").alias("k", "bytes")).select("device", (F.col("chunk") * REGIONS + F.col("k") + 1).alias("arrival"), "bytes")
     return stitched.unionByName(inner).where(F.length("bytes") > 0)
 
 
@@ -173,23 +186,42 @@ def counters(decoded: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "ok").alias("frames"), *(F.count_if(F.col("status") == s).alias(f"{s}_errors") for s in ("cobs", "length", "crc", "payload")),
         F.count_if(F.col("status") == "oversize").alias("oversize"),
     )
-    pairs = with_next(decoded, ("device",), ("arrival",), ("status",), 1 << 36)
+    pairs = with_next(decoded, ("device",), ("arrival",), ("status",), REGIONS << 10)
     resyncs = pairs.where("status <> 'ok' AND next.status = 'ok'").groupBy("device").agg(F.count("*").alias("resyncs"))
-    lost = sequence_gaps(has_seq, slice_rows=1 << 36).select("device", F.col("gaps").alias("seq_gaps"))
+    lost = sequence_gaps(has_seq, slice_rows=REGIONS << 10).select("device", F.col("gaps").alias("seq_gaps"))
     return of_status.join(resyncs, "device", "left").join(lost, "device", "left").fillna(0)
 
 
-def unpacked(decoded: DataFrame, kind: str, unpack, schema: str) -> DataFrame:
-    """Records of all good frames of a type: device, arrival, and what ``unpack(payload)`` gives as columns of arrays."""
+def unpacked(decoded: DataFrame, kind: str, unpack, schema: str, rows: int = 1 << 16) -> DataFrame:
+    """Records of all good frames of a type: device, arrival, and what ``unpack(payload)`` gives as columns of arrays.
+
+    Frames are small, so the records of many go to Spark together, about ``rows`` at once.
+    """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[pa.Array]] = []
+        names: list[str] = []
+        size = 0
+
+        def joined() -> pa.RecordBatch:
+            batch = pa.record_batch([pa.concat_arrays(c) for c in zip(*held, strict=True)], names)
+            held.clear()
+            return batch
+
         for b in it:
             for device, arrival, payload in zip(*(b.column(c).to_pylist() for c in ("device", "arrival", "payload")), strict=True):
                 columns = unpack(payload)
                 n = len(next(iter(columns.values())))
                 arrays = {"device": pa.array([device] * n, pa.string()), "arrival": pa.array([arrival] * n, pa.int64()), "record": pa.array(np.arange(n, dtype=np.int32))}
                 arrays |= {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()}
-                yield pa.record_batch(list(arrays.values()), list(arrays))
+                names = list(arrays)
+                held.append(list(arrays.values()))
+                size += n
+                if size >= rows:
+                    yield joined()
+                    size = 0
+        if held:
+            yield joined()
 
     chosen = decoded.where((F.col("status") == "ok") & (F.col("type") == TYPES[kind])).select("device", "arrival", "payload")
     return chosen.mapInArrow(work, f"device string, arrival long, record int, {schema}")
@@ -220,6 +252,10 @@ def _fields(layout: str, names: tuple[str, ...]):
     return lambda payload: {n: np.array([v], np.int64) for n, v in zip(names, struct.unpack(layout, payload), strict=True)}
 
 
+SYNC_FIELDS = _fields("<IHHq", ("ticks", "wrap_count", "flags", "host_time_ns"))
+ERROR_FIELDS = _fields("<HHIII", ("code", "detail", "dropped_samples", "buffer_overflows", "context"))
+
+
 def samples(decoded: DataFrame) -> DataFrame:
     """Samples in device ticks; blocks without voltage have null, not 0, so that an assumed supply applies."""
     return unpacked(decoded, "CURRENT_SAMPLES", _samples, "ticks long, current_ua int, voltage_uv long, overflow_before boolean")
@@ -234,7 +270,7 @@ def gpio(decoded: DataFrame) -> DataFrame:
 
 
 def sync(decoded: DataFrame) -> DataFrame:
-    return unpacked(decoded, "SYNC", _fields("<IHHq", ("ticks", "wrap_count", "flags", "host_time_ns")), "ticks long, wrap_count long, flags long, host_time_ns long")
+    return unpacked(decoded, "SYNC", SYNC_FIELDS, "ticks long, wrap_count long, flags long, host_time_ns long")
 
 
 def markers(decoded: DataFrame) -> DataFrame:
@@ -242,7 +278,7 @@ def markers(decoded: DataFrame) -> DataFrame:
 
 
 def errors(decoded: DataFrame) -> DataFrame:
-    return unpacked(decoded, "ERROR", _fields("<HHIII", ("code", "detail", "dropped_samples", "buffer_overflows", "context")), "code long, detail long, dropped_samples long, buffer_overflows long, context long")
+    return unpacked(decoded, "ERROR", ERROR_FIELDS, "code long, detail long, dropped_samples long, buffer_overflows long, context long")
 
 
 def hellos(decoded: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def frames(chunks: DataFrame) -> DataFrame:
         for chunk, data in zip(rows["chunk"].tolist(), rows["bytes"].tolist(), strict=True):
             *regions, tail = (tail + bytes(data or b"")).split(b"\0")
             tail = tail[: wire.MAX_ENCODED + 1]
-            out += [(key[0], (chunk << 20) + k, *wire.opened(r)) for k, r in enumerate(regions) if r]
+            out += [(key[0], wire.arrival_of(chunk, k), *wire.opened(r)) for k, r in enumerate(regions) if r]
         state.update((tail,))
         columns = dict(zip(("device", "arrival", "status", "type", "seq", "payload"), zip(*out, strict=True), strict=True)) if out else {c: () for c in ("device", "arrival", "status", "type", "seq", "payload")}
         columns |= {c: pd.array(columns[c], "Int32") for c in ("type", "seq")}
