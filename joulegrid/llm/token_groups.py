@@ -264,8 +264,12 @@ class Group:
 GROUP = ["names", "sizes", "union", "times", "owners"]
 
 
-def matrix(sets: DataFrame, members: int = 128, most_bytes: int = 1 << 18) -> DataFrame:
-    """Groups of similar sets, in order of their least tokens: group, its parts, and members as an array."""
+def matrix(sets: DataFrame, members: int = 128, most_bytes: int = 1 << 18, task_bytes: int = 16 << 20) -> DataFrame:
+    """Groups of similar sets, in order of their least tokens: group, its parts, and members as an array.
+
+    A task cuts about ``task_bytes`` of neighbouring range partitions, so that groups are full however many these are.
+    """
+    total = sets.agg(F.coalesce(F.sum(F.length("tokens")), F.lit(0))).first()[0]
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, held, size = [], [], 0
@@ -287,7 +291,7 @@ def matrix(sets: DataFrame, members: int = 128, most_bytes: int = 1 << 18) -> Da
             yield out()
         give_back()
 
-    ordered = sets.repartitionByRange("first", "name").sortWithinPartitions("first", "name")
+    ordered = sets.repartitionByRange("first", "name").sortWithinPartitions("first", "name").coalesce(max(1, -(-total // task_bytes)))
     made = ordered.select("name", "tokens").mapInArrow(cut, ", ".join(f"{c} binary" for c in GROUP) + ", members array<long>")
     return settle(made.withColumn("group", F.monotonically_increasing_id()))
 
@@ -341,7 +345,27 @@ def outer_links(asked: DataFrame, sets: DataFrame, groups: DataFrame, least: Fra
     return both.select("turn", "name", "tokens", *GROUP).mapInArrow(search, "one long, two long")
 
 
-def linked_sets(docs: DataFrame, marked: DataFrame, shingle: int, least: Fraction, seed: int) -> DataFrame:
+def asked_still(left: DataFrame, frequent: int) -> DataFrame:
+    """(name, group) queries for (signature, name, group, root) rows: of two groups the later one asks.
+
+    Nobody asks for sets that are of its component already. A signature of over ``frequent`` sets is joined by group
+    alone, and a set with such a signature asks all groups that its own then meets: a few more queries, which the unions
+    answer, in place of a row for each set and group.
+    """
+    ends = [F.min("root").alias("_low"), F.max("root").alias("_high")]
+    others = [F.col("group").alias("other"), F.col("_low").alias("_l"), F.col("_high").alias("_h")]
+    sizes = left.groupBy("signature").agg(F.count("*").alias("_n"))
+    sized = settle(left.join(sizes, "signature"))
+    few, many = sized.where(F.col("_n") <= frequent), sized.where(F.col("_n") > frequent)
+    apart = "other < group AND NOT (_l = _h AND {0})"
+    single = few.join(few.groupBy("signature", "group").agg(*ends).select("signature", *others), "signature").where(apart.format("_l = root")).select("name", F.col("other").alias("group"))
+    groups = many.groupBy("signature", "group").agg(*ends)
+    pairs = groups.join(groups.select("signature", *others), "signature").where(apart.format("_l = _low AND _l = _high")).select("group", "other").distinct()
+    common = many.select("name", "group").distinct().join(pairs, "group").select("name", F.col("other").alias("group"))
+    return single.union(common).distinct()
+
+
+def linked_sets(docs: DataFrame, marked: DataFrame, shingle: int, least: Fraction, seed: int, frequent: int = 32) -> DataFrame:
     """node and root of every set that is linked to another."""
     postings = open_postings(marked)
     sets = open_sets(docs, marked, postings, shingle, seed)
@@ -355,9 +379,7 @@ def linked_sets(docs: DataFrame, marked: DataFrame, shingle: int, least: Fractio
     rooted = settle(placed.join(roots, F.col("name") == F.col("node"), "left").select("signature", "name", "group", F.coalesce("root", "name").alias("root")))
     apart = rooted.groupBy("signature").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("signature")
     left = settle(rooted.join(apart, "signature", "left_semi"))
-    # Of two groups the later one asks, and nobody asks for sets that are of its component already.
-    target = left.groupBy("signature", F.col("group").alias("other")).agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-    rest = left.join(target, "signature").where("other < group AND NOT (_low = root AND _high = root)").select("name", F.col("other").alias("group")).distinct()
+    rest = asked_still(left, frequent)
     more = outer_links(settle(rest.join(first, ["name", "group"], "left_anti")), sets, groups, least)
     return components(settle(links.union(more).where("one <> two").distinct()))
 
