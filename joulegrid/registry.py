@@ -621,10 +621,11 @@ def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.regexp_extract("capture_id", r"^(.*)-[0-9]+$", 1).alias("capture_id"), "t_ns", "current_ua", "voltage_uv")
 
 
-def _live(spark: SparkSession, sf_dir: str, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _live(spark: SparkSession, sf_dir: str, read: Callable[[DataFrame], DataFrame], order: str = "ts") -> DataFrame:
+    """The table in twelve micro-batches in order of a column."""
     from joulegrid.streaming.run import replay
 
-    return read(replay(spark, f"{sf_dir}/events.parquet"))
+    return read(replay(spark, f"{sf_dir}/events.parquet", order))
 
 
 @registered(GAPS + " SELECT capture_id, start_ns, end_ns, lost_estimate FROM gaps")
@@ -639,16 +640,21 @@ def stream_tick_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joulegrid.streaming import devices, run
 
     millis = F.call_function("div", F.col("t_ns"), F.lit(1_000_000).cast("bigint"))
-    rows = _live(spark, sf_dir, tables.as_samples).select(F.col("capture_id").alias("device"), F.col("seq").alias("arrival"), (millis % (1 << 32)).alias("ticks"))
+    rows = _live(spark, sf_dir, tables.as_samples, "event_id").select(F.col("capture_id").alias("device"), F.col("seq").alias("arrival"), (millis % (1 << 32)).alias("ticks"))
     return run.drained(devices.unwrapped(rows))
 
 
-@registered(PAIRS + " SELECT capture_id, name, seq, start_ns, end_ns, status FROM pairs WHERE status <> 'unterminated'")
+@registered(PAIRS + " SELECT capture_id, name, seq, start_ns, end_ns, status FROM pairs")
 def stream_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from joulegrid.streaming import devices, run
+    """Scopes of a live stream; each capture ends with a row that says so, upon which what is open is unterminated."""
+    from joulegrid.streaming import run, scopes
 
-    marks = pairing.marks(_live(spark, sf_dir, tables.as_events), tables.event_defs(spark))
-    return run.drained(devices.pairs(marks.select("capture_id", "name", "seq", "t_ns", "step")))
+    marks = pairing.marks(tables.events(spark, sf_dir), tables.event_defs(spark)).select("capture_id", "name", "seq", "t_ns", "step")
+    ends = marks.groupBy("capture_id", "name").agg(F.lit(-1).cast("bigint").alias("seq"), (F.max("t_ns") + 1).alias("t_ns"), F.lit(0).alias("step"))
+    rows = marks.unionByName(ends)
+    span = rows.agg(F.min("t_ns").alias("a"), F.max("t_ns").alias("b")).first()
+    cuts = [span["a"] + (span["b"] - span["a"]) * k // 12 for k in range(1, 12)]
+    return run.drained(scopes.pairs(run.replayed(rows, ["t_ns", "seq"], cuts), 400 * DAY_NS)).select("capture_id", "name", "seq", "start_ns", "end_ns", "status")
 
 
 # Frames of all types, capture files of all kinds, integrity, reports, exports and more streams.
@@ -957,8 +963,8 @@ def stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     from joulegrid.streaming import run
 
     folder = new_folder(spark, "fan-out")
-    live = run.replayed(tables.table(spark, sf_dir, "events"), ["event_id"])
-    run.fan_out(live, {"samples": tables.as_samples, "errors": lambda b: tables.as_events(b).where("id = 272")}, folder).awaitTermination()
+    live = run.replay(spark, f"{sf_dir}/events.parquet", "ts")
+    run.finished(run.fan_out(live, {"samples": tables.as_samples, "errors": lambda b: tables.as_events(b).where("id = 272")}, folder))
     read = lambda name, as_: spark.read.schema(f"capture_id string, seq bigint, t_ns bigint").parquet(f"{folder}/{name}").groupBy("capture_id").agg(F.count("*").alias(as_))
     return read("samples", "samples").join(read("errors", "errors"), "capture_id", "left").fillna(0, ["errors"])
 
@@ -1043,3 +1049,87 @@ def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all chunks of a kind before compression, and whether they are stored as fewer."""
     sizes = capture.chunk_counts(_written(spark, sf_dir, 1 << 62)("chunks")).where("kind IN ('events', 'gpio', 'sync')").groupBy("kind").agg(F.sum("plain").alias("plain"), F.sum("stored").alias("stored"))
     return sizes.select("kind", "plain", (capture.compression("plain", "stored") > 1).alias("smaller"))
+
+
+# Live streams end to end.
+
+LIVE_HZ, LIVE_RATE = 1000, 1 / 3600
+
+
+def _line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as devices send it: blocks of eight samples, and after each its events, pins and sync rows; every 40th sample frame is lost."""
+    from joulegrid.sources import wire
+
+    rows = _numbered(spark, sf_dir).withColumn("ticks", F.call_function("div", F.col("t_ns"), F.lit(1_000_000).cast("bigint")) % (1 << 32))
+    rows = settle(rows.join(tables.events(spark, sf_dir).select(F.col("seq"), "id", "value"), "seq"))
+    blocks = wire.encoded_samples(rows, 8).where("chunk % 40 <> 39").select("device", (F.col("chunk") * 64).alias("chunk"), "bytes")
+    place = (F.floor(F.col("n") / 8) * 64 + 1 + F.col("n") % 8).alias("chunk")
+    sent = {
+        "EVENT": rows.select("device", place, "ticks", "id", "value"), "GPIO_EVENT": rows.where("seq % 3 = 0").select("device", (place + 8).alias("chunk"), "ticks", ((F.col("value") * 517 + F.col("seq")) % 65536).alias("state")),
+        "SYNC": rows.where("seq % 5 = 0").select("device", (place + 16).alias("chunk"), "ticks", F.lit(0).alias("wrap_count"), F.lit(0).alias("flags"), F.col("t_ns").alias("host_time_ns")),
+    }
+    for kind, records in sent.items():
+        blocks = blocks.unionByName(wire.encoded_records(records, kind))
+    return settle(blocks)
+
+
+#: Blocks of eight samples of which every 40th is lost; time counts from the first sample, by ticks of a millisecond.
+LINE = f"""WITH {SAMPLES}, {EVENTS}, k AS (SELECT s.*, ev.id, ev.value, t_ns // 1000000 AS ms, row_number() OVER (PARTITION BY s.capture_id ORDER BY s.t_ns, s.seq) - 1 AS n FROM samples s JOIN (SELECT seq, id, value FROM ev) ev USING (seq)),
+kept AS (SELECT *, lag(ms) OVER (PARTITION BY capture_id ORDER BY n) AS before, lag(n) OVER (PARTITION BY capture_id ORDER BY n) AS n_before FROM k WHERE (n // 8) % 40 <> 39),
+o AS (SELECT capture_id, min_by(ms, n) AS origin FROM kept GROUP BY capture_id)"""
+
+
+@registered(LINE + """ SELECT 'samples' AS kind, capture_id, (ms - origin) * 1000000 AS t_ns, current_ua::BIGINT AS a, voltage_uv AS b FROM kept JOIN o USING (capture_id)
+UNION ALL SELECT 'events', capture_id, (ms - origin) * 1000000, id, value FROM k JOIN o USING (capture_id) UNION ALL SELECT 'gpio', capture_id, (ms - origin) * 1000000, (value * 517 + seq) % 65536, NULL FROM k JOIN o USING (capture_id) WHERE seq % 3 = 0
+UNION ALL SELECT 'sync', capture_id, (ms - origin) * 1000000, t_ns, NULL FROM k JOIN o USING (capture_id) WHERE seq % 5 = 0
+UNION ALL SELECT 'gaps', capture_id, (before - origin) * 1000000, (ms - origin) * 1000000, greatest((ms - before) // 3600000 - 1, 0) FROM kept JOIN o USING (capture_id) WHERE ms - before > 10800000""")
+def stream_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From landed bytes to capture time and five tables in one query, over a dozen micro-batches."""
+    from joulegrid.shared import new_folder
+    from joulegrid.streaming import run, session
+
+    line, folder = _line(spark, sf_dir), new_folder(spark, "captures")
+    most = line.agg(F.max("chunk")).first()[0] or 0
+    live = session.sessions(run.replayed(line, ["chunk"], [most * k // 12 + 1 for k in range(1, 12)]), LIVE_HZ, LIVE_RATE)
+    kinds = {"samples": ("current_ua", "voltage_uv"), "events": ("id", "value"), "gpio": ("state", None), "sync": ("host_send_ns", None), "gaps": ("end_ns", "lost_estimate")}
+    run.finished(run.fan_out(live, {kind: (lambda b, kind=kind: session.table(b, kind)) for kind in kinds}, folder))
+    out = None
+    for kind, (a, b) in kinds.items():
+        rows = spark.read.parquet(f"{folder}/{kind}")
+        some = rows.select(F.lit(kind).alias("kind"), "capture_id", "t_ns", F.col(a).cast("bigint").alias("a"), (F.col(b) if b else F.lit(None)).cast("bigint").alias("b"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+@registered(f"""WITH {SAMPLES}, b AS (SELECT capture_id AS device, generate_series AS chunk FROM (SELECT capture_id, (count(*) - 1) // 8 AS last FROM samples GROUP BY capture_id) t, generate_series(0, last)),
+k AS (SELECT *, lead(chunk) OVER (PARTITION BY device ORDER BY chunk) AS nx FROM b WHERE chunk % 5 <> 2)
+SELECT device, count(*) AS frames, count(*) FILTER (nx <> chunk + 1) AS seq_gaps, (SELECT count(*) FROM b WHERE b.device = k.device AND b.chunk % 5 = 2) AS cobs_errors, count(*) FILTER (chunk % 5 = 3) AS resyncs FROM k GROUP BY device""")
+def stream_wire_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a live line whose sequence and resynchronisation go on over micro-batches."""
+    from joulegrid.sources import wire
+    from joulegrid.streaming import run, session
+
+    frames = wire.encoded_samples(_numbered(spark, sf_dir), 8)
+    line = settle(_halves(frames.withColumn("bytes", F.when(F.col("chunk") % 5 == 2, F.unhex(F.lit("090100"))).otherwise(F.col("bytes")))))
+    most = line.agg(F.max("chunk")).first()[0] or 0
+    rows = run.drained(session.sessions(run.replayed(line, ["chunk"], [most * k // 12 + 1 for k in range(1, 12)]), 1_000_000, RATE_HZ))
+    of = lambda name: F.sum(F.when(F.col("cause") == name, F.col("value")).otherwise(0)).alias(name)
+    return session.table(rows, "counts").groupBy(F.col("capture_id").alias("device")).agg(*[of(c) for c in ("frames", "seq_gaps", "cobs_errors", "resyncs")])
+
+
+@registered(UNWRAPPED + """, x AS (SELECT * FROM u WHERE arrival % 5 <> 0), e AS (SELECT *, (ticks + 1000) % 4294967296 AS et FROM u WHERE arrival % 5 = 0),
+a AS (SELECT e.device, e.arrival, e.et AS ticks, coalesce((SELECT max_by(x.epoch * 4294967296 + x.ticks, x.arrival) FROM x WHERE x.device = e.device AND x.arrival < e.arrival), 0) AS near FROM e),
+f AS (SELECT *, (near // 4294967296) * 4294967296 + ticks AS base FROM a)
+SELECT device, arrival, ticks, CASE WHEN base - near > 2147483648 AND base >= 4294967296 THEN base - 4294967296 WHEN near - base > 2147483648 THEN base + 4294967296 ELSE base END AS full_ticks FROM f""")
+def stream_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that come up to 40 places early or late, resolved as the batch does; each device ends with a row that says so."""
+    from joulegrid.streaming import resolve, run
+
+    ticks = settle(_ticks(spark, sf_dir))
+    event = F.col("arrival") % 5 == 0
+    moved = F.when(event, F.pmod(F.xxhash64("device", "arrival"), F.lit(81)) - 40).otherwise(0)
+    rows = ticks.select("device", F.when(event, "event").otherwise("sample").alias("kind"), "arrival", F.when(event, (F.col("ticks") + 1000) % (1 << 32)).otherwise(F.col("ticks")).alias("ticks"), F.greatest(F.col("arrival") + moved, F.lit(0)).alias("landed"))
+    ends = ticks.groupBy("device").agg(F.lit("end").alias("kind"), (F.max("arrival") + 1).alias("arrival"), F.lit(0).cast("bigint").alias("ticks"), (F.max("arrival") + 99).alias("landed"))
+    both = rows.unionByName(ends)
+    most = both.agg(F.max("landed")).first()[0] or 0
+    return run.drained(resolve.resolved(run.replayed(both, ["landed"], [most * k // 12 + 1 for k in range(1, 12)]))).select("device", "arrival", "ticks", "full_ticks")

@@ -1,4 +1,4 @@
-"""State that follows a device's live stream: frames, tick epochs, gaps, open scopes, and buckets.
+"""State that follows a device's live stream: frames, tick epochs, gaps, and buckets.
 
 Rows of a device may arrive in any order within a micro-batch and are put in arrival order there; across batches the
 sources keep it. Errors of device time are rows of their own rather than lost.
@@ -13,12 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from joulegrid.sources import wire
+from joulegrid.streaming.session import WRAP, steps_of
 
-WRAP, HALF = 1 << 32, 1 << 31
 UNWRAPPED = "device string, arrival long, ticks long, epoch long, full_ticks long, step string"
 GAPS = "capture_id string, start_ns long, end_ns long, lost_estimate long"
 FIGURES = ("t_ns", "min_ua", "max_ua", "sum_ua", "count")
-PAIRED = "capture_id string, name string, seq long, start_ns long, end_ns long, status string"
 
 
 def unwrapped(raw: DataFrame) -> DataFrame:
@@ -27,14 +26,11 @@ def unwrapped(raw: DataFrame) -> DataFrame:
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         epoch, last = state.get if state.exists else (0, -1)
         rows = pd.concat(list(pdfs)).sort_values("arrival")
-        out = []
-        for arrival, ticks in zip(rows["arrival"].tolist(), rows["ticks"].tolist(), strict=True):
-            back = last - ticks if last >= 0 else 0
-            what = "wrap" if back > HALF else "backwards" if back > 0 else "implausible" if back < -HALF else "ok"
-            epoch, last = epoch + (what == "wrap"), ticks
-            out.append((key[0], arrival, ticks, epoch, epoch * WRAP + ticks, what))
-        state.update((epoch, last))
-        yield pd.DataFrame(out, columns=["device", "arrival", "ticks", "epoch", "full_ticks", "step"])
+        ticks = rows["ticks"].to_numpy("int64")
+        steps, wraps = steps_of(ticks, last)
+        epochs = epoch + wraps.cumsum()
+        state.update((int(epochs[-1]), int(ticks[-1])))
+        yield pd.DataFrame({"device": key[0], "arrival": rows["arrival"].to_numpy(), "ticks": ticks, "epoch": epochs, "full_ticks": epochs * WRAP + ticks, "step": steps})
 
     return raw.groupBy("device").applyInPandasWithState(step, UNWRAPPED, "epoch long, last long", "append", GroupStateTimeout.NoTimeout)
 
@@ -53,30 +49,6 @@ def time_gaps(samples: DataFrame, rate_hz: float, periods: int = 3) -> DataFrame
     return samples.groupBy("capture_id").applyInPandasWithState(step, GAPS, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def pairs(marks: DataFrame) -> DataFrame:
-    """Pairs and orphans of (capture_id, name, seq, t_ns, step) rows; starts still open are in the state only."""
-
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, seqs = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(pdfs)).sort_values(["t_ns", "seq"])
-        out = []
-        for seq, t, way in zip(rows["seq"].tolist(), rows["t_ns"].tolist(), rows["step"].tolist(), strict=True):
-            if way > 0:
-                times.append(t)
-                seqs.append(seq)
-            elif times:
-                out.append((*key, seqs.pop(), times.pop(), t, "paired"))
-            else:
-                out.append((*key, seq, None, t, "orphaned"))
-        state.update((times, seqs))
-        names = ("capture_id", "name", "seq", "start_ns", "end_ns", "status")
-        columns = dict(zip(names, zip(*out, strict=True), strict=True)) if out else {n: () for n in names}
-        columns["start_ns"] = pd.array(columns["start_ns"], "Int64")  # nulls must not turn times into floats
-        yield pd.DataFrame(columns)
-
-    return marks.groupBy("capture_id", "name").applyInPandasWithState(step, PAIRED, "times array<long>, seqs array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
 def buckets(samples: DataFrame, width_ns: int, delay_ns: int) -> DataFrame:
     """Closed buckets of a width by capture, and what came too late for its bucket as rows of its own (``late``).
 

@@ -76,7 +76,7 @@ class Session(StatefulProcessor):
         self.held = handle.getValueState("session", STATE)
         self.early = handle.getListState("early", EARLY)
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         s = dict(zip([c.split(" ")[0] for c in STATE.split(", ")], self.held.get() or (b"", 0, -1, -1, -1, -1, False, False), strict=True))
         out: dict[str, list[dict]] = {}
         put = lambda kind, **columns: out.setdefault(kind, []).append(columns)

@@ -198,7 +198,7 @@ def test_stream_fans_out(spark, tmp_path):
     rows = [("c", k, k, 5, 1) for k in range(10)]
     landed(spark, rows, SAMPLES, str(tmp_path / "in"), 1)
     stream = spark.readStream.schema(SAMPLES).parquet(str(tmp_path / "in"))
-    run.fan_out(stream, {"low": lambda b: b.where("seq < 4"), "high": lambda b: b.where("seq >= 4")}, str(tmp_path / "out")).awaitTermination()
+    run.finished(run.fan_out(stream, {"low": lambda b: b.where("seq < 4"), "high": lambda b: b.where("seq >= 4")}, str(tmp_path / "out")))
     assert (spark.read.parquet(str(tmp_path / "out/low")).count(), spark.read.parquet(str(tmp_path / "out/high")).count()) == (4, 6)
     assert pairing.marks(spark.createDataFrame([("c", 0, 1, 9, None)], "capture_id string, seq long, t_ns long, id int, value long"), spark.createDataFrame([("P", 9, None, None, None, 0)], EVENT_DEFS)).count() == 0
 
