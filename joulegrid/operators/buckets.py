@@ -11,6 +11,8 @@ from joulegrid.operators.ordered import DAY_NS, HOUR_NS, numbered
 #: Widths of the stored levels for fast captures; slower ones use hours and days.
 LEVELS_NS = (10_000_000, 1_000_000_000)
 SLOW_LEVELS_NS = (HOUR_NS, DAY_NS)
+#: Buckets of a dense level that are made at once.
+STRETCH = 1_000_000
 
 
 def extremes(current: str = "current_ua") -> list:
@@ -52,7 +54,11 @@ def summary_level(samples: DataFrame, width_ns: int, dense: bool = False) -> Dat
     level = samples.groupBy("capture_id", at.alias("bucket")).agg(*extremes())
     if dense:
         ends = level.groupBy("capture_id").agg(F.min("bucket").alias("_a"), F.max("bucket").alias("_b"))
-        spine = ends.select("capture_id", F.explode(F.sequence("_a", "_b")).alias("bucket"))
+        # A year of 10 ms buckets is beyond any array, so stretches of a million are dealt out first.
+        stretch = lambda c: F.call_function("div", F.col(c), F.lit(STRETCH).cast("bigint"))
+        parts = ends.select("capture_id", "_a", "_b", F.explode(F.sequence(stretch("_a"), stretch("_b"))).alias("_k")).repartition("capture_id", "_k")
+        first, last = F.greatest("_a", F.col("_k") * STRETCH), F.least("_b", (F.col("_k") + 1) * STRETCH - 1)
+        spine = parts.select("capture_id", F.explode(F.sequence(first, last)).alias("bucket"))
         level = spine.join(level, ["capture_id", "bucket"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
     return level.withColumn("t_ns", F.col("bucket") * width_ns)
 

@@ -14,18 +14,32 @@ from pyspark.sql import functions as F
 
 HOUR_NS = 3_600_000_000_000
 DAY_NS = 24 * HOUR_NS
+SECOND_NS, MILLI_NS = 1_000_000_000, 1_000_000
 #: About so many rows of a key are in a slice at most.
 SLICE_ROWS = 1_000_000
 
 
 def slice_length(df: DataFrame, keys: Sequence[str], time: str = "t_ns", rows: int = SLICE_ROWS, most_ns: int = DAY_NS) -> int:
-    """Nanoseconds in which a key has about ``rows`` rows at its fullest hour, at most ``most_ns``.
+    """Nanoseconds in which a key has about ``rows`` rows at its fullest, at most ``most_ns``.
 
-    At 50,000 samples a second that is 20 seconds. Counted over keys and hours; one number reaches the driver.
+    At 50,000 samples a second that is 20 seconds. Counted over keys and hours; only where an hour holds more than that,
+    over its seconds, and where a second does, over its milliseconds, so that a burst does not hide in a mean. One
+    number reaches the driver each time.
     """
-    hours = df.groupBy(*keys, F.floor(F.col(time) / F.lit(HOUR_NS)).alias("_hour")).agg(F.count("*").alias("n"))
-    most = hours.agg(F.max("n")).first()[0] or 0
-    return min(most_ns, max(1, HOUR_NS * rows // max(1, most)))
+    held, coarser = df.select(*keys, F.col(time).alias("_t")), None
+    for width in (HOUR_NS, SECOND_NS, MILLI_NS):
+        at = F.floor(F.col("_t") / F.lit(width))
+        counts = held.groupBy(*keys, at.alias("_at")).agg(F.count("*").alias("n"))
+        most = counts.agg(F.max("n")).first()[0] or 0
+        if most <= rows or width == MILLI_NS:
+            return min(most_ns, coarser or most_ns, max(1, width * rows // max(1, most)))
+        coarser = max(1, width * rows // most)
+        full = counts.where(F.col("n") > rows).select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_at").alias("_of_at"))
+        same = at == F.col("_of_at")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+        held = held.join(full, same, "left_semi")
+    return most_ns
 
 
 def with_next(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = (), slice_ns: int | None = None, name: str = "next") -> DataFrame:

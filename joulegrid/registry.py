@@ -1051,6 +1051,41 @@ def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.select("kind", "plain", (capture.compression("plain", "stored") > 1).alias("smaller"))
 
 
+# What a viewer asks of captures.
+
+
+def _viewed(spark: SparkSession, sf_dir: str):
+    from joulegrid.plans import analysis
+
+    samples = tables.samples(spark, sf_dir)
+    levels = {w: buckets.summary_level(samples, w) for w in buckets.SLOW_LEVELS_NS}
+    return analysis.Tables(samples, tables.events(spark, sf_dir), tables.event_defs(spark), _gaps(spark, sf_dir), levels)
+
+
+@registered(f"""WITH {SAMPLES}, s AS (SELECT * FROM samples WHERE t_ns >= {FROM_NS} AND t_ns < {TO_NS})
+SELECT capture_id, (t_ns - {FROM_NS}) // {6 * HOUR_NS} AS bucket, {FROM_NS} + ((t_ns - {FROM_NS}) // {6 * HOUR_NS}) * {6 * HOUR_NS} AS t_ns, {BUCKET} FROM s GROUP BY capture_id, (t_ns - {FROM_NS}) // {6 * HOUR_NS}""")
+def waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fortnight in 56 buckets, from the hourly level."""
+    from joulegrid.plans import analysis
+
+    return analysis.waveform(_viewed(spark, sf_dir), FROM_NS, TO_NS, 56)
+
+
+@registered(NAMED + f" SELECT e.*, coalesce(i.name, printf('0x%04X', e.id)) AS name FROM ev e LEFT JOIN ids i USING (id) WHERE t_ns >= {FROM_NS} AND t_ns < {TO_NS}")
+def marks_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.plans import analysis
+
+    return analysis.marks_within(_viewed(spark, sf_dir), FROM_NS, TO_NS)
+
+
+@registered(GAPS + """, r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY start_ns) AS k FROM gaps)
+SELECT capture_id, count(*) AS gaps, CAST(sum(end_ns - start_ns) AS BIGINT) AS missing_ns, CAST(sum(lost_estimate) AS BIGINT) AS lost_estimate FROM r GROUP BY capture_id""")
+def gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joulegrid.plans import analysis
+
+    return analysis.gap_summary(_viewed(spark, sf_dir), RATE_HZ).select("capture_id", "gaps", "missing_ns", "lost_estimate")
+
+
 # Live streams end to end.
 
 LIVE_HZ, LIVE_RATE = 1000, 1 / 3600

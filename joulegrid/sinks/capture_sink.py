@@ -3,12 +3,14 @@
 A file holds a capture's slice of time: metadata first, so that a file that breaks off still has names, then samples,
 events, pins and sync rows in chunks, and a summary of the samples in buckets. Tasks write drafts in a folder of the job;
 only the driver's commit gives them their names, once all tasks have ended well, so neither a failed attempt nor a failed
-job leaves a file that readers see.
+job leaves a file that readers see. Beside the files lies what times they have rows of, so that a reader of a span opens
+only those that it meets.
 """
 
 from __future__ import annotations
 
 import contextlib
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +24,7 @@ from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 from joulegrid.operators.buckets import LEVELS_NS
 from joulegrid.operators.ordered import slice_length
 from joulegrid.sinks.capture_writer import CHUNK_ROWS, FILE_ROWS, chunk_edges, record_chunk
-from joulegrid.sources.capture_file import COMPRESSIONS, HAS_EVENTS, HAS_GPIO, HAS_VOLTAGE, KINDS, NO_TIME, capture_bytes, sample_chunk, summary_content
+from joulegrid.sources.capture_file import COMPRESSIONS, HAS_EVENTS, HAS_GPIO, HAS_VOLTAGE, KINDS, NO_TIME, TIMED, ZONES, capture_bytes, sample_chunk, summary_content
 from joulegrid.sources.metadata import encoded
 
 RECORDS = "capture_id string, slice long, place int, t_ns long, seq long, current_ua int, voltage_uv long, id int, value long, state int, host_recv_ns long, device_ticks long, metadata binary"
@@ -89,9 +91,9 @@ def file_bytes(parts: dict[str, pa.Table], compression: int, levels: tuple[int,
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Drafts of a task and the names that they are to have."""
+    """Drafts of a task, the names that they are to have, and of each its size and the times that it has rows of, by kind."""
 
-    files: list[tuple[str, str]]
+    files: list[tuple[str, str, dict]]
 
 
 class CaptureSink(DataSourceArrowWriter):
@@ -116,15 +118,18 @@ class CaptureSink(DataSourceArrowWriter):
         fs, folder = self.store()
         drafts = f"{folder}/{DRAFTS}-{self.job}"
         fs.create_dir(drafts, recursive=True)
-        done: list[tuple[str, str]] = []
+        done: list[tuple[str, str, dict]] = []
         key, held = None, {}
 
         def put() -> None:
             name = f"{key[0]}-{key[1]}.pprof"
             draft = f"{drafts}/{uuid.uuid4().hex}"
+            parts = {PLACES[p]: pa.Table.from_batches(bs) for p, bs in held.items()}
+            content = file_bytes(parts, self.compression, self.levels, self.timer_hz)
             with fs.open_output_stream(draft, compression=None) as out:
-                out.write(file_bytes({PLACES[p]: pa.Table.from_batches(bs) for p, bs in held.items()}, self.compression, self.levels, self.timer_hz))
-            done.append((draft, f"{folder}/{name}"))
+                out.write(content)
+            times = {kind: [t["t_ns"][0].as_py(), t["t_ns"][-1].as_py()] for kind, t in parts.items() if kind in TIMED}
+            done.append((draft, f"{folder}/{name}", {"file": name, "size": len(content), "times": times}))
 
         for b in iterator:
             if not b.num_rows:
@@ -149,12 +154,19 @@ class CaptureSink(DataSourceArrowWriter):
         fs, folder = self.store()
         fs.create_dir(folder, recursive=True)
         files = [f for m in messages if m is not None for f in m.files]
+        zones = f"{folder}/{ZONES}"
         if self.overwrite:
             for old in fs.get_file_info(pafs.FileSelector(folder)):
                 if old.path.endswith(".pprof"):
                     fs.delete_file(old.path)
-        for draft, name in files:
+            with contextlib.suppress(FileNotFoundError, OSError):
+                fs.delete_dir(zones)
+        for draft, name, _ in files:
             fs.move(draft, name)
+        if files:
+            fs.create_dir(zones, recursive=True)
+            with fs.open_output_stream(f"{zones}/{self.job}.jsonl", compression=None) as out:
+                out.write("".join(json.dumps(zone) + "\n" for _, _, zone in files).encode())
         self.clear()
 
     def abort(self, messages: list[Written | None]) -> None:

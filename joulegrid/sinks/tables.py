@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from joulegrid.operators.buckets import LEVELS_NS, rolled_up, summary_level
-from joulegrid.operators.ordered import DAY_NS
+from joulegrid.operators.ordered import DAY_NS, slice_length
 from joulegrid.shared import settle
+from joulegrid.sinks.capture_writer import FILE_ROWS
 
 
-def write_samples(samples: DataFrame, path: str, slice_ns: int = DAY_NS, salts: int = 1) -> None:
+def write_samples(samples: DataFrame, path: str, slice_ns: int = DAY_NS, salts: int | None = None) -> None:
     """Sorted by time within files, so that row groups have narrow time bounds; a capture spreads over its slices.
 
-    ``salts`` > 1 cuts every slice further, for captures whose slices are large themselves.
+    Every slice is cut into ``salts`` stretches of its own tasks, by default so many that the fullest has about
+    ``FILE_ROWS`` samples.
     """
+    salts = salts or max(1, -(-slice_ns // slice_length(samples, ["capture_id"], rows=FILE_ROWS, most_ns=slice_ns)))
     sliced = samples.withColumn("slice", F.floor(F.col("t_ns") / F.lit(slice_ns))).withColumn("_salt", F.pmod(F.floor(F.col("t_ns") * F.lit(salts) / F.lit(slice_ns)), F.lit(salts)))
     ordered = sliced.repartition("capture_id", "slice", "_salt").sortWithinPartitions("capture_id", "slice", "t_ns", "seq").drop("_salt")
     ordered.write.partitionBy("capture_id", "slice").option("compression", "zstd").parquet(path)

@@ -7,6 +7,7 @@ walked chunk by chunk up to the first that is not valid.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -101,6 +102,19 @@ def files(path: str) -> list[tuple[str, int]]:
     return [(uri, info.size or 0)]
 
 
+def zones_of(path: str) -> dict[tuple[str, int], dict]:
+    """Times that files have rows of, by name and size, as the sink has noted them; nothing where it has not."""
+    fs, name = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+    out = {}
+    for info in fs.get_file_info(pafs.FileSelector(f"{name}/{ZONES}", allow_not_found=True)):
+        if info.base_name.endswith(".jsonl"):
+            with fs.open_input_stream(info.path, compression=None) as f:
+                for line in f.read().splitlines():
+                    zone = json.loads(line)
+                    out[zone["file"], zone["size"]] = zone["times"]
+    return out
+
+
 def places(source, header: dict) -> tuple[list[tuple], bool, int | None]:
     """(place, kind, stored, records) of all chunks; whether they were recovered by a walk; where that stopped early."""
     size = source.size()
@@ -169,6 +183,8 @@ ROWS = {
     "sync": np.dtype([("send", "<u8"), ("recv", "<u8"), ("ticks", "<u8")]),
 }
 BUCKET = np.dtype([("t", "<u8"), ("min", "<i4"), ("max", "<i4"), ("mean", "<f8"), ("count", "<u4"), ("pad", "<u4")])
+#: Kinds of which the folder's zones tell the times, and where these lie.
+TIMED, ZONES = ("samples", "events", "gpio"), "_zones"
 #: Kinds whose rows have no number of their own.
 UNNUMBERED = ("sync", "metadata", "summary")
 
@@ -258,7 +274,8 @@ class Chunks(InputPartition):
 class CaptureReader(DataSourceReader):
     def __init__(self, options: dict):
         self.kind = options.get("kind", "samples")
-        self.paths = files(options["path"])
+        self.folder = options["path"]
+        self.paths = files(self.folder)
         self.per_partition = int(options.get("bytesPerPartition", str(32 << 20)))
         self.low, self.high = 0, 2**63 - 1
 
@@ -280,11 +297,19 @@ class CaptureReader(DataSourceReader):
             return header, [(recovered, stopped)]
         return header, [(k, *e) for k, e in enumerate(e for e in entries if self.kind == "chunks" or e[1] == KINDS[self.kind])]
 
+    def met(self) -> list[tuple[str, int]]:
+        """Files that may have rows within the bounds. One that no zone knows, or knows in another size, always may."""
+        if self.kind not in TIMED or (self.low <= 0 and self.high >= 2**63 - 1) or len(self.paths) == 1:
+            return self.paths
+        zones = zones_of(self.folder)
+        inside = lambda times: times is not None and times[0] <= self.high and times[1] >= self.low
+        return [(p, n) for p, n in self.paths if (zone := zones.get((p.rpartition("/")[2], n))) is None or inside(zone.get(self.kind))]
+
     def partitions(self) -> list[Chunks]:
-        """About ``bytesPerPartition`` of files or of a file's chunks."""
+        """About ``bytesPerPartition`` of files or of a file's chunks; of a span only of files that may meet it."""
         out: list[Chunks] = []
         held, size = [], 0
-        for path, n in self.paths:
+        for path, n in self.met():
             name = path.rpartition("/")[2].removesuffix(".pprof")
             if n > self.per_partition and self.kind != "captures":
                 with open_file(path) as source:

@@ -33,7 +33,10 @@ def replayed(rows: DataFrame, order: list[str], cuts: list[int] | None = None, b
 
 
 def finished(query: StreamingQuery) -> None:
-    """Wait until a query has gone through all input there is now, and stop it; what it failed with is raised."""
+    """Wait until a query has gone through all input there is now, and stop it; what it failed with is raised.
+
+    Timers of processing time keep a query going for ever, so one that has them is to be stopped by who started it.
+    """
     try:
         query.processAllAvailable()
     finally:

@@ -57,7 +57,7 @@ def told(spark):
 
 
 def files(path):
-    return sorted(f for _, _, found in os.walk(path) for f in found if not f.endswith(".crc"))
+    return sorted(f for _, _, found in os.walk(path) for f in found if f.endswith(".pprof"))
 
 
 @pytest.fixture(scope="module")
@@ -163,3 +163,26 @@ def test_chunks_are_counted(source, tmp_path):
     capture_records(*rows_of(source), told(source), slice_ns=1 << 62).write.format("powercapture").mode("append").save(folder)
     got = {(r["capture_id"], r["kind"]): (r["chunks"], r["rows"], r["plain"]) for r in capture.chunk_counts(capture.opened(source, folder)("chunks")).collect()}
     assert got["c0", "events"] == (1, 12, 8 + 12 * 16) and got["c0", "samples"][:2] == (5, 60) and ("c2", "metadata") not in got and got["c1", "summary"][0] == 1
+
+
+def test_a_span_opens_only_files_that_it_meets(source, tmp_path):
+    given_rows = rows_of(source, captures=4)
+    folder = str(tmp_path / "out")
+    capture_records(*given_rows, slice_ns=50_000_000).write.format("powercapture").mode("append").save(folder)
+    assert len(files(folder)) > 30
+    reader = capture_file.CaptureReader({"kind": "samples", "path": folder})
+    reader.low, reader.high = 100_000_000, 120_000_000
+    met = {p.rpartition("/")[2] for p, _ in reader.met()}
+    assert met == {f"c{c}-2.pprof" for c in range(4)}
+    assert sum(len(part.parts) for part in reader.partitions()) == 4
+    read = capture.opened(source, folder)
+    assert read("samples").where("t_ns >= 100000000 AND t_ns <= 120000000").count() == given_rows[0].where("t_ns >= 100000000 AND t_ns <= 120000000").count() > 0
+    os.remove(f"{folder}/c1-2.pprof")
+    with open(f"{folder}/c1-2.pprof", "wb") as out:  # not the file that the zone is of
+        out.write(capture_file.capture_bytes([capture_file.sample_chunk(np.array([5], np.int64), np.array([1], np.int32), None)]))
+    reader = capture_file.CaptureReader({"kind": "samples", "path": folder})
+    reader.low, reader.high = 0, 10
+    assert {p.rpartition("/")[2] for p, _ in reader.met()} == {*(f"c{c}-0.pprof" for c in range(4)), "c1-2.pprof"}
+    write = capture_records(given_rows[0].where("capture_id = 'c0'"), slice_ns=1 << 62).write.format("powercapture")
+    write.mode("overwrite").save(folder)
+    assert set(capture_file.zones_of(folder)) == {("c0-0.pprof", os.path.getsize(f"{folder}/c0-0.pprof"))}

@@ -157,3 +157,26 @@ def test_units():
             units.quantity(bad, "A")
     with pytest.raises(units.InvalidQuantity):
         units.tolerance_percent("5")
+
+
+def test_slices_of_bursts(spark):
+    from joulegrid.operators.ordered import DAY_NS, HOUR_NS, slice_length
+
+    even = spark.range(7200).selectExpr("'a' AS k", "id * 500000000 AS t_ns")
+    assert slice_length(even, ["k"]) == DAY_NS and slice_length(even, ["k"], rows=720) == HOUR_NS // 10
+    # All within a tenth of a second, and the same again an hour later for a key that is null.
+    burst = even.union(spark.range(50_000).selectExpr("IF(id % 2 = 0, 'b', NULL)", f"IF(id % 2 = 0, 0, {HOUR_NS}) + id * 2000"))
+    length = slice_length(burst, ["k"], rows=1000)
+    most = burst.groupBy("k", F.floor(F.col("t_ns") / F.lit(length))).count().agg(F.max("count")).first()[0]
+    assert 500 <= most <= 1100
+    assert slice_length(burst.limit(0), ["k"]) == DAY_NS
+
+
+def test_dense_levels_in_stretches(spark, monkeypatch):
+    from joulegrid.operators import buckets
+
+    samples = spark.createDataFrame([("c", 0, 25, 1, None), ("c", 1, 1234, 2, None), ("d", 0, 7, 3, None)], SAMPLES)
+    whole = sorted(map(tuple, buckets.summary_level(samples, 10, dense=True).select("capture_id", "bucket", "t_ns", "count").collect()))
+    assert len(whole) == 123 and whole[0] == ("c", 2, 20, 1) and whole[-1] == ("d", 0, 0, 1)
+    monkeypatch.setattr(buckets, "STRETCH", 7)
+    assert sorted(map(tuple, buckets.summary_level(samples, 10, dense=True).select("capture_id", "bucket", "t_ns", "count").collect())) == whole
