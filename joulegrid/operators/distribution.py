@@ -28,6 +28,14 @@ def counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys, F.col(value).cast("bigint").alias("x")).agg(F.count("*").alias("n"))
 
 
+def same_keys(keys: Sequence[str]) -> Column:
+    """Whether keys equal those of another table, there named ``_of_`` the key; nulls are equal."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return out
+
+
 def ranked_values(counts: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """keys and a column for each quantile: the value at rank ceil(q n), at least 1, of each group with values.
 
@@ -45,7 +53,8 @@ def ranked_values(counts: DataFrame, keys: Sequence[str], quantiles: Sequence[fl
     wanted = wanted.where((F.col("_r.rank") > F.col("_before")) & (F.col("_r.rank") <= F.col("_upto")))
     asked = wanted.groupBy(*keys, "_stretch").agg(F.collect_list(F.struct(F.col("_r.q").alias("q"), (F.col("_r.rank") - F.col("_before")).alias("rank"))).alias("_asked"))
     inside = W.partitionBy(*keys, "_stretch").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    walked = placed.join(asked, [*keys, "_stretch"]).withColumn("_sum", F.sum("n").over(inside))
+    here = asked.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_stretch").alias("_at"), "_asked")
+    walked = placed.join(here, same_keys(keys) & (F.col("_stretch") == F.col("_at"))).withColumn("_sum", F.sum("n").over(inside))
     found = walked.select(*keys, "x", "n", "_sum", F.explode("_asked").alias("_r")).where((F.col("_sum") >= F.col("_r.rank")) & (F.col("_sum") - F.col("n") < F.col("_r.rank")))
     return found.groupBy(*keys).agg(*(F.max(F.when(F.col("_r.q") == column_name(q), F.col("x"))).alias(column_name(q)) for q in quantiles))
 
@@ -76,9 +85,7 @@ def describe(df: DataFrame, keys: Sequence[str], value: str, digits: int = 6) ->
     low = (apart % F.lit(LIMB).cast("decimal(8,0)")).cast("decimal(8,0)")
     limbs = {"_hh": high * high, "_hl": high * low, "_ll": low * low, "_rest": x - F.col("_mean")}
     means = sums.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_mean")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    same = same_keys(keys)
     squares = counts.where("x IS NOT NULL").join(means, same).groupBy(*keys).agg(*[F.sum((v * times).cast("decimal(38,0)")).alias(c) for c, v in limbs.items()])
     number = lambda c: F.col(c).cast("double")
     spread = number("_hh") * float(LIMB) ** 2 + number("_hl") * (2.0 * LIMB) + number("_ll") - number("_rest") * number("_rest") / number("n")
