@@ -349,7 +349,8 @@ def ball_bound(qc: Column, qn: Column, qr: Column, dc: Column, dn: Column, dr: C
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 4096, query_rows: int = 1024, sample_rows: int = 2048, most_pivots: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer products of every row whose id is divisible by ``every``.
 
-    Rows with one id and one vector count once, and so do queries. Products are exact integers; one that a long does not
+    Null vectors, vectors with null or non-finite components, and rows without an id take no part; a zero vector does.
+    Rows with one id and one vector count once, and so do queries; ties go to the smaller id. Products are exact integers; one that a long does not
     hold is given as the nearest long. Pivots come from about ``sample_rows`` vectors; every vector is indexed and every
     query answered. Shards and blocks have a bounded size, so their numbers grow with the table.
     """

@@ -228,7 +228,7 @@ def keep_one_of_each(docs: DataFrame, most: int = 26, shingle: int = 5, least: F
     """Rows of ``docs``, all columns as they are: of each group of near copies the row with its least doc_id.
 
     Texts are compared where fingerprints differ in at most ``most`` + ``slack`` bits, and linked if the Jaccard
-    similarity of their shingle sets is ``least`` or more. Where several rows have that id (repeated rows, or a group without ids), one of them stays.
+    similarity of their shingle sets is ``least`` or more. Null texts and texts without words are one group. Where several rows have that id (repeated rows, or a group without ids), one of them stays.
     """
     marked = settle(wide_fingerprints(docs, shingle))
     held = verified_classes(docs, marked, near_copy_classes(marked, most + slack), shingle, least)

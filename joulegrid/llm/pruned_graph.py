@@ -121,7 +121,8 @@ def measured(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def graph_search(embeddings: DataFrame, k: int = 20, every: int = 20, shard_rows: int = 4096, query_rows: int = 1024, degree: int = 24, beam: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose id is divisible by ``every``; repeated rows count once.
 
-    Every distinct vector is in a graph, and every query searches all graphs, keeping ``beam`` places in each. Shards and
+    Null and zero vectors, vectors with null or non-finite components, and rows without an id take no part; ties go to the
+    smaller id. Every distinct vector is in a graph, and every query searches all graphs, keeping ``beam`` places in each. Shards and
     blocks of queries have a bounded size, so their numbers grow with the table; ``shard_rows`` may be raised for large
     ones, as a search of a larger graph costs little more.
     """
