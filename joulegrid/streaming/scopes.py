@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,17 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from joulegrid.streaming.groups import GROUP, dealt, packed, stretches, unpacked
 from joulegrid.streaming.session import stateful
 
 PAIRED = "capture_id string, name string, seq long, start_ns long, end_ns long, status string"
+OPEN = "capture_id string, name string, seq long, t_ns long"
 MILLI = 1_000_000
 
 
 class Scopes(StatefulProcessor):
-    """The stack of a (capture, definition): depth to (seq, time) in a map, and its ends in a value.
+    """The stacks of open starts of a group of (capture, definition) pairs: (seq, time), oldest first, all in one value.
 
-    Only places that a micro-batch touches are read or written. The oldest open start has a timer, so a stack also
-    shrinks when nothing comes for it any more.
+    The oldest open start of the group has a timer, so a stack also shrinks when nothing comes for it any more.
     """
 
     def __init__(self, patience_ns: int):
@@ -27,72 +29,47 @@ class Scopes(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.stack = handle.getMapState("open", "depth long", "seq long, t_ns long")
-        self.ends = handle.getValueState("ends", "bottom long, top long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        marks = pd.concat(list(rows)).sort_values(["t_ns", "seq"])
-        bottom, top = before = self.ends.get() or (0, 0)
-        fresh: dict[int, tuple[int, int]] = {}
-        gone: set[int] = set()
-        out = []
-
-        def place(depth: int) -> tuple[int, int]:
-            return fresh[depth] if depth in fresh else tuple(self.stack.getValue((depth,)))
-
-        def drop(depth: int) -> tuple[int, int]:
-            found = place(depth)
-            if fresh.pop(depth, None) is None or depth < before[1]:
-                gone.add(depth)
-            return found
-
-        oldest = place(bottom)[1] if bottom < top else None
-        for seq, t, step in zip(marks["seq"].tolist(), marks["t_ns"].tolist(), marks["step"].tolist(), strict=True):
-            while bottom < top and (step == 0 or oldest + self.patience < t):
-                start, since = drop(bottom)
-                out.append((*key, start, since, None, "unterminated"))
-                bottom += 1
-                oldest = place(bottom)[1] if bottom < top else None
-            if step > 0:
-                fresh[top] = (seq, t)
-                oldest = t if bottom == top else oldest
-                top += 1
-            elif step < 0 and bottom < top:
-                top -= 1
-                start, since = drop(top)
-                out.append((*key, start, since, t, "paired"))
-            elif step < 0:
-                out.append((*key, seq, None, t, "orphaned"))
-        for depth in gone - set(fresh):
-            self.stack.removeKey((depth,))
-        for depth, value in fresh.items():
-            self.stack.updateValue((depth,), value)
-        self.ends.update((bottom, top))
-        self.watch(bottom < top and oldest)
-        yield table(out)
-
-    def watch(self, oldest) -> None:
-        """One timer at the time at which the oldest start is given up."""
+        self.open = handle.getValueState("open", "held binary")
+
+    def stacks(self) -> dict[tuple, deque]:
+        held, out = self.open.get(), {}
+        for capture, name, seq, t in unpacked(bytes(held[0])) if held else []:
+            out.setdefault((capture, name), deque()).append((seq, t))
+        return out
+
+    def keep(self, stacks: dict[tuple, deque]) -> None:
+        """The stacks as they are now, and one timer at the time at which the oldest start of all is given up."""
+        rows = [(*key, *start) for key, stack in stacks.items() for start in stack]
+        self.open.update((packed(rows, OPEN),))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        if oldest is not False and oldest is not None:
+        if rows:
+            oldest = min(stack[0][1] for stack in stacks.values() if stack)
             self.handle.registerTimer((oldest + self.patience) // MILLI + 1)
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stacks, out = self.stacks(), []
+        for of, marks in stretches(pd.concat(list(rows)), ["capture_id", "name"], ["t_ns", "seq"]):
+            stack = stacks.setdefault(of, deque())
+            for seq, t, step in zip(marks["seq"].tolist(), marks["t_ns"].tolist(), marks["step"].tolist(), strict=True):
+                while stack and (step == 0 or stack[0][1] + self.patience < t):
+                    out.append((*of, *stack.popleft(), None, "unterminated"))
+                if step > 0:
+                    stack.append((seq, t))
+                elif step < 0 and stack:
+                    out.append((*of, *stack.pop(), t, "paired"))
+                elif step < 0:
+                    out.append((*of, seq, None, t, "orphaned"))
+        self.keep(stacks)
+        yield table(out)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs() * MILLI
-        bottom, top = self.ends.get() or (0, 0)
-        out, oldest = [], None
-        while bottom < top:
-            start, since = self.stack.getValue((bottom,))
-            if since + self.patience >= now:
-                oldest = since
-                break
-            out.append((*key, start, since, None, "unterminated"))
-            self.stack.removeKey((bottom,))
-            bottom += 1
-        self.ends.update((bottom, top))
-        if oldest is not None:
-            self.handle.registerTimer((oldest + self.patience) // MILLI + 1)
+        stacks, out = self.stacks(), []
+        for of, stack in stacks.items():
+            while stack and stack[0][1] + self.patience < now:
+                out.append((*of, *stack.popleft(), None, "unterminated"))
+        self.keep(stacks)
         yield table(out)
 
 
@@ -109,5 +86,5 @@ def pairs(marks: DataFrame, patience_ns: int, delay: str = "0 seconds") -> DataF
     to an earlier start or is orphaned. Rows must not be older than the latest of earlier micro-batches by more than ``delay``.
     """
     stateful(marks.sparkSession)
-    timed = marks.withColumn("event_time", F.timestamp_micros(F.call_function("div", F.col("t_ns"), F.lit(1000).cast("bigint")))).withWatermark("event_time", delay)
-    return timed.groupBy("capture_id", "name").transformWithStateInPandas(Scopes(patience_ns), outputStructType=PAIRED, outputMode="Append", timeMode="EventTime")
+    timed = dealt(marks, "capture_id", "name").withColumn("event_time", F.timestamp_micros(F.call_function("div", F.col("t_ns"), F.lit(1000).cast("bigint")))).withWatermark("event_time", delay)
+    return timed.groupBy(GROUP).transformWithStateInPandas(Scopes(patience_ns), outputStructType=PAIRED, outputMode="Append", timeMode="EventTime")

@@ -1,7 +1,8 @@
 """What larger tables brought up: sums beyond a long, folders for each capture, calls for each device."""
 
-from joulegrid.operators import occurrences
+from joulegrid.operators import gaps, occurrences
 from joulegrid.schemas import EVENT_DEFS, EVENTS, SAMPLES
+from joulegrid.streaming import devices, groups, resolve, run
 
 
 def test_spans_whose_sum_is_beyond_a_long(spark):
@@ -12,3 +13,24 @@ def test_spans_whose_sum_is_beyond_a_long(spark):
     got = occurrences.event_stats(spark.createDataFrame(samples, SAMPLES), spark.createDataFrame(events, EVENTS), defs).first()
     assert (got["occurrences"], got["unsampled"], got["duration_ns_total"]) == (3, 0, 3.0 * day)
     assert got["duty_cycle"] == round(3 * day / (3 * (end + 1)), 9) > 0
+
+
+def test_devices_of_a_stream_share_calls_and_state(spark):
+    rows = [(f"c{c}", k, k * 1000 + c % 7 + 5000 * (k > 2 and c % 3 == 0), 5, 1) for c in range(1500) for k in range(4)]
+    samples = spark.createDataFrame(rows, SAMPLES)
+    want = sorted(tuple(x) for x in gaps.time_gaps(samples, 10**6).select("capture_id", "start_ns", "end_ns", "lost_estimate").collect())
+    found, stream = [], devices.time_gaps(run.replayed(samples, ["seq"], [2, 3]), 10**6)
+    query = stream.writeStream.foreachBatch(lambda batch, _: found.extend(map(tuple, batch.collect()))).start()
+    query.processAllAvailable()
+    held = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    query.stop()
+    assert sorted(found) == want and len(want) == 500
+    assert 0 < max(held) <= groups.GROUPS < 1500
+
+
+def test_samples_that_are_kept_apart_resolve_events(spark):
+    rows = [("d", "sample", k, k * 1000, k) for k in range(0, 3 * resolve.INLINE, 2)] + [("e", "sample", 0, 7, 0)]
+    events = [("d", "event", k, k * 1000 + 1, min(k + 900, 1500)) for k in range(1, 1400, 77)]
+    frame = spark.createDataFrame([*rows, *events], "device string, kind string, arrival long, ticks long, landed long")
+    got = run.drained(resolve.resolved(run.replayed(frame, ["landed"], [700, 1300]))).collect()
+    assert sorted((x["arrival"], x["full_ticks"]) for x in got) == [(e[2], e[3]) for e in events]
