@@ -12,6 +12,8 @@ from joulegrid.operators.names import hex_id, with_names
 from joulegrid.operators.regions import in_span
 
 FORMATS = ("csv", "json", "parquet")
+#: So many folders at most are written.
+FOLDERS = 1000
 
 
 class UnsupportedFormat(ValueError):
@@ -47,10 +49,16 @@ def gpio_rows(gpio: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, kind: str, partition_by: tuple[str, ...] = ("capture_id",)) -> None:
-    """Write a result, one folder for each capture; VCD is known but not written."""
+    """Write a result, one folder for each capture; VCD is known but not written.
+
+    Of over ``FOLDERS`` captures, none has a folder of its own: its name stays in its rows, which lie together in a file.
+    Folders and files so do not grow with the captures, and readers that are given the schema read either.
+    """
     if kind not in FORMATS:
         raise UnsupportedFormat(f"{kind!r}: one of {FORMATS}")
     keys = [c for c in partition_by if c in df.columns]
+    if keys and df.select(*keys).distinct().limit(FOLDERS + 1).count() > FOLDERS:
+        df, keys = df.repartition(*keys).sortWithinPartitions(*keys), []
     writer = df.write.partitionBy(*keys)
     if kind == "csv":
         writer = writer.option("header", True).option("emptyValue", "")

@@ -2,6 +2,7 @@
 
 from joulegrid.operators import gaps, occurrences
 from joulegrid.schemas import EVENT_DEFS, EVENTS, SAMPLES
+from joulegrid.sinks import export
 from joulegrid.streaming import devices, groups, resolve, run
 
 
@@ -34,3 +35,14 @@ def test_samples_that_are_kept_apart_resolve_events(spark):
     frame = spark.createDataFrame([*rows, *events], "device string, kind string, arrival long, ticks long, landed long")
     got = run.drained(resolve.resolved(run.replayed(frame, ["landed"], [700, 1300]))).collect()
     assert sorted((x["arrival"], x["full_ticks"]) for x in got) == [(e[2], e[3]) for e in events]
+
+
+def test_exports_of_many_captures_make_few_folders(spark, tmp_path):
+    rows = spark.range(3 * export.FOLDERS).selectExpr("CAST(id % 1500 AS STRING) AS capture_id", "id AS seq", "IF(id % 3 = 0, NULL, id) AS value")
+    want = sorted(map(tuple, rows.collect()), key=repr)
+    for kind in export.FORMATS:
+        export.write(rows, str(tmp_path / kind), kind)
+        reader = spark.read.schema(rows.schema)
+        back = (reader.option("header", True) if kind == "csv" else reader).format(kind).load(str(tmp_path / kind)).select(*rows.columns)
+        assert sorted(map(tuple, back.collect()), key=repr) == want
+        assert not [x for x in (tmp_path / kind).iterdir() if x.is_dir()]
