@@ -46,6 +46,9 @@ DEVICE_FIELDS = ("magic", "proto_version", "device_type", "timer_hz", "max_sampl
 REGIONS = 1 << 30
 MOST_CHUNKS = 1 << 33
 
+#: So many frames are unpacked together.
+FRAMES_AT_ONCE = 2048
+
 FRAMES = "device string, arrival long, status string, type int, seq int, payload binary"
 
 
@@ -192,41 +195,90 @@ def counters(decoded: DataFrame) -> DataFrame:
     return of_status.join(resyncs, "device", "left").join(lost, "device", "left").fillna(0)
 
 
-def unpacked(decoded: DataFrame, kind: str, unpack, schema: str, rows: int = 1 << 16) -> DataFrame:
-    """Records of all good frames of a type: device, arrival, and what ``unpack(payload)`` gives as columns of arrays.
+def unpacked(decoded: DataFrame, kind: str, unpack, schema: str) -> DataFrame:
+    """Records of all good frames of a type: device, arrival, and what ``unpack(payloads)`` gives as columns.
 
-    Frames are small, so the records of many go to Spark together, about ``rows`` at once.
+    ``unpack`` takes the payloads of a batch together: it returns how many records each of them has, and columns of all
+    records in order. Frames are small, and an array for each of them would take many times their bytes.
     """
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[pa.Array]] = []
-        names: list[str] = []
-        size = 0
-
-        def joined() -> pa.RecordBatch:
-            batch = pa.record_batch([pa.concat_arrays(c) for c in zip(*held, strict=True)], names)
-            held.clear()
-            return batch
-
-        for b in it:
-            for device, arrival, payload in zip(*(b.column(c).to_pylist() for c in ("device", "arrival", "payload")), strict=True):
-                columns = unpack(payload)
-                n = len(next(iter(columns.values())))
-                arrays = {"device": pa.array([device] * n, pa.string()), "arrival": pa.array([arrival] * n, pa.int64()), "record": pa.array(np.arange(n, dtype=np.int32))}
-                arrays |= {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()}
-                names = list(arrays)
-                held.append(list(arrays.values()))
-                size += n
-                if size >= rows:
-                    yield joined()
-                    size = 0
-        if held:
-            yield joined()
+        for b in (whole.slice(a, FRAMES_AT_ONCE) for whole in it for a in range(0, whole.num_rows, FRAMES_AT_ONCE)):
+            counts, columns = unpack(b.column("payload").to_pylist())
+            frame = np.repeat(np.arange(b.num_rows), counts)
+            record = (np.arange(len(frame)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+            arrays = {"device": b.column("device").take(pa.array(frame)), "arrival": b.column("arrival").take(pa.array(frame)), "record": pa.array(record)}
+            arrays |= {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()}
+            yield pa.record_batch(list(arrays.values()), list(arrays))
 
     chosen = decoded.where((F.col("status") == "ok") & (F.col("type") == TYPES[kind])).select("device", "arrival", "payload")
     return chosen.mapInArrow(work, f"device string, arrival long, record int, {schema}")
 
 
+def laid_out(payloads: list[bytes], size: int, counts: np.ndarray, layouts: np.ndarray, types: dict[int, list[tuple[str, str]]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Fields of all records of payloads, after their first ``size`` bytes: values, and which records have the field.
+
+    ``types`` has the fields of each layout that ``layouts`` names; each layout's records are read together.
+    """
+    raw = np.frombuffer(b"".join(payloads), np.uint8)
+    lengths = np.array([len(p) for p in payloads], np.int64)
+    starts = np.cumsum(lengths) - lengths + size
+    first = np.cumsum(counts) - counts
+    n = int(counts.sum())
+    out = {name: (np.zeros(n, np.int64), np.zeros(n, bool)) for fields in types.values() for name, _ in fields}
+    for layout, fields in types.items():
+        some = np.flatnonzero(layouts == layout)
+        of = counts[some]
+        within = np.arange(int(of.sum())) - np.repeat(np.cumsum(of) - of, of)
+        dtype = np.dtype(fields)
+        place = np.repeat(starts[some], of) + within * dtype.itemsize
+        rows = np.ascontiguousarray(raw[place[:, None] + np.arange(dtype.itemsize)]).reshape(-1).view(dtype)
+        at = np.repeat(first[some], of) + within
+        for name, _ in fields:
+            values, known = out[name]
+            values[at], known[at] = rows[name], True
+    return out
+
+
+def heads(payloads: list[bytes], dtype: np.dtype) -> np.ndarray:
+    """The fields at the beginning of each payload."""
+    return np.frombuffer(b"".join(p[: dtype.itemsize] for p in payloads), dtype)
+
+
+SAMPLES_HEAD = np.dtype([("t0", "<u4"), ("period", "<u4"), ("count", "<u2"), ("flags", "<u2")])
+RECORDS_HEAD = np.dtype([("count", "<u2"), ("size", "<u2")])
+
+
+def sample_records(payloads: list[bytes]) -> tuple[np.ndarray, dict]:
+    """Samples of many blocks."""
+    head = heads(payloads, SAMPLES_HEAD)
+    counts, flags = head["count"].astype(np.int64), head["flags"]
+    types = {f: [*([("t", "<u4")] if f & EXPLICIT_TS else []), ("i", "<i4"), *([] if f & NO_VOLTAGE else [("v", "<u4")])] for f in range(4)}
+    found = laid_out(payloads, 12, counts, flags & (EXPLICIT_TS | NO_VOLTAGE), types)
+    within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    counted = (np.repeat(head["t0"].astype(np.int64), counts) + within * np.repeat(head["period"].astype(np.int64), counts)) % (1 << 32)
+    (t, told), (i, _), (v, known) = (found[x] for x in "tiv")
+    overflow = (within == 0) & np.repeat((flags & OVERFLOW_BEFORE) != 0, counts)
+    return counts, {"ticks": np.where(told, t, counted), "current_ua": i.astype(np.int32), "voltage_uv": pa.array(v, mask=~known), "overflow_before": overflow}
+
+
+def event_records(payloads: list[bytes]) -> tuple[np.ndarray, dict]:
+    """Events of many frames."""
+    head = heads(payloads, RECORDS_HEAD)
+    counts = head["count"].astype(np.int64)
+    plain = [("t", "<u4"), ("id", "<u2")]
+    found = laid_out(payloads, 4, counts, head["size"], {6: plain, 10: [*plain, ("v", "<u4")]})
+    value, known = found["v"]
+    return counts, {"ticks": found["t"][0], "id": found["id"][0].astype(np.int32), "value": pa.array(value, mask=~known)}
+
+
+def gpio_records(payloads: list[bytes]) -> tuple[np.ndarray, dict]:
+    """Pin snapshots of many frames."""
+    counts = heads(payloads, RECORDS_HEAD)["count"].astype(np.int64)
+    found = laid_out(payloads, 4, counts, np.zeros(len(payloads)), {0: [("t", "<u4"), ("s", "<u2")]})
+    return counts, {"ticks": found["t"][0], "state": found["s"][0].astype(np.int32)}
+
+
 def _samples(payload: bytes) -> dict:
     t0, period, count, flags = struct.unpack_from("<IIHH", payload)
     names = [*(["t"] if flags & EXPLICIT_TS else []), "i", *([] if flags & NO_VOLTAGE else ["v"])]
@@ -256,51 +308,62 @@ SYNC_FIELDS = _fields("<IHHq", ("ticks", "wrap_count", "flags", "host_time_ns"))
 ERROR_FIELDS = _fields("<HHIII", ("code", "detail", "dropped_samples", "buffer_overflows", "context"))
 
 
+def single(layout: str, names: tuple[str, ...]):
+    """Payloads of one record each, all of a size."""
+
+    def unpack(payloads: list[bytes]) -> tuple[np.ndarray, dict]:
+        rows = list(struct.iter_unpack(layout, b"".join(payloads)))
+        return np.ones(len(rows), np.int64), {n: np.array(v, np.int64) for n, v in zip(names, zip(*rows, strict=True) if rows else [()] * len(names), strict=True)}
+
+    return unpack
+
+
 def samples(decoded: DataFrame) -> DataFrame:
     """Samples in device ticks; blocks without voltage have null, not 0, so that an assumed supply applies."""
-    return unpacked(decoded, "CURRENT_SAMPLES", _samples, "ticks long, current_ua int, voltage_uv long, overflow_before boolean")
+    return unpacked(decoded, "CURRENT_SAMPLES", sample_records, "ticks long, current_ua int, voltage_uv long, overflow_before boolean")
 
 
 def events(decoded: DataFrame) -> DataFrame:
-    return unpacked(decoded, "EVENT", _events, "ticks long, id int, value long")
+    return unpacked(decoded, "EVENT", event_records, "ticks long, id int, value long")
 
 
 def gpio(decoded: DataFrame) -> DataFrame:
-    return unpacked(decoded, "GPIO_EVENT", _gpio, "ticks long, state int")
+    return unpacked(decoded, "GPIO_EVENT", gpio_records, "ticks long, state int")
 
 
 def sync(decoded: DataFrame) -> DataFrame:
-    return unpacked(decoded, "SYNC", SYNC_FIELDS, "ticks long, wrap_count long, flags long, host_time_ns long")
+    return unpacked(decoded, "SYNC", single("<IHHq", ("ticks", "wrap_count", "flags", "host_time_ns")), "ticks long, wrap_count long, flags long, host_time_ns long")
 
 
 def markers(decoded: DataFrame) -> DataFrame:
-    return unpacked(decoded, "MARKER", _fields("<III", ("ticks", "marker_id", "value")), "ticks long, marker_id long, value long")
+    return unpacked(decoded, "MARKER", single("<III", ("ticks", "marker_id", "value")), "ticks long, marker_id long, value long")
 
 
 def errors(decoded: DataFrame) -> DataFrame:
-    return unpacked(decoded, "ERROR", ERROR_FIELDS, "code long, detail long, dropped_samples long, buffer_overflows long, context long")
+    return unpacked(decoded, "ERROR", single("<HHIII", ("code", "detail", "dropped_samples", "buffer_overflows", "context")), "code long, detail long, dropped_samples long, buffer_overflows long, context long")
 
 
 def hellos(decoded: DataFrame) -> DataFrame:
-    return unpacked(decoded, "HELLO", _fields("<HHI", ("proto_version", "nonce", "reserved")), "proto_version long, nonce long, reserved long")
+    return unpacked(decoded, "HELLO", single("<HHI", ("proto_version", "nonce", "reserved")), "proto_version long, nonce long, reserved long")
 
 
 def configs(decoded: DataFrame) -> DataFrame:
     names = ("sample_rate_hz", "averaging", "conv_time_code", "gpio_mask", "shunt_micro_ohm", "flags", "reserved")
-    return unpacked(decoded, "CONFIG", _fields("<IHHIiII", names), ", ".join(f"{n} long" for n in names))
+    return unpacked(decoded, "CONFIG", single("<IHHIiII", names), ", ".join(f"{n} long" for n in names))
 
 
-def _device(payload: bytes) -> dict:
-    v = DEVICE.unpack(payload)
-    out = {n: np.array([x], np.int64) for n, x in zip(DEVICE_FIELDS, (*v[:3], *v[6:-1]), strict=True)}
-    texts = [x.split(b"\0")[0].decode("ascii", "ignore") for x in v[3:5]]
-    return out | {"serial": pa.array([texts[0]]), "fw_version": pa.array([texts[1]]), "fw_build_id": pa.array([str(v[5])])}
+def device_records(payloads: list[bytes]) -> tuple[np.ndarray, dict]:
+    """What many devices say of themselves."""
+    rows = list(DEVICE.iter_unpack(b"".join(payloads)))
+    text = lambda k: pa.array([v[k].split(b"\0")[0].decode("ascii", "ignore") for v in rows], pa.string())
+    numbers = {n: np.array([v[k] for v in rows], np.int64) for n, k in zip(DEVICE_FIELDS, (0, 1, 2, *range(6, 13)), strict=True)}
+    return np.ones(len(rows), np.int64), numbers | {"serial": text(3), "fw_version": text(4), "fw_build_id": pa.array([str(v[5]) for v in rows], pa.string())}
 
 
 def device_infos(decoded: DataFrame) -> DataFrame:
     """What devices say of themselves; a build id uses all 64 bits and so is DECIMAL(20,0)."""
     schema = ", ".join(f"{n} long" for n in DEVICE_FIELDS) + ", serial string, fw_version string, fw_build_id string"
-    return unpacked(decoded, "DEVICE_INFO", _device, schema).withColumn("fw_build_id", F.col("fw_build_id").cast("decimal(20,0)"))
+    return unpacked(decoded, "DEVICE_INFO", device_records, schema).withColumn("fw_build_id", F.col("fw_build_id").cast("decimal(20,0)"))
 
 
 def unknown(decoded: DataFrame) -> DataFrame:

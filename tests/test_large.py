@@ -3,6 +3,7 @@
 from joulegrid.operators import gaps, occurrences
 from joulegrid.schemas import EVENT_DEFS, EVENTS, SAMPLES
 from joulegrid.sinks import export
+from joulegrid.sources import wire
 from joulegrid.streaming import devices, groups, resolve, run
 
 
@@ -46,3 +47,15 @@ def test_exports_of_many_captures_make_few_folders(spark, tmp_path):
         back = (reader.option("header", True) if kind == "csv" else reader).format(kind).load(str(tmp_path / kind)).select(*rows.columns)
         assert sorted(map(tuple, back.collect()), key=repr) == want
         assert not [x for x in (tmp_path / kind).iterdir() if x.is_dir()]
+
+
+def test_records_of_many_frames_are_unpacked_together():
+    samples = [wire.sample_block([5, 9], [1, -2], [3, 4]), wire.sample_block([], [], None), wire.sample_block([2**32 - 1, 0], [7, 8], None, wire.OVERFLOW_BEFORE, 3), wire.sample_block([4], [6], [2**32 - 1], 0)]
+    events = [wire.event_block([(1, 2, None), (3, 4, None)]), wire.event_block([]), wire.event_block([(2**32 - 1, 65535, 2**32 - 1)])]
+    pins = [wire.gpio_block([(1, 2), (2**32 - 1, 65535)]), wire.gpio_block([])]
+    for payloads, together, one in ((samples, wire.sample_records, wire._samples), (events, wire.event_records, wire._events), (pins, wire.gpio_records, wire._gpio)):
+        counts, columns = together(payloads)
+        each = [one(p) for p in payloads]
+        assert counts.tolist() == [len(x["ticks"]) for x in each]
+        for c, found in columns.items():
+            assert found.tolist() == [v for x in each for v in x[c].tolist()], c
