@@ -12,6 +12,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,21 @@ SCHEMAS = {
 COMPRESSIONS = ("none", "zstd", "lz4")
 #: Rows of small chunks that go to Spark together.
 BATCH_ROWS = 1 << 16
+#: So many chunks at most are held for a batch, as the arrays of a chunk of a row or two are far larger than these.
+BATCH_CHUNKS = 1 << 10
+#: Files up to this size are read at once.
+WHOLE = 1 << 20
+
+
+@cache
+def compressor() -> zstandard.ZstdCompressor:
+    """One of a worker: chunks may be small, and a context of their own would cost more than they do."""
+    return zstandard.ZstdCompressor(level=3)
+
+
+@cache
+def decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
 
 
 class InvalidCapture(ValueError):
@@ -152,7 +168,7 @@ def chunk_at(source, at: int, compression: int) -> tuple[tuple | None, bytes | N
             if compression == 2:
                 raw = pa.decompress(raw[4:], struct.unpack_from("<I", raw)[0], "lz4_raw", asbytes=True)
             else:
-                raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=max(1, head[2]))
+                raw = decompressor().decompress(raw, max_output_size=max(1, head[2]))
     except (zstandard.ZstdError, pa.ArrowException, OSError):
         return head, None
     return head, raw if len(raw) == head[2] else None
@@ -335,7 +351,8 @@ class CaptureReader(DataSourceReader):
         held: list[list[pa.Array]] = []
         size = 0
         for path, name, some in partition.parts:
-            with open_file(path) as source:
+            with open_file(path) as file:
+                source = pa.BufferReader(file.read()) if some is None and file.size() <= WHOLE else file
                 if some is None:
                     header, entries = self.wanted(source)
                 else:
@@ -360,7 +377,7 @@ class CaptureReader(DataSourceReader):
                             first.append(pa.array((k << 32) + np.arange(n, dtype=np.int64)))
                         held.append([*first, *columns])
                         size += n
-                        if size >= BATCH_ROWS:
+                        if size >= BATCH_ROWS or len(held) >= BATCH_CHUNKS:
                             yield joined(held, names)
                             held, size = [], 0
         if rows:
@@ -437,7 +454,7 @@ def register(spark) -> None:
 def packed_chunk(kind: int, content: bytes, first: int, last: int, compression: int) -> bytes:
     stored, flags = content, 0
     if compression == 1:
-        stored, flags = zstandard.ZstdCompressor(level=3).compress(content), 1
+        stored, flags = compressor().compress(content), 1
     elif compression == 2:
         stored, flags = struct.pack("<I", len(content)) + pa.compress(content, "lz4_raw", asbytes=True), 1
     head = CHUNK.pack(b"CHNK", kind, flags, len(content), len(stored), first, last, zlib.crc32(stored))

@@ -1,9 +1,11 @@
 """What larger tables brought up: sums beyond a long, folders for each capture, calls for each device."""
 
+import numpy as np
+
 from joulegrid.operators import gaps, occurrences
 from joulegrid.schemas import EVENT_DEFS, EVENTS, SAMPLES
 from joulegrid.sinks import export
-from joulegrid.sources import wire
+from joulegrid.sources import capture_file, wire
 from joulegrid.streaming import devices, groups, resolve, run
 
 
@@ -59,3 +61,13 @@ def test_records_of_many_frames_are_unpacked_together():
         assert counts.tolist() == [len(x["ticks"]) for x in each]
         for c, found in columns.items():
             assert found.tolist() == [v for x in each for v in x[c].tolist()], c
+
+
+def test_batches_of_tiny_chunks_are_bounded(tmp_path):
+    n = 3 * capture_file.BATCH_CHUNKS
+    chunks = [capture_file.sample_chunk(np.array([k * 2**33]), np.array([k]), None) for k in range(n)]
+    (tmp_path / "c-0.pprof").write_bytes(capture_file.capture_bytes(chunks))
+    reader = capture_file.CaptureReader({"path": str(tmp_path)})
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert max(b.num_rows for b in batches) <= capture_file.BATCH_CHUNKS
+    assert [i for b in batches for i in b.column("current_ua").to_pylist()] == list(range(n))
