@@ -1,8 +1,8 @@
 """Frames of the device protocol, out of landed chunks of bytes and into DataFrames.
 
-Chunks may cut frames anywhere. Every chunk is split at its delimiters by itself; only what lies before its first and
-after its last delimiter is joined with its neighbours, in groups numbered by a running count. No task reads a device's
-whole stream.
+Chunks may cut frames anywhere. Every chunk is split at its delimiters by itself, once; only what lies before its first and
+after its last delimiter is joined with its neighbours: within slices of a device's chunks, and over slices where a region
+goes on beyond one. No task reads a device's whole stream.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from joulegrid.operators.gaps import sequence_gaps
-from joulegrid.operators.ordered import running, with_next
+from joulegrid.shared import stored
 
 #: Fixed values of the protocol, version 1.0.
 MAX_PAYLOAD, MAX_FRAME, MAX_ENCODED = 1024, 1032, 1038
@@ -128,11 +128,13 @@ def opened(region: bytes) -> tuple[str, int | None, int | None, bytes | None]:
     return ("ok" if well_formed(kind, payload) else "payload"), kind, seq, payload
 
 
-def regions(chunks: DataFrame) -> DataFrame:
+def regions(chunks: DataFrame, slice_chunks: int = 1 << 16) -> DataFrame:
     """device, arrival (long, increasing), bytes: what lies between delimiters, out of (device, chunk, bytes) rows.
 
     Empty regions are idle line and left out, and so is what follows the last delimiter. A region over MAX_ENCODED is
     kept as its first bytes only, which is enough to refuse it, so that no line without delimiters fills a task.
+    Chunks are read and split once, and what they hold is stored. A region is put together where ``slice_chunks`` chunks
+    of a device are; two rows of a slice, what ends and what begins a region elsewhere, are joined by device.
     """
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,23 +151,37 @@ def regions(chunks: DataFrame) -> DataFrame:
 
     wrong = F.raise_error(F.concat(F.lit(f"chunks are numbered from 0 to {MOST_CHUNKS - 1}, not "), F.col("chunk").cast("string"))).cast("bigint")
     number = F.when((F.col("chunk") >= 0) & (F.col("chunk") < MOST_CHUNKS), F.col("chunk")).otherwise(wrong)
-    parts = chunks.select("device", number.alias("chunk"), "bytes").mapInArrow(split, "device string, chunk long, whole boolean, head binary, tail binary, inner array<binary>")
-    numbered = running(parts, ("device",), ("chunk",), F.when(F.col("whole"), 1).otherwise(0), 1 << 16)
+    parts = stored(chunks.select("device", number.alias("chunk"), "bytes").mapInArrow(split, "device string, chunk long, whole boolean, head binary, tail binary, inner array<binary>"))
+    sliced = parts.select("device", F.floor(F.col("chunk") / F.lit(slice_chunks)).alias("slice"), "chunk", "whole", "head", "tail")
+    opens = F.sum(F.col("whole").cast("bigint")).over(W.partitionBy("device", "slice").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0))
+    piece = lambda group, place, part, ends: F.struct(group.alias("group"), place.alias("place"), F.col(part).alias("part"), F.lit(ends).alias("ends"))
     # A chunk's head ends the group that was open before it; a chunk with a delimiter opens the next with its tail.
-    before = F.col("total") - F.when(F.col("whole"), 1).otherwise(0)
-    heads = numbered.select("device", before.alias("group"), (2 * F.col("chunk")).alias("place"), F.col("head").alias("part"), F.col("whole").alias("ends"))
-    tails = numbered.where("whole").select("device", F.col("total").alias("group"), (2 * F.col("chunk") + 1).alias("place"), F.col("tail").alias("part"), F.lit(False).alias("ends"))
-    cut = heads.unionByName(tails)
-    upto = running(cut, ("device", "group"), ("place",), F.length("part"), 1 << 17)
-    useful = upto.where((F.col("total") - F.length("part") <= MAX_ENCODED) & ((F.length("part") > 0) | F.col("ends")))
-    joined = useful.groupBy("device", "group").agg(F.max("ends").alias("ends"), F.array_sort(F.collect_list(F.struct("place", "part"))).alias("parts"))
-    ends = heads.where("ends").select("device", "group", F.col("place").alias("end"))
-    stitched = joined.join(ends, ["device", "group"]).select("device", (F.shiftright("end", 1) * REGIONS).alias("arrival"), F.array_join(F.transform("parts", lambda p: F.hex(p["part"])), "").alias("digits"))
-    stitched = stitched.select("device", "arrival", F.unhex("digits").alias("bytes"))
-    inner = numbered.select("device", "chunk", F.posexplode("inner").alias("k", "bytes")).select("device", (F.col("chunk") * REGIONS + F.col("k") + 1).alias("arrival"), "bytes")
+    line, chunk = F.col("opens"), F.col("chunk")
+    both = F.array(piece(line - 1, 2 * chunk, "head", True), piece(line, 2 * chunk + 1, "tail", False))
+    cut = sliced.withColumn("opens", opens).select("device", "slice", F.explode(F.when(F.col("whole"), both).otherwise(F.array(piece(line, 2 * chunk, "head", False)))).alias("p"))
+    groups = _together(cut.select("device", "slice", "p.*"), ("device", "slice", "group"))
+    # A slice's group 0 began in an earlier one, and a group without an end goes on in a later one.
+    across = (F.col("group") == 0) | F.col("end").isNull()
+    closed = F.sum(F.col("end").isNotNull().cast("bigint")).over(W.partitionBy("device").orderBy("slice", "group").rowsBetween(W.unboundedPreceding, -1))
+    edges = groups.where(across).select("device", F.coalesce(closed, F.lit(0)).alias("group"), F.coalesce("end", "place").alias("place"), F.col("bytes").alias("part"), F.col("end").isNotNull().alias("ends"))
+    ended = groups.where(~across).select("device", "end", "bytes").unionByName(_together(edges, ("device", "group")).where(F.col("end").isNotNull()).select("device", "end", "bytes"))
+    stitched = ended.select("device", (F.shiftright("end", 1) * REGIONS).alias("arrival"), "bytes")
+    inner = parts.select("device", "chunk", F.posexplode("inner").alias("k", "bytes")).select("device", (F.col("chunk") * REGIONS + F.col("k") + 1).alias("arrival"), "bytes")
     return stitched.unionByName(inner).where(F.length("bytes") > 0)
 
 
+def _together(pieces: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Pieces of each group put together in order of ``place``: its last place, its ``end`` (null if open) and its bytes.
+
+    Pieces that begin beyond MAX_ENCODED bytes are dropped.
+    """
+    before = F.coalesce(F.sum(F.length("part")).over(W.partitionBy(*keys).orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    useful = pieces.withColumn("before", before).where((F.col("before") <= MAX_ENCODED) & (F.length("part") > 0) | F.col("ends"))
+    kept = F.when((F.col("before") <= MAX_ENCODED) & (F.length("part") > 0), F.struct("place", "part"))
+    joined = useful.groupBy(*keys).agg(F.max("place").alias("place"), F.max(F.when(F.col("ends"), F.col("place"))).alias("end"), F.array_sort(F.collect_list(kept)).alias("parts"))
+    return joined.select(*keys, "place", "end", F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["part"])), "")).alias("bytes"))
+
+
 def frames(chunks: DataFrame) -> DataFrame:
     """Every region with its status; refused ones stay, so that losses can be counted."""
 
@@ -179,20 +195,29 @@ def frames(chunks: DataFrame) -> DataFrame:
     return regions(chunks).mapInArrow(work, FRAMES)
 
 
-def counters(decoded: DataFrame) -> DataFrame:
+def counters(decoded: DataFrame, slice_arrivals: int = REGIONS << 10) -> DataFrame:
     """By device: frames, refusals by kind, sequence gaps, and resyncs (a good frame right after a refused region).
 
-    A frame whose payload alone is malformed still counts for the sequence.
+    A frame whose payload alone is malformed still counts for the sequence. Frames are read once: they are counted by slice
+    of a device's line, and what a slice's first frame is to the last one before it is added from a row of each slice.
     """
-    has_seq = decoded.withColumn("accepted", F.col("status").isin("ok", "payload"))
-    of_status = has_seq.groupBy("device").agg(
-        F.count_if(F.col("status") == "ok").alias("frames"), *(F.count_if(F.col("status") == s).alias(f"{s}_errors") for s in ("cobs", "length", "crc", "payload")),
-        F.count_if(F.col("status") == "oversize").alias("oversize"),
+    seq = F.when(F.col("status").isin("ok", "payload"), F.col("seq"))
+    rows = decoded.select("device", "arrival", "status", seq.alias("seq"), F.floor(F.col("arrival") / F.lit(slice_arrivals)).alias("slice"))
+    here, slices = W.partitionBy("device", "slice").orderBy("arrival"), W.partitionBy("device").orderBy("slice")
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    resync = lambda before, now: (F.col(before) != "ok") & (F.col(now) == "ok")
+    gap = lambda before, now: F.col(now) != (F.col(before) + 1) % 256
+    pairs = rows.withColumn("status_before", F.lag("status").over(here)).withColumn("seq_before", F.last("seq", True).over(earlier(here)))
+    place = F.when(F.col("seq").isNotNull(), F.col("arrival"))
+    counts = {"frames": F.col("status") == "ok"} | {f"{s}_errors": F.col("status") == s for s in ("cobs", "length", "crc", "payload")} | {"oversize": F.col("status") == "oversize"}
+    of_slice = pairs.groupBy("device", "slice").agg(
+        *(F.count_if(c).alias(name) for name, c in counts.items()), F.count_if(resync("status_before", "status")).alias("resyncs"), F.count_if(gap("seq_before", "seq")).alias("seq_gaps"),
+        F.min_by("status", "arrival").alias("status"), F.max_by("status", "arrival").alias("last_status"), F.min_by("seq", place).alias("seq"), F.max_by("seq", place).alias("last_seq"),
     )
-    pairs = with_next(decoded, ("device",), ("arrival",), ("status",), REGIONS << 10)
-    resyncs = pairs.where("status <> 'ok' AND next.status = 'ok'").groupBy("device").agg(F.count("*").alias("resyncs"))
-    lost = sequence_gaps(has_seq, slice_rows=REGIONS << 10).select("device", F.col("gaps").alias("seq_gaps"))
-    return of_status.join(resyncs, "device", "left").join(lost, "device", "left").fillna(0)
+    edges = of_slice.withColumn("status_before", F.lag("last_status").over(slices)).withColumn("seq_before", F.last("last_seq", True).over(earlier(slices)))
+    added = {"resyncs": resync("status_before", "status"), "seq_gaps": gap("seq_before", "seq")}
+    total = lambda name, c: (F.sum(name) + F.count_if(c)).alias(name)
+    return edges.groupBy("device").agg(*(F.sum(name).alias(name) for name in counts), *(total(name, c) for name, c in added.items()))
 
 
 def unpacked(decoded: DataFrame, kind: str, unpack, schema: str) -> DataFrame:
@@ -425,10 +450,19 @@ def encoded_samples(rows: DataFrame, block: int = 64) -> DataFrame:
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
+            rows = b.column("rows").flatten()
+            ticks, current, voltage = (rows.field(c) for c in ("ticks", "current_ua", "voltage_uv"))
+            records = np.empty(len(rows), np.dtype([("t", "<u4"), ("i", "<i4"), ("v", "<u4")]))
+            if rows.null_count or ticks.null_count or current.null_count or voltage.null_count:
+                raise ValueError("a sample without its ticks, current or voltage is in no block")
+            for name, values in (("t", ticks.cast(pa.uint32())), ("i", current.cast(pa.int32())), ("v", voltage.cast(pa.uint32()))):
+                records[name] = values.to_numpy()
+            raw, size, first = records.tobytes(), records.dtype.itemsize, 0
             out = []
-            for chunk, some in zip(b.column("chunk").to_pylist(), b.column("rows").to_pylist(), strict=True):
-                payload = sample_block([r["ticks"] for r in some], [r["current_ua"] for r in some], [r["voltage_uv"] for r in some])
-                out.append(frame(TYPES["CURRENT_SAMPLES"], chunk, payload))
+            for chunk, n in zip(b.column("chunk").to_pylist(), b.column("rows").value_lengths().to_pylist(), strict=True):
+                head = struct.pack("<IIHH", int(records["t"][first]), 0, n, EXPLICIT_TS)
+                out.append(frame(TYPES["CURRENT_SAMPLES"], chunk, head + raw[first * size : (first + n) * size]))
+                first += n
             yield pa.record_batch([b.column("device"), b.column("chunk"), pa.array(out, pa.binary())], ["device", "chunk", "bytes"])
 
     return held.mapInArrow(work, "device string, chunk long, bytes binary")

@@ -1,5 +1,8 @@
 """What larger tables brought up: sums beyond a long, folders for each capture, calls for each device."""
 
+import random
+import uuid
+
 import numpy as np
 
 from joulegrid.operators import gaps, occurrences
@@ -71,3 +74,66 @@ def test_batches_of_tiny_chunks_are_bounded(tmp_path):
     batches = [b for p in reader.partitions() for b in reader.read(p)]
     assert max(b.num_rows for b in batches) <= capture_file.BATCH_CHUNKS
     assert [i for b in batches for i in b.column("current_ua").to_pylist()] == list(range(n))
+
+
+def torn_lines(n: int = 400) -> tuple[list[tuple[str, int, bytes]], dict[str, list[bytes]]]:
+    """Lines of good, bad, long and empty regions in chunks of any size, and what lies between their delimiters."""
+    r = random.Random(7)
+    chunks, regions = [], {}
+    for device in "ab":
+        line = b""
+        for k in range(n):
+            good = wire.frame(wire.TYPES["MARKER"], k + (k > n // 2), wire.packed("MARKER", {"ticks": k, "marker_id": 1, "value": 2}))
+            line += r.choice([good, good, good, b"\t\1\0", b"\0", b"x" * (wire.MAX_ENCODED + r.randrange(3)) + b"\0", wire.frame(0x14, k, b"abc")])
+        at = 0
+        while at < len(line):
+            size = r.choice([0, 1, 1, 2, 3, 30, 400])
+            chunks.append((device, len(chunks), line[at : at + size]))
+            at += size
+        chunks.append((device, len(chunks), b"left over"))
+        regions[device] = [x for x in line.split(b"\0")[:-1] if x]
+    return chunks, regions
+
+
+def test_regions_and_counters_do_not_depend_on_slices(spark):
+    chunks, want = torn_lines()
+    df = spark.createDataFrame(chunks, "device string, chunk long, bytes binary").repartition(5)
+    counted = []
+    for slice_chunks, arrivals in ((1 << 16, wire.REGIONS << 10), (1, wire.REGIONS), (3, 5 * wire.REGIONS), (64, 1 << 5)):
+        got = {d: [] for d in want}
+        for x in wire.regions(df, slice_chunks).orderBy("device", "arrival").collect():
+            got[x["device"]].append(bytes(x["bytes"]))
+        for d, some in want.items():
+            assert [x[: wire.MAX_ENCODED + 1] for x in got[d]] == [x[: wire.MAX_ENCODED + 1] for x in some]
+        counted.append(sorted(map(tuple, wire.counters(wire.frames(df), arrivals).collect())))
+    for (d, some), row in zip(sorted(want.items()), counted[0], strict=True):
+        found = [wire.opened(x) for x in some]
+        status, seqs = [x[0] for x in found], [x[2] for x in found if x[0] in ("ok", "payload")]
+        pairs = lambda v: zip(v[:-1], v[1:], strict=True)
+        resyncs, gaps = sum(a != "ok" and b == "ok" for a, b in pairs(status)), sum(b != (a + 1) % 256 for a, b in pairs(seqs))
+        assert row == (d, *(status.count(s) for s in ("ok", "cobs", "length", "crc", "payload", "oversize")), resyncs, gaps) and gaps and resyncs
+    assert all(x == counted[0] for x in counted)
+
+
+def test_landed_chunks_are_read_once(spark, tmp_path):
+    def seen(it):
+        for b in it:
+            with open(tmp_path / uuid.uuid4().hex, "w") as f:
+                f.write(str(b.num_rows))
+            yield b
+
+    chunks, _ = torn_lines(60)
+    df = spark.createDataFrame(chunks, "device string, chunk long, bytes binary")
+    assert wire.counters(wire.frames(df.mapInArrow(seen, df.schema))).count() == 2
+    assert sum(int(x.read_text()) for x in tmp_path.iterdir()) == len(chunks)
+
+
+def test_blocks_of_a_batch_are_packed_together(spark):
+    r = random.Random(3)
+    rows = [(d, n, r.randrange(2**32), r.randrange(-(2**31), 2**31), r.randrange(2**32)) for d in "abc" for n in range(100 + ord(d) % 5)]
+    df = spark.createDataFrame(rows, "device string, n long, ticks long, current_ua int, voltage_uv long")
+    got = {(x["device"], x["chunk"]): bytes(x["bytes"]) for x in wire.encoded_samples(df, 8).collect()}
+    blocks = {}
+    for d, n, *sample in rows:
+        blocks.setdefault((d, n // 8), []).append(sample)
+    assert got == {k: wire.frame(wire.TYPES["CURRENT_SAMPLES"], k[1], wire.sample_block(*map(list, zip(*some, strict=True)))) for k, some in blocks.items()}
