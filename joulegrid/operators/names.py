@@ -33,9 +33,9 @@ def with_capture_names(events: DataFrame, defs: DataFrame) -> DataFrame:
 
     ``defs`` has a row for each definition of each capture, so it grows with captures and is broadcast only while small.
     """
-    starts = defs.select("capture_id", F.col("start_id").alias("id"), "name", "category")
-    stops = defs.where("stop_id IS NOT NULL").select("capture_id", F.col("stop_id").alias("id"), F.concat("name", F.lit(":stop")).alias("name"), "category")
-    named = events.join(broadcast_if_small(starts.unionByName(stops)), ["capture_id", "id"], "left")
+    both = F.array(F.struct(F.col("start_id").alias("id"), "name"), F.struct(F.col("stop_id").alias("id"), F.concat("name", F.lit(":stop")).alias("name")))
+    ids = defs.select("capture_id", "category", F.explode(both).alias("e")).select("capture_id", "e.*", "category").where("id IS NOT NULL")
+    named = events.join(broadcast_if_small(ids), ["capture_id", "id"], "left")
     return named.withColumn("name", F.coalesce("name", hex_id(F.col("id"))))
 
 

@@ -3,13 +3,15 @@
 A file holds a capture's slice of time: metadata first, so that a file that breaks off still has names, then samples,
 events, pins and sync rows in chunks, and a summary of the samples in buckets. Tasks write drafts in a folder of the job;
 only the driver's commit gives them their names, once all tasks have ended well, so neither a failed attempt nor a failed
-job leaves a file that readers see. Beside the files lies what times they have rows of, so that a reader of a span opens
-only those that it meets.
+job leaves a file that readers see. Tasks list their drafts in a file of their own, and the driver goes through these one
+after the other, so it holds neither all files nor all their names. Beside the files lies what times they have rows of, so
+that a reader of a span opens only those that it meets; more than ``FOLDER_FILES`` files lie in subfolders.
 """
 
 from __future__ import annotations
 
 import contextlib
+import io
 import json
 import uuid
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from joulegrid.operators.buckets import LEVELS_NS
 from joulegrid.operators.ordered import slice_length
-from joulegrid.sinks.capture_writer import CHUNK_ROWS, FILE_ROWS, chunk_edges, record_chunk
+from joulegrid.sinks.capture_writer import CHUNK_ROWS, FILE_ROWS, SUBFOLDER, chunk_edges, is_spread, note_zones, record_chunk, spread, subfolder
 from joulegrid.sources.capture_file import COMPRESSIONS, HAS_EVENTS, HAS_GPIO, HAS_VOLTAGE, KINDS, NO_TIME, TIMED, ZONES, capture_bytes, sample_chunk, summary_content
 from joulegrid.sources.metadata import encoded
 
@@ -31,7 +33,9 @@ RECORDS = "capture_id string, slice long, place int, t_ns long, seq long, curren
 #: Kinds in the order in which a file has them, and the columns of their rows, the time first.
 PLACES = ("metadata", "samples", "events", "gpio", "sync")
 COLUMNS = {"events": ("t_ns", "id", "value"), "gpio": ("t_ns", "state"), "sync": ("t_ns", "host_recv_ns", "device_ticks")}
-DRAFTS = "_drafts"
+DRAFTS, LISTED = "_drafts", "listed.jsonl"
+#: Of so many files the driver notes the times together.
+NOTED = 1 << 16
 
 
 class InvalidRecords(ValueError):
@@ -91,9 +95,21 @@ def file_bytes(parts: dict[str, pa.Table], compression: int, levels: tuple[int,
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Drafts of a task, the names that they are to have, and of each its size and the times that it has rows of, by kind."""
+    """The folder of a task's drafts, numbered from 0, and how many they are.
+
+    A list beside them has a line for each: the name that it is to have, its size and the times that it has rows of, by kind.
+    """
+
+    folder: str
+    files: int
 
-    files: list[tuple[str, str, dict]]
+
+def drafts(fs: pafs.FileSystem, tasks: list[Written]) -> Iterator[tuple[str, str, str]]:
+    """Each draft, the name that it is to have, and its line."""
+    for task in tasks:
+        with fs.open_input_stream(f"{task.folder}/{LISTED}", compression=None) as raw:
+            for k, line in enumerate(io.TextIOWrapper(raw, encoding="utf-8")):
+                yield f"{task.folder}/{k}", json.loads(line)["file"], line
 
 
 class CaptureSink(DataSourceArrowWriter):
@@ -116,57 +132,65 @@ class CaptureSink(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, folder = self.store()
-        drafts = f"{folder}/{DRAFTS}-{self.job}"
-        fs.create_dir(drafts, recursive=True)
-        done: list[tuple[str, str, dict]] = []
-        key, held = None, {}
+        folder = f"{folder}/{DRAFTS}-{self.job}/{uuid.uuid4().hex}"
+        fs.create_dir(folder, recursive=True)
+        key, held, done = None, {}, Written(folder, 0)
 
         def put() -> None:
-            name = f"{key[0]}-{key[1]}.pprof"
-            draft = f"{drafts}/{uuid.uuid4().hex}"
             parts = {PLACES[p]: pa.Table.from_batches(bs) for p, bs in held.items()}
             content = file_bytes(parts, self.compression, self.levels, self.timer_hz)
-            with fs.open_output_stream(draft, compression=None) as out:
+            with fs.open_output_stream(f"{folder}/{done.files}", compression=None) as out:
                 out.write(content)
             times = {kind: [t["t_ns"][0].as_py(), t["t_ns"][-1].as_py()] for kind, t in parts.items() if kind in TIMED}
-            done.append((draft, f"{folder}/{name}", {"file": name, "size": len(content), "times": times}))
-
-        for b in iterator:
-            if not b.num_rows:
-                continue
-            captures, slices, places = b.column("capture_id").to_pylist(), b.column("slice").to_numpy(zero_copy_only=False), b.column("place").to_numpy()
-            if b.column("capture_id").null_count or b.column("slice").null_count:
-                raise InvalidRecords("a row has no capture or no time")
-            change = [k for k in range(1, b.num_rows) if places[k] != places[k - 1] or slices[k] != slices[k - 1] or captures[k] != captures[k - 1]]
-            for a, z in zip([0, *change], [*change, b.num_rows], strict=True):
-                now = (captures[a], int(slices[a]))
-                if now != key and held:
-                    put()
-                    held = {}
-                key = now
-                held.setdefault(int(places[a]), []).append(b.slice(a, z - a))
-        if held:
-            put()
-        return Written(done)
+            listed.write((json.dumps({"file": f"{key[0]}-{key[1]}.pprof", "size": len(content), "times": times}) + "\n").encode())
+            done.files += 1
+
+        with fs.open_output_stream(f"{folder}/{LISTED}", compression=None) as listed:
+            for b in iterator:
+                if not b.num_rows:
+                    continue
+                captures, slices, places = b.column("capture_id").to_pylist(), b.column("slice").to_numpy(zero_copy_only=False), b.column("place").to_numpy()
+                if b.column("capture_id").null_count or b.column("slice").null_count:
+                    raise InvalidRecords("a row has no capture or no time")
+                change = [k for k in range(1, b.num_rows) if places[k] != places[k - 1] or slices[k] != slices[k - 1] or captures[k] != captures[k - 1]]
+                for a, z in zip([0, *change], [*change, b.num_rows], strict=True):
+                    now = (captures[a], int(slices[a]))
+                    if now != key and held:
+                        put()
+                        held = {}
+                    key = now
+                    held.setdefault(int(places[a]), []).append(b.slice(a, z - a))
+            if held:
+                put()
+        return done
 
     def commit(self, messages: list[Written | None]) -> None:
         """Names the drafts. Overwriting removes the files that were there, but only once the new ones are all written."""
         fs, folder = self.store()
         fs.create_dir(folder, recursive=True)
-        files = [f for m in messages if m is not None for f in m.files]
-        zones = f"{folder}/{ZONES}"
+        tasks = [m for m in messages if m is not None]
         if self.overwrite:
             for old in fs.get_file_info(pafs.FileSelector(folder)):
                 if old.path.endswith(".pprof"):
                     fs.delete_file(old.path)
-            with contextlib.suppress(FileNotFoundError, OSError):
-                fs.delete_dir(zones)
-        for draft, name, _ in files:
-            fs.move(draft, name)
-        if files:
-            fs.create_dir(zones, recursive=True)
-            with fs.open_output_stream(f"{zones}/{self.job}.jsonl", compression=None) as out:
-                out.write("".join(json.dumps(zone) + "\n" for _, _, zone in files).encode())
+                elif old.base_name == ZONES or old.base_name.startswith(SUBFOLDER):
+                    fs.delete_dir(old.path)
+        many = is_spread(self.folder, sum(m.files for m in tasks))
+        if many:
+            spread(self.folder)
+        zones: dict[str, list[str]] = {}
+        made = {folder}
+        for k, (draft, file, line) in enumerate(drafts(fs, tasks)):
+            place = f"{folder}/{subfolder(file)}" if many else folder
+            if place not in made:
+                fs.create_dir(place, recursive=True)
+                made.add(place)
+            fs.move(draft, f"{place}/{file}")
+            zones.setdefault(place, []).append(line)
+            if k % NOTED == NOTED - 1:
+                note_zones(fs, zones, f"{self.job}-{k // NOTED}")
+                zones = {}
+        note_zones(fs, zones, self.job)
         self.clear()
 
     def abort(self, messages: list[Written | None]) -> None:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +17,49 @@ from pyspark.sql import functions as F
 
 from joulegrid.operators.ordered import slice_length
 from joulegrid.shared import settle
-from joulegrid.sources.capture_file import HAS_EVENTS, HAS_GPIO, HAS_VOLTAGE, KINDS, ROWS, capture_bytes, sample_chunk
+from joulegrid.sources.capture_file import HAS_EVENTS, HAS_GPIO, HAS_VOLTAGE, KINDS, ROWS, ZONES, capture_bytes, sample_chunk, zones_of
 
 CHUNK_ROWS = 8192
 #: About so many samples are in a file at most.
 FILE_ROWS = 4_000_000
+#: A folder of more files than this has them in so many subfolders, as who lists it holds one folder's files at a time.
+FOLDER_FILES, SUBFOLDERS, SUBFOLDER = 4096, 1024, "of-1024-"
+
+
+def subfolder(file: str) -> str:
+    """Where a file lies in a folder of many: of one name there is one file, whoever writes it."""
+    return f"{SUBFOLDER}{zlib.crc32(file.encode()) % SUBFOLDERS:04d}"
+
+
+def is_spread(folder: str, more: int) -> bool:
+    """Whether a folder has its files in subfolders, or is to have them there with so many more."""
+    fs, name = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+    found = fs.get_file_info(pafs.FileSelector(name, allow_not_found=True))
+    return any(x.base_name.startswith(SUBFOLDER) and x.type == pafs.FileType.Directory for x in found) or more + sum(x.base_name.endswith(".pprof") for x in found) > FOLDER_FILES
+
+
+def spread(folder: str) -> None:
+    """Moves files that lie in a folder itself to their subfolders, and with them what is noted of their times."""
+    fs, name = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+    known, zones = zones_of(folder), {}
+    for x in fs.get_file_info(pafs.FileSelector(name, allow_not_found=True)):
+        if x.base_name.endswith(".pprof"):
+            place = f"{name}/{subfolder(x.base_name)}"
+            fs.create_dir(place, recursive=True)
+            fs.move(x.path, f"{place}/{x.base_name}")
+            if (x.base_name, x.size) in known:
+                zones.setdefault(place, []).append(json.dumps({"file": x.base_name, "size": x.size, "times": known[x.base_name, x.size]}) + "\n")
+    note_zones(fs, zones, uuid.uuid4().hex)
+    with contextlib.suppress(FileNotFoundError, OSError):
+        fs.delete_dir(f"{name}/{ZONES}")
+
+
+def note_zones(fs: pafs.FileSystem, zones: dict[str, list[str]], name: str) -> None:
+    """Writes beside the files of each folder, a line for each, what times they have rows of."""
+    for place, some in zones.items():
+        fs.create_dir(f"{place}/{ZONES}", recursive=True)
+        with fs.open_output_stream(f"{place}/{ZONES}/{name}.jsonl", compression=None) as out:
+            out.write("".join(some).encode())
 
 
 def chunk_edges(t: np.ndarray, unknown: np.ndarray) -> list[tuple[int, int]]:
@@ -68,8 +109,11 @@ def write_captures(samples: DataFrame, folder: str, slice_ns: int | None = None,
             flags = 0 if unknown.all() else HAS_VOLTAGE
         else:
             chunks = [record_chunk(kind, [table[c] for c in names_of], a, min(a + CHUNK_ROWS, len(t))) for a in range(0, len(t), CHUNK_ROWS)]
-        path = f"{folder}/{key[0]}-{key[1]}.pprof"
+        file = f"{key[0]}-{key[1]}.pprof"
+        path = f"{folder}/{subfolder(file)}/{file}" if many else f"{folder}/{file}"
         fs, name = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+        if many:
+            fs.create_dir(name.rpartition("/")[0], recursive=True)
         draft = f"{name}.{uuid.uuid4().hex}"
         with fs.open_output_stream(draft, compression=None) as out:
             out.write(capture_bytes(chunks, compression, flags=flags))
@@ -98,5 +142,8 @@ def write_captures(samples: DataFrame, folder: str, slice_ns: int | None = None,
         yield pa.record_batch([pa.array(paths, pa.string()), pa.array(rows, pa.int64())], ["path", "rows"])
 
     sliced = samples.withColumn("slice", F.call_function("div", F.col(time), F.lit(slice_ns).cast("bigint")))
+    many = is_spread(folder, sliced.select("capture_id", "slice").distinct().limit(FOLDER_FILES + 1).count())
+    if many:
+        spread(folder)
     ordered = sliced.repartition("capture_id", "slice").sortWithinPartitions("capture_id", "slice", time, *[c for c in ("seq",) if c in samples.columns])
     return settle(ordered.select("capture_id", "slice", *names_of).mapInArrow(run, "path string, rows long"))

@@ -1,13 +1,14 @@
 """Capture files as a Spark data source: ``spark.read.format("powercapture").option("kind", "samples").load(path)``.
 
-The driver lists files; tasks read headers and indexes, and check and decode chunks. Small files share a partition; of a
-large one the driver reads the index, and its chunks are dealt to several partitions. A file without a valid index is
-walked chunk by chunk up to the first that is not valid.
+The driver lists files, a folder at a time; tasks read headers and indexes, and check and decode chunks. Small files share
+a partition; of a large one the driver reads the index, and its chunks are dealt to several partitions. A file without a
+valid index is walked chunk by chunk up to the first that is not valid.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 import re
 import struct
 import zlib
@@ -107,15 +108,19 @@ def open_file(path: str):
     return fs.open_input_file(name)
 
 
-def files(path: str) -> list[tuple[str, int]]:
-    """Paths and sizes of all capture files below a path."""
+def files(path: str) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+    """A path and all folders below it, and paths and sizes of the capture files that lie right in each."""
     uri = path if "://" in path else "file://" + path
     fs, name = pafs.FileSystem.from_uri(uri)
     info = fs.get_file_info(name)
-    if info.type == pafs.FileType.Directory:
-        scheme = uri[: len(uri) - len(name)]
-        return sorted((scheme + x.path, x.size) for x in fs.get_file_info(pafs.FileSelector(name, recursive=True)) if x.path.endswith(".pprof"))
-    return [(uri, info.size or 0)]
+    if info.type != pafs.FileType.Directory:
+        yield uri, [(uri, info.size or 0)]
+        return
+    scheme, ahead = uri[: len(uri) - len(name)], [name]
+    while ahead:
+        found = fs.get_file_info(pafs.FileSelector(folder := ahead.pop()))
+        ahead += sorted((x.path for x in found if x.type == pafs.FileType.Directory and x.base_name != ZONES), reverse=True)
+        yield scheme + folder, sorted((scheme + x.path, x.size) for x in found if x.type != pafs.FileType.Directory and x.path.endswith(".pprof"))
 
 
 def zones_of(path: str) -> dict[tuple[str, int], dict]:
@@ -281,17 +286,25 @@ def decoded(kind: str, b: bytes) -> list[pa.Array] | None:
 
 
 class Chunks(InputPartition):
-    """Chunks of one or more files: (path, name, entries) of each; no entries stands for the whole file."""
+    """Chunks of one or more files: (path, entries) of each; no entries stands for the whole file.
+
+    They are packed, as the driver holds those of all files at once: paths that are much alike take a few bytes each.
+    """
 
     def __init__(self, parts: list[tuple]):
-        self.parts = parts
+        self.packed = zlib.compress(pickle.dumps(parts))
+
+    @property
+    def parts(self) -> list[tuple]:
+        return pickle.loads(zlib.decompress(self.packed))
 
 
 class CaptureReader(DataSourceReader):
+    """It goes to every task, so it holds no list of files."""
+
     def __init__(self, options: dict):
         self.kind = options.get("kind", "samples")
         self.folder = options["path"]
-        self.paths = files(self.folder)
         self.per_partition = int(options.get("bytesPerPartition", str(32 << 20)))
         self.low, self.high = 0, 2**63 - 1
 
@@ -313,20 +326,19 @@ class CaptureReader(DataSourceReader):
             return header, [(recovered, stopped)]
         return header, [(k, *e) for k, e in enumerate(e for e in entries if self.kind == "chunks" or e[1] == KINDS[self.kind])]
 
-    def met(self) -> list[tuple[str, int]]:
+    def met(self) -> Iterator[tuple[str, int]]:
         """Files that may have rows within the bounds. One that no zone knows, or knows in another size, always may."""
-        if self.kind not in TIMED or (self.low <= 0 and self.high >= 2**63 - 1) or len(self.paths) == 1:
-            return self.paths
-        zones = zones_of(self.folder)
+        bounded = self.kind in TIMED and (self.low > 0 or self.high < 2**63 - 1)
         inside = lambda times: times is not None and times[0] <= self.high and times[1] >= self.low
-        return [(p, n) for p, n in self.paths if (zone := zones.get((p.rpartition("/")[2], n))) is None or inside(zone.get(self.kind))]
+        for folder, found in files(self.folder):
+            zones = zones_of(folder) if bounded and len(found) > 1 else {}
+            yield from ((p, n) for p, n in found if (zone := zones.get((p.rpartition("/")[2], n))) is None or inside(zone.get(self.kind)))
 
     def partitions(self) -> list[Chunks]:
         """About ``bytesPerPartition`` of files or of a file's chunks; of a span only of files that may meet it."""
         out: list[Chunks] = []
         held, size = [], 0
         for path, n in self.met():
-            name = path.rpartition("/")[2].removesuffix(".pprof")
             if n > self.per_partition and self.kind != "captures":
                 with open_file(path) as source:
                     part, room = [], 0
@@ -334,11 +346,11 @@ class CaptureReader(DataSourceReader):
                         part.append(entry)
                         room += entry[3] + CHUNK_LEN
                         if room >= self.per_partition:
-                            out.append(Chunks([(path, name, part)]))
+                            out.append(Chunks([(path, part)]))
                             part, room = [], 0
-                    out += [Chunks([(path, name, part)])] if part else []
+                    out += [Chunks([(path, part)])] if part else []
                 continue
-            held.append((path, name, None))
+            held.append((path, None))
             size += n + (1 << 12)  # opening a file costs about as much as reading so much
             if size >= self.per_partition:
                 out.append(Chunks(held))
@@ -350,7 +362,8 @@ class CaptureReader(DataSourceReader):
         rows: list[tuple] = []
         held: list[list[pa.Array]] = []
         size = 0
-        for path, name, some in partition.parts:
+        for path, some in partition.parts:
+            name = path.rpartition("/")[2].removesuffix(".pprof")
             with open_file(path) as file:
                 source = pa.BufferReader(file.read()) if some is None and file.size() <= WHOLE else file
                 if some is None:

@@ -1,13 +1,15 @@
 """What larger tables brought up: sums beyond a long, folders for each capture, calls for each device."""
 
+import os
+import pickle
 import random
 import uuid
 
 import numpy as np
 
-from joulegrid.operators import gaps, occurrences
+from joulegrid.operators import gaps, names, occurrences
 from joulegrid.schemas import EVENT_DEFS, EVENTS, SAMPLES
-from joulegrid.sinks import export
+from joulegrid.sinks import capture_sink, capture_writer, export
 from joulegrid.sources import capture_file, wire
 from joulegrid.streaming import devices, groups, resolve, run
 
@@ -137,3 +139,65 @@ def test_blocks_of_a_batch_are_packed_together(spark):
     for d, n, *sample in rows:
         blocks.setdefault((d, n // 8), []).append(sample)
     assert got == {k: wire.frame(wire.TYPES["CURRENT_SAMPLES"], k[1], wire.sample_block(*map(list, zip(*some, strict=True)))) for k, some in blocks.items()}
+
+
+def test_the_driver_holds_a_few_bytes_of_each_capture_file(tmp_path):
+    n = 6000
+    for k in range(n):
+        (tmp_path / f"{k // 3}-{1408 + k % 3}.pprof").write_bytes(b"")
+    reader = capture_file.CaptureReader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert sorted(path for p in parts for path, _ in p.parts) == sorted(f"file://{x}" for x in tmp_path.iterdir())
+    assert len(pickle.dumps(reader)) < 1000 and sum(len(pickle.dumps(p)) for p in parts) < 20 * n
+
+
+def test_a_folder_of_many_capture_files_has_subfolders(spark, tmp_path, monkeypatch):
+    capture_file.register(spark)
+    monkeypatch.setattr(capture_writer, "FOLDER_FILES", 30)
+    monkeypatch.setattr(capture_sink, "NOTED", 7)
+    folder, at = str(tmp_path / "out"), 100_000_000
+    rows = lambda captures, add: [(c, k, k * at, k + add, None) for c in captures for k in range(10)]
+
+    def write(some, overwrite=False):
+        records = capture_sink.capture_records(spark.createDataFrame(some, SAMPLES), slice_ns=2 * at).toArrow()
+        sink = capture_sink.CaptureSink({"path": folder}, records.schema, overwrite)
+        done = [sink.write(iter(records.slice(a, 20).to_batches())) for a in range(0, len(records), 20)]
+        assert max(len(pickle.dumps(m)) for m in done) < 500
+        sink.commit(done)
+
+    def held():
+        right_in = [x.name for x in tmp_path.joinpath("out").iterdir() if x.name.endswith(".pprof")]
+        read = spark.read.format("powercapture").load(folder)
+        return len(right_in), sorted((r["capture_id"].partition("-")[0], r["t_ns"], r["current_ua"]) for r in read.collect())
+
+    of = lambda some: sorted((c, t, i) for c, _, t, i, _ in some)
+    write(rows("abcd", 0))
+    assert held() == (20, of(rows("abcd", 0)))
+    write(rows("cdefgh", 5))  # a name that is there is written anew, wherever it lies
+    assert held() == (0, of(rows("ab", 0) + rows("cdefgh", 5)))
+    write(rows("a", 9))
+    assert held() == (0, of(rows("a", 9) + rows("b", 0) + rows("cdefgh", 5)))
+    reader = capture_file.CaptureReader({"path": folder})
+    reader.low, reader.high = 2 * at, 3 * at
+    assert {p.rpartition("/")[2] for p, _ in reader.met()} >= {f"{c}-1.pprof" for c in "abcdefgh"}
+    noted = [z for place, _ in capture_file.files(folder) for z in capture_file.zones_of(place)]
+    assert {f for f, _ in noted} == {f"{c}-{k}.pprof" for c in "abcdefgh" for k in range(5)}
+    write(rows("xy", 1), overwrite=True)
+    assert held() == (10, of(rows("xy", 1))) and not [x for x in os.listdir(folder) if x.startswith(capture_writer.SUBFOLDER)]
+    capture_writer.write_captures(spark.createDataFrame(rows("xabcdefg", 2), SAMPLES), folder, slice_ns=2 * at)
+    assert held() == (0, of(rows("xabcdefg", 2) + rows("y", 1)))
+
+
+def test_definitions_are_read_once_for_starts_and_stops(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for b in it:
+            seen.add(b.num_rows)
+            yield b
+
+    defs = spark.createDataFrame([("a", "X", 1, 2, "s"), ("a", "Y", 3, None, None), ("b", "Z", 1, 3, None)], "capture_id string, name string, start_id int, stop_id int, category string")
+    events = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 2), ("b", 3), ("c", 1)], "capture_id string, id int")
+    got = names.with_capture_names(events, defs.mapInArrow(count, defs.schema)).select("capture_id", "id", "name", "category").collect()
+    assert sorted(map(tuple, got)) == [("a", 1, "X", "s"), ("a", 2, "X:stop", "s"), ("a", 3, "Y", None), ("b", 2, "0x0002", None), ("b", 3, "Z:stop", None), ("c", 1, "0x0001", None)]
+    assert seen.value == 2 * 3  # counted, then joined
